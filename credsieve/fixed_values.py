@@ -28,7 +28,7 @@ NAMESPACE_SEGMENT_FORMAT = r"^[A-Za-z_$][A-Za-z0-9_$]*\z"
 IGNORE_DIRECTIVE_FORMAT = (
     r"(?i)secret-scanner:\s*(?:ignore|allow)|pragma:\s*allowlist\s+secret"
 )
-HUNK_HEADER_FORMAT = r"^@@ -\p{Nd}+(?:,\p{Nd}+)? \+(\p{Nd}+)(?:,\p{Nd}+)? @@"
+HUNK_HEADER_FORMAT = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@"
 
 # --- labels -------------------------------------------------------------------
 ENTROPY_PATTERN_NAME = "High entropy token"

@@ -163,7 +163,7 @@ def _gates(options: DetectOptions, entropy_allowed: Column) -> Column:
     checks = []
     if options.signatures:
         checks += [
-            F.when(s.may_occur(content, runs), i)
+            F.when(s.may_occur(content, runs, F.col("line_nos")), i)
             for i, s in enumerate(options.catalogue, start=1)
         ]
     if options.entropy:

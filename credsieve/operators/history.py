@@ -35,7 +35,9 @@ def _hunk_lines(hunk: Column, hunk_index: Column) -> Column:
     The position of a line among those that exist in the new file is its offset
     from the start named in the header; all other lines are dropped first.
     """
-    start = F.regexp_extract(hunk, fixed.HUNK_HEADER_FORMAT, 1).cast("int")
+    digits = F.regexp_extract(hunk, fixed.HUNK_HEADER_FORMAT, 1)
+    # No file has a line number of ten digits; such a hunk places nothing.
+    start = F.when(F.char_length(digits) <= 9, digits).cast("int")
     body = F.slice(F.split(hunk, "\n", -1), 2, F.char_length(hunk))
     in_new_file = F.filter(
         body, lambda line: ~line.startswith("-") & ~line.startswith("\\") & ~line.startswith("+++")
@@ -48,7 +50,9 @@ def _hunk_lines(hunk: Column, hunk_index: Column) -> Column:
             line.alias("line"),
         ),
     )
-    return F.filter(numbered, lambda row: row["line"].startswith("+"))
+    return F.filter(
+        numbered, lambda row: row["line"].startswith("+") & row["line_number"].isNotNull()
+    )
 
 
 def added_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
@@ -93,16 +97,6 @@ def added_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
     )
 
 
-def virtual_content(content: Column, line_nos: Column) -> Column:
-    """The sparse file: added lines in place, blank lines elsewhere.
-
-    Detection rebuilds it only for texts that a signature may match.
-    """
-    from credsieve.operators.detect import sparse_text
-
-    return sparse_text(content, line_nos)
-
-
 def history_units(
     commit_files: DataFrame, excludes: tuple[str, ...] = fixed.DEFAULT_EXCLUDES
 ) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
@@ -17,8 +18,10 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="credsieve-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="credsieve-")
+        root = _LOCAL_FOLDERS[application]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

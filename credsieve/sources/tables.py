@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def _column(value: str | Column, empty: str = "") -> Column:
 def as_scan_units(
     table: DataFrame,
     content: str | Column,
-    repo: str | Column = F.lit("") if False else "",
+    repo: str | Column = "",
     file_path: str | Column = "",
     commit_sha: str | Column = "",
 ) -> DataFrame:
@@ -35,3 +36,51 @@ def as_scan_units(
         label(commit_sha).cast("string").alias("commit_sha"),
         text.alias("content"),
     )
+
+
+BASELINE_ENTRY = "fingerprint string, repo string, file_path string, pattern_name string"
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct accepted fingerprints of a baseline.
+
+    Reads what ``sinks.baselines`` writes, a folder with one entry per line, and
+    also a single ``{"accepted": [entries]}`` document.  Entries without a text
+    fingerprint are ignored; a document without an ``accepted`` list, or lines
+    that are not JSON, are errors.
+    """
+    try:
+        lines = spark.read.text(path)
+        first = lines.where(F.trim("value") != "").head()
+    except AnalysisException as problem:
+        raise BaselineError(f"baseline not found: {path}") from problem
+    if first is not None and _is_entry(first.value):
+        rows = spark.read.schema(BASELINE_ENTRY).option("mode", "FAILFAST").json(path)
+        return rows.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
+
+    whole = spark.read.text(path, wholetext=True)
+    accepted = F.expr("try_variant_get(try_parse_json(value), '$.accepted', 'array<variant>')")
+    document = whole.select(F.expr("try_parse_json(value)").alias("parsed"), accepted.alias("accepted"))
+    state = document.agg(
+        F.count("*").alias("n"),
+        F.count("parsed").alias("n_json"),
+        F.count("accepted").alias("n_lists"),
+    ).head()
+    if state.n == 0 or state.n_json < state.n:
+        raise BaselineError(f"baseline is not valid JSON: {path}")
+    if state.n_lists < state.n:
+        raise BaselineError(f"baseline must contain an 'accepted' list: {path}")
+    entries = document.select(F.explode("accepted").alias("entry"))
+    fingerprint = F.when(
+        F.expr("schema_of_variant(variant_get(entry, '$.fingerprint', 'variant'))") == "STRING",
+        F.expr("try_variant_get(entry, '$.fingerprint', 'string')"),
+    )
+    return entries.select(fingerprint.alias("fingerprint")).where("fingerprint is not null").distinct()
+
+
+def _is_entry(line: str) -> bool:
+    try:
+        entry = json.loads(line)
+    except json.JSONDecodeError:
+        return False
+    return isinstance(entry, dict) and "fingerprint" in entry
