@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from credsieve import fixed_values as fixed
 from credsieve.functions.pyregex import to_java
@@ -57,7 +58,7 @@ def glob_list(raw: str | Iterable[str] | None) -> tuple[str, ...]:
     return tuple(p.strip() for p in pieces if p.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def policy_pattern(globs: pd.Series) -> pd.Series:
     """Glob arrays of a policy table to one JVM pattern per policy row."""
     return globs.map(lambda g: glob_pattern(g) if g is not None and len(g) else None)

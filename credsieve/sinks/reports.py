@@ -7,8 +7,6 @@ documents, so that no repository has to fit into one task.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,13 +239,3 @@ def write_baseline(findings: DataFrame, path: str) -> None:
 def write_failures(failures: DataFrame, path: str) -> None:
     failure_rows(failures).write.json(path)
 
-
-def baseline_document(snapshot: DataFrame, limit: int) -> str:
-    """A whole baseline as one JSON text, for a snapshot known to be small.
-
-    Raises when the snapshot has more than ``limit`` entries.
-    """
-    rows = snapshot.orderBy("fingerprint").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the baseline has more than {limit} entries")
-    return json.dumps({"accepted": [r.asDict() for r in rows]}, indent=2, sort_keys=True) + "\n"
