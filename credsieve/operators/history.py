@@ -104,4 +104,4 @@ def history_units(
     kept = commit_files.where(
         F.col("patch").isNotNull() & ~paths.matches_any_glob(F.col("file_path"), excludes)
     )
-    return added_lines(kept.select("repo", "commit_sha", "file_path", "patch"))
+    return added_lines(kept)

@@ -105,7 +105,7 @@ def apply_policy(files: DataFrame, policies: DataFrame) -> DataFrame:
         "repo", paths.policy_pattern(paths.parse_globs(F.col("excludes"))).alias("pattern")
     )
     clean = paths.normalise(F.col("file_path"))
-    hit = clean.rlike(F.col("pattern")) | paths.basename(clean).rlike(F.col("pattern"))
+    hit = F.rlike(clean, F.col("pattern")) | F.rlike(paths.basename(clean), F.col("pattern"))
     return (
         files.join(patterns, "repo", "left")
         .where(~F.coalesce(hit, F.lit(False)))

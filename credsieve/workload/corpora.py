@@ -227,7 +227,7 @@ def tree_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blob_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed blobs in base64 with line breaks; some are damaged, few are lost."""
     encoded = F.regexp_replace(F.base64(F.col("content").cast("binary")), "(.{60})", "$1\n")
-    damaged = F.expr("substring(encoded, 1, char_length(encoded) - 1)")
+    damaged = F.expr("substring(encoded, 2)")
     return (
         documents(spark, sf_dir)
         .where("doc_id % 211 <> 5")
