@@ -21,10 +21,11 @@ def blob_text(encoding: Column, content: Column) -> Column:
     The length and alphabet are checked first because the JVM decoder accepts
     payloads that a strict decoder rejects.
     """
-    compact = remove_space(content)
-    sound = (
-        (encoding == "base64")
-        & (F.char_length(compact) % 4 == 0)
-        & compact.rlike(BASE64_FORMAT)
-    )
-    return F.when(sound, strict_utf8(F.try_to_binary(compact, F.lit("base64"))))
+
+    def decoded(compact: Column) -> Column:
+        sound = (F.char_length(compact) % 4 == 0) & compact.rlike(BASE64_FORMAT)
+        return F.when(sound, strict_utf8(F.try_to_binary(compact, F.lit("base64"))))
+
+    # The one-element array binds the compacted payload, which is used three times.
+    compacted = F.array(F.when(encoding == "base64", remove_space(content)))
+    return F.transform(compacted, decoded)[0]

@@ -197,10 +197,10 @@ def detect(
     if options.signatures:
         runs = F.array_join(F.regexp_extract_all(runs, F.lit(_RUNS), F.lit(0)), "\n")
     # explode_outer, not explode: the planner would otherwise repeat the gate in
-    # a filter of its own and push it below a repartition of the texts.
+    # a filter of its own and push it below a repartition of the texts.  A NULL
+    # text passes no gate, so it needs no filter either.
     gated = (
-        units.where(F.col("content").isNotNull())
-        .withColumn("runs", runs)
+        units.withColumn("runs", runs)
         .withColumn("ords", _gates(options, allowed))
         .select(*keys, "content", "line_nos", F.explode_outer("ords").alias("pattern_ord"))
         .where(F.col("pattern_ord").isNotNull())

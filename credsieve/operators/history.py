@@ -71,8 +71,7 @@ def added_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
         F.split(unified, header, -1), lambda h: h.rlike(r"\A" + fixed.HUNK_HEADER_FORMAT[1:])
     )
     rows = (
-        patches.where(F.col(patch).isNotNull())
-        .withColumn("hunks", hunks)
+        patches.withColumn("hunks", hunks)
         .withColumn("added", F.flatten(F.transform("hunks", _hunk_lines)).cast(_ADDED_LINE))
         # Sorted by line, then hunk: where hunks overlap, the later one wins.
         .withColumn("added", F.sort_array("added"))
@@ -87,14 +86,18 @@ def added_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
             ),
         )
     )
-    return rows.where(F.size("added") > 0).select(
-        *others,
-        F.array_join(
-            F.transform("added", lambda row: F.substring(row["line"], 2, F.char_length(row["line"]))),
-            "\n",
-        ).alias("content"),
+    lines = F.transform(
+        "added", lambda row: F.substring(row["line"], 2, F.char_length(row["line"]))
+    )
+    unit = F.struct(
+        F.array_join(lines, "\n").alias("content"),
         F.col("added.line_number").alias("line_nos"),
     )
+    # A filter on ``added`` would be pushed down and compute it a second time;
+    # a filter on the output of a generator is not.
+    return rows.select(
+        *others, F.inline_outer(F.when(F.size("added") > 0, F.array(unit)))
+    ).where(F.col("line_nos").isNotNull())
 
 
 def history_units(

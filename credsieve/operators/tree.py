@@ -45,8 +45,8 @@ def with_heads(chosen: DataFrame, branches: DataFrame) -> DataFrame:
 
 def with_trees(resolved: DataFrame, trees: DataFrame) -> DataFrame:
     """Attach the tree of the head commit; truncated listings are refused."""
-    listed = trees.select("repo", "commit_sha", "truncated", "tree")
-    problem = F.when(F.col("tree").isNull(), TREE_ERROR).when(
+    listed = trees.select("repo", "commit_sha", "valid", "truncated", "tree")
+    problem = F.when(~F.coalesce("valid", F.lit(False)), TREE_ERROR).when(
         F.col("truncated"), fixed.TRUNCATED_TREE_ERROR
     )
     return (
@@ -78,7 +78,7 @@ def tree_files(
 ) -> DataFrame:
     """Explode the trees of sound repositories to the files to scan."""
     items = listed.where(F.col("error").isNull()).select(
-        "repo", "branch", "commit_sha", F.posexplode("tree").alias("unit_ord", "item")
+        "repo", "branch", "commit_sha", F.posexplode_outer("tree").alias("unit_ord", "item")
     )
     return items.where(
         wanted_item(

@@ -119,11 +119,12 @@ def scan_histories(
     wanted = listed.where(F.col("error").isNull()).select(
         "repo", "branch", "commit_sha", "commit_pos"
     )
-    sound = commit_files.where(F.col("files").isNotNull())
-    lost = tree.missing(wanted, sound, ["repo", "commit_sha"], tree.COMMIT_FILES_ERROR)
+    lost = tree.missing(
+        wanted, commit_files.where("valid"), ["repo", "commit_sha"], tree.COMMIT_FILES_ERROR
+    )
 
-    changed = sound.select(
-        "repo", "commit_sha", F.posexplode("files").alias("file_ord", "file")
+    changed = commit_files.select(
+        "repo", "commit_sha", F.posexplode_outer("files").alias("file_ord", "file")
     ).select(
         "repo",
         "commit_sha",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
 from credsieve import session
-from credsieve.functions import payload, text
+from credsieve.functions import text
 
 ENTRY = "path string, file_path string, is_dir boolean, size bigint"
 BYTES_PER_TASK = 64 * 1024 * 1024
@@ -154,8 +154,9 @@ def read_texts(files: DataFrame) -> DataFrame:
     data = files.repartition(int(tasks)).mapInArrow(
         _read_bytes, "file_path string, size bigint, data binary"
     )
-    return (
-        data.withColumn("content", text.universal_newlines(payload.strict_utf8(F.col("data"))))
-        .where(F.col("content").isNotNull())
-        .select("file_path", "size", "content")
+    valid = data.withColumn("data", F.col("data").cast("string")).where(
+        F.is_valid_utf8(F.col("data"))
+    )
+    return valid.select(
+        "file_path", "size", text.universal_newlines(F.col("data")).alias("content")
     )

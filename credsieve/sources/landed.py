@@ -5,6 +5,9 @@ A crawler stores each response as one row: some key columns and the JSON text in
 the rules of the tables it replaces: list items that are not objects are dropped,
 missing optional fields get their defaults, and a payload whose list is not a
 list is marked invalid, so that its repository fails instead of looking empty.
+
+Store the parsed tables before scanning large crawls: a scan reads keys and
+contents in separate passes, and a columnar table gives each only what it needs.
 """
 
 from __future__ import annotations
@@ -35,6 +38,15 @@ def _parsed(table: DataFrame) -> DataFrame:
     return table.withColumn("parsed", F.expr("try_parse_json(payload)"))
 
 
+def _is_listed(field: str) -> Column:
+    """The record is an object and its field a list or absent."""
+    kind = f"schema_of_variant(variant_get(parsed, '$.{field}', 'variant'))"
+    return F.expr(
+        f"coalesce(schema_of_variant(parsed) like 'OBJECT%', false)"
+        f" and coalesce({kind} like 'ARRAY%', true)"
+    )
+
+
 def _listed(field: str) -> Column:
     """The objects of a list inside a record.
 
@@ -53,7 +65,7 @@ def parse_repos(pages: DataFrame, public_only: bool = True) -> DataFrame:
     items = F.expr(
         "coalesce(try_variant_get(parsed, '$', 'array<variant>'), array(parsed))"
     )
-    rows = _objects(_parsed(pages).select(F.explode(items).alias("item")), "item").select(
+    rows = _objects(_parsed(pages).select(F.explode_outer(items).alias("item")), "item").select(
         F.expr("try_variant_get(item, '$.id', 'bigint')").alias("id"),
         F.expr(_text("item", "name")).alias("name"),
         F.expr(_text("item", "full_name")).alias("full_name"),
@@ -72,7 +84,7 @@ def parse_branches(payloads: DataFrame) -> DataFrame:
 
 
 def parse_trees(payloads: DataFrame) -> DataFrame:
-    """Recursive tree listings; ``tree`` is NULL when it is not a list."""
+    """Recursive tree listings; not ``valid`` when ``tree`` is not a list."""
 
     def item(v: Column) -> Column:
         def field(name: str, kind: str = "string") -> Column:
@@ -94,6 +106,7 @@ def parse_trees(payloads: DataFrame) -> DataFrame:
         F.expr("coalesce(try_variant_get(parsed, '$.truncated', 'boolean'), false)").alias(
             "truncated"
         ),
+        _is_listed("tree").alias("valid"),
         F.transform(_listed("tree"), item).alias("tree"),
     )
 
@@ -111,7 +124,7 @@ def parse_commits(pages: DataFrame) -> DataFrame:
     items = F.expr("try_variant_get(parsed, '$', 'array<variant>')")
     first = F.coalesce(F.col("page_start"), F.lit(0))
     return _objects(
-        _parsed(pages).select("repo", "branch", first.alias("first"), F.posexplode(items)), "col"
+        _parsed(pages).select("repo", "branch", first.alias("first"), F.posexplode_outer(items)), "col"
     ).select(
         "repo",
         "branch",
@@ -121,7 +134,7 @@ def parse_commits(pages: DataFrame) -> DataFrame:
 
 
 def parse_commit_files(payloads: DataFrame) -> DataFrame:
-    """Commit records; ``files`` is NULL when it is not a list."""
+    """Commit records; not ``valid`` when ``files`` is not a list."""
 
     def item(v: Column) -> Column:
         # Only a JSON string is a patch; numbers and lists are not.
@@ -134,5 +147,8 @@ def parse_commit_files(payloads: DataFrame) -> DataFrame:
         )
 
     return _parsed(payloads).select(
-        "repo", "commit_sha", F.transform(_listed("files"), item).alias("files")
+        "repo",
+        "commit_sha",
+        _is_listed("files").alias("valid"),
+        F.transform(_listed("files"), item).alias("files"),
     )

@@ -204,7 +204,7 @@ def minimum_length_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(text.splitlines(F.col("content"))).alias("pos", "line")
+        "doc_id", F.posexplode_outer(text.splitlines(F.col("content"))).alias("pos", "line")
     )
 
 
@@ -232,7 +232,7 @@ NOISY_PAGE = """concat(html, chr(10), 'src="DATA:image/png;Base64,', md5(cast(pa
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.expr(NOISY_PAGE)
     lines = c.table(spark, sf_dir, "pages").select(
-        "page_id", F.posexplode(text.splitlines(content)).alias("pos", "line")
+        "page_id", F.posexplode_outer(text.splitlines(content)).alias("pos", "line")
     )
     return lines.where(is_noise_line(F.col("line"))).select(
         "page_id",
@@ -268,10 +268,11 @@ def noisy_page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = f"[{fixed.TOKEN_CHARACTERS}]{{{fixed.TOKEN_RUN_LENGTH},}}"
     tokens = c.table(spark, sf_dir, "pages").select(
-        "page_id", F.explode(F.regexp_extract_all("html", F.lit(token), F.lit(0))).alias("tok")
+        "page_id", F.explode_outer(F.regexp_extract_all("html", F.lit(token), F.lit(0))).alias("tok")
     )
     return (
-        tokens.select("page_id", secret_candidate(F.col("tok")).alias("candidate"))
+        tokens.where(F.col("tok").isNotNull())
+        .select("page_id", secret_candidate(F.col("tok")).alias("candidate"))
         .withColumn("is_namespace", is_dotted_namespace(F.col("candidate")))
         .groupBy("page_id", "candidate", "is_namespace")
         .agg(F.count("*").alias("n"))
@@ -573,7 +574,7 @@ def _commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patches = _commit_files(spark, sf_dir).select("commit_sha", F.explode("files.patch").alias("patch"))
+    patches = _commit_files(spark, sf_dir).select("commit_sha", F.explode_outer("files.patch").alias("patch"))
     sparse = history.added_lines(patches)
     rows = sparse.select(
         "commit_sha", F.inline(F.arrays_zip("line_nos", F.split("content", "\n", -1).alias("line")))
@@ -677,7 +678,8 @@ def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tree_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = landed.parse_trees(c.tree_payloads(spark, sf_dir))
-    return trees.select("repo", "truncated", F.inline("tree")).select(
+    items = trees.select("repo", "truncated", F.inline_outer("tree"))
+    return items.where(F.col("path").isNotNull()).select(
         "repo", "truncated", "path", "type", "sha", "size"
     )
 
