@@ -1,0 +1,200 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from credsieve import fixed_values as fixed
+from credsieve.operators import catalogue
+from credsieve.operators.catalogue import DEFAULT_CATALOGUE, CatalogueError, Signature
+from credsieve.operators.detect import (
+    DetectOptions,
+    EntropyOptions,
+    detect,
+    entropy_findings,
+    regex_findings,
+    sparse_text,
+)
+from tests import model
+
+RANDOM = "q7Rz2Kx9Lm4Vt8Wp1Yc6Bn3Hd5Fg0JsTuAeIoX"
+HEX = "3f9a1c7e5b2d8046" * 4
+
+
+def rows(frame):
+    order = ["file_path", "detector_ord", "pattern_ord", "line_number", "match_ord"]
+    keep = ["line_number", "matched_text", "detection_method", "pattern_name", "confidence", "entropy_score"]
+    return [(r.file_path, tuple(r[k] for k in keep)) for r in frame.orderBy(*order).collect()]
+
+
+def names(frame):
+    return [r[3] for _, r in rows(frame)]
+
+
+def same(got, want):
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want], abs=1e-12)
+
+
+def test_random_texts_agree_with_the_model(spark):
+    rng = model.rng(11)
+    texts = ["", "\n"] + [model.random_text(rng) for _ in range(1500)]
+    some_paths = ["src/f{}.py", "tests/f{}.py", "a/f{}.svg", "f{}.min.js", "f{}"]
+    items = [(some_paths[i % 5].format(i), t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([("o/r", p, "", t) for p, t in items], "repo string, file_path string, commit_sha string, content string")
+    got = {}
+    for path, row in rows(detect(frame.repartition(8))):
+        got.setdefault(path, []).append(row)
+    total = 0
+    for path, content in items:
+        want = model.regex_rows(content) + model.entropy_rows(content, path)
+        key = lambda r: (r[2] == "entropy", [s.name for s in DEFAULT_CATALOGUE].index(r[3]) if r[2] == "regex" else 0, r[0])
+        mine = sorted(got.get(path, []), key=lambda r: (key(r), r[1]))
+        same(mine, sorted(want, key=lambda r: (key(r), r[1])))
+        total += len(want)
+    assert total > 2500
+
+
+def test_order_of_findings_in_a_text(units):
+    text = "\n".join(["k " + model.token(model.rng(5), k) + " z " + model.token(model.rng(6), k) for k in (14, 0, 3)])
+    got = [r for _, r in rows(regex_findings(units(text)))]
+    want = sorted(model.regex_rows(text), key=lambda r: [s.name for s in DEFAULT_CATALOGUE].index(r[3]))
+    same(got, want)
+
+
+@pytest.mark.parametrize("kind", range(24))
+def test_every_signature(units, kind):
+    line = "k " + model.token(model.rng(kind), kind) + " z"
+    assert DEFAULT_CATALOGUE[kind].name in [r[3] for r in model.regex_rows(line)] or kind in (12, 20)
+    assert names(regex_findings(units(line))) == [r[3] for r in model.regex_rows(line)]
+
+
+def test_named_group_reports_only_the_value(units):
+    text = "aws_secret_" + "access_key = wJal" + "x" * 36
+    found = rows(regex_findings(units(text)))
+    assert len(found) == 1 and found[0][1][1].startswith("wJal")
+
+
+def test_suppression_only_looks_at_the_first_line(units):
+    pem = "-----BEGIN PRIVATE " + "KEY-----{}\nabc{}\n-----END PRIVATE " + "KEY-----"
+    silenced = pem.format(" # secret-scanner:ignore", "")
+    later = pem.format("", " # secret-scanner:ignore")
+    assert names(regex_findings(units(silenced, later))) == ["PEM private key"]
+
+
+def test_regex_and_entropy_of_one_token_are_both_kept(units):
+    line = "aws_access = " + "AK" + "IA" + "0" * 16 + " other = " + RANDOM
+    assert [r[2] for _, r in rows(detect(units(line)))] == ["regex", "entropy"]
+
+
+@pytest.mark.parametrize(
+    "path,text,count",
+    [
+        ("config.txt", f'token = "{RANDOM}"', 1),
+        ("config.txt", HEX, 1),
+        ("config.txt", f"SESSION_HMAC={HEX}", 1),
+        ("scanner.py", "max_file_size_bytes=4", 0),
+        ("config.txt", "a" * 40, 0),
+        ("config.txt", "01234567" * 3, 0),
+        ("package-lock.json", RANDOM, 0),
+        ("dist/app.min.js", RANDOM, 0),
+        ("image.txt", "data:image/png;base64," + RANDOM, 0),
+        ("x.java", "es.us.dp1.lx_xy_24_25.your_game_name.configuration.jwt.JwtUtils", 0),
+        ("config.py", "prefix.value." + RANDOM, 1),
+        ("app.env", f"{RANDOM} # pragma: allowlist secret", 0),
+        ("app.env", f"{RANDOM} {RANDOM}", 1),
+        ("a/site-packages/b.py", RANDOM, 0),
+        ("a/test_x.py", RANDOM, 0),
+        ("a/latest.py", RANDOM, 1),
+    ],
+)
+def test_entropy_cases(units, path, text, count):
+    assert len(rows(entropy_findings(units((path, text))))) == count
+
+
+def test_path_rules_do_not_reach_signatures(units):
+    key = "AK" + "IA" + "0" * 16
+    some = [("tests/a.py", key), ("site-packages/x.py", key), ("fixtures/k.pem", key)]
+    assert names(detect(units(*some))) == ["AWS access key"] * 3
+
+
+def test_thresholds(units):
+    pairs = [("abcdefghijklmnopqrstuvwxy", None, 0), ("abcdefghijklmnopqrstuvwxy", 4.5, 1),
+             ("aabbccddeeffgghhiijjkkll", None, 0), ("aabbccddeeffgghhiijjkkll", 3.0, 1),
+             ("aaaabbbbccccddddeeeeffff1111", None, 0), ("aaaabbbbccccddddeeeeffff1111", 4.0, 1)]
+    for text, threshold, count in pairs:
+        options = EntropyOptions.with_threshold(threshold) if threshold else EntropyOptions()
+        assert len(rows(entropy_findings(units(text), options))) == count, (text, threshold)
+    with pytest.raises(ValueError):
+        EntropyOptions.with_threshold(0)
+
+
+def test_text_with_very_many_matches(units):
+    text = "\n".join("k AK" + "IA" + f"{i:016d}" for i in range(20_000))
+    frame = regex_findings(units(text))
+    got = frame.agg(F.count("*"), F.countDistinct("line_number"), F.max("line_number")).first()
+    assert tuple(got) == (20_000, 20_000, 20_000)
+
+
+def test_null_text_is_skipped(units):
+    assert rows(detect(units(("a", None), ("b", "AK" + "IA" + "0" * 16)))) != []
+
+
+def test_custom_signature_without_conditions(units):
+    own = Signature("Own", r"own-(?P<secret>\d+)", "low", "own-1")
+    found = rows(detect(units("x own-12\nown-٣ own-12"), DetectOptions(catalogue=(own,), entropy=None)))
+    assert [(r[0], r[1]) for _, r in found] == [(1, "**"), (2, "*"), (2, "**")]
+
+
+def test_custom_signature_across_blank_lines_of_a_sparse_text(spark):
+    own = Signature("Own", r"a\n\n\nb+", "low", "a")
+    frame = spark.createDataFrame(
+        [("r", "f", "c", "a\nbbbb", [2, 5])],
+        "repo string, file_path string, commit_sha string, content string, line_nos array<int>",
+    )
+    found = rows(detect(frame, DetectOptions(catalogue=(own,))))
+    assert [(r[0], len(r[1])) for _, r in found] == [(2, 8)]
+    text = frame.select(sparse_text(F.col("content"), F.col("line_nos")).alias("t")).first().t
+    assert text == "\na\n\n\nbbbb"
+
+
+def test_detection_is_one_narrow_pass(units, spark):
+    plan = detect(units("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+# --- catalogue files -------------------------------------------------------------------
+
+GOOD = {"name": "N", "regex": "n+", "confidence": "HIGH", "example": "nn"}
+
+
+@pytest.mark.parametrize("wrap", [lambda e: e, lambda e: {"patterns": e}])
+def test_catalogue_file(spark, tmp_path, wrap):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(wrap([GOOD, {**GOOD, "name": "M", "needles": ["n"]}]), indent=1))
+    first, second = catalogue.load_catalogue(spark, str(path))
+    assert (first.name, first.confidence, second.needles) == ("N", "high", ("n",))
+
+
+@pytest.mark.parametrize(
+    "content,message",
+    [
+        ({"other": []}, "must contain a list"),
+        ([GOOD, 5], "entry 2 must be a mapping"),
+        ([{k: v for k, v in GOOD.items() if k != "example"}], "entry 1 missing field: example"),
+        ([{**GOOD, "confidence": "top"}], "invalid confidence 'top'"),
+        ([{**GOOD, "regex": "("}], "invalid regex"),
+        ([{**GOOD, "regex": "(?a)x"}], "invalid regex"),
+        ([{**GOOD, "regex": "n*"}], "matches the empty text"),
+    ],
+)
+def test_bad_catalogue_files(spark, tmp_path, content, message):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(content))
+    with pytest.raises(CatalogueError, match=message):
+        catalogue.load_catalogue(spark, str(path))
+
+
+def test_catalogue_table(spark):
+    table = catalogue.catalogue_table(spark).orderBy("ord").collect()
+    assert len(table) == 24 and table[1].grp == 1 and table[0].name == "AWS access key"
+    assert {r.confidence for r in table} <= set(fixed.CONFIDENCE_RANK)
