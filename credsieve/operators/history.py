@@ -50,8 +50,9 @@ def _hunk_lines(hunk: Column, hunk_index: Column) -> Column:
             line.alias("line"),
         ),
     )
+    # A malformed header may place a line ahead of line 1; no file has it.
     return F.filter(
-        numbered, lambda row: row["line"].startswith("+") & row["line_number"].isNotNull()
+        numbered, lambda row: row["line"].startswith("+") & (row["line_number"] >= 1)
     )
 
 

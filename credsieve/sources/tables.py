@@ -57,6 +57,9 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     if first is not None and _is_entry(first.value):
         rows = spark.read.schema(BASELINE_ENTRY).option("mode", "FAILFAST").json(path)
         return rows.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if first is None and not any(f.endswith(f"/{name}") for f in lines.inputFiles()):
+        return spark.createDataFrame([], "fingerprint string")  # a folder without entries
 
     whole = spark.read.text(path, wholetext=True)
     accepted = F.expr("try_variant_get(try_parse_json(value), '$.accepted', 'array<variant>')")
