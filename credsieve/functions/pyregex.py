@@ -117,9 +117,11 @@ def _group(pattern: str, pos: int, names: dict[str, int]) -> tuple[str, int]:
     return "(", pos + 1
 
 
-def search_pattern(pattern: str) -> str:
+def search_pattern(pattern: str, ahead: str = "") -> str:
     """JVM form of ``re.compile(pattern, re.MULTILINE | re.DOTALL)``.
 
     The ``d`` flag makes a line feed the only line terminator, as in Python.
+    ``ahead`` is a JVM look-ahead that every match satisfies.
     """
-    return "(?msd)" + to_java(pattern)
+    body = to_java(pattern)
+    return f"(?msd){ahead}(?:{body})" if ahead else "(?msd)" + body

@@ -87,6 +87,11 @@ def is_suppressed(line: Column) -> Column:
     return line.rlike(_DIRECTIVE)
 
 
+def may_be_suppressed(content: Column) -> Column:
+    """Some line may carry a directive; both kinds hold one of these endings."""
+    return content.rlike("[rRaA]:") & is_suppressed(content)
+
+
 def is_noise_line(line: Column) -> Column:
     """Embedded images and minified code yield tokens that are not secrets."""
     lowered = F.lower(line)
@@ -219,7 +224,7 @@ def detect(
         *keys,
         "line_nos",
         "pattern_ord",
-        F.when(is_entropy | is_suppressed(content), text.raw_lines(content)).alias("lines"),
+        F.when(is_entropy | may_be_suppressed(content), text.raw_lines(content)).alias("lines"),
         *_signature_columns(options, ordinal, content),
     )
     values = F.when(

@@ -36,3 +36,14 @@ def spread(table: DataFrame) -> DataFrame:
     if table.rdd.getNumPartitions() < cores:
         return table.repartition(cores * 2)
     return table
+
+
+def keep(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write rows once to the shared work folder and go on from there.
+
+    For small results that several later steps read: nothing upstream runs
+    twice, and a lost executor costs no more than reading the files again.
+    """
+    folder = work_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
+from credsieve import session
 from credsieve.functions import text
 from credsieve.operators import baseline as accepted
 from credsieve.operators.detect import FINDING_COLUMNS, ORDER_COLUMNS
@@ -131,7 +132,12 @@ def _grouped(rows: DataFrame, limit: int, content: Column) -> DataFrame:
 
 
 def sarif_documents(findings: DataFrame, limit: int = MAX_PER_DOCUMENT) -> DataFrame:
-    """SARIF documents: ``repo, part, document``."""
+    """SARIF documents: ``repo, part, document``.
+
+    The findings are counted before they are dealt out, so the scan behind them
+    is run once and its result kept.
+    """
+    findings = session.keep(findings, "report")
     level = confidence_level(F.col("confidence"))
     name = F.col("pattern_name")
     rule_id = text.rule_slug(name, F.col("detection_method"))
@@ -193,6 +199,7 @@ def _html_page(rows: Column) -> Column:
 
 def html_documents(findings: DataFrame, limit: int = MAX_PER_DOCUMENT) -> DataFrame:
     """HTML pages: ``repo, part, document``; one page says so when there are none."""
+    findings = session.keep(findings, "report")
     pages = _grouped(findings, limit, html_row()).select(
         "repo", "part", _html_page(F.array_join("rows", "\n")).alias("document")
     )

@@ -517,7 +517,7 @@ def baseline_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def baseline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = _planted_findings(spark, sf_dir)
+    scanned = session.keep(_planted_findings(spark, sf_dir), "findings")
     accepted = baseline.snapshot(scanned.where(F.col("confidence") == "medium"))
     return shown(baseline.unaccepted(scanned, accepted), "fingerprint")
 
@@ -532,7 +532,7 @@ def baseline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def baseline_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A baseline written by one scan and read by the next."""
-    scanned = _planted_findings(spark, sf_dir)
+    scanned = session.keep(_planted_findings(spark, sf_dir), "findings")
     folder = session.work_folder(spark, "baseline")
     reports.write_baseline(scanned.where(F.col("line_number") == 1), folder)
     return shown(baseline.unaccepted(scanned, load_baseline(spark, folder)), "fingerprint")
