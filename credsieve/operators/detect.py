@@ -27,6 +27,7 @@ from credsieve.operators.catalogue import (
     SHORTEST_RUN,
     Signature,
     by_ordinal,
+    sql_text,
 )
 
 UNIT_KEYS = ("repo", "file_path", "commit_sha")
@@ -75,11 +76,10 @@ class EntropyOptions:
 
 @dataclass(frozen=True)
 class DetectOptions:
-    """Which detectors run, and how."""
+    """Which detectors run, and how: no catalogue or no entropy turns one off."""
 
     catalogue: Sequence[Signature] = DEFAULT_CATALOGUE
     entropy: EntropyOptions | None = field(default_factory=EntropyOptions)
-    signatures: bool = True
 
 
 def is_suppressed(line: Column) -> Column:
@@ -164,16 +164,16 @@ def _match_lines(gaps: Column, matches: Column) -> Column:
 
 def _gates(options: DetectOptions, entropy_allowed: Column) -> Column:
     """Ordinals of the detectors worth running: 0 for entropy, else the signature."""
-    content, runs = F.col("content"), F.col("runs")
     checks = []
-    if options.signatures:
-        checks += [
-            F.when(s.may_occur(content, runs, F.col("line_nos")), i)
+    if options.catalogue:
+        cases = [
+            f"case when {s.may_occur()} then {i} end"
             for i, s in enumerate(options.catalogue, start=1)
         ]
+        checks.append(F.expr(f"array({', '.join(cases)})"))
     if options.entropy:
-        checks.append(F.when(entropy_allowed & runs.rlike(_HAS_TOKEN), 0))
-    return F.array_compact(F.array(*checks))
+        checks.append(F.array(F.when(entropy_allowed & F.col("runs").rlike(_HAS_TOKEN), 0)))
+    return F.array_compact(F.concat(*checks))
 
 
 def detect(
@@ -199,7 +199,7 @@ def detect(
     # Long token runs are a small part of most texts; nearly all gates look only
     # at them.  Without signatures the one remaining gate reads the text itself.
     runs = F.col("content")
-    if options.signatures:
+    if options.catalogue:
         runs = F.array_join(F.regexp_extract_all(runs, F.lit(_RUNS), F.lit(0)), "\n")
     # explode_outer, not explode: the planner would otherwise repeat the gate in
     # a filter of its own and push it below a repartition of the texts.  A NULL
@@ -225,7 +225,7 @@ def detect(
         "line_nos",
         "pattern_ord",
         F.when(is_entropy | may_be_suppressed(content), text.raw_lines(content)).alias("lines"),
-        *_signature_columns(options, ordinal, content),
+        *_signature_columns(options),
     )
     values = F.when(
         is_entropy, _entropy_candidates(F.col("lines"), F.col("line_nos"), entropy.min_length)
@@ -240,24 +240,21 @@ def detect(
     return hits.select(*keys, *_labels(options, ordinal, is_entropy))
 
 
-def _signature_columns(options: DetectOptions, ordinal: Column, content: Column) -> list[Column]:
+def _signature_columns(options: DetectOptions) -> list[Column]:
     """Whole matches, the pieces between them, and the reported values."""
-    if not options.signatures:
+    if not options.catalogue:
         nothing = F.lit(None).cast("array<string>")
         return [nothing.alias(c) for c in ("matches", "gaps", "narrowed")]
-    patterns = [s.jvm_pattern for s in options.catalogue]
-    matches = by_ordinal(
-        ordinal, [F.regexp_extract_all(content, F.lit(p), F.lit(0)) for p in patterns]
-    )
-    gaps = by_ordinal(ordinal, [F.split(content, p, -1) for p in patterns])
+    patterns = [sql_text(s.jvm_pattern) for s in options.catalogue]
+    matches = by_ordinal([f"regexp_extract_all(content, {p}, 0)" for p in patterns])
+    gaps = by_ordinal([f"split(content, {p}, -1)" for p in patterns])
     narrowed = by_ordinal(
-        ordinal,
         [
-            F.regexp_extract_all(content, F.lit(p), F.lit(s.group))
+            f"regexp_extract_all(content, {p}, {s.group})"
             if s.group
-            else F.lit(None).cast("array<string>")
+            else "cast(null as array<string>)"
             for p, s in zip(patterns, options.catalogue)
-        ],
+        ]
     )
     return [matches.alias("matches"), gaps.alias("gaps"), narrowed.alias("narrowed")]
 
@@ -302,8 +299,8 @@ def _scored(values: Column, is_entropy: Column, options: EntropyOptions) -> Colu
 
 
 def _labels(options: DetectOptions, ordinal: Column, is_entropy: Column) -> list[Column]:
-    names = by_ordinal(ordinal, [F.lit(s.name) for s in options.catalogue])
-    confidences = by_ordinal(ordinal, [F.lit(s.confidence) for s in options.catalogue])
+    names = by_ordinal([sql_text(s.name) for s in options.catalogue])
+    confidences = by_ordinal([sql_text(s.confidence) for s in options.catalogue])
     return [
         F.col("line_number"),
         text.redact(F.col("value")).alias("matched_text"),
@@ -342,4 +339,4 @@ def entropy_findings(
     units: DataFrame, options: EntropyOptions = EntropyOptions()
 ) -> DataFrame:
     """Findings of the entropy detector alone."""
-    return detect(units, DetectOptions(entropy=options, signatures=False))
+    return detect(units, DetectOptions(catalogue=(), entropy=options))

@@ -120,10 +120,12 @@ def failures_of(rows: DataFrame) -> DataFrame:
 def missing(wanted: DataFrame, present: DataFrame, on: list[str], error: str) -> DataFrame:
     """Failure rows of the repositories that want a key that is not present.
 
-    Only the keys take part; no content is read or moved.
+    Only the keys take part; no content is read or moved.  Copies of a key are
+    merged before the join, so a blob with very many paths is one row of it.
     """
     return (
         wanted.select("repo", "branch", *[c for c in on if c != "repo"])
+        .distinct()
         .join(present.select(*on), on, "left_anti")
         .select("repo", "branch")
         .distinct()

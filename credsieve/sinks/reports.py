@@ -111,11 +111,12 @@ def _with_document(findings: DataFrame, limit: int) -> DataFrame:
     parts = findings.groupBy("repo").agg(
         F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("parts")
     )
-    key = F.xxhash64("file_path", "line_number", "matched_text", "commit_sha", "pattern_name")
+    # Dealt out by row number, not by value: equal findings must spread as well.
     return (
-        findings.join(parts, "repo")
-        .withColumn("part", F.pmod(key, F.col("parts")).cast("int"))
-        .drop("parts")
+        findings.withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+        .join(parts, "repo")
+        .withColumn("part", F.pmod("row", "parts").cast("int"))
+        .drop("parts", "row")
     )
 
 
