@@ -35,6 +35,14 @@ def targets(repos: DataFrame, branch: str | None = None) -> DataFrame:
     )
 
 
+def one_repo(repos: DataFrame, full_name: str) -> DataFrame:
+    """The repository named ``owner/repo``, blanks around the parts ignored."""
+    parts = [part.strip() for part in full_name.split("/")]
+    if len(parts) != 2 or "" in parts:
+        raise ValueError(fixed.BAD_REPO_NAME_ERROR)
+    return repos.where(paths.repo_label(F.col("full_name")) == "/".join(parts))
+
+
 def with_heads(chosen: DataFrame, branches: DataFrame) -> DataFrame:
     """Resolve the head commit of every target branch."""
     heads = branches.select("repo", "branch", "commit_sha")

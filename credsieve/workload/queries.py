@@ -689,6 +689,21 @@ TREE_SCAN = ",\n    ".join(
 )
 
 
+@query(
+    "one_repository",
+    with_sql(TREE_SCAN, "SELECT * FROM findings WHERE repo = 'org1/repo1'"),
+)
+def one_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = landed.parse_repos(c.repo_pages(spark, sf_dir), public_only=False)
+    result = jobs.scan_trees(
+        tree.one_repo(repos, " org1 / repo1 "),
+        landed.parse_branches(c.branch_payloads(spark, sf_dir)),
+        landed.parse_trees(c.tree_payloads(spark, sf_dir)),
+        landed.parse_blobs(c.blob_payloads(spark, sf_dir)),
+    )
+    return shown(result.findings)
+
+
 @query("tree_scan_findings", with_sql(TREE_SCAN, ALL))
 def tree_scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_trees(spark, sf_dir).findings)
@@ -706,6 +721,28 @@ def tree_scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trees(spark, sf_dir).failures
 
 
+@query(
+    "branch_override_failures",
+    with_sql(
+        k.REPOS,
+        f"""SELECT repo, 'develop' AS branch, CASE WHEN r % 10 = 7 THEN {k.quoted(fixed.BAD_REPO_NAME_ERROR)}
+          WHEN r % 4 <> 1 OR r % 9 = 4 THEN 'branch head not found'
+          ELSE {k.quoted(fixed.TRUNCATED_TREE_ERROR)} END AS error
+        FROM repos WHERE r % 10 = 7 OR r % 4 <> 1 OR r % 9 = 4 OR r % 12 = 6""",
+    ),
+)
+def branch_override_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One branch for all repositories; those without it fail."""
+    listed = tree.with_trees(
+        tree.with_heads(
+            tree.targets(landed.parse_repos(c.repo_pages(spark, sf_dir)), "develop"),
+            landed.parse_branches(c.branch_payloads(spark, sf_dir)),
+        ),
+        landed.parse_trees(c.tree_payloads(spark, sf_dir)),
+    )
+    return tree.failures_of(listed)
+
+
 @query(
     "failure_report",
     with_sql(
@@ -887,17 +924,14 @@ def _escaped(v: str) -> str:
     return out
 
 
-@query(
-    "html_rows",
-    with_sql(
-        k.scan_sql(k.PLANTED),
-        f"""SELECT repo, concat('      <tr><td>', {_escaped('confidence')}, '</td><td>',
+HTML_ROWS = f"""SELECT repo, concat('      <tr><td>', {_escaped('confidence')}, '</td><td>',
           {_escaped('detection_method')}, '</td><td>', {_escaped('pattern_name')}, '</td><td>',
           {_escaped('repo')}, '</td><td>', {_escaped('file_path')}, '</td><td>', line_number, '</td><td>',
           printf('%.2f', entropy_score), '</td><td><code>', {_escaped('matched_text')},
-          '</code></td><td><code>', {_escaped('commit_sha')}, '</code></td></tr>') AS html FROM findings""",
-    ),
-)
+          '</code></td><td><code>', {_escaped('commit_sha')}, '</code></td></tr>') AS html FROM findings"""
+
+
+@query("html_rows", with_sql(k.scan_sql(k.PLANTED), HTML_ROWS))
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = _planted_findings(spark, sf_dir).withColumn(
         "entropy_score", F.round("entropy_score", 6)
@@ -915,9 +949,26 @@ def html_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("html_documents")
+@query(
+    "html_documents",
+    with_sql(
+        k.scan_sql(k.PLANTED),
+        f"""SELECT repo, count(*)::INTEGER AS n_rows, md5(string_agg(html, chr(10) ORDER BY html)) AS digest
+        FROM ({HTML_ROWS}) GROUP BY repo""",
+    ),
+)
 def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.html_documents(_planted_findings(spark, sf_dir))
+    """The pages, read back by their table rows."""
+    rounded = _planted_findings(spark, sf_dir).withColumn(
+        "entropy_score", F.round("entropy_score", 6)
+    )
+    # A redacted private key keeps its line feeds, so a row may span lines.
+    rows = F.regexp_extract_all("document", F.lit("(?s)      <tr><td>.*?</tr>"), F.lit(0))
+    return reports.html_documents(rounded).select(
+        "repo",
+        F.size(rows).alias("n_rows"),
+        F.md5(F.array_join(F.array_sort(rows), "\n")).alias("digest"),
+    )
 
 
 @query(
