@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credsieve.functions.text import remove_space
+from credsieve.functions.text import bind, remove_space
 
 BASE64_FORMAT = r"\A[A-Za-z0-9+/]*={0,2}\z"
 
@@ -26,6 +26,4 @@ def blob_text(encoding: Column, content: Column) -> Column:
         sound = (F.char_length(compact) % 4 == 0) & compact.rlike(BASE64_FORMAT)
         return F.when(sound, strict_utf8(F.try_to_binary(compact, F.lit("base64"))))
 
-    # The one-element array binds the compacted payload, which is used three times.
-    compacted = F.array(F.when(encoding == "base64", remove_space(content)))
-    return F.transform(compacted, decoded)[0]
+    return bind(F.when(encoding == "base64", remove_space(content)), decoded)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,20 +46,63 @@ def remove_space(text: Column) -> Column:
     return F.regexp_replace(text, f"[{SPACE_RANGES}]+", "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+MANY_CHARACTERS = 256
+
+
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; the characters are summed in order of first appearance."""
-    length = F.char_length(text).cast("double")
+    """Bits per character.
+
+    Texts of few distinct characters, nearly all, count each by removing it.
+    Others count the runs of the sorted characters, so the work stays close to
+    linear whatever the alphabet.
+    """
+
+    def plogp(count: Column, length: Column) -> Column:
+        return (count / length) * F.log2(count / length)
+
+    def by_removal(chars: Column) -> Column:
+        length = F.char_length(text).cast("double")
+        return F.aggregate(
+            chars,
+            F.lit(0.0),
+            lambda acc, c: acc
+            - plogp(length - F.char_length(F.replace(text, c, F.lit(""))), length),
+        )
+
+    def by_runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        ends = F.filter(
+            F.sequence(F.lit(1), size),
+            lambda i: (i == size) | (F.get(ordered, i - 1) != F.get(ordered, i)),
+        )
+        return F.aggregate(
+            bind(ends, _gaps_of),
+            F.lit(0.0),
+            lambda acc, n: acc - plogp(n.cast("double"), size.cast("double")),
+        )
+
+    def characters() -> Column:
+        return F.filter(F.split(text, "", -1), lambda c: c != "")
+
+    bits = bind(
+        F.array_distinct(characters()),
+        lambda chars: F.when(F.size(chars) <= MANY_CHARACTERS, by_removal(chars)).otherwise(
+            bind(F.sort_array(characters()), by_runs)
+        ),
+    )
+    return F.when(text == "", F.lit(0.0)).otherwise(bits + F.lit(0.0))
 
-    def term(char: Column) -> Column:
-        share = (length - F.char_length(F.replace(text, char, F.lit("")))) / length
-        return share * F.log2(share)
 
-    total = F.aggregate(
-        F.array_distinct(F.split(text, "", -1)),
-        F.lit(0.0),
-        lambda acc, char: F.when(char == "", acc).otherwise(acc + term(char)),
+def _gaps_of(ends: Column) -> Column:
+    """Differences between neighbours of an ascending array, the first from 0."""
+    return F.transform(
+        ends, lambda end, i: end - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
     )
-    return F.when(text == "", F.lit(0.0)).otherwise(F.lit(0.0) - total)
 
 
 def redact(text: Column) -> Column:

@@ -121,6 +121,14 @@ def apply_policy(files: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
+def unscanned_blobs(blobs: DataFrame) -> DataFrame:
+    """How many blobs of each repository have no text that could be scanned."""
+    return blobs.groupBy("repo").agg(
+        F.count("*").alias("n_blobs"),
+        F.count_if(F.col("content").isNull()).alias("n_unscanned"),
+    )
+
+
 def failures_of(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error").isNotNull()).select("repo", "branch", "error")
 

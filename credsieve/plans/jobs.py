@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
+from credsieve import session
 from credsieve.functions import paths
 from credsieve.operators import baseline as accepted
 from credsieve.operators import findings as found
@@ -48,6 +49,15 @@ class ScanResult:
     findings: DataFrame
     failures: DataFrame
 
+    def kept(self) -> ScanResult:
+        """The same tables, computed once and read from the shared work folder.
+
+        Call it before findings go to several reports or into a baseline as well.
+        """
+        return ScanResult(
+            session.keep(self.findings, "findings"), session.keep(self.failures, "failures")
+        )
+
     def union(self, other: ScanResult) -> ScanResult:
         """Put two scans together; nothing is merged or dropped."""
         return ScanResult(
@@ -56,7 +66,7 @@ class ScanResult:
         )
 
 
-def _entropy_excluded(options: ScanOptions) -> DataFrame | None:
+def _entropy_excluded(options: ScanOptions) -> Column:
     entropy = options.detect.entropy
     globs = entropy.excluded_globs if entropy else ()
     return (F.col("detection_method") == "entropy") & paths.entropy_excluded(
@@ -147,13 +157,13 @@ def scan_folder(
     spark: SparkSession, root: str, options: ScanOptions = ScanOptions()
 ) -> DataFrame:
     """Scan a file or directory; the repository label is ``root`` as given."""
+    if options.max_file_size_bytes < 0:
+        raise ValueError("max_file_size_bytes must be >= 0")
     files = file_source.list_files(spark, root)
     kept = files.where(
         ~paths.matches_any_glob(F.col("file_path"), options.all_excludes())
         & (F.col("size") <= options.max_file_size_bytes)
     )
-    if options.max_file_size_bytes < 0:
-        raise ValueError("max_file_size_bytes must be >= 0")
     units = file_source.read_texts(kept).select(
         F.lit(root).alias("repo"), "file_path", F.lit("").alias("commit_sha"), "content"
     )

@@ -649,6 +649,16 @@ def blob_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.select("sha", F.md5("content").alias("digest"))
 
 
+@query(
+    "unscanned_blobs",
+    f"""SELECT {c.LABEL} AS repo, count(*) AS n_blobs,
+        count(*) FILTER (doc_id % 23 = 7 OR doc_id % 19 = 4) AS n_unscanned
+      FROM (SELECT *, {c.REPO} AS r FROM documents) WHERE doc_id % 211 <> 5 GROUP BY ALL""",
+)
+def unscanned_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.unscanned_blobs(landed.parse_blobs(c.blob_payloads(spark, sf_dir)))
+
+
 @query(
     "repository_listing",
     f"""SELECT r AS id, concat('repo', cast(r as string)) AS name, {c.FULL_NAME} AS full_name,

@@ -2,6 +2,7 @@ import base64
 import fnmatch
 import hashlib
 import html
+import math
 import re
 from pathlib import PurePosixPath
 
@@ -45,6 +46,16 @@ def test_entropy_of_even_spreads_is_exact(spark):
     assert values(spark, items, text.shannon_entropy(F.col("v"))) == [3, 4, 1, 3, 1.75, 0, 3]
 
 
+def test_entropy_of_large_alphabets(spark):
+    rng = model.rng(7)
+    wide = [chr(0x4E00 + i) for i in range(5000)]
+    items = ["".join(rng.choice(wide) for _ in range(n)) for n in (300, 5000, 200_000)]
+    items += [chr(0x1F600) * 3 + "a", "".join(map(chr, range(0x100, 0x300)))]
+    got = values(spark, items, text.shannon_entropy(F.col("v")))
+    counts = [[i.count(c) / len(i) for c in set(i)] for i in items]
+    assert got == pytest.approx([-sum(p * math.log2(p) for p in c) for c in counts], abs=1e-9)
+
+
 def test_fingerprint_and_slug(spark):
     row = spark.sql("select 'o/r' r, 'a.py' p, 12 l, 'regex' m, 'AWS access  key!' n, 'A***Z' t")
     got = row.select(

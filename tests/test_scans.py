@@ -188,6 +188,12 @@ def test_tree_scan_options(crawl, spark):
     ]
 
 
+def test_one_repository(crawl):
+    assert tree.one_repo(crawl.repos, "o/web").count() == 1
+    with pytest.raises(ValueError, match="owner/repo"):
+        tree.one_repo(crawl.repos, "web")
+
+
 def test_history_scan(crawl):
     result = crawl.history()
     assert [(r.commit_sha, r.line_number) for r in result.findings.orderBy("commit_sha").collect()] == [("c1", 2), ("c2", 2)]
@@ -203,6 +209,7 @@ def test_history_scan(crawl):
 
 def test_tree_and_history_together(crawl):
     both = crawl.scan().union(crawl.history())
+    both = both.kept()
     assert both.findings.count() == 9 and both.failures.count() == 10
 
 
