@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from credsieve.functions.pyregex import SPACE_RANGES
 
 # What Python's str.splitlines() breaks on.
-ODD_BREAKS = r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+ODD_BREAKS = r"[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def raw_lines(text: Column) -> Column:

@@ -45,15 +45,18 @@ FINDING_COLUMNS = (
 ORDER_COLUMNS = ("detector_ord", "pattern_ord", "match_ord")
 
 REGEX, ENTROPY = 1, 2
-_DIRECTIVE = search_pattern(fixed.IGNORE_DIRECTIVE_FORMAT)
+# The directives begin with s or p; long s is what case folding adds to them.
+_DIRECTIVE = search_pattern(fixed.IGNORE_DIRECTIVE_FORMAT, r"(?=[sSpP\x{17f}])")
 # The class is spelled out character by character: the JVM then tests it with one
 # table look-up instead of a chain of ranges.
 _CLASS = f"[{fixed.TOKEN_CHARACTERS}]"
-_TOKEN = f"{_CLASS}{{{fixed.TOKEN_RUN_LENGTH},}}"
 _RUNS = f"{_CLASS}{{{SHORTEST_RUN},}}"
 # A run can only start where the previous character is outside the class; saying
 # so spares the search from retrying inside every short run.
 _HAS_TOKEN = f"(?<!{_CLASS}){_CLASS}{{{fixed.TOKEN_RUN_LENGTH}}}"
+_TOKEN = f"(?<!{_CLASS}){_CLASS}{{{fixed.TOKEN_RUN_LENGTH},}}"
+# Marks a match in a text that does not hold this noncharacter itself.
+_MARK = "\uffff"
 
 
 @dataclass(frozen=True)
@@ -131,12 +134,15 @@ def _entropy_candidates(lines: Column, line_nos: Column, min_length: int) -> Col
 
     def of_line(line: Column, index: Column) -> Column:
         number = F.coalesce(F.get(line_nos, index), index + 1).cast("string")
-        wanted = line.rlike(_HAS_TOKEN) & ~is_noise_line(line) & ~is_suppressed(line)
-        tokens = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0))
-        found = F.transform(
-            tokens, lambda t: F.concat(number, F.lit(":"), secret_candidate(t, min_length))
-        )
-        return F.when(wanted, found).otherwise(F.array().cast("array<string>"))
+
+        def of_tokens(tokens: Column) -> Column:
+            wanted = (F.size(tokens) > 0) & ~is_noise_line(line) & ~is_suppressed(line)
+            found = F.transform(
+                tokens, lambda t: F.concat(number, F.lit(":"), secret_candidate(t, min_length))
+            )
+            return F.when(wanted, found).otherwise(F.array().cast("array<string>"))
+
+        return text.bind(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0)), of_tokens)
 
     return F.flatten(F.transform(lines, of_line))
 
@@ -149,7 +155,8 @@ def _match_lines(gaps: Column, matches: Column) -> Column:
     """
 
     def feeds(piece: Column) -> Column:
-        return F.regexp_replace(piece, r"[^\n]+", "")
+        others = F.octet_length(F.replace(piece, F.lit("\n"), F.lit("")))
+        return F.repeat(F.lit("\n"), F.octet_length(piece) - others)
 
     marked = F.zip_with(
         F.slice(gaps, 1, F.size(gaps) - 1),
@@ -247,7 +254,14 @@ def _signature_columns(options: DetectOptions) -> list[Column]:
         return [nothing.alias(c) for c in ("matches", "gaps", "narrowed")]
     patterns = [sql_text(s.jvm_pattern) for s in options.catalogue]
     matches = by_ordinal([f"regexp_extract_all(content, {p}, 0)" for p in patterns])
-    gaps = by_ordinal([f"split(content, {p}, -1)" for p in patterns])
+    # Marking the matches reuses one compiled pattern for all texts, which
+    # splitting by the pattern itself does not; that is left for texts that hold
+    # the mark.
+    marked = by_ordinal([f"regexp_replace(content, {p}, '{_MARK}')" for p in patterns])
+    content = F.col("content")
+    gaps = F.when(
+        content.contains(_MARK), F.split(content, by_ordinal(patterns), -1)
+    ).otherwise(F.split(marked, _MARK, -1))
     narrowed = by_ordinal(
         [
             f"regexp_extract_all(content, {p}, {s.group})"

@@ -156,7 +156,7 @@ def random_text(rng):
     noise = [
         "plain words ", "été ² ", "x=", "a.b.c.", " ", " ", "²", "_", "-", "k: ",
         " # secret-scanner: ignore", " // PRAGMA: allowlist  secret", "secret-ſcanner:allow ",
-        "data:image/png;base64,", "A=B=", "pkg.module.Class.method.name.more ", ".", "١", "name/x=",
+        "data:image/png;base64,", "A=B=", "pkg.module.Class.method.name.more ", ".", "١", "name/x=", "\uffff",
     ]
     out = []
     for _ in range(rng.randint(1, 14)):
