@@ -95,16 +95,20 @@ def scan_trees(
     listed = tree.with_trees(
         tree.with_heads(tree.targets(repos, options.branch), branches), trees
     )
-    wanted = tree.tree_files(listed, options.all_excludes(), options.max_file_size_bytes)
-    if policies is not None:
-        wanted = tree.apply_policy(wanted, policies)
-    lost = tree.missing(wanted, blobs, ["repo", "sha"], tree.BLOB_ERROR)
+
+    def files_of(rows: DataFrame) -> DataFrame:
+        files = tree.tree_files(rows, options.all_excludes(), options.max_file_size_bytes)
+        return tree.apply_policy(files, policies) if policies is not None else files
+
+    lost = tree.missing(files_of(listed), blobs, ["repo", "sha"], tree.BLOB_ERROR)
+    # Repositories that lost a blob leave while each is one row, so that a
+    # repository with very many files or findings is no hot key of that join.
+    wanted = files_of(listed.join(lost.select("repo"), "repo", "left_anti"))
 
     hits = detect(blobs.select("repo", "sha", "content"), options.detect, ("repo", "sha"), None)
     findings = (
         hits.join(wanted, ["repo", "sha"])
         .where(~_entropy_excluded(options))
-        .join(lost.select("repo"), "repo", "left_anti")
         .select(*FINDING_COLUMNS, "unit_ord", *ORDER_COLUMNS)
     )
     return ScanResult(findings, tree.failures_of(listed).unionByName(lost))
@@ -144,9 +148,9 @@ def scan_histories(
     )
     units = history.history_units(changed, options.all_excludes())
     hits = detect(units, options.detect, ("repo", "commit_sha", "file_path", "file_ord"))
+    complete = wanted.join(lost.select("repo"), "repo", "left_anti").drop("branch")
     findings = (
-        hits.join(wanted.drop("branch"), ["repo", "commit_sha"])
-        .join(lost.select("repo"), "repo", "left_anti")
+        hits.join(complete, ["repo", "commit_sha"])
         .withColumn("unit_ord", F.col("file_ord"))
         .select(*FINDING_COLUMNS, "unit_ord", *ORDER_COLUMNS)
     )

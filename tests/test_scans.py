@@ -1,5 +1,6 @@
 import base64
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,13 +214,44 @@ def test_tree_and_history_together(crawl):
     assert both.findings.count() == 9 and both.failures.count() == 10
 
 
-def test_contents_are_not_shuffled(crawl):
-    """Exchanges carry findings and keys, never a text."""
-    for frame in (crawl.scan().findings, crawl.history().findings):
-        plan = frame._jdf.queryExecution().executedPlan().toString()
-        for line in plan.splitlines():
-            if "Exchange" in line:
-                assert "content" not in line and "payload" not in line
+@pytest.fixture(scope="module")
+def stored(crawl, spark, tmp_path_factory):
+    """The parsed tables of the crawl as parquet."""
+    folder = tmp_path_factory.mktemp("stored")
+    names = ("repos", "branches", "trees", "blobs", "commits", "commit_files")
+    for name in names:
+        getattr(crawl, name).write.parquet(f"{folder}/{name}")
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def test_texts_are_neither_shuffled_nor_read_for_their_keys(stored, capsys):
+    tables = stored
+    scans = (
+        jobs.scan_trees(tables["repos"], tables["branches"], tables["trees"], tables["blobs"]),
+        jobs.scan_histories(tables["repos"], tables["commits"], tables["commit_files"]),
+    )
+    for result, text in zip(scans, ("content", "patch")):
+        result.findings.explain("formatted")
+        plan = capsys.readouterr().out
+        sections = plan.split("\n\n")
+        exchanged = [s for s in sections if re.match(r"\n?\(\d+\) \w*Exchange", s)]
+        assert len(exchanged) > 4
+        assert not [s for s in exchanged if f"{text}#" in s or "files#" in s or "payload" in s]
+        schemas = re.findall(r"ReadSchema: (.*)", plan)
+        assert len([s for s in schemas if text in s]) == 1
+
+
+def test_a_hot_repository_does_not_change_the_result(stored, spark):
+    """One blob at very many paths of one repository."""
+    many = spark.range(2000).select(
+        F.lit("100644").alias("mode"), F.lit("blob").alias("type"), F.lit("s1").alias("sha"),
+        F.concat(F.lit("d/f"), "id").alias("path"), F.lit(5).cast("bigint").alias("size"), F.lit("").alias("url"))
+    listing = many.agg(F.collect_list(F.struct("path", "mode", "type", "sha", "size", "url")).alias("tree"))
+    trees = listing.select(F.lit("o/web").alias("repo"), F.lit("h2").alias("commit_sha"), F.lit("").alias("sha"),
+                           F.lit(False).alias("truncated"), F.lit(True).alias("valid"), "tree")
+    result = jobs.scan_trees(stored["repos"].where("full_name like '%web%'"), stored["branches"], trees, stored["blobs"])
+    found = result.findings.groupBy("detection_method").agg(F.count("*"), F.countDistinct("file_path")).collect()
+    assert sorted(map(tuple, found)) == [("entropy", 2000, 2000), ("regex", 2000, 2000)]
 
 
 # --- folders ------------------------------------------------------------------------------
