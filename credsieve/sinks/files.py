@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from posixpath import dirname
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
+from credsieve.sources.files import open_path
+
 
 def write_files(files: DataFrame, folder: str) -> None:
     """Write ``data`` to ``file_path`` below ``folder``, one file per row.
@@ -17,7 +18,7 @@ def write_files(files: DataFrame, folder: str) -> None:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = open_path(folder)
         made = set()
         for batch in batches:
             for row in batch.to_pylist():

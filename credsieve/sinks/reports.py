@@ -167,9 +167,13 @@ def sarif_documents(findings: DataFrame, limit: int = MAX_PER_DOCUMENT) -> DataF
     )
     # A rule is described by the first finding that names it; there are never
     # more rules than signatures, so they are gathered with a small lookup.
+    rule_type = (
+        "struct<id:string,name:string,shortDescription:struct<text:string>,"
+        "defaultConfiguration:struct<level:string>>"
+    )
     first_rules = F.aggregate(
         "rows.rule",
-        F.expr("cast(map() as map<string, struct<id:string,name:string,shortDescription:struct<text:string>,defaultConfiguration:struct<level:string>>>)"),
+        F.expr(f"cast(map() as map<string, {rule_type}>)"),
         lambda seen, r: F.when(F.map_contains_key(seen, r["id"]), seen).otherwise(
             F.map_concat(seen, F.create_map(r["id"], r))
         ),

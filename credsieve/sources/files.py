@@ -8,6 +8,7 @@ the object stores Arrow knows, all work.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,14 +29,17 @@ class FileTreeError(RuntimeError):
     """The path cannot be scanned."""
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow file system and path for a path as Hadoop writes it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    elif path.startswith("s3a://"):
+        path = "s3://" + path.removeprefix("s3a://")
     return pafs.FileSystem.from_uri(path)
 
 
 def _absolute(path: str) -> str:
-    import os
-
-    return path if "://" in path else os.path.abspath(path)
+    return path if ":/" in path else os.path.abspath(path)
 
 
 def _pruned(name: str) -> bool:
@@ -43,8 +47,6 @@ def _pruned(name: str) -> bool:
 
 
 def _is_link(fs: pafs.FileSystem, path: str) -> bool:
-    import os
-
     return fs.type_name == "local" and os.path.islink(path)
 
 
@@ -52,7 +54,7 @@ def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """One output row per entry of each directory, pruned directories left out."""
     for batch in batches:
         for row in batch.to_pylist():
-            fs, place = _open(row["path"])
+            fs, place = open_path(row["path"])
             prefix = row["file_path"] + "/" if row["file_path"] else ""
             try:
                 entries = fs.get_file_info(pafs.FileSelector(place))
@@ -91,7 +93,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     reaches the driver.
     """
     root = _absolute(root)
-    fs, place = _open(root)
+    fs, place = open_path(root)
     info = fs.get_file_info(place)
     if info.type == pafs.FileType.NotFound:
         raise FileTreeError(f"path does not exist: {root}")
@@ -127,7 +129,7 @@ def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             try:
-                fs, place = _open(row["path"])
+                fs, place = open_path(row["path"])
                 with fs.open_input_file(place) as stream:
                     data = stream.read()
             except OSError:

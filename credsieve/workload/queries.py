@@ -14,7 +14,6 @@ from credsieve.operators import baseline, findings, history, tree
 from credsieve.operators.catalogue import DEFAULT_CATALOGUE, Signature, catalogue_table
 from credsieve.operators.detect import (
     FINDING_COLUMNS,
-    DetectOptions,
     EntropyOptions,
     entropy_findings,
     is_dotted_namespace,

@@ -289,6 +289,13 @@ def test_folder_scan(spark, tmp_path):
     assert {r.file_path for r in single} == {".env"} and len(single) == 2
 
 
+def test_folder_named_the_hadoop_way(spark, tmp_path):
+    root = write(tmp_path)
+    named = files.list_files(spark, f"file:{root}")
+    assert {r.file_path for r in named.collect()} == {r.file_path for r in files.list_files(spark, root).collect()}
+    assert files.read_texts(named.where("file_path = '.env'")).first().content.startswith("K=")
+
+
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(files.FileTreeError, match="does not exist"):
         jobs.scan_folder(spark, str(tmp_path / "none"))
