@@ -108,7 +108,7 @@ def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def shingle_hashes(words: np.ndarray, where: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct shingles in rising order, and where each text's set starts.
+    """63-bit hashes of each text's distinct shingles in rising order, and where each text's set starts.
 
     A text with fewer words than a shingle has its whole sequence as one
     shingle; a text without words has an empty set.
@@ -123,6 +123,7 @@ def shingle_hashes(words: np.ndarray, where: np.ndarray, size: int) -> tuple[np.
     for k in range(size):
         taken = padded[first + k]
         code = np.where(held > k, mix(code * np.uint64(_MULTIPLIER) + taken), code)
+    code = (code >> np.uint64(1)).astype(np.int64)
     order = np.lexsort((code, owner))
     code, owner = code[order], owner[order]
     fresh = np.ones(len(code), bool)

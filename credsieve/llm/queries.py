@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import language_id
+from credsieve.llm import byte_bpe, language_id, near_dedup, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,36 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.drop("lang"), learned, returned=["doc_id", "held_out"])
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document; the model learns from the labels table."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), returned=["doc_id"])
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from both views; the model learns from the labels table."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on three-word shingles, at a similarity of 0.85."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
-    "op1_language_id": op1_language_id,
+    f.__name__: f
+    for f in (op1_language_id, op2_byte_bpe, op5_toxicity, op6_quality, op7_near_duplicates, op8_packing)
 }
 CHECKS: dict[str, str] = {}
