@@ -145,11 +145,10 @@ def profiles(training: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 def _model(table: DataFrame, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    names = [r[0] for r in table.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
+    rows = table.limit(MAX_LANGUAGES * size + 1).collect()
+    names = sorted({r["lang"] for r in rows})
+    if len(rows) > MAX_LANGUAGES * size or len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn; raise MAX_LANGUAGES if that is meant")
-    names.sort()
-    rows = table.collect()  # at most `size` rows for each of MAX_LANGUAGES languages
     grams = np.unique(np.array([r["gram"] for r in rows], np.uint64))
     places = np.full((len(grams), len(names)), size, np.int32)
     column = {name: i for i, name in enumerate(names)}
