@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import byte_bpe, language_id, near_dedup, packing, quality, toxicity
+from credsieve.llm import (
+    ann_forest, byte_bpe, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of vectors of one label at a cosine of 0.98."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document; the model learns from the labels table."""
     docs = table(spark, sf_dir, "documents")
@@ -53,8 +65,103 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of line runs, and how many lines it had and lost."""
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_byte_bpe, op5_toxicity, op6_quality, op7_near_duplicates, op8_packing)
+    for f in (
+        op1_language_id, op2_byte_bpe, op3_embedding_dedup, op4_ann_forest, op5_toxicity, op6_quality,
+        op7_near_duplicates, op8_packing, op9_line_dedup,
+    )
+}
+
+CHECKS = {
+    # All links by comparing every pair of a label, then what they reach.
+    "op3_embedding_dedup": """
+with recursive good as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+unit as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as length from good),
+link as (
+  select a.vec_id as a, b.vec_id as b from unit a join unit b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.98
+),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on l.a = r.b),
+least as (select a, min(b) as b from reach group by a),
+counted as (select a, count(*) as n from link group by a)
+select e.vec_id, coalesce(n, 0) as n_links, least(e.vec_id, coalesce(least.b, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) as kept
+from embeddings e left join counted on counted.a = e.vec_id left join least on least.a = e.vec_id
+""",
+    # All pairs that share a shingle, then what the links reach.
+    "op7_near_duplicates": """
+with recursive worded as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+),
+shingle as (
+  select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+  from worded where len(w) > 0
+),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+met as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n from shingle x join shingle y on x.s = y.s and x.doc_id <> y.doc_id group by all
+),
+link as (
+  select a, b from met join size p on p.doc_id = a join size q on q.doc_id = b where 100 * met.n >= 85 * (p.n + q.n - met.n)
+),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on l.a = r.b),
+least as (select a, min(b) as b from reach group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) as component_id,
+  d.doc_id = least(d.doc_id, coalesce(least.b, d.doc_id)) as kept
+from documents d left join size on size.doc_id = d.doc_id left join least on least.a = d.doc_id
+""",
+    # The shortest runs of ten words from and up to every line, as text, and the first place of each.
+    "op9_line_dedup": """
+with split as (
+  select doc_id, string_split(text, chr(10)) as raw from documents where text is not null
+),
+bare as (select doc_id, raw, list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(13))) as bare from split),
+line as (
+  select doc_id, i, words, sum(words) over (partition by doc_id order by i) as upto from (
+    select doc_id, i, case when bare[i] = '' then 0 else length(bare[i]) - length(replace(bare[i], ' ', '')) + 1 end as words
+    from (select doc_id, bare, unnest(range(1, len(bare) + 1)) as i from bare)
+  )
+),
+run as (
+  select a.doc_id, a.i as first, min(b.i) as last from line a join line b on a.doc_id = b.doc_id and b.i >= a.i
+    and b.upto - (a.upto - a.words) >= 10 group by all
+  union
+  select b.doc_id, max(a.i) as first, b.i as last from line a join line b on a.doc_id = b.doc_id and b.i >= a.i
+    and b.upto - (a.upto - a.words) >= 10 group by b.doc_id, b.i
+),
+held as (
+  select run.doc_id, first, last, last - first as length, array_to_string(bare[first:last], chr(10)) as content
+  from run join bare on bare.doc_id = run.doc_id
+),
+later as (
+  select doc_id, first, last from (
+    select *, min({'d': doc_id, 'f': first}) over (partition by length, content) as origin from held
+  ) where {'d': doc_id, 'f': first} > origin
+),
+gone as (select distinct doc_id, unnest(range(first, last + 1)) as i from later),
+kept as (
+  select doc_id, string_agg(piece, chr(10) order by i) as text from (
+    select b.doc_id, b.raw[b.i] as piece, b.i from (select doc_id, raw, unnest(range(1, len(raw) + 1)) as i from bare) b
+    left join gone on gone.doc_id = b.doc_id and gone.i = b.i where gone.i is null
+  ) group by doc_id
+),
+lost as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, case when d.text is not null then coalesce(kept.text, '') end as text,
+  coalesce(len(raw), 0)::integer as n_lines, coalesce(lost.n, 0)::integer as n_deleted
+from documents d left join bare on bare.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+  left join lost on lost.doc_id = d.doc_id
+""",
 }
-CHECKS: dict[str, str] = {}
