@@ -24,17 +24,17 @@ from pyspark.sql import functions as F
 
 from credsieve.llm.arrays import text_slices
 
-_REMEMBERED = 250_000
-_LONG_WORD = 256
+_REMEMBERED = 600_000
+_LONG_WORD = 255
 _WORDS_AT_ONCE = 50_000
 _MEMORY = "300MB"
 
 # Neighbours that the merge table knows, with the position after the next one.
 _NEIGHBOURS = """
   select w, p, t, m, np from (
-    select w, p, t, lead(t) over places as u, lead(p) over places as np from state where live
+    select w, p, t, t::bigint * 65536 + lead(t) over places as pair, lead(p) over places as np from state where live
     window places as (partition by w order by p)
-  ) left join merges on l = t and r = u
+  ) left join merges using (pair)
 """
 
 # One contraction for each word and step.  The key orders by rank, then by
@@ -42,10 +42,14 @@ _NEIGHBOURS = """
 _SHORT = f"""
 with recursive state(w, p, t, live) as (
   select w, p, t, true from start
-  union all
-  select w, p, case when p = (best >> 16) & 65535 then best >> 32 else t end, best is not null from (
-    select w, p, t, min((m << 32) | (p << 16) | np) over (partition by w) as best from ({_NEIGHBOURS})
-  ) where best is null or p <> best & 65535
+  union all (
+    with near as materialized ({_NEIGHBOURS}),
+    top as materialized (
+      select w, min((m::bigint << 16) | (p << 8) | np) as best from near where m is not null group by w
+    )
+    select near.w, p, case when p = (best >> 8) & 255 then (best >> 16)::int else t end, best is not null
+    from near left join top on near.w = top.w where best is null or p <> best & 255
+  )
 )
 select w, p, t from state where not live order by w, p
 """
@@ -96,19 +100,21 @@ class Codec:
             for i in range(1, len(token))
             if token[:i] in self.ranks and token[i:] in self.ranks
         ]
-        merges = self._table(dict(zip("lrm", np.array(rows, np.int64).reshape(-1, 3).T, strict=True)))
+        left, right, merged = np.array(rows, np.int64).reshape(-1, 3).T
+        merges = self._table({"pair": left * 65536 + right, "l": left, "r": right, "m": merged})
         known = pa.table({"id": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
         for name, table in (("merges", merges), ("tokens", known)):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
         self.db.execute("create table touchy as select distinct greatest(l, r) as m from merges where m < greatest(l, r)")
+        self.db.execute("alter table merges alter m type int")
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.words: dict[str, tuple[int, str, bytes]] = {}
 
     @staticmethod
-    def _table(columns: dict[str, np.ndarray]) -> pa.Table:
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+    def _table(columns: dict[str, np.ndarray], kind: pa.DataType | None = None) -> pa.Table:
+        return pa.table({k: pa.array(v.astype(np.int32) if kind else v, kind or pa.int64()) for k, v in columns.items()})
 
     def _contracted(self, words: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and where each word's ids start."""
@@ -116,7 +122,7 @@ class Codec:
         owner = np.repeat(np.arange(len(words)), sizes)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         tokens = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
-        self.db.register("start", self._table({"w": owner, "p": place, "t": tokens}))
+        self.db.register("start", self._table({"w": owner, "p": place, "t": tokens}, pa.int32()))
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("start")
         return found.column("t").to_numpy(), np.searchsorted(found.column("w").to_numpy(), np.arange(len(words) + 1))
