@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.llm import (
-    ann_forest, byte_bpe, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, toxicity,
+    ann_forest, byte_bpe, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, quotes,
+    toxicity,
 )
 
 
@@ -70,14 +71,106 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with its thread, as the conversations table has them."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+def quoting_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that quote the one before them, which quotes its own predecessor, linked again.
+
+    The quotes are put in front of the texts of the conversations table: every
+    turn but the first quotes the turn before, and below that, the one before.
+    """
+    said = table(spark, sf_dir, "conversations")
+    marked = lambda c, sign: F.regexp_replace(c, "(?m)^", sign)
+    past = lambda n: said.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"text_{n}"))
+    both = said.join(past(1), ["conv_id", "turn"], "left").join(past(2), ["conv_id", "turn"], "left")
+    older = F.when(F.col("text_2").isNotNull(), F.concat(marked("text_2", ">> "), F.lit("\n")))
+    quote = F.concat(F.lit("Someone wrote:\n"), F.coalesce(older, F.lit("")), marked("text_1", "> "), F.lit("\n\n"))
+    return quotes.conversations(both.withColumn("text", F.concat(F.coalesce(quote, F.lit("")), "text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_byte_bpe, op3_embedding_dedup, op4_ann_forest, op5_toxicity, op6_quality,
         op7_near_duplicates, op8_packing, op9_line_dedup,
+        op10_quotation_links, quoting_replies,
     )
 }
 
+_LINKED = r"""
+with recursive message as (
+  select conv_id as conv, turn, role, text, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as raw from {source}
+),
+marked as (
+  select conv, turn, i, raw[i] as line, regexp_extract(raw[i], '^[ \t]*(?:>[ \t]*)*') as marks
+  from (select conv, turn, raw, unnest(range(1, len(raw) + 1)) as i from message where text is not null)
+),
+line as (
+  select conv, turn, i, line, length(replace(replace(marks, ' ', ''), chr(9), '')) as level,
+    lower(trim(regexp_replace(case when contains(marks, '>') then substring(line, length(marks) + 1) else line end, '\s+', ' ', 'g'))) as said
+  from marked
+),
+part as (
+  select conv, turn, level, i, said, i - row_number() over (partition by conv, turn, level order by i) as run from line where said <> ''
+),
+passage as (
+  select conv, turn, level, string_agg(said, ' ' order by i) as said from part group by conv, turn, level, run
+  union select conv, turn, level, said from part
+),
+sized as (select *, length(said) as size, length(said) - length(replace(said, ' ', '')) + 1 as words from passage),
+here as (select conv, said, min(turn) as turn from sized where level = 0 group by conv, said),
+anywhere as (select said, min({{'c': conv, 't': turn}}) as owner from sized where level = 0 and words >= 8 group by said),
+near as (
+  select q.conv, q.turn, q.level, q.said, size, {{'c': q.conv, 't': here.turn}} as parent
+  from sized q join here on here.conv = q.conv and here.said = q.said where level > 0 and here.turn < q.turn
+),
+far as (
+  select q.conv, q.turn, q.level, q.said, size, owner as parent from sized q join anywhere using (said)
+  where level > 0 and words >= 8 and owner < {{'c': q.conv, 't': q.turn}}
+    and not exists (select 1 from near n where n.conv = q.conv and n.turn = q.turn and n.level = q.level and n.said = q.said)
+),
+given as (
+  select conv, turn, level, parent, sum(size) as size from (select * from near union all select * from far) group by all
+),
+best as (select conv, turn, arg_max(parent, {{'l': -level, 's': size, 'p': parent}}) as parent from given group by conv, turn),
+reply as (
+  select m.conv, m.turn, best.parent as quoted,
+    lag({{'c': m.conv, 't': m.turn}}) over (partition by m.conv order by m.turn) as previous
+  from message m left join best on best.conv = m.conv and best.turn = m.turn
+),
+linked as (
+  select conv, turn, coalesce(quoted, previous) as parent,
+    case when quoted is not null then 'quote' when previous is not null then 'previous' else 'none' end as link from reply
+),
+thread(conv, turn, root, depth) as (
+  select conv, turn, {{'c': conv, 't': turn}}, 0 from linked where parent is null
+  union all
+  select l.conv, l.turn, t.root, t.depth + 1 from thread t join linked l on l.parent = {{'c': t.conv, 't': t.turn}}
+),
+next as (select *, lead(level, 1, 0) over (partition by conv, turn order by i) as after from line),
+own as (
+  select conv, turn, count(*) filter (level > 0) as quoted_lines, coalesce(trim(string_agg(line, chr(10) order by i) filter (
+    level = 0 and not (after > 0 and regexp_matches(line, '(?i)^.{{0,300}}\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$'))
+  ), ' ' || chr(9) || chr(13) || chr(10)), '') as text from next group by conv, turn
+)
+select m.conv as conv_id, m.turn, role, case when quoted_lines > 0 then own.text else m.text end as text,
+  coalesce(quoted_lines, 0)::integer as quoted_lines, link, parent.c as parent_conv, parent.t as parent_turn,
+  root.c as thread_conv, root.t as thread_turn, depth::bigint as depth
+from message m join linked l on l.conv = m.conv and l.turn = m.turn join thread t on t.conv = m.conv and t.turn = m.turn
+  left join own on own.conv = m.conv and own.turn = m.turn
+"""
+
+_REPLIES = r"""(
+  select c.conv_id, c.turn, c.role, coalesce('Someone wrote:' || chr(10)
+    || coalesce(regexp_replace(b.text, '(?m)^', '>> ', 'g') || chr(10), '')
+    || regexp_replace(a.text, '(?m)^', '> ', 'g') || chr(10) || chr(10), '') || c.text as text
+  from conversations c left join conversations a on a.conv_id = c.conv_id and a.turn + 1 = c.turn
+    left join conversations b on b.conv_id = c.conv_id and b.turn + 2 = c.turn
+)"""
+
 CHECKS = {
     # All links by comparing every pair of a label, then what they reach.
     "op3_embedding_dedup": """
@@ -164,4 +257,7 @@ select d.doc_id, case when d.text is not null then coalesce(kept.text, '') end a
 from documents d left join bare on bare.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
   left join lost on lost.doc_id = d.doc_id
 """,
+    # Quote levels by a regular expression, passages by their text, threads from their roots on.
+    "op10_quotation_links": _LINKED.format(source="conversations"),
+    "quoting_replies": _LINKED.format(source=_REPLIES),
 }
