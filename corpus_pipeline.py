@@ -1,17 +1,64 @@
-"""Corpus preparation as a list of stages over the documents table."""
+"""Corpus preparation: from raw documents to packed sequences, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept.  All but the last return the columns of the documents table.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from credsieve.llm import line_dedup, near_dedup, packing, quality, toxicity
+from credsieve.session import work_folder
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.without_toxic(docs, _labels(spark, sf_dir))
+
+
+def without_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.without_poor(docs, _labels(spark, sf_dir))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go, and documents of which nothing is left."""
+    return line_dedup.cleaned(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    return near_dedup.one_of_each(docs, shingle=5, percent=80)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", without_poor),
+    ("line_dedup", without_repeats),
+    ("near_dedup", one_of_each),
+    ("packing", packed),
+]
 
-# Classifiers are fitted along the way, which SQL cannot express.
+# Two stages fit classifiers, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what each one returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = work_folder(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

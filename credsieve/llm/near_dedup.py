@@ -137,6 +137,28 @@ def near_duplicates(
     return whole.union(unnamed)
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay, with the columns they came with: one document of each group.
+
+    Of several rows with one doc_id, that with the smallest hash stays; rows
+    without doc_id all stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, percent)
+    gone = keep(found.where("not kept").select("doc_id"), "gone")
+    often = keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    once = docs.join(_bounded(gone.union(often)), "doc_id", "left_anti")
+    rows = docs.join(_bounded(often), "doc_id", "left_semi").join(_bounded(gone), "doc_id", "left_anti")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row")))
+    rest = rows.select(whole).select("row", first.alias("copy")).where("copy = 1").select("row.*")
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).union(rest)
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Ids to look up: sent to all tasks up to BROADCAST_ROWS of 8 bytes each, else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def _listed(reps: DataFrame, retained: int, overlap: int) -> DataFrame:
     """The inverted lists (value, id, n): each set's rarest values that another set retains as well."""
     held = F.size("sketch")
@@ -154,10 +176,7 @@ def _labels(
     texts: DataFrame, reps: DataFrame, shingle: int, percent: int, retained: int, overlap: int, star_turns: int
 ) -> DataFrame:
     lists = keep(_listed(reps, retained, overlap), "lists")
-    wanted = lists.select("id").distinct()
-    if wanted.count() <= BROADCAST_ROWS:  # 8 bytes each; beyond that, texts are shuffled to their ids
-        wanted = F.broadcast(wanted)
-    whole = texts.join(wanted, "id", "left_semi").mapInArrow(
+    whole = texts.join(_bounded(lists.select("id").distinct()), "id", "left_semi").mapInArrow(
         partial(_whole_sets, shingle=shingle), "id bigint, n bigint, codes array<bigint>"
     )
     sets = keep(reps.select("id", "n").join(whole, ["id", "n"]).dropDuplicates(["id"]), "sets")
