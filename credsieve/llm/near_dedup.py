@@ -5,14 +5,15 @@ smallest hash values of that set.  Equal sets are one class from the start.
 Inverted lists of the retained values give the candidates: two sets at the
 threshold share at least `overlap` retained values (but for one pair in a
 million), so with values ordered from rare to common they meet in a list of
-one of their first k - overlap + 1 values.  Values that many unrelated
-documents share stand at the end of that order and are hardly ever listed.
-A candidate must pass the estimate from the union's sketch, and is then
-compared on its full sets.
+one of their first k - overlap + 1 values.  Sets that are in a list at all get
+lists of their whole sets, in the same way and without chance: a set with more
+values of its own than the threshold allows is in none.  A candidate pair must
+pass the estimate from the union's sketch, and is then compared on full sets.
 
 Only what connects matters, so the lists are not expanded into pairs: in each
-turn the members of a list are compared with one leader of the list, and lists
-whose members are all connected are done.  What is still apart after these
+turn the members of a list are compared with one leader of the list, at first
+the one with the fewest values of its own, and lists whose members are all
+connected are done.  What is still apart after these
 turns is compared pair by pair, across components only.
 """
 
@@ -159,36 +160,43 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _listed(reps: DataFrame, retained: int, overlap: int) -> DataFrame:
-    """The inverted lists (value, id, n): each set's rarest values that another set retains as well."""
-    held = F.size("sketch")
-    postings = reps.select("id", "n", held.alias("held"), F.explode("sketch").alias("value"))
+def _listed(rows: DataFrame, values: str, least: Column) -> DataFrame:
+    """The inverted lists (value, id, n, alone) of the sets in column `values` of `rows` (id, n).
+
+    `least` is how many values a set must share with another one to be linked.
+    Values are ordered from rare to common, so that two linked sets share one
+    of the first size - least + 1 of each; `alone` values that no other set has
+    come first and need no list.
+    """
+    postings = rows.select("id", F.size(values).alias("size"), least.cast("int").alias("least"), F.explode(values).alias("value"))
     frequency = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    rare_first = Window.partitionBy("id").orderBy("df", "value")
-    shared = postings.join(frequency, "value").withColumn("nth", F.row_number().over(rare_first))
-    alone = F.col("held") - F.count("*").over(Window.partitionBy("id"))
-    listed = shared.withColumn("alone", alone)
-    least = F.ceil(F.col("held") * overlap / retained)
-    return listed.where(F.col("alone") + F.col("nth") <= F.col("held") - least + 1).select("value", "id", "n")
+    own = Window.partitionBy("id")
+    shared = postings.join(frequency, "value").select(
+        "id", "value", "size", "least", F.row_number().over(own.orderBy("df", "value")).alias("nth"),
+        (F.col("size") - F.count("*").over(own)).alias("alone"),
+    )
+    return shared.where("alone + nth <= size - least + 1").select("value", "id", "alone")
 
 
 def _labels(
     texts: DataFrame, reps: DataFrame, shingle: int, percent: int, retained: int, overlap: int, star_turns: int
 ) -> DataFrame:
-    lists = keep(_listed(reps, retained, overlap), "lists")
-    whole = texts.join(_bounded(lists.select("id").distinct()), "id", "left_semi").mapInArrow(
+    rough = _listed(reps, "sketch", F.ceil(F.size("sketch") * overlap / retained))
+    whole = texts.join(_bounded(keep(rough.select("id").distinct(), "candidates")), "id", "left_semi").mapInArrow(
         partial(_whole_sets, shingle=shingle), "id bigint, n bigint, codes array<bigint>"
     )
     sets = keep(reps.select("id", "n").join(whole, ["id", "n"]).dropDuplicates(["id"]), "sets")
+    fine = _listed(sets, "codes", F.ceil(F.col("n") * percent / 100))
+    lists = keep(fine.join(sets.select("id", "n"), "id"), "lists")
     labels = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     links = None
     for turn in range(star_turns + 1):
         now = lists.join(labels, F.col("id") == F.col("node"), "left").select(
-            "value", "id", "n", F.coalesce("component", "id").alias("own")
+            "value", "id", "n", "alone", F.coalesce("component", "id").alias("own")
         )
         apart = now.groupBy("value").agg(
             F.min("own").alias("low"), F.max("own").alias("high"),
-            F.min_by(F.struct("id", "n", "own"), F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("lead"),
+            F.min_by(F.struct("id", "n", "own"), F.xxhash64("id", F.lit(turn)) if turn else F.struct("alone", "id")).alias("lead"),
         ).where("low < high").select("value", "lead")
         if turn < star_turns:
             near = now.join(apart, "value").where("own <> lead.own").select(
