@@ -84,7 +84,7 @@ def _grade_probabilities(eta: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(
-    row: np.ndarray, column: np.ndarray, grades: np.ndarray, width: int, ridge: float = 1e-3, steps: int = 400
+    row: np.ndarray, column: np.ndarray, grades: np.ndarray, width: int, ridge: float = 1e-4, steps: int = 500
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds for binary features, given as the places (row, column) of the ones.
 
