@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 SLICE_BYTES = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -18,15 +19,17 @@ _MASK = (1 << 64) - 1
 _POWERS: list[np.ndarray] = []
 
 
-def text_slices(batch: pa.RecordBatch, column: str, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold about SLICE_BYTES of text, at least one row each."""
+def text_slices(
+    batch: pa.RecordBatch, column: str, rows: int = 1 << 16, size: int = SLICE_BYTES
+) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that hold about `size` bytes of text, at least one row each."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
-    for row, size in enumerate(sizes.tolist()):
-        if row > start and (held + size > SLICE_BYTES or row - start >= rows):
+    for row, own in enumerate(sizes.tolist()):
+        if row > start and (held + own > size or row - start >= rows):
             yield start, row
             start, held = row, 0
-        held += size
+        held += own
     if start < len(sizes):
         yield start, len(sizes)
 

@@ -20,24 +20,59 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credsieve.llm.arrays import text_slices
+from credsieve.llm.arrays import SLICE_BYTES, text_slices, utf8
 from credsieve.session import keep
 
 WINDOW = 2048
 END = 1
-_CACHED_WORDS = 300_000
-_CACHED_IDS = 3_000_000
+_CACHED_WORDS = 700_000
+_CACHED_IDS = 6_000_000
+_TOGETHER = 4096
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER[ord("\n")] = ord(" ")
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")] = 2
+
+
+def _parts(flat: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct parts of all texts between blanks, their numbers in order, and how many each text has.
+
+    Line feeds count as blanks.  Letters A-Z become small and a blank is put
+    between a letter and a sign: the tokenizer does the one and cuts at the
+    other anyway, and equal parts become more frequent.  Only what could be a
+    special token is left as it is.
+    """
+    plain = flat.tobytes().find(b"<|") < 0
+    text = _LOWER[flat] if plain else np.where(flat == ord("\n"), np.uint8(ord(" ")), flat)
+    cuts = np.zeros(0, np.int64)
+    if plain and len(flat):
+        kind = _KIND[flat]
+        border = kind[:-1] + kind[1:] == 3
+        border[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(flat))] - 1] = False
+        cuts = np.flatnonzero(border) + 1
+    blanks = np.searchsorted(np.flatnonzero(text == ord(" ")), at)
+    counts = np.diff(blanks) + np.diff(np.searchsorted(cuts, at)) + 1
+    joined = np.insert(text, np.concatenate((cuts, at[1:-1])), ord(" "))
+    whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(joined)])), pa.py_buffer(joined))
+    parts = pa.compute.split_pattern(whole, " ").flatten().dictionary_encode()
+    distinct = pa.ListArray.from_arrays(pa.array([0, len(parts.dictionary)], pa.int32()), parts.dictionary)
+    return pa.compute.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), parts.indices.to_numpy(), counts
 
 
 class WordTokens:
-    """Token ids of texts, from the ids of their parts between blanks and line ends.
+    """Token ids of texts, from the ids of their parts between blanks.
 
-    The tokenizer never looks across these characters, so equal parts have
-    equal ids and are encoded once (within a bound on what is remembered).
+    The tokenizer never looks across these, so equal parts have equal ids and
+    are encoded once (within a bound on what is remembered).
     """
 
     def __init__(self, path: str):
@@ -45,6 +80,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -52,35 +90,58 @@ class WordTokens:
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's ids start."""
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
+
+    def _encode_new(self, words: list[str]) -> None:
+        rest = [w for w in words if not w.isalpha()]
+        letters = [w for w in words if w.isalpha()]
+        for start in range(0, len(letters), _TOGETHER):
+            # words of letters are encoded in one go: each one ends with an id that ends a word
+            some = letters[start : start + _TOGETHER]
+            ids = np.array(self._ids([" ".join(some)])[0], np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                self._learn(some, ids, np.diff(ends, prepend=0))
+            else:
+                rest += some
+        encoded = self._ids(rest)
+        flat = np.array([i for ids in encoded for i in ids], np.int64)
+        self._learn(rest, flat, np.fromiter(map(len, encoded), np.int64, len(encoded)))
+
+    def encode(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's ids start; texts as bytes and where each starts."""
         if len(self.places) > _CACHED_WORDS or len(self.ids) > _CACHED_IDS:
             self.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in {w for p in parts for w in p} if w not in self.places]
-        if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-            flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
-            self.ids = np.concatenate((self.ids, flat))
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        total = int(counts.sum())
-        place = np.fromiter((self.places[w] for p in parts for w in p), np.int64, total)
-        begin, sizes = self.starts[place], self.starts[place + 1] - self.starts[place]
-        ends = np.cumsum(sizes)
-        taken = np.arange(int(sizes.sum())) + np.repeat(begin - (ends - sizes), sizes)
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.ids[taken], edges
+        words, number, counts = _parts(flat, at)
+        self._encode_new([w for w in words if w not in self.places])
+        place = np.array([self.places[w] for w in words], np.int64)[number]
+        ids = pa.LargeListArray.from_arrays(pa.array(self.starts), pa.array(self.ids)).take(pa.array(place))
+        edges = ids.offsets.to_numpy()[np.concatenate(([0], np.cumsum(counts)))]
+        return ids.flatten().to_numpy(), edges
+
+
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The encoder of this Python process, which later tasks find again."""
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
-    tokens, seen, task = WordTokens(path), Counter(), TaskContext.get().partitionId()
+    tokens, seen, task = word_tokens(path), Counter(), TaskContext.get().partitionId()
     for whole in batches:
-        for first, stop in text_slices(whole, "text"):
+        for first, stop in text_slices(whole, "text", size=4 * SLICE_BYTES):
             batch = whole.slice(first, stop - first)
-            ids, edges = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, edges = tokens.encode(*utf8(batch.column("text")))
             rows: list[tuple] = []
             for row in range(batch.num_rows):
                 own = np.append(ids[edges[row] : edges[row + 1]], END).astype("<u4")
