@@ -7,8 +7,10 @@ threshold share at least `overlap` retained values (but for one pair in a
 million), so with values ordered from rare to common they meet in a list of
 one of their first k - overlap + 1 values.  Sets that are in a list at all get
 lists of their whole sets, in the same way and without chance: a set with more
-values of its own than the threshold allows is in none.  A candidate pair must
-pass the estimate from the union's sketch, and is then compared on full sets.
+values of its own than the threshold allows is in none.  A pair that could not
+reach the threshold even if it shared every value that another set has as well
+is no candidate; a candidate must pass the estimate from the union's sketch, and
+is then compared on full sets.
 
 Only what connects matters, so the lists are not expanded into pairs: in each
 turn the members of a list are compared with one leader of the list, at first
@@ -78,8 +80,10 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
             )
 
 
-def _close_sizes(percent: int) -> Column:
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+def _can_reach(percent: int) -> Column:
+    """Whether a pair could reach the threshold if it shared all that other sets have at all of the one with less of it."""
+    most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
+    return most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, retained: int, overlap: int) -> DataFrame:
@@ -196,18 +200,19 @@ def _labels(
         )
         apart = now.groupBy("value").agg(
             F.min("own").alias("low"), F.max("own").alias("high"),
-            F.min_by(F.struct("id", "n", "own"), F.xxhash64("id", F.lit(turn)) if turn else F.struct("alone", "id")).alias("lead"),
+            F.min_by(F.struct("id", "n", "alone", "own"), F.xxhash64("id", F.lit(turn)) if turn else F.struct("alone", "id")).alias("lead"),
         ).where("low < high").select("value", "lead")
         if turn < star_turns:
             near = now.join(apart, "value").where("own <> lead.own").select(
-                F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b")
+                F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"),
+                F.col("lead.alone").alias("alone_a"), F.col("alone").alias("alone_b"),
             )
         else:
             left = now.join(apart.select("value"), "value", "left_semi")
-            side = lambda x: left.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "own")))  # noqa: E731, B023
+            side = lambda x: left.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "alone", "own")))  # noqa: E731, B023
             near = side("a").join(side("b"), "value").where("id_a < id_b and own_a <> own_b")
-            near = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b")
-        pairs = near.where(_close_sizes(percent)).select("a", "b").distinct()
+            near = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", "alone_a", "alone_b")
+        pairs = near.where(_can_reach(percent)).select("a", "b").distinct()
         fresh = keep(_linked(_alike(pairs, reps, retained, overlap), sets, percent), "near")
         if fresh.isEmpty():
             if turn >= star_turns or apart.isEmpty():
