@@ -95,7 +95,7 @@ def walk_order(path: Column) -> Column:
 def within_size(size: Column, limit: int = fixed.MAX_FILE_SIZE_BYTES) -> Column:
     """Unknown sizes pass; the limit itself is still allowed."""
     if limit < 0:
-        raise ValueError("max_file_size_bytes must be >= 0")
+        raise ValueError("a file size limit below 0 leaves nothing to scan")
     return size.isNull() | (size <= F.lit(limit))
 
 

@@ -51,58 +51,39 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-MANY_CHARACTERS = 256
-
-
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character.
-
-    Texts of few distinct characters, nearly all, count each by removing it.
-    Others count the runs of the sorted characters, so the work stays close to
-    linear whatever the alphabet.
-    """
+    """Bits per character; each distinct character is counted by removing it."""
+    length = F.char_length(text).cast("double")
 
-    def plogp(count: Column, length: Column) -> Column:
+    def plogp(count: Column) -> Column:
         return (count / length) * F.log2(count / length)
 
-    def by_removal(chars: Column) -> Column:
-        length = F.char_length(text).cast("double")
-        return F.aggregate(
-            chars,
-            F.lit(0.0),
-            lambda acc, c: acc
-            - plogp(length - F.char_length(F.replace(text, c, F.lit(""))), length),
-        )
-
-    def by_runs(ordered: Column) -> Column:
-        size = F.size(ordered)
-        ends = F.filter(
-            F.sequence(F.lit(1), size),
-            lambda i: (i == size) | (F.get(ordered, i - 1) != F.get(ordered, i)),
-        )
-        return F.aggregate(
-            bind(ends, _gaps_of),
-            F.lit(0.0),
-            lambda acc, n: acc - plogp(n.cast("double"), size.cast("double")),
-        )
-
-    def characters() -> Column:
-        return F.filter(F.split(text, "", -1), lambda c: c != "")
-
-    bits = bind(
-        F.array_distinct(characters()),
-        lambda chars: F.when(F.size(chars) <= MANY_CHARACTERS, by_removal(chars)).otherwise(
-            bind(F.sort_array(characters()), by_runs)
-        ),
+    characters = F.array_distinct(F.filter(F.split(text, "", -1), lambda c: c != ""))
+    bits = F.aggregate(
+        characters,
+        F.lit(0.0),
+        lambda acc, c: acc - plogp(length - F.char_length(F.replace(text, c, F.lit("")))),
     )
     return F.when(text == "", F.lit(0.0)).otherwise(bits + F.lit(0.0))
 
 
-def _gaps_of(ends: Column) -> Column:
-    """Differences between neighbours of an ascending array, the first from 0."""
-    return F.transform(
-        ends, lambda end, i: end - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-    )
+# A number below 1 has its last binary digit further right.
+_SCALE, _SMALL_SCALE = 58, 62
+
+
+def two_decimals(number: Column) -> Column:
+    """A number from 0 to below 16 with two decimals, its exact binary value rounded half to even."""
+    unit = F.when(number < 1, F.lit(1 << _SMALL_SCALE)).otherwise(F.lit(1 << _SCALE)).cast("decimal(20,0)")
+    scaled = F.when(number < 1, number * F.lit(float(1 << _SMALL_SCALE))).otherwise(number * F.lit(float(1 << _SCALE)))
+    exact = scaled.cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    whole = F.floor(exact / unit).cast("bigint")
+    # the quotient is rounded to some digits, so the remainder decides
+    rest = exact - whole.cast("decimal(10,0)") * unit
+    whole = whole - (rest < 0).cast("bigint")
+    rest = F.when(rest < 0, rest + unit).otherwise(rest)
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+    cents = whole + up.cast("bigint")
+    return F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)
 
 
 def redact(text: Column) -> Column:

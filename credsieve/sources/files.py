@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from math import ceil
+from pathlib import PurePosixPath
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,9 +22,12 @@ from credsieve import fixed_values as fixed
 from credsieve import session
 from credsieve.functions import text
 
-ENTRY = "path string, file_path string, is_dir boolean, size bigint"
-BYTES_PER_TASK = 64 * 1024 * 1024
-FILES_PER_TASK = 20_000
+ENTRY = "path string, file_path string, is_dir boolean, size bigint, reason string"
+BYTES_PER_TASK = 32 * 1024 * 1024
+FILES_PER_TASK = 2_000
+DIRECTORIES_PER_TASK = 32
+_ROWS_AT_ONCE = 10_000
+_MISSING, _DENIED = "not found", "permission denied"
 
 
 class FileTreeError(RuntimeError):
@@ -38,6 +43,11 @@ def open_path(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def normalised(path: str) -> str:
+    """A path as it labels findings, the same however it was typed."""
+    return path.rstrip("/") or path if ":/" in path else str(PurePosixPath(path))
+
+
 def _absolute(path: str) -> str:
     return path if ":/" in path else os.path.abspath(path)
 
@@ -46,46 +56,72 @@ def _pruned(name: str) -> bool:
     return name in fixed.PRUNED_DIRECTORIES or name.endswith(fixed.PRUNED_DIRECTORY_SUFFIX)
 
 
-def _is_link(fs: pafs.FileSystem, path: str) -> bool:
-    return fs.type_name == "local" and os.path.islink(path)
+def _children(fs: pafs.FileSystem, place: str) -> Iterator[tuple[str, bool, int | None]]:
+    """(name, whether it is a directory, size) of the entries to visit, one by one where the system allows it.
+
+    Links to directories are not followed.  Object stores are listed by Arrow,
+    which returns a prefix as a whole.
+    """
+    if fs.type_name == "local":
+        with os.scandir(place) as entries:
+            for entry in entries:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, True, None
+                elif entry.is_file():
+                    try:
+                        size = entry.stat().st_size
+                    except FileNotFoundError:
+                        size = None  # gone meanwhile; reading it will say so
+                    yield entry.name, False, size
+        return
+    for info in fs.get_file_info(pafs.FileSelector(place)):
+        if info.type in (pafs.FileType.Directory, pafs.FileType.File):
+            yield info.base_name, info.type == pafs.FileType.Directory, info.size
+
+
+def _reason(problem: OSError) -> str:
+    """Why something was skipped; anything but missing or forbidden is an error of the job."""
+    if isinstance(problem, FileNotFoundError):
+        return _MISSING
+    if isinstance(problem, PermissionError):
+        return _DENIED
+    raise problem
 
 
 def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One output row per entry of each directory, pruned directories left out."""
+    """One output row per entry of each directory, pruned directories left out.
+
+    A directory that is gone or may not be listed is a row with the reason.
+    """
+    rows: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
             fs, place = open_path(row["path"])
             prefix = row["file_path"] + "/" if row["file_path"] else ""
+            base = row["path"].rstrip("/")
             try:
-                entries = fs.get_file_info(pafs.FileSelector(place))
-            except OSError:
-                continue
-            rows = []
-            for entry in entries:
-                is_dir = entry.type == pafs.FileType.Directory
-                if is_dir and (_pruned(entry.base_name) or _is_link(fs, entry.path)):
-                    continue
-                if is_dir or entry.type == pafs.FileType.File:
-                    base = row["path"].rstrip("/")
-                    rows.append(
-                        {
-                            "path": f"{base}/{entry.base_name}",
-                            "file_path": prefix + entry.base_name,
-                            "is_dir": is_dir,
-                            "size": entry.size,
-                        }
-                    )
-            for start in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_pylist(rows[start : start + 10_000], schema=_ENTRY_ARROW)
+                for name, is_dir, size in _children(fs, place):
+                    if is_dir and _pruned(name):
+                        continue
+                    rows.append({"path": f"{base}/{name}", "file_path": prefix + name, "is_dir": is_dir, "size": size})
+                    if len(rows) >= _ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY_ARROW)
+                        rows = []
+            except OSError as problem:
+                rows.append({**row, "is_dir": False, "reason": _reason(problem)})
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY_ARROW)
 
 
 _ENTRY_ARROW = pa.schema(
-    [("path", pa.string()), ("file_path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())]
+    [("path", pa.string()), ("file_path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("reason", pa.string())]
 )
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, file_path, size`` of every file under ``root``.
+    """``path, file_path, size, reason`` of every file under ``root``.
+
+    ``reason`` is set for a directory that could not be listed.
 
     The tree is listed level by level: all directories of a level are listed by
     tasks in parallel and the result is written to the shared work folder, from
@@ -99,16 +135,15 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         raise FileTreeError(f"path does not exist: {root}")
     if info.type == pafs.FileType.File:
         return spark.createDataFrame(
-            [(root, info.base_name, info.size)], "path string, file_path string, size bigint"
+            [(root, info.base_name, info.size, None)], "path string, file_path string, size bigint, reason string"
         )
 
     folder = session.work_folder(spark, "listing")
-    cores = spark.sparkContext.defaultParallelism
     frontier = spark.createDataFrame([(root, "")], "path string, file_path string")
     level, pending = 0, 1
     while pending:
         target = f"{folder}/level={level}"
-        frontier.repartition(min(pending, cores * 4)).mapInArrow(
+        frontier.repartition(ceil(pending / DIRECTORIES_PER_TASK)).mapInArrow(
             _list_children, ENTRY
         ).write.parquet(target)
         frontier = spark.read.parquet(target).where("is_dir").select("path", "file_path")
@@ -118,12 +153,12 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.schema(ENTRY + ", level int")
         .parquet(folder)
         .where(~F.col("is_dir"))
-        .select("path", "file_path", "size")
+        .select("path", "file_path", "size", "reason")
     )
 
 
 def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read each file; unreadable files vanish.  Output batches stay small."""
+    """Read each file that is there and allowed.  Output batches stay small."""
     schema = pa.schema([("file_path", pa.string()), ("size", pa.int64()), ("data", pa.binary())])
     rows, held = [], 0
     for batch in batches:
@@ -132,7 +167,8 @@ def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fs, place = open_path(row["path"])
                 with fs.open_input_file(place) as stream:
                     data = stream.read()
-            except OSError:
+            except OSError as problem:
+                _reason(problem)
                 continue
             rows.append({"file_path": row["file_path"], "size": row["size"], "data": data})
             held += len(data)
@@ -143,22 +179,38 @@ def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def read_texts(files: DataFrame) -> DataFrame:
-    """``file_path, size, content`` of the files that are valid UTF-8.
+def _open_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files that cannot be opened, with the reason."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            try:
+                fs, place = open_path(row["path"])
+                with fs.open_input_file(place):
+                    pass
+            except OSError as problem:
+                rows.append({"file_path": row["file_path"], "reason": _reason(problem)})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file_path", pa.string()), ("reason", pa.string())]))
+
+
+def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file_path, size, content`` of the files that are valid UTF-8, and ``file_path, reason`` of those skipped.
 
     The names are dealt out at random, with enough tasks for the total size, so
-    neither a huge directory nor a run of large files lands in one task.
+    neither a huge directory nor a run of large files lands in one task.  Files
+    are opened once more to find those that cannot be, but not read.
     """
-    totals = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).head()
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, totals.s // BYTES_PER_TASK, totals.n // FILES_PER_TASK)
-    tasks = max(1, min(tasks, totals.n))
-    data = files.repartition(int(tasks)).mapInArrow(
-        _read_bytes, "file_path string, size bigint, data binary"
-    )
-    valid = data.withColumn("data", F.col("data").cast("string")).where(
-        F.is_valid_utf8(F.col("data"))
-    )
-    return valid.select(
-        "file_path", "size", text.universal_newlines(F.col("data")).alias("content")
-    )
+    listed = files.where("reason is null")
+    totals = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).head()
+    tasks = 1 + max(totals.s // BYTES_PER_TASK, totals.n // FILES_PER_TASK)
+    dealt = listed.select("path", "file_path", "size").repartition(int(tasks))
+    data = dealt.mapInArrow(_read_bytes, "file_path string, size bigint, data binary")
+    valid = data.withColumn("data", F.col("data").cast("string")).where(F.is_valid_utf8(F.col("data")))
+    texts = valid.select("file_path", "size", text.universal_newlines(F.col("data")).alias("content"))
+    unlisted = files.where("reason is not null").select("file_path", "reason")
+    return texts, dealt.mapInArrow(_open_only, "file_path string, reason string").union(unlisted)
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """The texts of ``read_files``."""
+    return read_files(files)[0]

@@ -2,9 +2,11 @@
 
 A crawler stores each response as one row: some key columns and the JSON text in
 ``payload``.  The functions here give those rows their types.  Parsing keeps to
-the rules of the tables it replaces: list items that are not objects are dropped,
-missing optional fields get their defaults, and a payload whose list is not a
-list is marked invalid, so that its repository fails instead of looking empty.
+the rules of the tables it replaces: list items that are not objects are dropped
+and missing optional fields get their defaults.  Nothing else is dropped: a
+payload that is not JSON, or not of the expected kind, becomes a row that is not
+``valid`` (or, in a repository listing, has an ``error``), so that what it stands
+for fails instead of looking empty.
 
 Store the parsed tables before scanning large crawls: a scan reads keys and
 contents in separate passes, and a columnar table gives each only what it needs.
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 from credsieve.functions import payload as decode
 
 TREE_ITEM = "path string, mode string, type string, sha string, size bigint, url string"
+REPO_PAGE_ERROR = "repository listing or record not valid"
+# The parser's own limit would make every long text unreadable.
+_OPTIONS = "map('maxStringLen', '2147483647')"
 
 
 def read_payloads(spark: SparkSession, path: str, keys: str) -> DataFrame:
@@ -30,12 +35,17 @@ def _text(item: str, field: str) -> str:
     return f"try_variant_get({item}, '$.{field}', 'string')"
 
 
-def _objects(table: DataFrame, name: str) -> DataFrame:
-    return table.where(F.expr(f"schema_of_variant({name}) like 'OBJECT%'"))
+def _kind(name: str) -> str:
+    """What a variant is; text that is no JSON counts as no kind."""
+    return f"coalesce(schema_of_variant({name}), '')"
 
 
 def _parsed(table: DataFrame) -> DataFrame:
-    return table.withColumn("parsed", F.expr("try_parse_json(payload)"))
+    return table.withColumn("parsed", F.expr(f"from_json(payload, 'variant', {_OPTIONS})"))
+
+
+def _objects(items: Column) -> Column:
+    return F.filter(items, lambda v: F.call_function("schema_of_variant", v).startswith("OBJECT"))
 
 
 def _is_listed(field: str) -> Column:
@@ -57,30 +67,36 @@ def _listed(field: str) -> Column:
         f"   variant_get(parsed, '$.{field}', 'variant') is null, array(), "
         f"   try_variant_get(parsed, '$.{field}', 'array<variant>'))"
     )
-    return F.filter(items, lambda v: F.call_function("schema_of_variant", v).startswith("OBJECT"))
+    return _objects(items)
 
 
 def parse_repos(pages: DataFrame, public_only: bool = True) -> DataFrame:
-    """Repository listing pages, or single repository records, to ``repos``."""
-    items = F.expr(
-        "coalesce(try_variant_get(parsed, '$', 'array<variant>'), array(parsed))"
-    )
-    rows = _objects(_parsed(pages).select(F.explode_outer(items).alias("item")), "item").select(
+    """Repository listing pages, or single repository records, to ``repos``.
+
+    ``listed_at`` is the place in the listing if the pages have ``page_start``.
+    A page that is neither, and a record without a name, is a row with an
+    ``error`` and no name.
+    """
+    first = F.col("page_start") if "page_start" in pages.columns else F.lit(None)
+    kind, page = F.expr(_kind("parsed")), F.expr("try_variant_get(parsed, '$', 'array<variant>')")
+    found = F.when(kind.startswith("ARRAY"), _objects(page)).otherwise(F.array("parsed"))
+    rows = _parsed(pages).select(first.cast("bigint").alias("first"), F.posexplode_outer(found).alias("at", "item"))
+    named = rows.where("at is not null").select(
         F.expr("try_variant_get(item, '$.id', 'bigint')").alias("id"),
         F.expr(_text("item", "name")).alias("name"),
         F.expr(_text("item", "full_name")).alias("full_name"),
         F.expr(f"coalesce({_text('item', 'default_branch')}, '')").alias("default_branch"),
         F.expr(f"coalesce({_text('item', 'html_url')}, '')").alias("html_url"),
         F.expr("coalesce(try_variant_get(item, '$.private', 'boolean'), false)").alias("private"),
-    )
-    return rows.where(~F.col("private")) if public_only else rows
+        (F.col("first") + F.col("at")).alias("listed_at"),
+    ).withColumn("error", F.when(F.col("full_name").isNull(), REPO_PAGE_ERROR))
+    return named.where(~F.col("private")) if public_only else named
 
 
 def parse_branches(payloads: DataFrame) -> DataFrame:
-    """Branch records; ``commit_sha`` is NULL when the record names none."""
-    return _parsed(payloads).select(
-        "repo", "branch", F.expr(_text("parsed", "commit.sha")).alias("commit_sha")
-    )
+    """Branch records; not ``valid`` without the head's ``commit_sha``."""
+    rows = _parsed(payloads).select("repo", "branch", F.expr(_text("parsed", "commit.sha")).alias("commit_sha"))
+    return rows.withColumn("valid", F.col("commit_sha").isNotNull())
 
 
 def parse_trees(payloads: DataFrame) -> DataFrame:
@@ -112,24 +128,39 @@ def parse_trees(payloads: DataFrame) -> DataFrame:
 
 
 def parse_blobs(payloads: DataFrame) -> DataFrame:
-    """Blob records to text; ``content`` is NULL for what cannot be scanned."""
-    record = F.from_json("payload", "encoding string, content string")
-    return payloads.select("repo", "sha", record.alias("r")).select(
-        "repo", "sha", decode.blob_text(F.col("r.encoding"), F.col("r.content")).alias("content")
+    """Blob records to text; ``content`` is NULL for what cannot be scanned.
+
+    A record that is no JSON object is not ``valid``: of that nothing is known.
+    """
+    is_text = F.expr("schema_of_variant(variant_get(parsed, '$.content', 'variant'))") == "STRING"
+    content = F.when(is_text, F.expr(_text("parsed", "content")))
+    return _parsed(payloads).select(
+        "repo",
+        "sha",
+        decode.blob_text(F.expr(_text("parsed", "encoding")), content).alias("content"),
+        F.expr(f"{_kind('parsed')} like 'OBJECT%'").alias("valid"),
     )
 
 
 def parse_commits(pages: DataFrame) -> DataFrame:
-    """Commit listing pages, newest first, to one row per commit with its position."""
-    items = F.expr("try_variant_get(parsed, '$', 'array<variant>')")
+    """Commit listing pages, newest first, to one row per commit with its position.
+
+    An empty page, and one that is no list, is one row without a commit; the
+    latter is not ``valid``, nor is a commit without a hash.
+    """
+    found = _objects(F.expr("try_variant_get(parsed, '$', 'array<variant>')"))
     first = F.coalesce(F.col("page_start"), F.lit(0))
-    return _objects(
-        _parsed(pages).select("repo", "branch", first.alias("first"), F.posexplode_outer(items)), "col"
-    ).select(
+    is_list = F.expr(f"{_kind('parsed')} like 'ARRAY%'")
+    rows = _parsed(pages).select(
+        "repo", "branch", first.alias("first"), is_list.alias("is_list"), F.posexplode_outer(found).alias("at", "item")
+    )
+    sha = F.expr(_text("item", "sha"))
+    return rows.select(
         "repo",
         "branch",
-        (F.col("first") + F.col("pos")).cast("int").alias("pos"),
-        F.expr(_text("col", "sha")).alias("commit_sha"),
+        (F.col("first") + F.col("at")).cast("int").alias("pos"),
+        sha.alias("commit_sha"),
+        (F.col("is_list") & (F.col("at").isNull() | sha.isNotNull())).alias("valid"),
     )
 
 

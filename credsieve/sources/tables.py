@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,52 +36,41 @@ def as_scan_units(
     )
 
 
-BASELINE_ENTRY = "fingerprint string, repo string, file_path string, pattern_name string"
+BASELINE_FORMS = ("lines", "document")
+_OPTIONS = {"maxStringLen": "2147483647"}
 
 
-def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+def load_baseline(spark: SparkSession, path: str, form: str = "lines") -> DataFrame:
     """Distinct accepted fingerprints of a baseline.
 
-    Reads what ``sinks.baselines`` writes, a folder with one entry per line, and
-    also a single ``{"accepted": [entries]}`` document.  Entries without a text
-    fingerprint are ignored; a document without an ``accepted`` list, or lines
-    that are not JSON, are errors.
+    ``lines`` is what ``sinks.reports`` writes: a folder or file with one JSON
+    entry per line, of any number.  ``document`` is a single JSON document
+    ``{"accepted": [entries]}``.  Entries that are no objects, or without a text
+    as fingerprint, accept nothing and are ignored; a document that is no JSON
+    or has no such list is an error.
     """
+    if form not in BASELINE_FORMS:
+        raise ValueError(f"a baseline is one of {', '.join(BASELINE_FORMS)}, not {form!r}")
     try:
-        lines = spark.read.text(path)
-        first = lines.where(F.trim("value") != "").head()
+        if form == "lines":
+            entries = spark.read.text(path).select(F.from_json("value", "variant", _OPTIONS).alias("entry"))
+        else:
+            entries = _accepted(spark, path)
     except AnalysisException as problem:
-        raise BaselineError(f"baseline not found: {path}") from problem
-    if first is not None and _is_entry(first.value):
-        rows = spark.read.schema(BASELINE_ENTRY).option("mode", "FAILFAST").json(path)
-        return rows.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    if first is None and not any(f.endswith(f"/{name}") for f in lines.inputFiles()):
-        return spark.createDataFrame([], "fingerprint string")  # a folder without entries
-
-    whole = spark.read.text(path, wholetext=True)
-    accepted = F.expr("try_variant_get(try_parse_json(value), '$.accepted', 'array<variant>')")
-    document = whole.select(F.expr("try_parse_json(value)").alias("parsed"), accepted.alias("accepted"))
-    state = document.agg(
-        F.count("*").alias("n"),
-        F.count("parsed").alias("n_json"),
-        F.count("accepted").alias("n_lists"),
-    ).head()
-    if state.n == 0 or state.n_json < state.n:
-        raise BaselineError(f"baseline is not valid JSON: {path}")
-    if state.n_lists < state.n:
-        raise BaselineError(f"baseline must contain an 'accepted' list: {path}")
-    entries = document.select(F.explode("accepted").alias("entry"))
-    fingerprint = F.when(
-        F.expr("schema_of_variant(variant_get(entry, '$.fingerprint', 'variant'))") == "STRING",
-        F.expr("try_variant_get(entry, '$.fingerprint', 'string')"),
-    )
+        raise BaselineError(f"there is no baseline at {path}") from problem
+    is_text = F.expr("schema_of_variant(try_variant_get(entry, '$.fingerprint', 'variant'))") == "STRING"
+    fingerprint = F.when(is_text, F.expr("try_variant_get(entry, '$.fingerprint', 'string')"))
     return entries.select(fingerprint.alias("fingerprint")).where("fingerprint is not null").distinct()
 
 
-def _is_entry(line: str) -> bool:
-    try:
-        entry = json.loads(line)
-    except json.JSONDecodeError:
-        return False
-    return isinstance(entry, dict) and "fingerprint" in entry
+def _accepted(spark: SparkSession, path: str) -> DataFrame:
+    document = spark.read.options(multiLine=True, columnNameOfCorruptRecord="broken", **_OPTIONS).schema(
+        "accepted variant, broken string"
+    ).json(path)
+    listed = document.select("broken", F.expr("try_variant_get(accepted, '$', 'array<variant>')").alias("accepted"))
+    state = listed.agg(F.count("*").alias("n"), F.count("broken").alias("bad"), F.count("accepted").alias("lists")).head()
+    if state.bad or not state.n:
+        raise BaselineError(f"the baseline is no JSON document: {path}")
+    if state.lists < state.n:
+        raise BaselineError(f"the baseline has no list of accepted findings: {path}")
+    return listed.select(F.explode("accepted").alias("entry"))
