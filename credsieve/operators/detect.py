@@ -13,8 +13,9 @@ The unredacted value exists only in columns between 2 and 3.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ FINDING_COLUMNS = (
     "entropy_score",
 )
 ORDER_COLUMNS = ("detector_ord", "pattern_ord", "match_ord")
+# Where scans of repositories found a unit: in the listing, the history, the tree or commit.
+PLACE_COLUMNS = ("repo_pos", "commit_pos", "unit_ord")
 
 REGEX, ENTROPY = 1, 2
 # The directives begin with s or p; long s is what case folding adds to them.
@@ -57,6 +60,12 @@ _HAS_TOKEN = f"(?<!{_CLASS}){_CLASS}{{{fixed.TOKEN_RUN_LENGTH}}}"
 _TOKEN = f"(?<!{_CLASS}){_CLASS}{{{fixed.TOKEN_RUN_LENGTH},}}"
 # Marks a match in a text that does not hold this noncharacter itself.
 _MARK = "\uffff"
+# Blank lines that stand for a gap in a sparse text.  A longer gap is searched as
+# one of this length; line numbers are those of the whole text.
+LONGEST_GAP = 200
+
+Detector = Callable[[DataFrame], DataFrame]
+_OWN_COLUMNS = FINDING_COLUMNS[2:7] + FINDING_COLUMNS[8:]
 
 
 @dataclass(frozen=True)
@@ -72,17 +81,24 @@ class EntropyOptions:
     def with_threshold(cls, threshold: float) -> EntropyOptions:
         """Override the threshold; the one for hex tokens scales with it."""
         if threshold <= 0:
-            raise ValueError("entropy threshold must be greater than 0")
+            raise ValueError("a threshold of 0 bits or less would report every token")
         scale = fixed.HEX_ENTROPY_THRESHOLD / fixed.ENTROPY_THRESHOLD
         return cls(threshold=threshold, hex_threshold=threshold * scale)
 
 
 @dataclass(frozen=True)
 class DetectOptions:
-    """Which detectors run, and how: no catalogue or no entropy turns one off."""
+    """Which detectors run, and how: no catalogue or no entropy turns one off.
+
+    ``own`` holds further detectors: functions from units (their keys, content
+    and ``line_nos``) to findings, that is, the same keys with line_number,
+    matched_text (redacted), detection_method, pattern_name, confidence and
+    entropy_score.  Their findings come after those of the built-in detectors.
+    """
 
     catalogue: Sequence[Signature] = DEFAULT_CATALOGUE
     entropy: EntropyOptions | None = field(default_factory=EntropyOptions)
+    own: Sequence[Detector] = ()
 
 
 def is_suppressed(line: Column) -> Column:
@@ -189,19 +205,40 @@ def detect(
     keys: Sequence[str] = UNIT_KEYS,
     path: str | None = "file_path",
 ) -> DataFrame:
-    """Findings of both detectors for every row of ``units``.
+    """Findings of all detectors for every row of ``units``.
 
     ``units`` has the columns ``keys`` and ``content``.  An optional
     ``line_nos`` array gives the true number of each line of a sparse text (see
     ``history``).  ``path`` names the column that decides whether the entropy
     detector looks at a text; None applies it to all.
     """
+    if "line_nos" not in units.columns:
+        units = units.withColumn("line_nos", F.lit(None).cast("array<bigint>"))
+    parts = [
+        _own_findings(detector(units.select(*keys, "content", "line_nos")), keys, ENTROPY + i)
+        for i, detector in enumerate(options.own, start=1)
+    ]
+    if options.catalogue or options.entropy:
+        parts.insert(0, _built_in(units, options, keys, path))
+    if not parts:
+        raise ValueError("no detector is turned on")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _own_findings(found: DataFrame, keys: Sequence[str], ordinal: int) -> DataFrame:
+    return found.select(
+        *keys, *_OWN_COLUMNS, F.lit(ordinal).alias("detector_ord"), F.lit(0).alias("pattern_ord"),
+        F.lit(0).alias("match_ord"),
+    ).withColumn("line_number", F.col("line_number").cast("bigint"))
+
+
+def _built_in(
+    units: DataFrame, options: DetectOptions, keys: Sequence[str], path: str | None
+) -> DataFrame:
     entropy = options.entropy or EntropyOptions()
     allowed = (
         ~paths.entropy_excluded(F.col(path), entropy.excluded_globs) if path else F.lit(True)
     )
-    if "line_nos" not in units.columns:
-        units = units.withColumn("line_nos", F.lit(None).cast("array<int>"))
 
     # Long token runs are a small part of most texts; nearly all gates look only
     # at them.  Without signatures the one remaining gate reads the text itself.
@@ -232,6 +269,7 @@ def detect(
         "line_nos",
         "pattern_ord",
         F.when(is_entropy | may_be_suppressed(content), text.raw_lines(content)).alias("lines"),
+        F.when(~is_entropy, _true_numbers(F.col("line_nos"))).alias("true_nos"),
         *_signature_columns(options),
     )
     values = F.when(
@@ -282,7 +320,8 @@ def _signature_values() -> Column:
         # The directive is looked up by the line-feed number in the full split.
         line = F.get(F.col("lines"), number - 1)
         dropped = (value == "") | F.coalesce(is_suppressed(line), F.lit(False))
-        return F.when(~dropped, F.concat(number.cast("string"), F.lit(":"), value))
+        true = F.coalesce(F.get(F.col("true_nos"), number - 1), number)
+        return F.when(~dropped, F.concat(true.cast("string"), F.lit(":"), value))
 
     return F.array_compact(F.zip_with(numbers, values, keyed))
 
@@ -297,7 +336,7 @@ def _scored(values: Column, is_entropy: Column, options: EntropyOptions) -> Colu
     def parsed(pair: Column) -> Column:
         line = F.substring_index(pair, ":", 1)
         value = F.substring(pair, F.char_length(line) + 2, F.char_length(pair))
-        return F.struct(line.cast("int").alias("line_number"), value.alias("value"))
+        return F.struct(line.cast("bigint").alias("line_number"), value.alias("value"))
 
     def scored(hit: Column, index: Column) -> Column:
         value = hit["value"]
@@ -328,20 +367,33 @@ def _labels(options: DetectOptions, ordinal: Column, is_entropy: Column) -> list
     ]
 
 
+def _line_feeds(line_nos: Column, n: Column, i: Column) -> Column:
+    """Line feeds ahead of a line of a sparse text."""
+    gap = n - F.when(i == 0, F.lit(1).cast("bigint")).otherwise(F.get(line_nos, i - 1))
+    return F.least(gap, F.lit(LONGEST_GAP).cast("bigint"))
+
+
 def sparse_text(content: Column, line_nos: Column) -> Column:
-    """Put each line of ``content`` on its own line number, blank lines between."""
-    lines = F.split(content, "\n", -1)
+    """Put blank lines between the lines of ``content``, as many as their numbers say up to a bound."""
     padded = F.zip_with(
-        lines,
-        F.transform(
-            line_nos,
-            lambda n, i: n - F.when(i == 0, F.lit(1)).otherwise(F.get(line_nos, i - 1)),
-        ),
+        F.split(content, "\n", -1),
+        F.transform(line_nos, lambda n, i: _line_feeds(line_nos, n, i).cast("int")),
         lambda line, feeds: F.concat(F.repeat(F.lit("\n"), feeds), line),
     )
     return F.array_join(padded, "")
 
 
+def _true_numbers(line_nos: Column) -> Column:
+    """The number in the whole text of every line of its sparse text; NULL for whole texts."""
+    first = F.lit(1).cast("bigint")
+    return F.flatten(
+        F.transform(
+            line_nos,
+            lambda n, i: F.sequence(n - _line_feeds(line_nos, n, i) + F.when(i == 0, first - 1).otherwise(first), n),
+        )
+    )
+
+
 def regex_findings(
     units: DataFrame, catalogue: Iterable[Signature] = DEFAULT_CATALOGUE
 ) -> DataFrame:

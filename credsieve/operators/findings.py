@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
+from credsieve import session
 from credsieve.functions import paths, text
+from credsieve.operators.detect import ORDER_COLUMNS, PLACE_COLUMNS
 
 
 def literal_case(key: Column, table: dict) -> Column:
@@ -84,11 +86,45 @@ def gate_status(
     )
 
 
+def finding_order(findings: DataFrame) -> Column:
+    """The one order of findings, as a value to sort or compare by.
+
+    Repositories as they were listed, then the newest commit first, then files
+    as in the tree or commit (else as a walk visits them), then detector,
+    pattern, match.  What a scan does not know is ordered by name.
+    """
+    known = {
+        c: F.coalesce(F.col(c).cast("bigint"), F.lit(1 << 62)) if c in findings.columns else F.lit(1 << 62)
+        for c in PLACE_COLUMNS
+    }
+    repo_pos, commit_pos, unit_ord = (column.alias(c) for c, column in known.items())
+    walk = paths.walk_order(F.col("file_path")).alias("walk")
+    return F.struct(repo_pos, "repo", commit_pos, unit_ord, walk, "commit_sha", *ORDER_COLUMNS)
+
+
 def ordered(findings: DataFrame, unit: Sequence[str | Column] | None = None) -> DataFrame:
-    """Sort for an ordered sink: unit, then detector, pattern, match.
+    """Sort for an ordered sink: by ``unit`` and then the match, or in finding order."""
+    order = [finding_order(findings)] if unit is None else [*unit, *ORDER_COLUMNS]
+    return findings.orderBy(*order)
 
-    Without ``unit`` the units follow repository, commit and file-tree order.
+
+def numbered(findings: DataFrame, unit: Sequence[str | Column] | None = None) -> DataFrame:
+    """Findings with ``place``, their number in finding order from 1 on.
+
+    The sorted ranges are written once, counted, and each is numbered from where
+    the ranges before it end, so no task sees more than its own range.
     """
-    if unit is None:
-        unit = ["repo", "commit_sha", paths.walk_order(F.col("file_path"))]
-    return findings.orderBy(*unit, "detector_ord", "pattern_ord", "match_ord")
+    spark = findings.sparkSession
+    ranges = session.keep(
+        ordered(findings, unit)
+        .withColumn("range", F.spark_partition_id())
+        .withColumn("row", F.monotonically_increasing_id()),
+        "ordered",
+    )
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    # one row for each range; there are as many as shuffle partitions
+    starts = sizes.select("range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    bounded = spark.createDataFrame(starts.collect(), starts.schema)
+    place = F.col("row") - F.col("first") + F.col("start") + 1
+    return ranges.join(F.broadcast(bounded), "range").withColumn("place", place).drop("range", "row", "first", "start")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from credsieve import fixed_values as fixed
 from credsieve.functions import paths, text
 
-_ADDED_LINE = "array<struct<line_number:int,pos:int,line:string>>"
+_ADDED_LINE = "array<struct<line_number:bigint,pos:int,line:string>>"
+# More digits than a 64-bit number has, leading zeros aside.
+_UNREADABLE_HUNK = r"(?m)^@@ [^+\n]*\+0*[1-9][0-9]{18,}[, ]"
 
 
 def newest_commits(
@@ -23,7 +25,10 @@ def newest_commits(
         raise ValueError("max_commits must be >= 1")
     newest = Window.partitionBy("repo", "branch").orderBy("pos")
     return (
-        commits.withColumn("rank", F.row_number().over(newest))
+        commits.where("commit_sha is not null")
+        .select("repo", "branch", "pos", "commit_sha")
+        .distinct()
+        .withColumn("rank", F.row_number().over(newest))
         .where(F.col("rank") <= max_commits)
         .drop("rank")
     )
@@ -33,11 +38,10 @@ def _hunk_lines(hunk: Column, hunk_index: Column) -> Column:
     """Added lines of one hunk.
 
     The position of a line among those that exist in the new file is its offset
-    from the start named in the header; all other lines are dropped first.
+    from the start named in the header; all other lines are dropped first.  A
+    start that no 64-bit number holds places nothing: see ``unreadable``.
     """
-    digits = F.regexp_extract(hunk, fixed.HUNK_HEADER_FORMAT, 1)
-    # No file has a line number of ten digits; such a hunk places nothing.
-    start = F.when(F.char_length(digits) <= 9, digits).cast("int")
+    start = F.regexp_extract(hunk, fixed.HUNK_HEADER_FORMAT, 1).try_cast("bigint")
     body = F.slice(F.split(hunk, "\n", -1), 2, F.char_length(hunk))
     in_new_file = F.filter(
         body, lambda line: ~line.startswith("-") & ~line.startswith("\\") & ~line.startswith("+++")
@@ -101,6 +105,11 @@ def added_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
     ).where(F.col("line_nos").isNotNull())
 
 
+def unreadable(patch: Column) -> Column:
+    """Some hunk of the patch starts at a line number that is too long to be read."""
+    return F.coalesce(patch.rlike(_UNREADABLE_HUNK), F.lit(False))
+
+
 def history_units(
     commit_files: DataFrame, excludes: tuple[str, ...] = fixed.DEFAULT_EXCLUDES
 ) -> DataFrame:

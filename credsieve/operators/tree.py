@@ -7,16 +7,19 @@ and none of its files is scanned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
 from credsieve.functions import paths
 
 BRANCH_ERROR = "branch head not found"
+BRANCH_RECORD_ERROR = "branch record not valid"
 TREE_ERROR = "tree listing not found or not valid"
-BLOB_ERROR = "blob not found"
+BLOB_ERROR = "blob not found or not valid"
 COMMITS_ERROR = "commit listing not found"
+COMMITS_PAGE_ERROR = "commit listing not valid"
+HUNK_ERROR = "patch with an unreadable line number"
 COMMIT_FILES_ERROR = "commit record not found or not valid"
 
 
@@ -24,15 +27,27 @@ def targets(repos: DataFrame, branch: str | None = None) -> DataFrame:
     """One row per repository: ``repo``, ``branch`` and an ``error`` or NULL.
 
     ``repo`` is the cleaned ``owner/repo`` label for valid names and the name as
-    listed for others.
+    listed for others; a record that could not be read has an empty one.
+    ``repo_pos`` is the place in the listing, where that is known.  A repository
+    that was listed twice counts once.
     """
-    name = F.col("full_name")
+    name = F.coalesce("full_name", F.lit(""))
     valid = paths.valid_repo_name(name)
-    return repos.select(
+    given = F.col("error") if "error" in repos.columns else F.lit(None).cast("string")
+    place = F.col("listed_at") if "listed_at" in repos.columns else F.lit(None)
+    rows = repos.select(
         F.when(valid, paths.repo_label(name)).otherwise(name).alias("repo"),
         paths.target_branch(F.col("default_branch"), branch).alias("branch"),
-        F.when(~valid, fixed.BAD_REPO_NAME_ERROR).alias("error"),
+        F.coalesce(given, F.when(~valid, fixed.BAD_REPO_NAME_ERROR)).alias("error"),
+        place.cast("bigint").alias("repo_pos"),
     )
+    once = rows.where("error is null").groupBy("repo", "branch", "error").agg(F.min("repo_pos").alias("repo_pos"))
+    return once.unionByName(rows.where("error is not null"))
+
+
+def valid_rows(table: DataFrame) -> Column:
+    """The ``valid`` flag of a parsed table; tables from elsewhere may lack it."""
+    return F.coalesce("valid", F.lit(False)) if "valid" in table.columns else F.lit(True)
 
 
 def one_repo(repos: DataFrame, full_name: str) -> DataFrame:
@@ -45,15 +60,21 @@ def one_repo(repos: DataFrame, full_name: str) -> DataFrame:
 
 def with_heads(chosen: DataFrame, branches: DataFrame) -> DataFrame:
     """Resolve the head commit of every target branch."""
-    heads = branches.select("repo", "branch", "commit_sha")
-    return chosen.join(heads, ["repo", "branch"], "left").withColumn(
-        "error", F.coalesce("error", F.when(F.col("commit_sha").isNull(), BRANCH_ERROR))
+    state = F.struct(valid_rows(branches).alias("ok"), "commit_sha")
+    # of a record that was landed twice, one that can be read
+    heads = branches.groupBy("repo", "branch").agg(F.max(state).alias("head"))
+    problem = F.when(F.col("head").isNull(), BRANCH_ERROR).when(
+        ~F.col("head.ok") | F.col("head.commit_sha").isNull(), BRANCH_RECORD_ERROR
     )
+    joined = chosen.join(heads, ["repo", "branch"], "left").withColumn("commit_sha", F.col("head.commit_sha"))
+    return joined.withColumn("error", F.coalesce("error", problem)).drop("head")
 
 
 def with_trees(resolved: DataFrame, trees: DataFrame) -> DataFrame:
     """Attach the tree of the head commit; truncated listings are refused."""
-    listed = trees.select("repo", "commit_sha", "valid", "truncated", "tree")
+    best = Window.partitionBy("repo", "commit_sha").orderBy(F.col("valid").desc(), "truncated")
+    once = trees.withColumn("copy", F.row_number().over(best)).where("copy = 1")
+    listed = once.select("repo", "commit_sha", "valid", "truncated", "tree")
     problem = F.when(~F.coalesce("valid", F.lit(False)), TREE_ERROR).when(
         F.col("truncated"), fixed.TRUNCATED_TREE_ERROR
     )
@@ -84,16 +105,20 @@ def tree_files(
     excludes: tuple[str, ...] = fixed.DEFAULT_EXCLUDES,
     max_bytes: int = fixed.MAX_FILE_SIZE_BYTES,
 ) -> DataFrame:
-    """Explode the trees of sound repositories to the files to scan."""
+    """Explode the trees of sound repositories to the files to scan.
+
+    ``listed`` may hold the ``pattern`` of each repository's own policy.
+    """
+    if "pattern" not in listed.columns:
+        listed = listed.withColumn("pattern", F.lit(None).cast("string"))
     items = listed.where(F.col("error").isNull()).select(
-        "repo", "branch", "commit_sha", F.posexplode_outer("tree").alias("unit_ord", "item")
-    )
-    return items.where(
-        wanted_item(
-            F.col("item.type"), F.col("item.size"), F.col("item.path"), excludes, max_bytes
-        )
-    ).select(
+        "repo", "repo_pos", "branch", "commit_sha", "pattern",
+        F.posexplode_outer("tree").alias("unit_ord", "item"),
+    )
+    chosen = wanted_item(F.col("item.type"), F.col("item.size"), F.col("item.path"), excludes, max_bytes)
+    return items.where(chosen & ~_excluded_by(F.col("pattern"), F.col("item.path"))).select(
         "repo",
+        "repo_pos",
         "branch",
         "commit_sha",
         F.col("item.path").alias("file_path"),
@@ -102,23 +127,26 @@ def tree_files(
     )
 
 
-def apply_policy(files: DataFrame, policies: DataFrame) -> DataFrame:
-    """Drop files excluded by their repository's own policy.
+def _excluded_by(pattern: Column, path: Column) -> Column:
+    clean = paths.normalise(path)
+    hit = F.rlike(clean, pattern) | F.rlike(paths.basename(clean), pattern)
+    return F.coalesce(hit, F.lit(False))
+
+
+def with_policy(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """Attach the ``pattern`` of each repository's own policy.
 
-    ``policies`` has ``repo`` and ``excludes``, a comma-separated glob list.
-    Each policy becomes one pattern, so files meet policies in an equi-join on
-    the repository instead of being compared with every glob.
+    ``policies`` has ``repo`` and ``excludes``, a comma-separated glob list,
+    which becomes one pattern.  Join it while a repository is one row.
     """
-    patterns = policies.select(
-        "repo", paths.policy_pattern(paths.parse_globs(F.col("excludes"))).alias("pattern")
-    )
-    clean = paths.normalise(F.col("file_path"))
-    hit = F.rlike(clean, F.col("pattern")) | F.rlike(paths.basename(clean), F.col("pattern"))
-    return (
-        files.join(patterns, "repo", "left")
-        .where(~F.coalesce(hit, F.lit(False)))
-        .drop("pattern")
-    )
+    pattern = paths.policy_pattern(paths.parse_globs(F.col("excludes")))
+    return rows.join(policies.select("repo", pattern.alias("pattern")), "repo", "left")
+
+
+def apply_policy(files: DataFrame, policies: DataFrame) -> DataFrame:
+    """Drop files excluded by their repository's own policy, for files that are a table already."""
+    known = with_policy(files, policies)
+    return known.where(~_excluded_by(F.col("pattern"), F.col("file_path"))).drop("pattern")
 
 
 def unscanned_blobs(blobs: DataFrame) -> DataFrame:
@@ -129,6 +157,22 @@ def unscanned_blobs(blobs: DataFrame) -> DataFrame:
     )
 
 
+PRUNE_KEYS = 500_000
+
+
+def only_wanted(texts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a table of texts that some key asks for, without moving texts.
+
+    Up to PRUNE_KEYS keys are sent to all tasks.  More of them ask for most of
+    the table anyway: then texts stay where they lie, and the join of the findings
+    with their paths drops what nothing asked for.
+    """
+    keys = keys.select(*on).distinct()
+    if keys.limit(PRUNE_KEYS + 1).count() > PRUNE_KEYS:
+        return texts
+    return texts.join(F.broadcast(keys), on, "left_semi")
+
+
 def failures_of(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error").isNotNull()).select("repo", "branch", "error")
 

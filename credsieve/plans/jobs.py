@@ -22,6 +22,7 @@ from credsieve.operators import history, tree
 from credsieve.operators.detect import (
     FINDING_COLUMNS,
     ORDER_COLUMNS,
+    PLACE_COLUMNS,
     DetectOptions,
     detect,
 )
@@ -74,6 +75,11 @@ def _entropy_excluded(options: ScanOptions) -> Column:
     )
 
 
+def _once(hits: DataFrame, *unit: str) -> DataFrame:
+    """Findings of units that may have been landed more than once: crawlers retry."""
+    return hits.dropDuplicates([*unit, "line_number", "matched_text", *ORDER_COLUMNS])
+
+
 def scan_units(units: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Scan a table of texts: ``repo, file_path, commit_sha, content``."""
     return detect(units, options.detect).select(*FINDING_COLUMNS, *ORDER_COLUMNS)
@@ -89,27 +95,29 @@ def scan_trees(
 ) -> ScanResult:
     """Scan the current tree of every repository of ``repos``.
 
-    Each blob is scanned once, whatever the number of paths it has; its findings
-    then join the paths.  Rules that depend on a path are applied after that.
+    Only blobs that some path wants are scanned, each once, whatever the number
+    of its paths or of the times it was landed; its findings then join the
+    paths.  Rules that depend on a path are applied after that.
     """
-    listed = tree.with_trees(
-        tree.with_heads(tree.targets(repos, options.branch), branches), trees
+    heads = tree.with_heads(tree.targets(repos, options.branch), branches)
+    listed = tree.with_trees(heads, trees)
+    # Policies join while each repository is one row, so that one with very many
+    # files is no hot key.
+    ruled = tree.with_policy(listed, policies) if policies is not None else listed
+    files = session.keep(
+        tree.tree_files(ruled, options.all_excludes(), options.max_file_size_bytes), "files"
     )
+    sound = blobs.where(tree.valid_rows(blobs))
+    lost = session.keep(tree.missing(files, sound, ["repo", "sha"], tree.BLOB_ERROR), "lost")
+    wanted = files.join(lost.select("repo"), "repo", "left_anti")
 
-    def files_of(rows: DataFrame) -> DataFrame:
-        files = tree.tree_files(rows, options.all_excludes(), options.max_file_size_bytes)
-        return tree.apply_policy(files, policies) if policies is not None else files
-
-    lost = tree.missing(files_of(listed), blobs, ["repo", "sha"], tree.BLOB_ERROR)
-    # Repositories that lost a blob leave while each is one row, so that a
-    # repository with very many files or findings is no hot key of that join.
-    wanted = files_of(listed.join(lost.select("repo"), "repo", "left_anti"))
-
-    hits = detect(blobs.select("repo", "sha", "content"), options.detect, ("repo", "sha"), None)
+    scanned = tree.only_wanted(sound.select("repo", "sha", "content"), wanted, ["repo", "sha"])
+    hits = _once(detect(scanned, options.detect, ("repo", "sha"), None), "repo", "sha")
     findings = (
         hits.join(wanted, ["repo", "sha"])
         .where(~_entropy_excluded(options))
-        .select(*FINDING_COLUMNS, "unit_ord", *ORDER_COLUMNS)
+        .withColumn("commit_pos", F.lit(None).cast("int"))
+        .select(*FINDING_COLUMNS, *PLACE_COLUMNS, *ORDER_COLUMNS)
     )
     return ScanResult(findings, tree.failures_of(listed).unionByName(lost))
 
@@ -120,24 +128,38 @@ def scan_histories(
     commit_files: DataFrame,
     options: ScanOptions = ScanOptions(),
 ) -> ScanResult:
-    """Scan the lines added by the newest commits of every target branch."""
-    chosen = tree.targets(repos, options.branch)
-    newest = history.newest_commits(commits, options.max_commits)
-    listed = chosen.join(
-        newest.select("repo", "branch", "commit_sha", F.col("pos").alias("commit_pos")),
-        ["repo", "branch"],
-        "left",
-    ).withColumn(
-        "error", F.coalesce("error", F.when(F.col("commit_sha").isNull(), tree.COMMITS_ERROR))
+    """Scan the lines added by the newest commits of every target branch.
+
+    A branch whose listing was landed and is empty has no findings; one without
+    a listing fails, and so does one of which a page or a commit cannot be read.
+    """
+    pages = commits.groupBy("repo", "branch").agg(F.bool_and(tree.valid_rows(commits)).alias("sound"))
+    problem = F.when(F.col("sound").isNull(), tree.COMMITS_ERROR).when(~F.col("sound"), tree.COMMITS_PAGE_ERROR)
+    listed = tree.targets(repos, options.branch).join(pages, ["repo", "branch"], "left").withColumn(
+        "error", F.coalesce("error", problem)
     )
-    wanted = listed.where(F.col("error").isNull()).select(
-        "repo", "branch", "commit_sha", "commit_pos"
+    newest = history.newest_commits(commits, options.max_commits)
+    wanted = session.keep(
+        listed.where(F.col("error").isNull())
+        .select("repo", "branch", "repo_pos")
+        .join(newest, ["repo", "branch"])
+        .withColumnRenamed("pos", "commit_pos"),
+        "commits",
     )
-    lost = tree.missing(
-        wanted, commit_files.where("valid"), ["repo", "commit_sha"], tree.COMMIT_FILES_ERROR
+    # Nothing of a commit is parsed that no branch has among its newest.
+    records = tree.only_wanted(commit_files, wanted, ["repo", "commit_sha"])
+    sound = records.where(tree.valid_rows(commit_files))
+    broken = sound.where(F.exists("files", lambda f: history.unreadable(f["patch"]))).select("repo", "commit_sha")
+    lost = session.keep(
+        tree.missing(wanted, sound, ["repo", "commit_sha"], tree.COMMIT_FILES_ERROR).unionByName(
+            wanted.join(broken, ["repo", "commit_sha"], "left_semi")
+            .select("repo", "branch", F.lit(tree.HUNK_ERROR).alias("error"))
+            .distinct()
+        ),
+        "lost",
     )
 
-    changed = commit_files.select(
+    changed = sound.select(
         "repo", "commit_sha", F.posexplode_outer("files").alias("file_ord", "file")
     ).select(
         "repo",
@@ -147,31 +169,45 @@ def scan_histories(
         F.col("file.patch").alias("patch"),
     )
     units = history.history_units(changed, options.all_excludes())
-    hits = detect(units, options.detect, ("repo", "commit_sha", "file_path", "file_ord"))
+    keys = ("repo", "commit_sha", "file_path", "file_ord")
+    hits = _once(detect(units, options.detect, keys), *keys)
     complete = wanted.join(lost.select("repo"), "repo", "left_anti").drop("branch")
     findings = (
         hits.join(complete, ["repo", "commit_sha"])
         .withColumn("unit_ord", F.col("file_ord"))
-        .select(*FINDING_COLUMNS, "unit_ord", *ORDER_COLUMNS)
+        .select(*FINDING_COLUMNS, *PLACE_COLUMNS, *ORDER_COLUMNS)
     )
-    return ScanResult(findings, tree.failures_of(listed).distinct().unionByName(lost))
+    return ScanResult(findings, tree.failures_of(listed).unionByName(lost))
 
 
 def scan_folder(
     spark: SparkSession, root: str, options: ScanOptions = ScanOptions()
 ) -> DataFrame:
-    """Scan a file or directory; the repository label is ``root`` as given."""
+    """Findings of a file or directory; see ``scan_tree_of_files``."""
+    return scan_tree_of_files(spark, root, options).findings
+
+
+def scan_tree_of_files(
+    spark: SparkSession, root: str, options: ScanOptions = ScanOptions()
+) -> ScanResult:
+    """Scan a file or directory, whose normalised path is the repository label.
+
+    A file that is gone or may not be read is a row of ``failures``, with its
+    path in ``branch``; any other error of the file system fails the job.
+    """
     if options.max_file_size_bytes < 0:
-        raise ValueError("max_file_size_bytes must be >= 0")
+        raise ValueError("a file size limit below 0 leaves nothing to scan")
+    label = file_source.normalised(root)
     files = file_source.list_files(spark, root)
     kept = files.where(
         ~paths.matches_any_glob(F.col("file_path"), options.all_excludes())
-        & (F.col("size") <= options.max_file_size_bytes)
+        & (F.coalesce("size", F.lit(0)) <= options.max_file_size_bytes)
     )
-    units = file_source.read_texts(kept).select(
-        F.lit(root).alias("repo"), "file_path", F.lit("").alias("commit_sha"), "content"
-    )
-    return detect(units, options.detect).select(*FINDING_COLUMNS, *ORDER_COLUMNS)
+    texts, unread = file_source.read_files(kept)
+    units = texts.select(F.lit(label).alias("repo"), "file_path", F.lit("").alias("commit_sha"), "content")
+    findings = detect(units, options.detect).select(*FINDING_COLUMNS, *ORDER_COLUMNS)
+    failures = unread.select(F.lit(label).alias("repo"), F.col("file_path").alias("branch"), F.col("reason").alias("error"))
+    return ScanResult(findings, failures)
 
 
 def finish(
