@@ -1,8 +1,9 @@
-"""Reports: JSON lines, SARIF documents, HTML pages, failures, baselines.
+"""Reports: JSON lines, SARIF, HTML, failures, baselines.
 
-Reports are tables of rows or of documents and are written in parallel.  A
-document holds a bounded number of findings: a repository with more gets several
-documents, so that no repository has to fit into one task.
+A SARIF or HTML report is one document for all findings, made of ordered
+fragments: an opening, one row per finding, a closing.  The fragments are
+written in order and joined by line feeds they are the document, so no row holds
+more than one finding whatever the size of the scan.
 """
 
 from __future__ import annotations
@@ -11,18 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
-from credsieve import session
 from credsieve.functions import text
 from credsieve.operators import baseline as accepted
-from credsieve.operators.detect import FINDING_COLUMNS, ORDER_COLUMNS
-from credsieve.operators.findings import confidence_level, with_fingerprint
+from credsieve.operators.detect import FINDING_COLUMNS
+from credsieve.operators.findings import confidence_level, finding_order, numbered, with_fingerprint
 
-MAX_PER_DOCUMENT = 10_000
 TOOL_NAME = "credsieve"
 REPORT_TITLE = "Credential exposure report"
-HTML_HEADINGS = (
-    "Confidence", "Method", "Pattern", "Repository", "File", "Line", "Entropy", "Match", "Commit",
-)
+#: Columns of the HTML table, in order; the names of their headings.
+HTML_COLUMNS = {
+    "confidence": "Confidence",
+    "detection_method": "Method",
+    "pattern_name": "Pattern",
+    "repo": "Repository",
+    "file_path": "File",
+    "line_number": "Line",
+    "entropy_score": "Entropy",
+    "matched_text": "Match",
+    "commit_sha": "Commit",
+}
+_CODE = ("matched_text", "commit_sha")
 
 
 # --- rows -------------------------------------------------------------------
@@ -35,7 +44,9 @@ def json_rows(findings: DataFrame) -> DataFrame:
 
 def sarif_results(findings: DataFrame) -> DataFrame:
     """The scalar content of SARIF results, one row per finding."""
+    place = ["place"] if "place" in findings.columns else []
     return with_fingerprint(findings).select(
+        *place,
         "repo",
         text.rule_slug(F.col("pattern_name"), F.col("detection_method")).alias("rule_id"),
         confidence_level(F.col("confidence")).alias("level"),
@@ -51,8 +62,7 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """Distinct rules; the first finding of a rule decides its name and level."""
-    order = F.struct("repo", "commit_sha", "file_path", *ORDER_COLUMNS)
-    first = F.min_by(F.struct("pattern_name", "confidence"), order)
+    first = F.min_by(F.struct("pattern_name", "confidence"), finding_order(findings))
     return (
         findings.groupBy(
             text.rule_slug(F.col("pattern_name"), F.col("detection_method")).alias("rule_id")
@@ -67,25 +77,19 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def html_row() -> Column:
-    """Table row of one finding, every text escaped."""
-
-    def cell(name: str, code: bool = False) -> Column:
-        shown = text.html_escape(F.col(name))
-        before, after = ("<td><code>", "</code></td>") if code else ("<td>", "</td>")
-        return F.concat(F.lit(before), shown, F.lit(after))
-
-    return F.concat(
-        F.lit("      <tr>"),
-        cell("confidence"),
-        cell("detection_method"),
-        cell("pattern_name"),
-        cell("repo"),
-        cell("file_path"),
-        F.format_string("<td>%d</td><td>%.2f</td>", "line_number", "entropy_score"),
-        cell("matched_text", code=True),
-        cell("commit_sha", code=True),
-        F.lit("</tr>"),
-    )
+    """One finding as a table row, every text escaped."""
+
+    def cell(name: str) -> Column:
+        if name == "entropy_score":
+            shown = text.two_decimals(F.col(name))
+        elif name == "line_number":
+            shown = F.col(name).cast("string")
+        else:
+            shown = text.html_escape(F.col(name))
+        tags = ("<td><code>", "</code></td>") if name in _CODE else ("<td>", "</td>")
+        return F.concat(F.lit(tags[0]), shown, F.lit(tags[1]))
+
+    return F.concat(F.lit("<tr>"), *map(cell, HTML_COLUMNS), F.lit("</tr>"))
 
 
 def html_rows(findings: DataFrame) -> DataFrame:
@@ -102,142 +106,74 @@ def failure_rows(failures: DataFrame) -> DataFrame:
 # --- documents ----------------------------------------------------------------
 
 
-def _with_document(findings: DataFrame, limit: int) -> DataFrame:
-    """Number the documents of each repository so that none gets too large.
+def _framed(rows: DataFrame, opening: DataFrame, closing: str) -> DataFrame:
+    """``place, fragment``: the rows between an opening (one row) and a closing."""
+    last = rows.agg(F.coalesce(F.max("place"), F.lit(0)) + 1).toDF("place").withColumn("fragment", F.lit(closing))
+    return opening.select(F.lit(0).cast("bigint").alias("place"), "fragment").unionByName(rows).unionByName(last)
 
-    Findings are counted per repository with map-side sums; the counts decide
-    how many documents a repository needs and a hash deals its findings out.
-    """
-    parts = findings.groupBy("repo").agg(
-        F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("parts")
-    )
-    # Dealt out by row number, not by value: equal findings must spread as well.
-    return (
-        findings.withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
-        .join(parts, "repo")
-        .withColumn("part", F.pmod("row", "parts").cast("int"))
-        .drop("parts", "row")
-    )
 
+def sarif_fragments(places: DataFrame) -> DataFrame:
+    """The SARIF document of numbered findings, as rows ``place, fragment``.
 
-def _grouped(rows: DataFrame, limit: int, content: Column) -> DataFrame:
-    """Collect the content of each document in finding order."""
-    order = [c for c in ("unit_ord",) if c in rows.columns]
-    place = F.struct("commit_sha", *(order or ["file_path"]), *ORDER_COLUMNS, "file_path")
-    return (
-        _with_document(rows, limit)
-        .groupBy("repo", "part")
-        .agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), content.alias("content")))).alias("rows"))
-        .select("repo", "part", F.col("rows.content").alias("rows"))
-    )
-
-
-def sarif_documents(findings: DataFrame, limit: int = MAX_PER_DOCUMENT) -> DataFrame:
-    """SARIF documents: ``repo, part, document``.
-
-    The findings are counted before they are dealt out, so the scan behind them
-    is run once and its result kept.
+    Without findings it is a document without results, as for a clean scan.
     """
-    findings = session.keep(findings, "report")
-    level = confidence_level(F.col("confidence"))
-    name = F.col("pattern_name")
-    rule_id = text.rule_slug(name, F.col("detection_method"))
-    rule = F.struct(
-        rule_id.alias("id"),
-        name.alias("name"),
-        F.struct(name.alias("text")).alias("shortDescription"),
-        F.struct(level.alias("level")).alias("defaultConfiguration"),
-    )
-    message = F.concat(name, F.lit(" detected via "), "detection_method", F.lit(" in "), "repo", F.lit("."))
+    results = sarif_results(places)
     location = F.struct(
         F.struct(
-            F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"),
-            F.struct(F.col("line_number").alias("startLine")).alias("region"),
+            F.struct("uri").alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")
         ).alias("physicalLocation")
     )
     result = F.struct(
         F.array(location).alias("locations"),
-        level.alias("level"),
-        F.struct(message.alias("text")).alias("message"),
+        "level",
+        F.struct(F.col("message").alias("text")).alias("message"),
         F.struct(F.col("fingerprint").alias(fixed.SARIF_FINGERPRINT_KEY)).alias("partialFingerprints"),
-        rule_id.alias("ruleId"),
-    )
-    grouped = _grouped(
-        with_fingerprint(findings), limit, F.struct(rule.alias("rule"), result.alias("result"))
-    )
-    # A rule is described by the first finding that names it; there are never
-    # more rules than signatures, so they are gathered with a small lookup.
-    rule_type = (
-        "struct<id:string,name:string,shortDescription:struct<text:string>,"
-        "defaultConfiguration:struct<level:string>>"
-    )
-    first_rules = F.aggregate(
-        "rows.rule",
-        F.expr(f"cast(map() as map<string, {rule_type}>)"),
-        lambda seen, r: F.when(F.map_contains_key(seen, r["id"]), seen).otherwise(
-            F.map_concat(seen, F.create_map(r["id"], r))
-        ),
-    )
-    driver = F.struct(
-        F.lit(TOOL_NAME).alias("name"), F.array_sort(F.map_values(first_rules)).alias("rules")
-    )
-    run = F.struct(
-        F.col("rows.result").alias("results"), F.struct(driver.alias("driver")).alias("tool")
-    )
-    document = F.struct(
-        F.lit(fixed.SARIF_SCHEMA).alias("$schema"),
-        F.array(run).alias("runs"),
-        F.lit(fixed.SARIF_VERSION).alias("version"),
+        F.col("rule_id").alias("ruleId"),
     )
-    return grouped.select("repo", "part", F.to_json(document).alias("document"))
-
-
-def _html_page(rows: Column) -> Column:
-    headings = "".join(f"        <th>{h}</th>\n" for h in HTML_HEADINGS)
-    head = (
-        f'<!doctype html>\n<html lang="en">\n<head>\n  <meta charset="utf-8">\n'
-        f"  <title>{REPORT_TITLE}</title>\n</head>\n<body>\n  <h1>{REPORT_TITLE}</h1>\n"
-        f"  <table>\n    <thead>\n      <tr>\n{headings}      </tr>\n    </thead>\n    <tbody>\n"
+    comma = F.when(F.col("place") > 1, ",").otherwise("")
+    rows = results.select("place", F.concat(comma, F.to_json(result)).alias("fragment"))
+    rule = F.struct(
+        F.col("rule_id").alias("id"),
+        "name",
+        F.struct(F.col("name").alias("text")).alias("shortDescription"),
+        F.struct("level").alias("defaultConfiguration"),
     )
-    return F.concat(F.lit(head), rows, F.lit("\n    </tbody>\n  </table>\n</body>\n</html>"))
+    # there are never more rules than signatures
+    rules = sarif_rules(places).agg(F.to_json(F.array_sort(F.collect_list(rule))).alias("rules"))
+    before = f'{{"$schema":"{fixed.SARIF_SCHEMA}","version":"{fixed.SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":"{TOOL_NAME}","rules":'
+    opening = rules.select(F.concat(F.lit(before), "rules", F.lit('}},"results":[')).alias("fragment"))
+    return _framed(rows, opening, "]}]}")
 
 
-def html_documents(findings: DataFrame, limit: int = MAX_PER_DOCUMENT) -> DataFrame:
-    """HTML pages: ``repo, part, document``; one page says so when there are none."""
-    findings = session.keep(findings, "report")
-    pages = _grouped(findings, limit, html_row()).select(
-        "repo", "part", _html_page(F.array_join("rows", "\n")).alias("document")
-    )
-    nothing = f'<tr><td colspan="{len(HTML_HEADINGS)}">{fixed.EMPTY_REPORT_TEXT}</td></tr>'
-    empty = (
-        findings.limit(1)
-        .agg(F.count("*").alias("n"))
-        .where("n = 0")
-        .select(
-            F.lit("").alias("repo"), F.lit(0).alias("part"),
-            _html_page(F.lit(nothing)).alias("document"),
-        )
+def html_fragments(places: DataFrame) -> DataFrame:
+    """The HTML page of numbered findings, as rows ``place, fragment``; it says so if there are none."""
+    headings = "".join(f"<th>{heading}</th>" for heading in HTML_COLUMNS.values())
+    start = (
+        f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{REPORT_TITLE}</title></head>'
+        f"<body><h1>{REPORT_TITLE}</h1><table><thead><tr>{headings}</tr></thead><tbody>"
     )
-    return pages.unionByName(empty)
+    nothing = f'<tr><td colspan="{len(HTML_COLUMNS)}">{fixed.EMPTY_REPORT_TEXT}</td></tr>'
+    count = places.limit(1).agg(F.count("*").alias("n"))
+    opening = count.select(F.concat(F.lit(start), F.when(F.col("n") == 0, nothing).otherwise("")).alias("fragment"))
+    return _framed(places.select("place", html_row().alias("fragment")), opening, "</tbody></table></body></html>")
 
 
 # --- writers -------------------------------------------------------------------
 
 
 def write_report(findings: DataFrame, output_format: str, path: str) -> None:
-    """Write findings as ``json``, ``sarif`` or ``html`` under ``path``.
+    """Write findings as ``json``, ``sarif`` or ``html`` files under ``path``.
 
-    SARIF and HTML land in one folder per repository, one document per line of
-    its files (line feeds of a page are kept by writing JSON strings).
+    The files of a SARIF or HTML report, in the order of their names, are one
+    document.  The scan behind the findings runs once, when they are numbered.
     """
     if output_format == "json":
         findings.select(*sorted(FINDING_COLUMNS)).write.json(path)
-    elif output_format == "sarif":
-        sarif_documents(findings).select("repo", "document").write.partitionBy("repo").text(path)
-    elif output_format == "html":
-        html_documents(findings).write.partitionBy("repo").json(path)
-    else:
-        raise ValueError(f"unsupported output format: {output_format}")
+        return
+    fragments = {"sarif": sarif_fragments, "html": html_fragments}.get(output_format)
+    if fragments is None:
+        raise ValueError(f"there is no report format {output_format!r}; choose json, sarif or html")
+    fragments(numbered(findings)).orderBy("place").select("fragment").write.text(path)
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:

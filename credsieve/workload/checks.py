@@ -141,7 +141,7 @@ def entropy_cte(
 
 def findings_cte(hits: str) -> str:
     return f"""findings AS (
-      SELECT repo, file_path, line_number::INTEGER AS line_number, {redacted('value')} AS matched_text,
+      SELECT repo, file_path, line_number::BIGINT AS line_number, {redacted('value')} AS matched_text,
         detection_method, pattern_name, confidence, commit_sha, round(h, 6) AS entropy_score
       FROM ({hits}))"""
 
@@ -231,7 +231,7 @@ HISTORY_UNITS = f"""history_ranked AS (
       SELECT s.repo, s.branch, d.doc_id, d.commit_sha, d.file_path,
         row_number() OVER (PARTITION BY s.repo ORDER BY d.doc_id % 25) AS rn
       FROM history_state s JOIN patch_docs d ON d.r = s.r WHERE s.error IS NULL),
-    history_wanted AS (SELECT * FROM history_ranked WHERE rn <= 10),
+    history_wanted AS (SELECT * FROM history_ranked WHERE rn <= 50),
     history_lost AS (SELECT DISTINCT repo, branch FROM history_wanted WHERE doc_id % 199 = 9),
     history_kept AS (
       SELECT * FROM history_wanted WHERE repo NOT IN (SELECT repo FROM history_lost)

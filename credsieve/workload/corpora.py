@@ -105,8 +105,14 @@ BLOB_SHA = "md5(concat('blob', cast(doc_id as string)))"
 COMMIT_SHA = "md5(concat('commit', cast(doc_id as string)))"
 
 
+# Stored tables up to this size come in few splits or one, and are dealt out.
+SMALL_BYTES = 64 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return spread(stored, 16) if int(str(size)) <= SMALL_BYTES else stored
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +174,8 @@ def repo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit("").alias("html_url"),
                 F.expr("r % 11 = 5").alias("private"),
             )
-        ).alias("payload")
+        ).alias("payload"),
+        (F.lit(1_000_000) - F.col("r")).alias("page_start"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,18 @@ from credsieve import fixed_values as fixed
 from credsieve import session
 from credsieve.functions import paths, text
 from credsieve.operators import baseline, findings, history, tree
-from credsieve.operators.catalogue import DEFAULT_CATALOGUE, Signature, catalogue_table
+from credsieve.operators.catalogue import (
+    DEFAULT_CATALOGUE,
+    Signature,
+    catalogue_entries,
+    catalogue_table,
+    load_catalogue,
+)
 from credsieve.operators.detect import (
     FINDING_COLUMNS,
+    DetectOptions,
     EntropyOptions,
+    detect,
     entropy_findings,
     is_dotted_namespace,
     is_noise_line,
@@ -25,6 +34,7 @@ from credsieve.operators.detect import (
 from credsieve.plans import jobs
 from credsieve.sinks import files as file_sink
 from credsieve.sinks import reports
+from credsieve.sources import files as file_source
 from credsieve.sources import landed
 from credsieve.sources.tables import as_scan_units, load_baseline
 from credsieve.streaming import scan as streaming
@@ -260,7 +270,7 @@ def noisy_page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
       narrowed AS (SELECT page_id, regexp_extract(trim(tok, '.'), '^[A-Za-z0-9_.-]+[=:](.+)$', 1) AS v,
         trim(tok, '.') AS t FROM tokens),
       candidates AS (SELECT page_id, CASE WHEN length(v) >= 21 THEN v ELSE t END AS candidate FROM narrowed)
-    SELECT page_id, candidate, """
+    SELECT page_id, sha256(candidate) AS digest, """
     + k.namespace("candidate")
     + """ AS is_namespace, count(*) AS n FROM candidates GROUP BY ALL""",
 )
@@ -273,7 +283,7 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokens.where(F.col("tok").isNotNull())
         .select("page_id", secret_candidate(F.col("tok")).alias("candidate"))
         .withColumn("is_namespace", is_dotted_namespace(F.col("candidate")))
-        .groupBy("page_id", "candidate", "is_namespace")
+        .groupBy("page_id", F.sha2("candidate", 256).alias("digest"), "is_namespace")
         .agg(F.count("*").alias("n"))
     )
 
@@ -568,7 +578,7 @@ def _commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     "added_lines",
     with_sql(
         k.PATCH_LINES,
-        """SELECT commit_sha, line_number::INTEGER AS line_number, md5(line) AS digest
+        """SELECT commit_sha, line_number::BIGINT AS line_number, md5(line) AS digest
         FROM added JOIN patch_docs USING (doc_id) WHERE doc_id % 199 <> 9 AND doc_id % 15 <> 2""",
     ),
 )
@@ -602,7 +612,6 @@ def _histories(spark: SparkSession, sf_dir: str) -> jobs.ScanResult:
         landed.parse_repos(c.repo_pages(spark, sf_dir)),
         landed.parse_commits(c.commit_pages(spark, sf_dir)),
         _commit_files(spark, sf_dir),
-        jobs.ScanOptions(max_commits=10),
     )
 
 
@@ -665,7 +674,8 @@ def unscanned_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT DISTINCT {c.REPO} AS r FROM documents) WHERE r % 11 <> 5""",
 )
 def repository_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.parse_repos(c.repo_pages(spark, sf_dir))
+    known = landed.parse_repos(c.repo_pages(spark, sf_dir)).where("error is null")
+    return known.drop("error", "listed_at")
 
 
 @query(
@@ -674,7 +684,7 @@ def repository_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT DISTINCT {c.REPO} AS r FROM documents) WHERE r % 9 <> 4""",
 )
 def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.parse_branches(c.branch_payloads(spark, sf_dir))
+    return landed.parse_branches(c.branch_payloads(spark, sf_dir)).where("valid").drop("valid")
 
 
 @query(
@@ -719,7 +729,7 @@ def tree_scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREE_FAILURES = """SELECT repo, branch, error FROM tree_state WHERE error IS NOT NULL
-    UNION ALL SELECT repo, branch, 'blob not found' FROM lost"""
+    UNION ALL SELECT repo, branch, 'blob not found or not valid' FROM lost"""
 
 
 @query(
@@ -817,18 +827,54 @@ def _written_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 FOLDER_PATH = f"concat(source, '/', replace({c.PATH}, chr(92), '/'))"
-FOLDER_UNITS = f"""units AS (SELECT '' AS repo, file_path, '' AS commit_sha, content FROM (
+
+
+def _folder_units(globs: tuple[str, ...], size: int) -> str:
+    return f"""units AS (SELECT '' AS repo, file_path, '' AS commit_sha, content FROM (
       SELECT doc_id, {FOLDER_PATH} AS file_path, {c.CONTENT} AS content FROM documents)
-      WHERE doc_id % 29 <> 3 AND NOT {k.any_glob('file_path', fixed.DEFAULT_EXCLUDES + ('*.md',))}
-        AND octet_length(encode(replace(content, chr(10), concat(chr(13), chr(10))))) <= 30000
+      WHERE doc_id % 29 <> 3 AND NOT {k.any_glob('file_path', fixed.DEFAULT_EXCLUDES + globs)}
+        AND octet_length(encode(replace(content, chr(10), concat(chr(13), chr(10))))) <= {size}
         AND len(list_filter(string_split(file_path, '/')[:-2],
           lambda d: d IN ({PRUNED}) OR ends_with(d, '.egg-info'))) = 0)"""
 
 
-@query("folder_scan", with_sql(k.scan_sql(FOLDER_UNITS), "SELECT * EXCLUDE (repo) FROM findings"))
+def _relabelled(rows: DataFrame, folder: str) -> DataFrame:
+    """The label is the folder, whose name differs every time."""
+    return shown(rows.withColumn("repo", F.when(F.col("repo") == folder, "folder")))
+
+
+IN_FOLDER = "SELECT * REPLACE ('folder' AS repo) FROM findings"
+
+
+@query("folder_scan", with_sql(k.scan_sql(_folder_units((), fixed.MAX_FILE_SIZE_BYTES)), IN_FOLDER))
 def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _written_folder(spark, sf_dir)
+    return _relabelled(jobs.scan_folder(spark, f"{folder}/"), folder)
+
+
+@query("folder_scan_options", with_sql(k.scan_sql(_folder_units(("*.md",), 30_000)), IN_FOLDER))
+def folder_scan_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With more exclusions and a lower size limit, which are the feature here."""
+    folder = _written_folder(spark, sf_dir)
     options = jobs.ScanOptions(excludes="*.md", max_file_size_bytes=30_000)
-    return shown(jobs.scan_folder(spark, _written_folder(spark, sf_dir), options)).drop("repo")
+    return _relabelled(jobs.scan_folder(spark, folder, options), folder)
+
+
+@query(
+    "unreadable_files",
+    """SELECT concat('gone_', cast(doc_id as string)) AS file_path, 'not found' AS reason FROM documents
+      WHERE doc_id % 7 = 0""",
+)
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that go between listing and reading are reported, not lost."""
+    folder = _written_folder(spark, sf_dir)
+    listed = file_source.list_files(spark, folder)
+    gone = c.table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(
+        F.format_string(f"{folder}/gone_%d", "doc_id").alias("path"),
+        F.format_string("gone_%d", "doc_id").alias("file_path"),
+        F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("string").alias("reason"),
+    )
+    return file_source.read_files(listed.unionByName(gone))[1]
 
 
 @query("stream_scan", with_sql(k.scan_sql(k.PLAIN), ALL))
@@ -878,37 +924,53 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rules(_planted_findings(spark, sf_dir))
 
 
+ORDERED = f"""SELECT f.*, row_number() OVER (ORDER BY f.repo, walk, f.commit_sha, detector_ord, pattern_ord,
+        f.line_number, strpos(line, value)) AS place
+      FROM (SELECT repo, file_path, line_number::BIGINT AS line_number, {k.redacted('value')} AS matched_text,
+          detection_method, pattern_name, confidence, commit_sha, round(h, 6) AS entropy_score, value, pattern_ord,
+          CASE detection_method WHEN 'regex' THEN 1 ELSE 2 END AS detector_ord,
+          list_transform(string_split(file_path, '/'), lambda d, i: concat(
+            CASE WHEN i = len(string_split(file_path, '/')) THEN '0' ELSE '1' END, d)) AS walk
+        FROM ({k.BOTH})) f
+      JOIN lines l ON l.repo = f.repo AND l.file_path = f.file_path AND l.commit_sha = f.commit_sha
+        AND l.line_number = f.line_number"""
+
+
 @query(
     "sarif_documents",
     with_sql(
         k.scan_sql(k.PLANTED),
-        f"""SELECT repo, count(*) AS n_results, count(DISTINCT {k.SLUG}) AS n_rules, '2.1.0' AS version,
-          md5(string_agg({k.FINGERPRINT}, ',' ORDER BY {k.FINGERPRINT})) AS digest
-        FROM findings GROUP BY repo""",
+        f"""SELECT place, {k.SLUG} AS rule_id, {k.FINGERPRINT} AS fingerprint, place > 1 AS continued
+        FROM ({ORDERED}) UNION ALL
+        SELECT 0, string_agg(rule, ',' ORDER BY rule), '2.1.0', false FROM (SELECT DISTINCT {k.SLUG} AS rule FROM findings)
+        UNION ALL SELECT count(*) + 1, NULL, NULL, false FROM findings""",
     ),
 )
 def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, read back as JSON."""
-    documents = reports.sarif_documents(_planted_findings(spark, sf_dir))
-    run = (
-        "array<struct<results:array<struct<ruleId:string,partialFingerprints:map<string,string>>>,"
-        "tool:struct<driver:struct<rules:array<struct<id:string>>>>>>"
-    )
-    parsed = documents.select(
-        "repo", F.from_json("document", f"version string, runs {run}").alias("d")
-    ).select("repo", "d.version", F.col("d.runs")[0].alias("run"))
-    prints = F.transform(
-        "run.results", lambda r: r["partialFingerprints"][fixed.SARIF_FINGERPRINT_KEY]
-    )
-    return parsed.select(
-        "repo",
-        F.size("run.results").cast("bigint").alias("n_results"),
-        F.size("run.tool.driver.rules").cast("bigint").alias("n_rules"),
-        "version",
-        F.md5(F.array_join(F.array_sort(prints), ",")).alias("digest"),
+    """The fragments of the document in order; the opening has the rules, the closing nothing."""
+    fragments = reports.sarif_fragments(findings.numbered(_planted_findings(spark, sf_dir)))
+    result = F.from_json(F.ltrim("fragment", F.lit(",")), "ruleId string, partialFingerprints map<string,string>")
+    rules = F.regexp_extract_all(F.regexp_extract("fragment", '"rules":(.*)', 1), F.lit('"id":"([^"]*)"'), F.lit(1))
+    version = F.regexp_extract("fragment", '"version":"([^"]*)"', 1)
+    opening = F.col("place") == 0
+    return fragments.select(
+        "place",
+        F.when(opening, F.array_join(rules, ",")).otherwise(result["ruleId"]).alias("rule_id"),
+        F.when(opening, version).otherwise(result["partialFingerprints"][fixed.SARIF_FINGERPRINT_KEY]).alias("fingerprint"),
+        F.col("fragment").startswith(",").alias("continued"),
     )
 
 
+@query("sarif_empty", """SELECT count(*) AS n, 0 AS n_results, '2.1.0' AS version FROM (SELECT count(*) FROM documents)""")
+def sarif_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan without findings still gives a document, one that closes old alerts."""
+    nothing = _planted_findings(spark, sf_dir).where("confidence = 'none'")
+    fragments = reports.sarif_fragments(findings.numbered(nothing))
+    whole = fragments.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "fragment"))), lambda x: x["fragment"]), "\n").alias("text"))
+    document = F.from_json("text", "version string, runs array<struct<results:array<struct<ruleId:string>>>>").alias("d")
+    return whole.select(document).groupBy(F.size(F.col("d.runs")[0]["results"]).alias("n_results"), "d.version").agg(F.count("*").alias("n"))
+
+
 @query(
     "json_report",
     with_sql(
@@ -933,14 +995,14 @@ def _escaped(v: str) -> str:
     return out
 
 
-HTML_ROWS = f"""SELECT repo, concat('      <tr><td>', {_escaped('confidence')}, '</td><td>',
+HTML_ROWS = f"""SELECT repo, concat('<tr><td>', {_escaped('confidence')}, '</td><td>',
           {_escaped('detection_method')}, '</td><td>', {_escaped('pattern_name')}, '</td><td>',
           {_escaped('repo')}, '</td><td>', {_escaped('file_path')}, '</td><td>', line_number, '</td><td>',
           printf('%.2f', entropy_score), '</td><td><code>', {_escaped('matched_text')},
-          '</code></td><td><code>', {_escaped('commit_sha')}, '</code></td></tr>') AS html FROM findings"""
+          '</code></td><td><code>', {_escaped('commit_sha')}, '</code></td></tr>') AS html"""
 
 
-@query("html_rows", with_sql(k.scan_sql(k.PLANTED), HTML_ROWS))
+@query("html_rows", with_sql(k.scan_sql(k.PLANTED), f"{HTML_ROWS} FROM findings"))
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = _planted_findings(spark, sf_dir).withColumn(
         "entropy_score", F.round("entropy_score", 6)
@@ -962,27 +1024,280 @@ def html_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
     "html_documents",
     with_sql(
         k.scan_sql(k.PLANTED),
-        f"""SELECT repo, count(*)::INTEGER AS n_rows, md5(string_agg(html, chr(10) ORDER BY html)) AS digest
-        FROM ({HTML_ROWS}) GROUP BY repo""",
+        f"""SELECT place, md5(html) AS digest FROM ({HTML_ROWS}, place FROM ({ORDERED}))""",
     ),
 )
 def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages, read back by their table rows."""
-    rounded = _planted_findings(spark, sf_dir).withColumn(
-        "entropy_score", F.round("entropy_score", 6)
-    )
-    # A redacted private key keeps its line feeds, so a row may span lines.
-    rows = F.regexp_extract_all("document", F.lit("(?s)      <tr><td>.*?</tr>"), F.lit(0))
-    return reports.html_documents(rounded).select(
-        "repo",
-        F.size(rows).alias("n_rows"),
-        F.md5(F.array_join(F.array_sort(rows), "\n")).alias("digest"),
+    """The rows of the page in order, without what frames them."""
+    rounded = _planted_findings(spark, sf_dir).withColumn("entropy_score", F.round("entropy_score", 6))
+    fragments = reports.html_fragments(findings.numbered(rounded))
+    return fragments.where(F.col("fragment").startswith("<tr>")).select("place", F.md5("fragment").alias("digest"))
+
+
+@query(
+    "html_rounding",
+    """SELECT doc_id, printf('%.2f', (doc_id % 1024) / 128.0::DOUBLE) AS exact,
+      printf('%.2f', (doc_id % 1500) / 1000.0::DOUBLE) AS near FROM documents""",
+)
+def html_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores on and beside the middle of two numbers with two decimals."""
+    return c.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        text.two_decimals(F.expr("(doc_id % 1024) / 128.0D")).alias("exact"),
+        text.two_decimals(F.expr("(doc_id % 1500) / 1000.0D")).alias("near"),
     )
 
 
 @query(
     "ordered_findings",
-    with_sql(k.scan_sql(k.PLANTED), ALL),
+    with_sql(k.scan_sql(k.PLANTED), f"SELECT {', '.join(FINDING_COLUMNS)}, place FROM ({ORDERED})"),
 )
 def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(findings.ordered(_planted_findings(spark, sf_dir)))
+    return shown(findings.numbered(_planted_findings(spark, sf_dir)), "place")
+
+
+# --- damaged, empty and repeated inputs ------------------------------------------------
+
+
+BROKEN_STATE = k.TREE_STATE.replace(
+    f"WHEN r % 12 = 6 THEN {k.quoted(fixed.TRUNCATED_TREE_ERROR)}",
+    f"""WHEN md5(repo) LIKE '1%' THEN {k.quoted(tree.BRANCH_RECORD_ERROR)}
+        WHEN md5(repo) LIKE '2%' THEN {k.quoted(tree.TREE_ERROR)}
+        WHEN r % 12 = 6 THEN {k.quoted(fixed.TRUNCATED_TREE_ERROR)}""",
+)
+BROKEN_FILES = k.TREE_FILES.replace(
+    "WHERE doc_id % 211 = 5)", f"WHERE doc_id % 211 = 5 OR {c.BLOB_SHA} LIKE '0a%' OR {c.BLOB_SHA} LIKE 'f7%')"
+)
+
+
+@query(
+    "payload_failures",
+    with_sql(
+        ",\n".join([k.REPOS, BROKEN_STATE, BROKEN_FILES]),
+        f"""{TREE_FAILURES} UNION ALL SELECT '', 'main', {k.quoted(landed.REPO_PAGE_ERROR)} FROM (
+          SELECT unnest(range(2)) FROM (SELECT count(*) FROM documents))""",
+    ),
+)
+def payload_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad listing pages, bodies that are no objects, cut-off records: each fails what it stands for."""
+    bad = lambda rows, when, body: rows.withColumn("payload", F.when(F.expr(when), body).otherwise(F.col("payload")))
+    pages = c.repo_pages(spark, sf_dir)
+    for body in ("<html>", '{"message": "rate limit"}'):
+        pages = pages.unionByName(c.repo_pages(spark, sf_dir).agg(F.lit(body).alias("payload"), F.max("page_start").alias("page_start")))
+    return jobs.scan_trees(
+        landed.parse_repos(pages),
+        landed.parse_branches(bad(c.branch_payloads(spark, sf_dir), "md5(repo) like '1%'", F.lit("[]"))),
+        landed.parse_trees(bad(c.tree_payloads(spark, sf_dir), "md5(repo) like '2%'", F.lit('{"tree": 5}'))),
+        landed.parse_blobs(
+            bad(c.blob_payloads(spark, sf_dir), "sha like '0a%' or sha like 'f7%'", F.expr("left(payload, length(payload) - 9)"))
+        ),
+    ).failures
+
+
+@query(
+    "empty_histories",
+    with_sql(
+        ",\n".join([
+            k.REPOS,
+            k.HISTORY_STATE.replace(
+                "WHEN r % 8 = 5 THEN 'commit listing not found'", f"WHEN r % 16 = 13 THEN {k.quoted(tree.COMMITS_PAGE_ERROR)}"
+            ),
+            k.PATCH_LINES,
+            k.HISTORY_UNITS.replace("ON d.r = s.r WHERE", "ON d.r = s.r AND d.r % 8 <> 5 WHERE"),
+        ]),
+        HISTORY_FAILURES,
+    ),
+)
+def empty_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing that was landed and is empty fails nothing; one that is no list does."""
+    body = F.expr("case when r % 16 = 13 then '{\"message\": \"gone\"}' else '[]' end")
+    empty = c.repo_numbers(spark, sf_dir).where("r % 8 = 5").select(
+        F.expr(c.LABEL).alias("repo"), F.expr(c.BRANCH).alias("branch"), F.lit(0).alias("page_start"), body.alias("payload")
+    )
+    pages = c.commit_pages(spark, sf_dir).unionByName(empty)
+    return jobs.scan_histories(
+        landed.parse_repos(c.repo_pages(spark, sf_dir)), landed.parse_commits(pages), _commit_files(spark, sf_dir)
+    ).failures
+
+
+@query("duplicate_landing", with_sql(TREE_SCAN, ALL))
+def duplicate_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything landed twice gives each finding once."""
+    twice = lambda rows: rows.unionByName(rows)
+    return shown(
+        jobs.scan_trees(
+            landed.parse_repos(twice(c.repo_pages(spark, sf_dir))),
+            landed.parse_branches(twice(c.branch_payloads(spark, sf_dir))),
+            landed.parse_trees(twice(c.tree_payloads(spark, sf_dir))),
+            landed.parse_blobs(twice(c.blob_payloads(spark, sf_dir))),
+        ).findings
+    )
+
+
+LONG_NUMBER = """case doc_id % 3 when 0 then concat('000000000000', cast(5 + doc_id % 7 as string))
+  when 1 then cast(5000000000 + doc_id as string) else '123456789012345678901' end"""
+
+
+@query(
+    "long_hunk_numbers",
+    f"""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN ({LONG_NUMBER})::BIGINT + i END AS line_number, doc_id % 3 = 2 AS unreadable
+      FROM documents, (SELECT unnest([0, 1]) AS i) WHERE doc_id % 3 < 2 OR i = 0""",
+)
+def long_hunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading zeros and large numbers place lines; what no number holds is told apart."""
+    patch = F.expr(f"concat('@@ -1 +', {LONG_NUMBER}, ',2 @@', chr(10), '+one', chr(10), '+two')")
+    patches = c.table(spark, sf_dir, "documents").select("doc_id", patch.alias("patch"))
+    flagged = patches.withColumn("unreadable", history.unreadable(F.col("patch")))
+    placed = history.added_lines(flagged).select("doc_id", F.explode("line_nos").alias("line_number"), "unreadable")
+    lost = flagged.where("unreadable").select("doc_id", F.lit(None).cast("bigint").alias("line_number"), "unreadable")
+    return placed.unionByName(lost)
+
+
+FAR_TOKENS = (("AWS access key", c.token_sql("0", "a"), "1"), ("PEM private key", c.token_sql("5", "a"), "1000000007 + doc_id"))
+
+
+@query(
+    "distant_hunks",
+    " UNION ALL ".join(
+        f"SELECT doc_id, {k.quoted(name)} AS pattern_name, ({line})::BIGINT AS line_number, {k.redacted(token)} AS matched_text FROM documents"
+        for name, token, line in FAR_TOKENS
+    ),
+)
+def distant_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hunks of one patch that are a billion lines apart."""
+    (_, near, _), (_, far, _) = FAR_TOKENS
+    patch = F.expr(
+        f"concat('@@ -1 +1 @@', chr(10), '+', {near}, chr(10), '@@ -9 +', cast(1000000007 + doc_id as string), ' @@', chr(10),"
+        f" array_join(transform(split({far}, chr(10)), l -> concat('+', l)), chr(10)))"
+    )
+    units = history.added_lines(c.table(spark, sf_dir, "documents").select("doc_id", patch.alias("patch")))
+    found = detect(units, DetectOptions(entropy=None), ("doc_id",), None)
+    names = [name for name, _, _ in FAR_TOKENS]
+    return found.where(F.col("pattern_name").isin(names)).select("doc_id", "pattern_name", "line_number", "matched_text")
+
+
+ODD_UNITS = f"""units AS (SELECT source AS repo, {c.PATH} AS file_path, {c.COMMIT_SHA} AS commit_sha,
+      regexp_replace({ODD_CONTENT}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS content
+      FROM documents)"""
+
+
+@query("odd_break_findings", with_sql(k.entropy_sql(ODD_UNITS), ALL))
+def odd_break_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers of tokens follow all kinds of line breaks."""
+    units = c.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"), F.expr(c.PATH).alias("file_path"), F.expr(c.COMMIT_SHA).alias("commit_sha"),
+        F.expr(ODD_CONTENT).alias("content"),
+    )
+    return shown(entropy_findings(units))
+
+
+# --- own detectors, catalogue and baseline files, every status ---------------------------
+
+QUAD = r"(?:\d{1,3}\.){3}\d{1,3}"
+
+
+def _quads(units: DataFrame) -> DataFrame:
+    """An own detector: lines that hold a dotted quad, one finding for each."""
+    lines = units.select(
+        "repo", "file_path", "commit_sha", F.posexplode(F.split("content", "\n")).alias("at", "line")
+    ).withColumn("value", F.regexp_extract("line", QUAD, 0)).where("value <> ''")
+    return lines.select(
+        "repo", "file_path", "commit_sha", (F.col("at") + 1).alias("line_number"), text.redact(F.col("value")).alias("matched_text"),
+        F.lit("own").alias("detection_method"), F.lit("Dotted quad").alias("pattern_name"), F.lit("low").alias("confidence"),
+        F.lit(0.0).alias("entropy_score"),
+    )
+
+
+@query(
+    "own_detector",
+    with_sql(
+        k.entropy_sql(k.PLAIN),
+        f"""SELECT * FROM findings UNION ALL SELECT repo, file_path, line_number, {k.redacted('value')}, 'own', 'Dotted quad', 'low',
+          commit_sha, 0.0 FROM (SELECT *, regexp_extract(line, '{QUAD}') AS value FROM lines) WHERE value <> ''""",
+    ),
+)
+def own_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = jobs.ScanOptions(detect=DetectOptions(catalogue=(), own=(_quads,)))
+    return shown(jobs.scan_units(c.plain_units(spark, sf_dir), options))
+
+
+@query("catalogue_file", with_sql(k.regex_sql(k.PLAIN, CUSTOM), ALL))
+def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures read from a file."""
+    folder = session.work_folder(spark, "catalogue")
+    entries = [{"name": s.name, "regex": s.regex, "confidence": s.confidence.upper(), "example": s.example} for s in CUSTOM]
+    spark.createDataFrame([(json.dumps({"patterns": entries}),)], "value string").coalesce(1).write.text(folder)
+    return shown(regex_findings(c.plain_units(spark, sf_dir), load_catalogue(spark, folder)))
+
+
+@query(
+    "catalogue_rejects",
+    """WITH entries AS (SELECT source AS name, row_number() OVER (ORDER BY source) - 1 AS n FROM (SELECT DISTINCT source FROM documents))
+    SELECT (n + 1)::INTEGER AS ord, name, CASE n % 5 WHEN 1 THEN 'without example'
+      WHEN 2 THEN 'confidence is none of high, low, medium: top' WHEN 3 THEN 'the pattern matches the empty text'
+      WHEN 4 THEN 'the pattern cannot be used' END AS reason FROM entries WHERE n % 5 > 0""",
+)
+def catalogue_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries made from the sources of the documents, most of them unusable."""
+    folder = session.work_folder(spark, "catalogue")
+    numbered = c.table(spark, sf_dir, "documents").select("source").distinct()
+    names = F.array_sort(F.collect_list("source"))
+    entry = F.struct(
+        F.col("source").alias("name"),
+        F.expr("case n % 5 when 3 then 'n*' when 4 then '(' else 'n+' end").alias("regex"),
+        F.expr("case n % 5 when 2 then 'Top' else 'Low' end").alias("confidence"),
+        F.expr("case when n % 5 <> 1 then 'nn' end").alias("example"),
+    )
+    listed = numbered.agg(names.alias("s")).select(F.posexplode("s").alias("n", "source"))
+    file = listed.agg(F.to_json(F.array_sort(F.collect_list(F.struct("n", entry.alias("e"))))["e"]).alias("value"))
+    file.coalesce(1).write.text(folder)
+    entries = catalogue_entries(spark, folder).where("reason is not null")
+    return entries.select("ord", "name", F.regexp_replace("reason", "(cannot be used).*", "$1").alias("reason"))
+
+
+@query("baseline_document", CHECKS["baseline_round_trip"])
+def baseline_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline that is one JSON document."""
+    scanned = session.keep(_planted_findings(spark, sf_dir), "findings")
+    folder = session.work_folder(spark, "baseline")
+    entry = F.struct("file_path", "fingerprint", "pattern_name", "repo")
+    rows = baseline.snapshot(scanned.where(F.col("line_number") == 1)).agg(F.collect_list(entry).alias("accepted"))
+    rows.select(F.to_json(F.struct("accepted")).alias("value")).coalesce(1).write.text(folder)
+    return shown(baseline.unaccepted(scanned, load_baseline(spark, folder, "document")), "fingerprint")
+
+
+STATUSES = {"clean": "confidence = 'none'", "found": "confidence = 'high'"}
+
+
+@query(
+    "gate_statuses",
+    with_sql(
+        k.scan_sql(k.PLANTED),
+        """SELECT 'clean' AS scan, 0 AS n_findings, 0 AS n_failures, 0 AS status FROM (SELECT count(*) FROM findings)
+        UNION ALL SELECT 'found', count(*), 0, 3 FROM findings WHERE confidence = 'high'
+        UNION ALL SELECT 'not gated', count(*), 0, 0 FROM findings WHERE confidence = 'high'""",
+    ),
+)
+def gate_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of scans without failures."""
+    scanned = session.keep(_planted_findings(spark, sf_dir), "findings")
+    status = lambda name, rows, gate: findings.gate_status(rows, None, gate).select(F.lit(name).alias("scan"), "*")
+    high = scanned.where("confidence = 'high'")
+    clean = status("clean", scanned.where("confidence = 'none'"), True)
+    return clean.unionByName(status("found", high, True)).unionByName(status("not gated", high, False))
+
+
+@query(
+    "summary_sentences",
+    with_sql(
+        k.scan_sql(k.PLANTED),
+        f"""SELECT n AS n_findings, CASE n WHEN 0 THEN {k.quoted(fixed.EMPTY_REPORT_TEXT)} ELSE '1 potential secret found.' END AS summary
+        FROM (SELECT count(*) AS n FROM findings WHERE file_path = 'src/app_0.py' AND pattern_name = 'AWS access key'
+          UNION ALL SELECT count(*) FROM findings WHERE confidence = 'none')""",
+    ),
+)
+def summary_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences for one finding and for none."""
+    scanned = session.keep(_planted_findings(spark, sf_dir), "findings")
+    one = scanned.where("file_path = 'src/app_0.py' and pattern_name = 'AWS access key'")
+    return findings.summary(one).unionByName(findings.summary(scanned.where("confidence = 'none'")))
