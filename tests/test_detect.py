@@ -149,7 +149,7 @@ def test_custom_signature_across_blank_lines_of_a_sparse_text(spark):
     own = Signature("Own", r"a\n\n\nb+", "low", "a")
     frame = spark.createDataFrame(
         [("r", "f", "c", "a\nbbbb", [2, 5])],
-        "repo string, file_path string, commit_sha string, content string, line_nos array<int>",
+        "repo string, file_path string, commit_sha string, content string, line_nos array<bigint>",
     )
     found = rows(detect(frame, DetectOptions(catalogue=(own,))))
     assert [(r[0], len(r[1])) for _, r in found] == [(2, 8)]
@@ -178,13 +178,13 @@ def test_catalogue_file(spark, tmp_path, wrap):
 @pytest.mark.parametrize(
     "content,message",
     [
-        ({"other": []}, "must contain a list"),
-        ([GOOD, 5], "entry 2 must be a mapping"),
-        ([{k: v for k, v in GOOD.items() if k != "example"}], "entry 1 missing field: example"),
-        ([{**GOOD, "confidence": "top"}], "invalid confidence 'top'"),
-        ([{**GOOD, "regex": "("}], "invalid regex"),
-        ([{**GOOD, "regex": "(?a)x"}], "invalid regex"),
-        ([{**GOOD, "regex": "n*"}], "matches the empty text"),
+        ({"other": []}, "no list of catalogue entries"),
+        ([GOOD, 5], "entry 2 .*no object"),
+        ([{k: v for k, v in GOOD.items() if k != "example"}], "entry 1 .*without example"),
+        ([{**GOOD, "confidence": "top"}], "confidence is none of"),
+        ([{**GOOD, "regex": "("}], "cannot be used"),
+        ([{**GOOD, "regex": "(?a)x"}], "cannot be used"),
+        ([{**GOOD, "regex": "n*"}, {**GOOD, "confidence": "x"}], "entry 1 .*matches the empty text; entry 2"),
     ],
 )
 def test_bad_catalogue_files(spark, tmp_path, content, message):
@@ -194,6 +194,32 @@ def test_bad_catalogue_files(spark, tmp_path, content, message):
         catalogue.load_catalogue(spark, str(path))
 
 
+def test_gaps_of_sparse_texts_are_bounded_but_numbers_true(spark):
+    frame = spark.createDataFrame(
+        [("r", "f", "c", "ab\nab\nab", [3, 4, 5_000_000_000])],
+        "repo string, file_path string, commit_sha string, content string, line_nos array<bigint>",
+    )
+    own = Signature("N", "a(?P<secret>b)", "low", "ab")
+    found = detect(frame, DetectOptions(catalogue=(own,), entropy=None)).collect()
+    assert sorted(r.line_number for r in found) == [3, 4, 5_000_000_000]
+    length = frame.select(F.length(sparse_text(F.col("content"), F.col("line_nos")))).first()[0]
+    assert length < 300
+
+
+def test_own_detectors(units):
+    def lines(table):
+        return table.select(
+            "repo", "file_path", "commit_sha", F.size(F.split("content", "\n")).alias("line_number"), F.lit("x").alias("matched_text"),
+            F.lit("count").alias("detection_method"), F.lit("Lines").alias("pattern_name"), F.lit("low").alias("confidence"),
+            F.lit(1.0).alias("entropy_score"))
+
+    found = detect(units("a\nb", "c"), DetectOptions(catalogue=(), entropy=None, own=(lines, lines))).collect()
+    assert sorted((r.file_path, r.line_number, r.detector_ord) for r in found) == [
+        ("f0.txt", 2, 3), ("f0.txt", 2, 4), ("f1.txt", 1, 3), ("f1.txt", 1, 4)]
+    with pytest.raises(ValueError, match="no detector"):
+        detect(units("a"), DetectOptions(catalogue=(), entropy=None))
+
+
 def test_catalogue_table(spark):
     table = catalogue.catalogue_table(spark).orderBy("ord").collect()
     assert len(table) == 24 and table[1].grp == 1 and table[0].name == "AWS access key"

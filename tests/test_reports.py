@@ -1,9 +1,12 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
+from credsieve import session
+from credsieve.functions import text
 from credsieve.operators import baseline, findings
 from credsieve.plans import jobs
 from credsieve.sinks import reports
@@ -12,7 +15,7 @@ from credsieve.streaming import scan as streaming
 from tests import model
 
 SCHEMA = (
-    "repo string, file_path string, line_number int, matched_text string, detection_method string, "
+    "repo string, file_path string, line_number bigint, matched_text string, detection_method string, "
     "pattern_name string, confidence string, commit_sha string, entropy_score double, "
     "detector_ord int, pattern_ord int, match_ord int"
 )
@@ -71,18 +74,29 @@ def test_empty_baseline(table, spark, tmp_path):
 def test_baseline_documents(spark, tmp_path, document, want):
     path = tmp_path / "baseline.json"
     path.write_text(json.dumps(document, indent=2))
-    assert sorted(r.fingerprint for r in load_baseline(spark, str(path)).collect()) == want
+    assert sorted(r.fingerprint for r in load_baseline(spark, str(path), "document").collect()) == want
 
 
 @pytest.mark.parametrize(
-    "content,message", [("{nope", "not valid JSON"), ("[]", "'accepted' list"), ('{"accepted": 5}', "'accepted' list"), (None, "not found")]
+    "content,message", [("{nope", "no JSON document"), ("[]", "no JSON document|no list"), ('{"accepted": 5}', "no list of accepted"), (None, "there is no baseline")]
 )
 def test_bad_baselines(spark, tmp_path, content, message):
     path = tmp_path / "baseline.json"
     if content is not None:
         path.write_text(content)
     with pytest.raises(BaselineError, match=message):
-        load_baseline(spark, str(path))
+        load_baseline(spark, str(path), "document")
+
+
+def test_baseline_lines(spark, tmp_path):
+    """Lines that are no entries accept nothing, whichever comes first."""
+    path = tmp_path / "b.jsonl"
+    path.write_text('{"fingerprint": 5}\n{nope\n\n{"fingerprint": "a"}\n7\n{"fingerprint": "a", "x": 1}\n')
+    assert [r.fingerprint for r in load_baseline(spark, str(path)).collect()] == ["a"]
+    with pytest.raises(BaselineError, match="there is no baseline"):
+        load_baseline(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="a baseline is one of"):
+        load_baseline(spark, str(path), "yaml")
 
 
 def test_severity(table):
@@ -114,61 +128,107 @@ def test_order(table):
                    ("o/r", "app.env", 2, 0), ("o/r", "zz", 1, 0), ("o/r", "sub/a", 1, 0)]
 
 
-def test_sarif(table):
-    frame = table({}, {"line_number": 20}, MEDIUM, LOW | {"repo": "o/s"})
-    documents = {r.repo: json.loads(r.document) for r in reports.sarif_documents(frame).collect()}
-    doc = documents["o/r"]
+def written(spark, frame, kind, folder):
+    """The files of a report in the order of their names, joined."""
+    reports.write_report(frame, kind, str(folder))
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_sarif(table, spark, tmp_path):
+    frame = table({"line_number": 20, "match_ord": 1}, {}, MEDIUM, LOW | {"repo": "o/s"})
+    doc = json.loads(written(spark, frame, "sarif", tmp_path / "s"))
     assert doc["version"] == "2.1.0" and doc["$schema"] == fixed.SARIF_SCHEMA
     run = doc["runs"][0]
     rules = run["tool"]["driver"]["rules"]
-    assert [r["id"] for r in rules] == ["aws-access-key-regex", "high-entropy-token-entropy"]
+    assert [r["id"] for r in rules] == ["aws-access-key-regex", "high-entropy-token-entropy", "own-b-rule-regex"]
     assert rules[0]["defaultConfiguration"]["level"] == "error" and rules[0]["shortDescription"]["text"] == "AWS access key"
+    lines = [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in run["results"]]
+    assert lines[:2] == [12, 20] and len(lines) == 4 and run["results"][3]["level"] == "note"
     first = run["results"][0]
     assert first["ruleId"] == "aws-access-key-regex" and first["level"] == "error"
     assert first["message"]["text"] == "AWS access key detected via regex in o/r."
-    place = first["locations"][0]["physicalLocation"]
-    assert place == {"artifactLocation": {"uri": "app.env"}, "region": {"startLine": 12}}
+    assert first["locations"][0]["physicalLocation"]["artifactLocation"] == {"uri": "app.env"}
     assert list(first["partialFingerprints"]) == ["secretScannerFingerprint/v1"]
-    assert len(run["results"]) == 3 and documents["o/s"]["runs"][0]["results"][0]["level"] == "note"
     found = {r.rule_id: (r.name, r.level) for r in reports.sarif_rules(frame).collect()}
     assert found["own-b-rule-regex"] == (LOW["pattern_name"], "note") and len(found) == 3
 
 
-def test_rule_level_comes_from_the_first_finding(table):
-    frame = table({"confidence": "low", "file_path": "b"}, {"confidence": "high", "file_path": "a"})
-    assert [r.level for r in reports.sarif_rules(frame).collect()] == ["error"]
-    doc = json.loads(reports.sarif_documents(frame).first().document)
+def test_sarif_of_a_clean_scan(table, spark, tmp_path):
+    doc = json.loads(written(spark, table({}).where("false"), "sarif", tmp_path / "s"))
+    assert doc["runs"][0]["results"] == [] and doc["runs"][0]["tool"]["driver"]["rules"] == []
+
+
+def test_rule_level_comes_from_the_first_finding(table, spark, tmp_path):
+    frame = table({"confidence": "low", "file_path": "sub/a"}, {"confidence": "high", "file_path": "zz"})
+    assert [r.level for r in reports.sarif_rules(frame).collect()] == ["error"]  # a walk visits files before folders
+    doc = json.loads(written(spark, frame, "sarif", tmp_path / "s"))
     assert doc["runs"][0]["tool"]["driver"]["rules"][0]["defaultConfiguration"]["level"] == "error"
+    assert [r["level"] for r in doc["runs"][0]["results"]] == ["error", "note"]
 
 
-def test_large_repositories_get_several_documents(table):
-    frame = table(*[{"line_number": i} for i in range(100)], {"repo": "o/s"})
-    documents = reports.sarif_documents(frame, limit=10).collect()
-    sizes = [len(json.loads(r.document)["runs"][0]["results"]) for r in documents if r.repo == "o/r"]
-    assert sum(sizes) == 100 and len(sizes) > 5 and max(sizes) < 40
-    assert len([r for r in documents if r.repo == "o/s"]) == 1
-    pages = reports.html_documents(frame, limit=10).where("repo = 'o/r'").collect()
-    assert sum(p.document.count("<tr><td>") for p in pages) == 100
+def test_a_large_report_is_one_ordered_document(table, spark, tmp_path):
+    frame = table(*[{"line_number": i, "match_ord": i} for i in range(3000)], {"repo": "o/s"}).repartition(40)
+    results = json.loads(written(spark, frame, "sarif", tmp_path / "s"))["runs"][0]["results"]
+    assert [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in results] == [*range(3000), 12]
+    assert written(spark, frame, "html", tmp_path / "h").count("<tr><td>") == 3001
 
 
-def test_html(table):
-    frame = table({}, LOW)
-    page = reports.html_documents(frame).first().document
+def test_html(table, spark, tmp_path):
+    frame = table({"entropy_score": 3.625}, LOW)
+    page = written(spark, frame, "html", tmp_path / "a")
+    assert page.startswith("<!doctype html>") and page.rstrip().endswith("</html>")
     assert "<td>Own &lt;b&gt; &amp; &#x27;rule&#x27;</td>" in page and "<td>a&quot;b</td>" in page
-    assert "<td>12</td><td>1.50</td><td><code>AKIA***0000</code></td><td><code>c1</code></td></tr>" in page
-    empty = reports.html_documents(frame.where("false")).collect()
-    assert len(empty) == 1 and '<td colspan="9">No findings detected.</td>' in empty[0].document
+    assert "<td>12</td><td>3.62</td><td><code>AKIA***0000</code></td><td><code>c1</code></td></tr>" in page
+    empty = written(spark, frame.where("false"), "html", tmp_path / "b")
+    assert empty.count("<tr>") == 2 and '<td colspan="9">No findings detected.</td>' in empty
+
+
+def test_two_decimals(spark):
+    numbers = [i / 128 for i in range(1100)] + [i / 1000 for i in range(2000)] + [0.005, 2.675, 1.005, 4.787782031835939, 15.995]
+    frame = spark.createDataFrame([(x,) for x in numbers], "x double").coalesce(1)
+    assert [r[0] for r in frame.select(text.two_decimals(F.col("x"))).collect()] == [f"{x:.2f}" for x in numbers]
+
+
+def test_places(table):
+    frame = table({"match_ord": 3}, {"match_ord": 1}, {"repo": "a/a"}, {"match_ord": 2}).repartition(4)
+    got = sorted((r.place, r.repo, r.match_ord) for r in findings.numbered(frame).collect())
+    assert got == [(1, "a/a", 0), (2, "o/r", 1), (3, "o/r", 2), (4, "o/r", 3)]
+    ranked = frame.withColumn("repo_pos", F.when(F.col("repo") == "o/r", 0)).withColumn("commit_pos", 9 - F.col("match_ord"))
+    ranked = ranked.withColumn("unit_ord", F.lit(0))
+    assert [(r.repo, r.match_ord) for r in findings.ordered(ranked).collect()] == [("o/r", 3), ("o/r", 2), ("o/r", 1), ("a/a", 0)]
+
+
+def test_work_folders(spark, monkeypatch):
+    with session.scratch(spark):
+        rows = session.keep(spark.range(3), "test")
+        folder = session._MADE[-1]
+        assert rows.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master, "spark.app.id": "x"}
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(session.WorkFolderError, match="spark.checkpoint.dir"):
+            session.work_folder(Session(master), "test")
+    monkeypatch.setattr(session, "_MADE", [])
+    assert session.work_folder(Session("local[2]"), "test")
 
 
 def test_writers(table, spark, tmp_path):
     frame = table({}, MEDIUM | {"repo": "o/s"})
-    for kind in ("json", "sarif", "html"):
-        reports.write_report(frame, kind, str(tmp_path / kind))
+    reports.write_report(frame, "json", str(tmp_path / "json"))
     line = json.loads(spark.read.text(str(tmp_path / "json")).orderBy("value").first().value)
     assert list(line) == sorted(line) and line["line_number"] == 12 and len(line) == 9
-    assert spark.read.text(str(tmp_path / "sarif")).count() == 2
-    assert spark.read.json(str(tmp_path / "html")).where(F.col("document").contains("<html")).count() == 2
-    with pytest.raises(ValueError, match="unsupported output format"):
+    with pytest.raises(ValueError, match="no report format 'pdf'"):
         reports.write_report(frame, "pdf", str(tmp_path / "x"))
     failures = spark.createDataFrame([("o/x", "main", "e")], "repo string, branch string, error string")
     reports.write_failures(failures, str(tmp_path / "f"))

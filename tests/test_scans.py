@@ -1,7 +1,9 @@
 import base64
 import json
+import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ def added(spark, *patches):
         ("@@ -1 +1,3 @@\n+++x\n+a\n\\ No newline\n+b", "a\nb"),
         ("@@ -1 +5 @@\n+first\n@@ -1 +5 @@\n+second", "\n\n\n\nsecond"),
         ("@@ -1 +1 @@\r\n+a\r\n+b\r\n", "a\nb"),
-        ("@@ -1 +99999999999 @@\n+a", ""),
+        ("@@ -1 +99999999999999999999 @@\n+a", ""),
+        ("@@ -1 +0000000000003 @@\n+a", "\n\na"),
         ("", ""),
         (None, ""),
     ],
@@ -233,6 +236,7 @@ def test_texts_are_neither_shuffled_nor_read_for_their_keys(stored, capsys):
     for result, text in zip(scans, ("content", "patch")):
         result.findings.explain("formatted")
         plan = capsys.readouterr().out
+        assert re.search("BroadcastHashJoin LeftSemi", plan), "texts that nothing asks for are not dropped first"
         sections = plan.split("\n\n")
         exchanged = [s for s in sections if re.match(r"\n?\(\d+\) \w*Exchange", s)]
         assert len(exchanged) > 4
@@ -296,6 +300,76 @@ def test_folder_named_the_hadoop_way(spark, tmp_path):
     assert files.read_texts(named.where("file_path = '.env'")).first().content.startswith("K=")
 
 
+def test_large_flat_folder(spark, tmp_path):
+    """Many names in one directory leave the listing in pages."""
+    import resource
+
+    for i in range(200_000):
+        os.close(os.open(tmp_path / f"f{i}", os.O_CREAT))
+    pages = files._list_children(iter([pa.RecordBatch.from_pylist([{"path": str(tmp_path), "file_path": ""}])]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    sizes = [page.num_rows for page in pages]
+    assert sum(sizes) == 200_000 and max(sizes) <= 10_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
+def test_unreadable_names_are_reported(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_text("x")
+    listed = files.list_files(spark, str(tmp_path))
+    gone = spark.createDataFrame([(f"{tmp_path}/gone", "gone", 1, None)], listed.schema)
+    texts, unread = files.read_files(listed.unionByName(gone))
+    assert [r.file_path for r in texts.collect()] == ["a"]
+    assert [tuple(r) for r in unread.collect()] == [("gone", "not found")]
+    rows = list(files._list_children(iter([pa.RecordBatch.from_pylist([{"path": f"{tmp_path}/no", "file_path": "no"}])])))
+    assert rows[0].column("reason").to_pylist() == ["not found"]
+    with pytest.raises(OSError):
+        files._reason(OSError("throttled"))
+    assert files._reason(PermissionError()) == "permission denied"
+
+
+def test_label_does_not_depend_on_how_the_path_was_typed(spark, tmp_path):
+    assert files.normalised("a//b/./c/") == "a/b/c"
+    assert files.normalised("s3a://bucket/x/") == "s3a://bucket/x"
+
+
+def test_landed_payloads_are_never_lost(spark):
+    def rows(parse, keys, *payloads):
+        table = spark.createDataFrame([(*("k",) * (len(keys)), p) for p in payloads], ", ".join(f"{k} string" for k in (*keys, "payload")))
+        if parse is landed.parse_commits:
+            table = table.withColumn("page_start", F.lit(0))
+        return parse(table).collect()
+
+    bad = ("<html>", '{"message": "x"}', "[1", "5", None)
+    repos = rows(landed.parse_repos, (), *bad, '[{"full_name": "o/r"}, 7]', "[]")
+    assert [r.error for r in repos].count(landed.REPO_PAGE_ERROR) == len(bad) and len(repos) == len(bad) + 1
+    assert not any(r.valid for r in rows(landed.parse_branches, ("repo", "branch"), *bad, "[]", '{"commit": {}}'))
+    assert [r.valid for r in rows(landed.parse_commits, ("repo", "branch"), *bad, '[{"x": 1}]')] == [False] * 6
+    assert [(r.valid, r.commit_sha) for r in rows(landed.parse_commits, ("repo", "branch"), "[]", '[{"sha": "a"}, 7]')] == [
+        (True, None), (True, "a")]
+    blobs = rows(landed.parse_blobs, ("repo", "sha"), "[1]", '{"encoding": "base64", "content": "QU', '{"encoding": "none"}', '{"content": 5}')
+    assert [(r.valid, r.content) for r in blobs] == [(False, None), (False, None), (True, None), (True, None)]
+
+
+def test_long_payloads_are_read(spark):
+    body = base64.b64encode(b"x" * 16_000_000).decode()
+    table = spark.createDataFrame([("o/r", "s")], "repo string, sha string").withColumn(
+        "payload", F.concat(F.lit('{"encoding": "base64", "content": "'), F.lit(body), F.lit('"}')))
+    row = landed.parse_blobs(table).select("valid", F.length("content").alias("n")).first()
+    assert (row.valid, row.n) == (True, 16_000_000)
+
+
+def test_hunks_that_cannot_be_placed_fail_their_repository(spark):
+    patch = "@@ -1 +" + "9" * 25 + " @@\n+x"
+    rows = spark.createDataFrame([(patch,), ("@@ -1 +0000000000000000000000005 @@\n+x",), (None,)], "p string")
+    assert [r[0] for r in rows.select(history.unreadable(F.col("p"))).collect()] == [True, False, False]
+    repos = spark.createDataFrame([("o/r", "main")], "full_name string, default_branch string")
+    commits = spark.createDataFrame([("o/r", "main", 0, "c", True)], "repo string, branch string, pos int, commit_sha string, valid boolean")
+    body = json.dumps({"files": [{"filename": "f", "patch": patch}]})
+    changed = landed.parse_commit_files(spark.createDataFrame([("o/r", "c", body)], "repo string, commit_sha string, payload string"))
+    result = jobs.scan_histories(repos, commits, changed)
+    assert failed(result) == [("o/r", "main", tree.HUNK_ERROR)] and result.findings.count() == 0
+
+
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(files.FileTreeError, match="does not exist"):
         jobs.scan_folder(spark, str(tmp_path / "none"))
