@@ -43,6 +43,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column without nulls, decoded in one go."""
+    flat, at = utf8(column)
+    whole = flat.tobytes().decode()
+    if len(whole) < len(flat):
+        at = np.concatenate(([0], np.cumsum((flat & 0xC0) != 0x80)))[at]
+    edges = at.tolist()
+    return [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = values.copy()
@@ -67,8 +77,8 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -87,10 +97,10 @@ def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
         stop = min(start + 2 * SLICE_BYTES, len(flat))
         if stop < len(flat):
             border = int(at[np.searchsorted(at, stop)])
-            spaces = np.flatnonzero(_SPACE[flat[stop:border]])
+            spaces = np.flatnonzero(SPACE[flat[stop:border]])
             stop = stop + int(spaces[0]) if len(spaces) else border
         piece = flat[start:stop]
-        space = _SPACE[piece]
+        space = SPACE[piece]
         edge = np.ones(len(piece) + 1, bool)
         edge[1:-1] = space[1:] != space[:-1]
         cuts = at[(at > start) & (at < stop)] - start

@@ -22,9 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.arrays import text_slices
+from credsieve.llm.arrays import SLICE_BYTES, SPACE, strings, text_slices, utf8
 
-_REMEMBERED = 600_000
+_REMEMBERED = 900_000
+_REMEMBERED_PARTS = 300_000
 _LONG_WORD = 255
 _WORDS_AT_ONCE = 50_000
 _MEMORY = "300MB"
@@ -111,6 +112,7 @@ class Codec:
         self.db.execute("alter table merges alter m type int")
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.parts: dict[str, tuple[int, str, bytes]] = {}
 
     @staticmethod
     def _table(columns: dict[str, np.ndarray], kind: pa.DataType | None = None) -> pa.Table:
@@ -157,15 +159,52 @@ class Codec:
         for word, text, a, b in zip(words, self.decode(ids, edges), cuts, cuts[1:], strict=False):
             self.words[word] = (b - a, " ".join(plain[a:b]), text)
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """For each text its words in order: (number of ids, ids in decimal, their bytes)."""
+    def _add(self, parts: list[str]) -> None:
+        """Learn parts of texts: their pieces by the pattern, and the pieces' ids."""
         if len(self.words) > _REMEMBERED:
             self.words.clear()
-        parts = [self.pattern.findall(t) for t in texts]
-        new = set(chain.from_iterable(parts)).difference(self.words)
+        pieces = [self.pattern.findall(p) for p in parts]
+        new = set(chain.from_iterable(pieces)).difference(self.words)
         if new:
             self._learn(list(new))
-        return [[self.words[w] for w in p] for p in parts]
+        for part, words in zip(parts, pieces, strict=True):
+            if len(words) == 1:
+                self.parts[part] = self.words[words[0]]
+            else:
+                found = [self.words[w] for w in words]
+                self.parts[part] = (sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found]))
+
+    def encode(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For each text the number of its ids, the ids in decimal, and the bytes they stand for.
+
+        Texts come as bytes and where each one starts.  No match of the pattern
+        goes on over white space that follows something else, so texts are cut
+        there, and each distinct part is looked up once.
+        """
+        if len(self.parts) > _REMEMBERED_PARTS:
+            self.parts.clear()
+        blank = SPACE[flat]
+        begins = np.zeros(len(flat) + 1, bool)
+        begins[1:-1] = ~blank[:-1] & blank[1:]
+        begins[at] = True
+        starts = np.flatnonzero(begins[:-1])
+        edges = np.append(starts, len(flat))
+        cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(flat)))
+        coded = cut.dictionary_encode()
+        distinct = strings(coded.dictionary)
+        new = [p for p in distinct if p not in self.parts]
+        for first in range(0, len(new), _WORDS_AT_ONCE):
+            self._add(new[first : first + _WORDS_AT_ONCE])
+        found = [self.parts[p] for p in distinct]
+        number = coded.indices
+        per_text = np.searchsorted(starts, at).astype(np.int32)
+        counts = np.concatenate(([0], np.cumsum(np.array([f[0] for f in found], np.int64)[number.to_numpy()])))[per_text]
+
+        def joined(values: list, kind: pa.DataType, between: str | bytes) -> pa.Array:
+            lists = pa.ListArray.from_arrays(pa.array(per_text), pa.array(values, kind).take(number))
+            return pa.compute.binary_join(lists, pa.scalar(between, kind))
+
+        return np.diff(counts), joined([f[1] for f in found], pa.string(), " "), joined([f[2] for f in found], pa.binary(), b"")
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -181,18 +220,18 @@ def codec(path: str, pattern: str) -> Codec:
 def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
     coder = codec(path, pattern)
     for whole in batches:
-        for start, stop in text_slices(whole, "text"):
+        for start, stop in text_slices(whole, "text", size=2 * SLICE_BYTES):
             batch = whole.slice(start, stop - start)
-            counts, ids, texts = [], [], []
-            for words in coder.encode([t or "" for t in batch.column("text").to_pylist()]):
-                counts.append(sum(w[0] for w in words))
-                plain, text = " ".join([w[1] for w in words]), b"".join([w[2] for w in words])
-                ids.append(sha256(plain.encode()).hexdigest() if digests else list(map(int, plain.split())))
-                texts.append(sha256(text).hexdigest() if digests else text)
+            counts, plain, decoded = coder.encode(*utf8(batch.column("text")))
+            if digests:
+                ids = [sha256(p.encode()).hexdigest() for p in plain.to_pylist()]
+                texts = [sha256(t).hexdigest() for t in decoded.to_pylist()]
+            else:
+                ids, texts = [list(map(int, p.split())) for p in plain.to_pylist()], decoded
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
             names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), pa.array(texts, kinds[1])],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), pa.array(texts, kinds[1]) if digests else texts],
                 ["doc_id", "n_tokens", *names],
             )
 

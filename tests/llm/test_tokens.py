@@ -75,14 +75,27 @@ def test_nothing_to_encode(spark):
     + ["".join(random.Random(s).choices(a, k=900)) for s, a in enumerate(["ab", "etaoin", "=-*", "abcdeinrst", "aeé"])],
 )
 def test_long_words_contract_alike(public, codec, word):
-    assert [int(i) for part in codec.encode([word])[0] for i in part[1].split()] == public.encode_ordinary(word)
+    assert ids_of(codec, [word]) == [public.encode_ordinary(word)]
 
 
-def test_forgetting_changes_nothing(public, codec, monkeypatch):
+def ids_of(codec, given):
+    counts, plain, decoded = codec.encode(*utf8(pa.array(given, pa.string())))
+    ids = [[int(i) for i in p.split()] for p in plain.to_pylist()]
+    assert counts.tolist() == [len(i) for i in ids] and decoded.to_pylist() == [(t or "").encode() for t in given]
+    return ids
+
+
+def test_texts_in_slices(public, codec, monkeypatch):
+    given = texts(2)
+    expected = [public.encode_ordinary(t or "") for t in given]
+    assert ids_of(codec, given) == expected
     monkeypatch.setattr(byte_bpe, "_REMEMBERED", 10)
+    monkeypatch.setattr(byte_bpe, "_REMEMBERED_PARTS", 10)
     monkeypatch.setattr(byte_bpe, "_WORDS_AT_ONCE", 7)
-    for text in filter(None, texts(2, 40)):
-        assert [int(i) for part in codec.encode([text])[0] for i in part[1].split()] == public.encode_ordinary(text)
+    codec.words.clear()
+    codec.parts.clear()
+    assert ids_of(codec, given[:60]) + ids_of(codec, given[60:]) == expected
+    assert ids_of(codec, []) == [] and ids_of(codec, [None, ""]) == [[], []]
 
 
 def test_word_tokens_agree_with_the_library(monkeypatch):
@@ -164,7 +177,8 @@ def test_plan_places_every_piece_once(seed):
             at += length
         assert at <= window
     if len(lengths) == 3000:
-        assert len(taken) * window - lengths.sum() < 0.02 * lengths.sum()
+        # two pieces above half a window never share one
+        assert len(taken) <= 1.01 * max(lengths.sum() / window, (lengths > window // 2).sum())
 
 
 def test_least_squares_counts_are_not_negative_and_fit():
