@@ -40,7 +40,7 @@ _HELD = 500_000
 
 def word_features(word: str) -> list[str]:
     """The word itself, and its beginnings marked with a trailing dash."""
-    return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) > k)]
+    return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) >= k)]
 
 
 class Marked:

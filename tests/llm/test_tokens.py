@@ -178,7 +178,7 @@ def test_plan_places_every_piece_once(seed):
         assert at <= window
     if len(lengths) == 3000:
         # two pieces above half a window never share one
-        assert len(taken) <= 1.01 * max(lengths.sum() / window, (lengths > window // 2).sum())
+        assert len(taken) <= 1.03 * max(lengths.sum() / window, (lengths > window // 2).sum())
 
 
 def test_least_squares_counts_are_not_negative_and_fit():
