@@ -2,7 +2,8 @@
 
 A text's features are its words and their beginnings (four to six letters), so
 that a stem with many endings counts as one thing.  Features that stand out in
-texts labelled toxic are selected over the labelled sample; one weight vector
+texts labelled toxic (by a z-score of their log odds, and in LEAST_ODDS times as
+many toxic as clean texts) are selected over the labelled sample; one weight vector
 over them, shared by all ordered thresholds, gives the probabilities
 
     P(grade <= k) = logistic(threshold[k] - weights . features)
@@ -31,8 +32,10 @@ SAMPLE = 20_000
 FEATURES = 2048
 LEAST_TEXTS = 5
 LEAST_Z = 4.0
+LEAST_ODDS = 4
 PREFIXES = (4, 5, 6)
 GRADES = 3
+VIEWS = 3
 _WORD = re.compile(r"\w+")
 _CACHED_WORDS = 200_000
 _HELD = 500_000
@@ -168,29 +171,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     odds = lambda x, n: F.log((F.col(x) + 0.5) / (F.lit(n + 0.5) - F.col(x)))
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     z = (odds("t", toxic) - odds("c", clean)) / spread
-    chosen = by_feature.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(features)
+    chosen = by_feature.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("t") > LEAST_ODDS * F.col("c"))).orderBy(F.col("z").desc(), "feature").limit(features)
     index = {r["feature"]: i for i, r in enumerate(chosen.select("feature").collect())}
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Marked(index)
+        kind = pa.list_(pa.struct([("times", pa.int32()), ("features", pa.list_(pa.int32()))]))
         for batch in batches:
-            hits = [look.words(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([len(h) for h in hits], pa.int32()),
-                 pa.array([sorted({i for word in h for i in word}) for h in hits], pa.list_(pa.int32()))],
-                ["toxic", "marks", "active"],
-            )
-
-    drawn = rows.select("text", "toxic").mapInArrow(marked, "toxic int, marks int, active array<int>").toArrow()
-    is_toxic = drawn.column("toxic").to_numpy() == 1
-    marks = drawn.column("marks").to_numpy()
-    grades = np.where(is_toxic, 1 + (marks >= max(1, np.median(marks[is_toxic]))), 0)
-    active = drawn.column("active").to_pylist()
-    row = np.repeat(np.arange(len(active)), [len(a) for a in active])
-    column = np.array([i for a in active for i in a], np.int64)
+            hits = [Counter(look.words(t or "")) for t in batch.column("text").to_pylist()]
+            words = [[{"times": n, "features": f} for f, n in sorted(h.items())] for h in hits]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, kind)], ["toxic", "words"])
+
+    drawn = rows.select("text", "toxic").mapInArrow(
+        marked, "toxic int, words array<struct<times:int,features:array<int>>>"
+    ).toArrow()  # at most `sample` rows with some numbers each
+    texts = sorted(zip(drawn.column("toxic").to_pylist(), drawn.column("words").to_pylist(), strict=True), key=str)
+    row, column, grades = _examples(texts)
     return Model(index, *fit_ordinal(row, column, grades, len(index)))
 
 
+def _examples(texts: list[tuple[int, list[dict]]], seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (row, column) of the ones and grades of the training examples.
+
+    A toxic text comes with VIEWS further examples that hold a random half of
+    its marked words, so that each word has to tell by itself, and not only
+    together with others that are always near it.
+    """
+    random = np.random.default_rng(seed)
+    marks = [sum(w["times"] for w in words) for toxic, words in texts if toxic]
+    severe = max(1, float(np.median(marks)))
+    examples: list[tuple[int, list[dict]]] = []
+    for toxic, words in texts:
+        examples.append((toxic, words))
+        if toxic and len(words) > 1:
+            for _ in range(VIEWS):
+                some = random.random(len(words)) < 0.5
+                some[random.integers(len(words))] = True
+                examples.append((toxic, [w for w, taken in zip(words, some, strict=True) if taken]))
+    active = [sorted({i for w in words for i in w["features"]}) for _, words in examples]
+    grades = [1 + (sum(w["times"] for w in words) >= severe) if toxic else 0 for toxic, words in examples]
+    row = np.repeat(np.arange(len(active)), [len(a) for a in active])
+    return row, np.array([i for a in active for i in a], np.int64), np.array(grades, np.int64)
+
+
 def _probable(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Parts of the batches with the probabilities of the grades of their rows."""
     look = Marked(model.index)
