@@ -1273,7 +1273,7 @@ STATUSES = {"clean": "confidence = 'none'", "found": "confidence = 'high'"}
     "gate_statuses",
     with_sql(
         k.scan_sql(k.PLANTED),
-        """SELECT 'clean' AS scan, 0 AS n_findings, 0 AS n_failures, 0 AS status FROM (SELECT count(*) FROM findings)
+        """SELECT 'clean' AS scan, 0 AS n_findings, 0::BIGINT AS n_failures, 0 AS status FROM (SELECT count(*) FROM findings)
         UNION ALL SELECT 'found', count(*), 0, 3 FROM findings WHERE confidence = 'high'
         UNION ALL SELECT 'not gated', count(*), 0, 0 FROM findings WHERE confidence = 'high'""",
     ),
