@@ -36,7 +36,8 @@ from credsieve.session import keep
 
 RETAINED = 32
 MISSED = 1e-6
-STAR_TURNS = 3
+STAR_TURNS = 5
+_REMEMBERED_LISTS = 32
 BROADCAST_ROWS = 500_000
 
 
@@ -165,12 +166,12 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 def _listed(rows: DataFrame, values: str, least: Column) -> DataFrame:
-    """The inverted lists (value, id, n, alone) of the sets in column `values` of `rows` (id, n).
+    """The inverted lists (value, id, alone, at) of the sets in column `values` of `rows` (id, n).
 
     `least` is how many values a set must share with another one to be linked.
     Values are ordered from rare to common, so that two linked sets share one
     of the first size - least + 1 of each; `alone` values that no other set has
-    come first and need no list.
+    come first and need no list.  `at` is the value's number in that order.
     """
     postings = rows.select("id", F.size(values).alias("size"), least.cast("int").alias("least"), F.explode(values).alias("value"))
     frequency = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -179,7 +180,25 @@ def _listed(rows: DataFrame, values: str, least: Column) -> DataFrame:
         "id", "value", "size", "least", F.row_number().over(own.orderBy("df", "value")).alias("nth"),
         (F.col("size") - F.count("*").over(own)).alias("alone"),
     )
-    return shared.where("alone + nth <= size - least + 1").select("value", "id", "alone")
+    return shared.withColumn("at", F.col("alone") + F.col("nth")).where("at <= size - least + 1").select("value", "id", "alone", "at")
+
+
+def _apart_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members of lists (value, id, n, alone, at, own) that differ in `own`.
+
+    A pair comes from the first list that it shares: the values before it are
+    not shared, which bounds what can be shared at all.  (Beyond
+    _REMEMBERED_LISTS lists, a pair may come more than once.)
+    """
+    before = Window.partitionBy("id").orderBy("at").rowsBetween(-_REMEMBERED_LISTS, -1)
+    known = left.withColumn("earlier", F.collect_list("value").over(before))
+    names = ("id", "n", "alone", "own", "at", "earlier")
+    side = lambda x: known.select("value", *(F.col(c).alias(f"{c}_{x}") for c in names))
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
+    enough = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+    first = F.size(F.array_intersect("earlier_a", "earlier_b")) == 0
+    met = side("a").join(side("b"), "value").where((F.col("id_a") < F.col("id_b")) & (F.col("own_a") != F.col("own_b")) & enough & first)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", "alone_a", "alone_b")
 
 
 def _labels(
@@ -196,7 +215,7 @@ def _labels(
     links = None
     for turn in range(star_turns + 1):
         now = lists.join(labels, F.col("id") == F.col("node"), "left").select(
-            "value", "id", "n", "alone", F.coalesce("component", "id").alias("own")
+            "value", "id", "n", "alone", "at", F.coalesce("component", "id").alias("own")
         )
         apart = now.groupBy("value").agg(
             F.min("own").alias("low"), F.max("own").alias("high"),
@@ -208,10 +227,7 @@ def _labels(
                 F.col("lead.alone").alias("alone_a"), F.col("alone").alias("alone_b"),
             )
         else:
-            left = now.join(apart.select("value"), "value", "left_semi")
-            side = lambda x: left.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "alone", "own")))  # noqa: E731, B023
-            near = side("a").join(side("b"), "value").where("id_a < id_b and own_a <> own_b")
-            near = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", "alone_a", "alone_b")
+            near = _apart_pairs(now.join(apart.select("value"), "value", "left_semi"), percent)
         pairs = near.where(_can_reach(percent)).select("a", "b").distinct()
         fresh = keep(_linked(_alike(pairs, reps, retained, overlap), sets, percent), "near")
         if fresh.isEmpty():
