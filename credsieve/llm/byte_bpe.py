@@ -10,6 +10,7 @@ ids to their bytes and puts them together by an ordered aggregate.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 from functools import partial
 from hashlib import sha256
@@ -193,8 +194,13 @@ class Codec:
         coded = cut.dictionary_encode()
         distinct = strings(coded.dictionary)
         new = [p for p in distinct if p not in self.parts]
-        for first in range(0, len(new), _WORDS_AT_ONCE):
-            self._add(new[first : first + _WORDS_AT_ONCE])
+        if new:
+            # what is remembered holds no cycles, and would be searched for some again and again
+            gc.disable()
+            for first in range(0, len(new), _WORDS_AT_ONCE):
+                self._add(new[first : first + _WORDS_AT_ONCE])
+            gc.freeze()
+            gc.enable()
         found = [self.parts[p] for p in distinct]
         number = coded.indices
         per_text = np.searchsorted(starts, at).astype(np.int32)
