@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 from hashlib import sha256
 from itertools import chain
@@ -194,13 +195,8 @@ class Codec:
         coded = cut.dictionary_encode()
         distinct = strings(coded.dictionary)
         new = [p for p in distinct if p not in self.parts]
-        if new:
-            # what is remembered holds no cycles, and would be searched for some again and again
-            gc.disable()
-            for first in range(0, len(new), _WORDS_AT_ONCE):
-                self._add(new[first : first + _WORDS_AT_ONCE])
-            gc.freeze()
-            gc.enable()
+        for first in range(0, len(new), _WORDS_AT_ONCE):
+            self._add(new[first : first + _WORDS_AT_ONCE])
         found = [self.parts[p] for p in distinct]
         number = coded.indices
         per_text = np.searchsorted(starts, at).astype(np.int32)
@@ -223,23 +219,33 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without garbage collection: what is remembered holds no cycles, and would be searched for some over and over."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
     coder = codec(path, pattern)
-    for whole in batches:
-        for start, stop in text_slices(whole, "text", size=2 * SLICE_BYTES):
-            batch = whole.slice(start, stop - start)
-            counts, plain, decoded = coder.encode(*utf8(batch.column("text")))
-            if digests:
-                ids = [sha256(p.encode()).hexdigest() for p in plain.to_pylist()]
-                texts = [sha256(t).hexdigest() for t in decoded.to_pylist()]
-            else:
-                ids, texts = [list(map(int, p.split())) for p in plain.to_pylist()], decoded
-            kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-            names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), pa.array(texts, kinds[1]) if digests else texts],
-                ["doc_id", "n_tokens", *names],
-            )
+    kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
+    names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
+    with _uncollected():
+        for whole in batches:
+            for start, stop in text_slices(whole, "text", size=2 * SLICE_BYTES):
+                batch = whole.slice(start, stop - start)
+                counts, plain, texts = coder.encode(*utf8(batch.column("text")))
+                if digests:
+                    ids = [sha256(p.encode()).hexdigest() for p in plain.to_pylist()]
+                    texts = pa.array([sha256(t).hexdigest() for t in texts.to_pylist()], kinds[1])
+                else:
+                    ids = [list(map(int, p.split())) for p in plain.to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), texts], ["doc_id", "n_tokens", *names]
+                )
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
