@@ -9,7 +9,7 @@ from credsieve.operators.catalogue import DEFAULT_CATALOGUE, Signature
 from credsieve.workload import corpora as c
 
 MULTI_LINE = ("AWS secret access key", "PEM private key")
-DIRECTIVE = r"(?i)secret-scanner:\s*(?:ignore|allow)|pragma:\s*allowlist\s+secret"
+DIRECTIVE = fixed.IGNORE_DIRECTIVE_FORMAT
 
 
 def quoted(text: str) -> str:
