@@ -7,13 +7,14 @@ memory of a task does not depend on how many or how long the documents are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _POWERS: list[np.ndarray] = []
@@ -32,6 +33,15 @@ def text_slices(
         held += own
     if start < len(sizes):
         yield start, len(sizes)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on, and tasks of other stages follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,13 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.arrays import SLICE_BYTES, SPACE, strings, text_slices, utf8
+from credsieve.llm.arrays import SPACE, strings, text_slices, utf8
 
 _REMEMBERED = 900_000
 _REMEMBERED_PARTS = 300_000
 _LONG_WORD = 255
 _WORDS_AT_ONCE = 50_000
 _MEMORY = "300MB"
+_SLICE = 4 << 20
 
 # Neighbours that the merge table knows, with the position after the next one.
 _NEIGHBOURS = """
@@ -235,7 +236,7 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests:
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     with _uncollected():
         for whole in batches:
-            for start, stop in text_slices(whole, "text", size=2 * SLICE_BYTES):
+            for start, stop in text_slices(whole, "text", size=_SLICE):
                 batch = whole.slice(start, stop - start)
                 counts, plain, texts = coder.encode(*utf8(batch.column("text")))
                 if digests:

@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credsieve.llm.arrays import SLICE_BYTES, text_slices, utf8
+from credsieve.llm.arrays import text_slices, utf8
 from credsieve.session import keep
 
 WINDOW = 2048
 END = 1
-_CACHED_WORDS = 700_000
-_CACHED_IDS = 6_000_000
+_CACHED_WORDS = 400_000
+_CACHED_IDS = 4_000_000
+_SLICE = 4 << 20
 _TOGETHER = 4096
 
 
@@ -139,7 +140,7 @@ def word_tokens(path: str) -> WordTokens:
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
     tokens, seen, task = word_tokens(path), Counter(), TaskContext.get().partitionId()
     for whole in batches:
-        for first, stop in text_slices(whole, "text", size=4 * SLICE_BYTES):
+        for first, stop in text_slices(whole, "text", size=_SLICE):
             batch = whole.slice(first, stop - first)
             ids, edges = tokens.encode(*utf8(batch.column("text")))
             rows: list[tuple] = []

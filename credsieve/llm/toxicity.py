@@ -37,8 +37,8 @@ PREFIXES = (4, 5, 6)
 GRADES = 3
 VIEWS = 3
 _WORD = re.compile(r"\w+")
-_CACHED_WORDS = 200_000
-_HELD = 500_000
+_CACHED_WORDS = 100_000
+_HELD = 150_000
 
 
 def word_features(word: str) -> list[str]:
@@ -124,6 +124,12 @@ def fit_ordinal(
     return value[:width], np.cumsum(np.concatenate([value[width : width + 1], np.exp(value[width + 1 :])]))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start, stop in text_slices(whole, "text"):
+            yield whole.slice(start, stop - start)
+
+
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -135,7 +141,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         held.clear()
         return out
 
-    for batch in batches:
+    for batch in _slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             features = {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
             held.update((f, toxic) for f in features)
@@ -177,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Marked(index)
         kind = pa.list_(pa.struct([("times", pa.int32()), ("features", pa.list_(pa.int32()))]))
-        for batch in batches:
+        for batch in _slices(batches):
             hits = [Counter(look.words(t or "")) for t in batch.column("text").to_pylist()]
             words = [[{"times": n, "features": f} for f, n in sorted(h.items())] for h in hits]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, kind)], ["toxic", "words"])
@@ -217,11 +223,9 @@ def _examples(texts: list[tuple[int, list[dict]]], seed: int = 17) -> tuple[np.n
 def _probable(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Parts of the batches with the probabilities of the grades of their rows."""
     look = Marked(model.index)
-    for whole in batches:
-        for start, stop in text_slices(whole, "text"):
-            batch = whole.slice(start, stop - start)
-            active = [{i for word in look.words(t or "") for i in word} for t in batch.column("text").to_pylist()]
-            yield batch, model.probabilities(np.array([sum(model.weights[i] for i in a) for a in active], float))
+    for batch in _slices(batches):
+        active = [{i for word in look.words(t or "") for i in word} for t in batch.column("text").to_pylist()]
+        yield batch, model.probabilities(np.array([sum(model.weights[i] for i in a) for a in active], float))
 
 
 def grade(docs: DataFrame, model: Model, returned: list[str] | None = None) -> DataFrame:
