@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from credsieve.llm.arrays import SPACE, strings, text_slices, utf8
 
-_REMEMBERED = 900_000
-_REMEMBERED_PARTS = 300_000
+_REMEMBERED = 1_200_000
+_REMEMBERED_PARTS = 800_000
 _LONG_WORD = 255
 _WORDS_AT_ONCE = 50_000
 _MEMORY = "300MB"
