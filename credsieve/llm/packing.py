@@ -137,7 +137,7 @@ def word_tokens(path: str) -> WordTokens:
     return _TOKENS[path]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, forget: bool) -> Iterator[pa.RecordBatch]:
     tokens, seen, task = word_tokens(path), Counter(), TaskContext.get().partitionId()
     for whole in batches:
         for first, stop in text_slices(whole, "text", size=_SLICE):
@@ -157,6 +157,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[
                 [batch.column("doc_id").take(pa.array(columns[0])), *map(pa.array, columns[1:]), pa.array(np.full(len(rows), task))],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth", "task"],
             )
+        if forget:
+            tokens.clear()
 
 
 def fitted_counts(histogram: np.ndarray, combinations: list[tuple[int, ...]], sweeps: int = 60) -> np.ndarray:
@@ -260,7 +262,7 @@ def _placed(batches: Iterator[pa.RecordBatch], where: Plan) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, forget: bool = False) -> DataFrame:
     """One row per piece of a document of `docs` (doc_id, text): where it comes from and where it goes.
 
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), as long
@@ -268,10 +270,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     is a document of its own, also one that repeats a doc_id or has none.
     Sequences hold at most `window` ids; pieces in one stand without gaps from
     offset 0.  An empty table gives no rows.  Other columns are not read.
+    `forget` drops the ids of known words after every batch, which costs time, for
+    sessions whose other stages need the memory.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, nth bigint, task bigint"
-    pieces = keep(texts.mapInArrow(partial(_cut, path=tokenizer, window=window), schema), "pieces")
+    pieces = keep(texts.mapInArrow(partial(_cut, path=tokenizer, window=window, forget=forget), schema), "pieces")
     per_task = keep(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(window + 1, np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row for each length up to the window
