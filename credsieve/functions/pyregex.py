@@ -9,6 +9,8 @@ per pattern on the driver, so that matching itself stays inside the JVM.
 from __future__ import annotations
 
 import re
+from re import _constants as op
+from re import _parser as parser
 
 # What Python's str patterns call white space.
 SPACE_RANGES = (
@@ -125,3 +127,110 @@ def search_pattern(pattern: str, ahead: str = "") -> str:
     """
     body = to_java(pattern)
     return f"(?msd){ahead}(?:{body})" if ahead else "(?msd)" + body
+
+
+_FEED = ord("\n")
+_REPEATS = (op.MAX_REPEAT, op.MIN_REPEAT)
+_CHARACTERS = (op.LITERAL, op.NOT_LITERAL, op.ANY, op.IN)
+
+
+def counts_no_line_feeds(pattern: str, gap: int) -> bool:
+    """Runs of ``gap`` or more line feeds are all the same to the pattern, but for the length of a match.
+
+    Line feeds may only be taken by unbounded repeats of one character outside
+    other repeats, and neither at an end of a match nor inside the group
+    ``secret``: then a match takes all of a run or nothing of it, and takes a
+    longer one in the same way.  False where that is not plain to see.
+    """
+    tree = parser.parse(pattern, re.M | re.S)
+    secret = tree.state.groupdict.get("secret")
+    least = _least_feeds(tree, secret)
+    return least is not None and least < gap and _ends_firm(tree, 1) and _ends_firm(tree, -1)
+
+
+def _takes_feed(kind: object, value: object) -> bool:
+    """A character item matches a line feed."""
+    if kind is op.LITERAL:
+        return value == _FEED
+    if kind is op.NOT_LITERAL:
+        return value != _FEED
+    if kind is op.ANY:
+        return True
+    negated = value[0][0] is op.NEGATE
+    held = any(
+        (k is op.LITERAL and v == _FEED)
+        or (k is op.RANGE and v[0] <= _FEED <= v[1])
+        or (k is op.CATEGORY and v in (op.CATEGORY_SPACE, op.CATEGORY_NOT_DIGIT, op.CATEGORY_NOT_WORD))
+        for k, v in value
+    )
+    return held != negated
+
+
+def _least_feeds(items: parser.SubPattern, secret: int | None) -> int | None:
+    """Line feeds that the repeats take at least, all summed up; None where feeds may be counted."""
+    total = 0
+    for kind, value in items:
+        if kind in _CHARACTERS:
+            least = None if _takes_feed(kind, value) else 0
+        elif kind is op.AT:
+            least = 0
+        elif kind in _REPEATS:
+            low, high, body = value
+            single = len(body) == 1 and body[0][0] in _CHARACTERS
+            if single and high is op.MAXREPEAT and _takes_feed(*body[0]):
+                least = int(low)
+            else:
+                least = _least_feeds(body, secret)
+                if least is not None and high != 1 and _has_feeds(body):
+                    least = None
+        elif kind is op.SUBPATTERN:
+            least = _least_feeds(value[-1], secret)
+            if value[0] is not None and value[0] == secret and _has_feeds(value[-1]):
+                least = None
+        elif kind is op.BRANCH:
+            parts = [_least_feeds(branch, secret) for branch in value[1]]
+            least = None if None in parts else sum(parts)
+        elif kind in (op.ASSERT, op.ASSERT_NOT):
+            least = None if value[1].getwidth()[1] > 1 and _has_feeds(value[1]) else 0
+        else:
+            least = None
+        if least is None:
+            return None
+        total += least
+    return total
+
+
+def _has_feeds(items: parser.SubPattern) -> bool:
+    """Some part may match a line feed; True for what is not known."""
+    for kind, value in items:
+        if kind in _CHARACTERS:
+            found = _takes_feed(kind, value)
+        elif kind in _REPEATS:
+            found = _has_feeds(value[2])
+        elif kind is op.SUBPATTERN:
+            found = _has_feeds(value[-1])
+        elif kind is op.BRANCH:
+            found = any(_has_feeds(branch) for branch in value[1])
+        else:
+            found = kind is not op.AT
+        if found:
+            return True
+    return False
+
+
+def _ends_firm(items: parser.SubPattern, step: int) -> bool:
+    """Every match begins (step 1) or ends (step -1) with a character that is no line feed."""
+    for kind, value in list(items)[::step]:
+        if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+            continue
+        if kind is op.SUBPATTERN and _ends_firm(value[-1], step):
+            return True
+        if kind is op.BRANCH and all(_ends_firm(branch, step) for branch in value[1]):
+            return True
+        if kind in _REPEATS and value[0] > 0 and _ends_firm(value[2], step):
+            return True
+        if kind in _CHARACTERS:
+            return not _takes_feed(kind, value)
+        if kind not in (*_REPEATS, op.SUBPATTERN, op.BRANCH) or _has_feeds([(kind, value)]):
+            return False
+    return False

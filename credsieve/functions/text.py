@@ -58,7 +58,9 @@ def shannon_entropy(text: Column) -> Column:
     def plogp(count: Column) -> Column:
         return (count / length) * F.log2(count / length)
 
-    characters = F.array_distinct(F.filter(F.split(text, "", -1), lambda c: c != ""))
+    # Matches across the hunks of a patch hold very many line feeds.
+    short = F.regexp_replace(text, "\n{2,}", "\n")
+    characters = F.array_distinct(F.filter(F.split(short, "", -1), lambda c: c != ""))
     bits = F.aggregate(
         characters,
         F.lit(0.0),

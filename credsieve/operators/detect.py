@@ -25,6 +25,7 @@ from credsieve.functions import paths, text
 from credsieve.functions.pyregex import search_pattern
 from credsieve.operators.catalogue import (
     DEFAULT_CATALOGUE,
+    LEAST_GAP,
     SHORTEST_RUN,
     Signature,
     by_ordinal,
@@ -61,8 +62,9 @@ _TOKEN = f"(?<!{_CLASS}){_CLASS}{{{fixed.TOKEN_RUN_LENGTH},}}"
 # Marks a match in a text that does not hold this noncharacter itself.
 _MARK = "\uffff"
 # Blank lines that stand for a gap in a sparse text.  A longer gap is searched as
-# one of this length; line numbers are those of the whole text.
-LONGEST_GAP = 200
+# one of this length by the signatures to which that makes no difference, and by
+# them alone; line numbers and matched values are those of the whole text.
+LONGEST_GAP = LEAST_GAP
 
 Detector = Callable[[DataFrame], DataFrame]
 _OWN_COLUMNS = FINDING_COLUMNS[2:7] + FINDING_COLUMNS[8:]
@@ -257,10 +259,14 @@ def _built_in(
     ordinal = F.col("pattern_ord")
     is_entropy = ordinal == 0
 
-    # Signatures may span lines, so they see a sparse text with its blank lines.
-    full = F.when(
-        is_entropy | F.col("line_nos").isNull(), F.col("content")
-    ).otherwise(sparse_text(F.col("content"), F.col("line_nos")))
+    # Signatures may span lines, so they see a sparse text with its blank lines:
+    # all of them where their number may decide what is found.
+    strict = [i for i, s in enumerate(options.catalogue, start=1) if not s.elastic]
+    is_strict = ordinal.isin(strict)
+    full = F.when(is_entropy | F.col("line_nos").isNull(), F.col("content"))
+    if strict:
+        full = full.when(is_strict, sparse_text(F.col("content"), F.col("line_nos"), None))
+    full = full.otherwise(sparse_text(F.col("content"), F.col("line_nos")))
     texts = gated.select(*keys, "line_nos", "pattern_ord", full.alias("content"))
 
     content = F.col("content")
@@ -269,7 +275,7 @@ def _built_in(
         "line_nos",
         "pattern_ord",
         F.when(is_entropy | may_be_suppressed(content), text.raw_lines(content)).alias("lines"),
-        F.when(~is_entropy, _true_numbers(F.col("line_nos"))).alias("true_nos"),
+        F.when(~is_entropy & ~is_strict, _true_numbers(F.col("line_nos"))).alias("true_nos"),
         *_signature_columns(options),
     )
     values = F.when(
@@ -321,11 +327,30 @@ def _signature_values() -> Column:
         line = F.get(F.col("lines"), number - 1)
         dropped = (value == "") | F.coalesce(is_suppressed(line), F.lit(False))
         true = F.coalesce(F.get(F.col("true_nos"), number - 1), number)
-        return F.when(~dropped, F.concat(true.cast("string"), F.lit(":"), value))
+        shortened = F.col("true_nos").isNotNull() & value.contains("\n")
+        whole = F.when(shortened, _with_all_feeds(value, number)).otherwise(value)
+        return F.when(~dropped, F.concat(true.cast("string"), F.lit(":"), whole))
 
     return F.array_compact(F.zip_with(numbers, values, keyed))
 
 
+def _with_all_feeds(value: Column, number: Column) -> Column:
+    """A match that begins on a line of the searched text, with the line feeds that were left out inside it."""
+
+    def ahead(i: Column) -> Column:
+        return F.get(F.col("true_nos"), number - 1 + i) - F.get(F.col("true_nos"), number - 2 + i)
+
+    return F.array_join(
+        F.transform(
+            F.split(value, "\n", -1),
+            lambda line, i: F.when(i == 0, line).otherwise(
+                F.concat(F.repeat(F.lit("\n"), ahead(i).cast("int")), line)
+            ),
+        ),
+        "",
+    )
+
+
 def _scored(values: Column, is_entropy: Column, options: EntropyOptions) -> Column:
     """Distinct ``line:value`` strings to structs with their entropy.
 
@@ -367,17 +392,20 @@ def _labels(options: DetectOptions, ordinal: Column, is_entropy: Column) -> list
     ]
 
 
-def _line_feeds(line_nos: Column, n: Column, i: Column) -> Column:
+def _line_feeds(line_nos: Column, n: Column, i: Column, longest: int | None) -> Column:
     """Line feeds ahead of a line of a sparse text."""
     gap = n - F.when(i == 0, F.lit(1).cast("bigint")).otherwise(F.get(line_nos, i - 1))
-    return F.least(gap, F.lit(LONGEST_GAP).cast("bigint"))
+    return gap if longest is None else F.least(gap, F.lit(longest).cast("bigint"))
 
 
-def sparse_text(content: Column, line_nos: Column) -> Column:
-    """Put blank lines between the lines of ``content``, as many as their numbers say up to a bound."""
+def sparse_text(content: Column, line_nos: Column, longest: int | None = LONGEST_GAP) -> Column:
+    """Put blank lines between the lines of ``content``, as many as their numbers say up to ``longest``.
+
+    Without a bound, a gap that no string can hold is an error.
+    """
     padded = F.zip_with(
         F.split(content, "\n", -1),
-        F.transform(line_nos, lambda n, i: _line_feeds(line_nos, n, i).cast("int")),
+        F.transform(line_nos, lambda n, i: _line_feeds(line_nos, n, i, longest).cast("int")),
         lambda line, feeds: F.concat(F.repeat(F.lit("\n"), feeds), line),
     )
     return F.array_join(padded, "")
@@ -389,7 +417,7 @@ def _true_numbers(line_nos: Column) -> Column:
     return F.flatten(
         F.transform(
             line_nos,
-            lambda n, i: F.sequence(n - _line_feeds(line_nos, n, i) + F.when(i == 0, first - 1).otherwise(first), n),
+            lambda n, i: F.sequence(n - _line_feeds(line_nos, n, i, LONGEST_GAP) + F.when(i == 0, first - 1).otherwise(first), n),
         )
     )
 

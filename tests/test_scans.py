@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
 from credsieve.operators import history, tree
-from credsieve.operators.detect import EntropyOptions, DetectOptions, sparse_text
+from credsieve.operators.catalogue import DEFAULT_CATALOGUE, Signature
+from credsieve.operators.detect import EntropyOptions, DetectOptions, detect, sparse_text
 from credsieve.plans import jobs
 from credsieve.sources import files, landed
 from tests import model
@@ -72,6 +73,42 @@ def test_history_findings_of_random_patches(spark):
     assert got == sorted(want) and len(got) > 200
 
 
+@pytest.mark.parametrize("gap", [199, 200, 201, 202, 5000])
+def test_matches_across_distant_hunks(spark, gap):
+    counting = Signature("Counting", r"first\n{201}last", "low", "x")
+    even = Signature("Even", r"first(?:\n\n)+last", "low", "x")
+    blank = Signature("Blank", r"\n{150}", "low", "x")
+    inner = Signature("Inner", r"first(?P<secret>\s+l)ast", "low", "x")
+    catalogue = (*DEFAULT_CATALOGUE, counting, even, blank, inner)
+    key = ["-----BEGIN PRIVATE " + "KEY-----", "abc", "-----END PRIVATE " + "KEY-----"]
+    hunks = [(3, [key[0], key[1]]), (4 + gap, [key[2], KEY, "first"]), (6 + 2 * gap, ["last", f"{key[0]}{key[2]}"])]
+    patch = "\n".join(f"@@ -1 +{at} @@\n" + "\n".join("+" + line for line in lines) for at, lines in hunks)
+    frame = spark.createDataFrame([("r", "f.py", "c", patch)], "repo string, file_path string, commit_sha string, patch string")
+    found = detect(history.history_units(frame), DetectOptions(catalogue=catalogue, entropy=None))
+    columns = ["line_number", "matched_text", "detection_method", "pattern_name", "confidence", "entropy_score"]
+    want = model.regex_rows(model.sparse_file(patch), catalogue)
+    got = sorted(tuple(r) for r in found.select(columns).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in sorted(want)]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in sorted(want)])
+    assert (3, "PEM private key") in {(r[0], r[3]) for r in got}
+
+
+def test_every_signature_of_the_catalogue_is_elastic():
+    assert all(s.elastic for s in DEFAULT_CATALOGUE)
+
+
+@pytest.mark.parametrize(
+    "regex,elastic",
+    [
+        ("ab", True), (r"a\s*b", True), (r"(?:a|b\s+)[^x]*c", True), (r"^a[\s\S]*?b$", True), (r"(?<!\S)a\s+b", True),
+        (r"a\nb", False), (r"a\s{2,300}b", False), (r"(a\s*)+b", False), (r"\s+b", False), (r"a\s*", False), (r"(a)\s+\1", False),
+        (r"a(?P<secret>\s*b)", False), (r"a\s{200,}b", False), (r"a(?=\n{300})[^x]*b", False), (r"a(?>\s*)b", False), (r"a?\s*b", False),
+    ],
+)
+def test_elastic_signatures(regex, elastic):
+    assert Signature("N", regex, "low", "x").elastic == elastic
+
+
 def test_newest_commits(spark):
     rows = [("o/r", "main", i, f"c{i}") for i in range(9)] + [("o/r", "dev", 0, "d0"), ("o/s", "main", 3, "s3")]
     frame = spark.createDataFrame(rows, "repo string, branch string, pos int, commit_sha string")
