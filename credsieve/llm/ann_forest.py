@@ -5,7 +5,9 @@ built on a bounded sample and every row is sent down all of them.  To rank by
 inner product, vectors get one more component that brings them all to the same
 length.  A query goes through one priority queue that all trees share: the
 branch whose worst margin on the way is best comes next, until a share of all
-leaves is reached.  What lies in these leaves is ranked by the exact product.
+leaves is reached and these hold many times the rows that are asked for; a small
+table is searched as a whole.  What lies in these leaves is ranked by the exact
+product.
 
 The index is sharded: a task holds a block of rows with their leaves and ranks
 candidates for a block of queries; the best of each block are merged.
@@ -31,6 +33,8 @@ TREES = 8
 LEAVES = 256
 LEAF_SHARE = 0.2
 NEIGHBOURS = 20
+#: The leaves that a query reaches hold at least so many times the rows it asks for, if there are as many.
+ENOUGH = 10
 ROWS_PER_SHARD = 8192
 QUERIES_PER_BLOCK = 4096
 _QUERIES_AT_ONCE = 256
@@ -42,6 +46,7 @@ class Tree:
     middles: np.ndarray
     children: np.ndarray  # (inner nodes, 2); a leaf is -1 - its number
     leaves: int
+    sizes: np.ndarray  # sampled points of each leaf
 
     def leaf_of(self, points: np.ndarray) -> np.ndarray:
         node = np.full(len(points), 0 if len(self.normals) else -1)
@@ -54,11 +59,11 @@ class Tree:
 
 def grow(points: np.ndarray, leaf: int, random: np.random.Generator) -> Tree:
     """One tree, split at medians until at most `leaf` sampled points are left or all are equal."""
-    normals, middles, children, leaves = [], [], [], 0
+    normals, middles, children, sizes = [], [], [], []
     todo = [(np.arange(len(points)), -1, 0)]
     while todo:
         rows, parent, side = todo.pop()
-        name = -1 - leaves
+        name = -1 - len(sizes)
         if len(rows) > leaf:
             one, two = random.choice(rows, 2, replace=False)
             normal = points[one] - points[two]
@@ -74,11 +79,12 @@ def grow(points: np.ndarray, leaf: int, random: np.random.Generator) -> Tree:
                 children.append([0, 0])
                 todo += [(rows[~right], name, 0), (rows[right], name, 1)]
         if name < 0:
-            leaves += 1
+            sizes.append(len(rows))
         if parent >= 0:
             children[parent][side] = name
     width = points.shape[1]
-    return Tree(np.array(normals).reshape(-1, width), np.array(middles), np.array(children, int).reshape(-1, 2), leaves)
+    links = np.array(children, int).reshape(-1, 2)
+    return Tree(np.array(normals).reshape(-1, width), np.array(middles), links, len(sizes), np.array(sizes))
 
 
 @dataclass
@@ -95,16 +101,22 @@ class Forest:
         scale = self.longest / np.linalg.norm(vectors, axis=1)
         return np.column_stack([vectors * scale[:, None], np.zeros(len(vectors))])
 
-    def reached(self, point: np.ndarray, share: float) -> np.ndarray:
-        """Numbers of the leaves (over all trees) that one query reaches."""
+    def reached(self, point: np.ndarray, share: float, least: int = 0) -> np.ndarray:
+        """Numbers of the leaves (over all trees) that one query reaches.
+
+        They are a share of all leaves, and more until those of one tree, which
+        have no point in common, hold `least` sampled points, or none is left.
+        """
         first = np.cumsum([0, *(t.leaves for t in self.trees)])
         margins = [(t.normals @ point - t.middles).tolist() for t in self.trees]
         queue = [(-np.inf, i, 0 if len(t.normals) else -1) for i, t in enumerate(self.trees)]
         found, wanted = [], ceil(share * first[-1])
-        while queue and len(found) < wanted:
+        held = [0] * len(self.trees)
+        while queue and (len(found) < wanted or max(held) < least):
             worst, i, node = heapq.heappop(queue)
             if node < 0:
                 found.append(first[i] - 1 - node)
+                held[i] += int(self.trees[i].sizes[-1 - node])
                 continue
             left, right = self.trees[i].children[node].tolist()
             margin = margins[i][node]
@@ -165,7 +177,7 @@ def nearest(
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = forest.asked(stacked(batch.column("vector"), forest.width))
-            yield _listed(batch, [forest.reached(p, share) for p in points])
+            yield _listed(batch, [forest.reached(p, share, ENOUGH * neighbours + 1) for p in points])
 
     schema = "vec_id bigint, vector array<double>, leaves array<int>"
     index = keep(rows.mapInArrow(placed, schema), "forest")

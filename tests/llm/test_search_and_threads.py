@@ -48,6 +48,24 @@ def test_nearest_with_few_and_broken_vectors(spark):
         assert ann_forest.nearest(spark.createDataFrame(few, "vec_id long, embedding array<float>")).collect() == []
 
 
+@pytest.mark.parametrize("count", [9, 15, 21, 25, 30, 40, 60, 190, 260, 400])
+def test_nearest_of_small_tables(spark, count):
+    points = np.random.default_rng(count).standard_normal((count, 16))
+    points[: count // 3] = points[0]  # equal vectors fill leaves of their own
+    ids = list(range(count))
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    found = ann_forest.nearest(table, every=2).collect()
+    hits = 0
+    for query in ids[::2]:
+        got = [r.vec_id for r in sorted((r for r in found if r.query_id == query), key=lambda r: r["rank"])]
+        want = [i for i, _ in brute_force(ids, points, query, 20)]
+        assert len(got) == min(20, count - 1)
+        if count < 200:
+            assert got == want
+        hits += len(set(got) & set(want))
+    assert hits >= 0.9 * len(ids[::2]) * min(20, count - 1)
+
+
 def test_tree_leaves_hold_every_point():
     deal = np.random.default_rng(3)
     points = np.concatenate([deal.standard_normal((500, 6)), np.ones((300, 6))])
