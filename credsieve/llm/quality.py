@@ -12,10 +12,11 @@ one more logistic model combines the two calibrated scores.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,10 @@ POOL = 20_000
 ROUNDS = 3
 BINS = 16
 CONFIDENT = 0.95
-SOURCES = 1024
-LANGUAGES = 64
+#: Codes of metadata: of null, of a value that the fitted rows do not hold, and of the first that they do.
+NULL, UNSEEN, KNOWN = 0, 1, 2
 _MEASURES = 14
-_META = ("source_code", "lang_code", "size")
+_META = ("source", "lang", "size")
 
 
 def _classes() -> np.ndarray:
@@ -131,6 +132,9 @@ class Model:
     content: View
     meta: View
     combined: np.ndarray
+    # the sources and languages of the fitted rows, in the order of their codes
+    sources: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))
+    languages: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined, content and metadata probabilities of good quality."""
@@ -147,14 +151,26 @@ def _quantiles(numbers: np.ndarray) -> np.ndarray:
 
 
 def meta_columns() -> list[Column]:
-    """The metadata as numbers: hashed source and language (null has its own code), and the recorded size."""
-    code = lambda c, n: F.coalesce(F.crc32(F.col(c).cast("string")) % (n - 1) + 1, F.lit(0)).cast("double")
+    """The metadata: source and language as they are, and the recorded size as a number."""
     size = F.log1p(F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)))
-    return [code("source", SOURCES).alias("source_code"), code("lang", LANGUAGES).alias("lang_code"), size.alias("size")]
+    return [*(F.col(c).cast("string").alias(c) for c in ("source", "lang")), size.alias("size")]
 
 
-def _meta_numbers(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _META])
+def _values(column: pa.ChunkedArray) -> pa.Array:
+    """The distinct values of a column in order, without null."""
+    found = pc.unique(column).drop_null()
+    return found.take(pc.sort_indices(found))
+
+
+def _codes(column: pa.Array | pa.ChunkedArray, values: pa.Array) -> np.ndarray:
+    at = pc.index_in(column, value_set=values.cast(column.type), skip_nulls=True)
+    known = pc.add(pc.fill_null(at, UNSEEN - KNOWN), KNOWN)
+    return pc.if_else(pc.is_null(column), NULL, known).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _meta_numbers(batch: pa.RecordBatch | pa.Table, sources: pa.Array, languages: pa.Array) -> np.ndarray:
+    size = batch.column("size").to_numpy(zero_copy_only=False)
+    return np.column_stack([_codes(batch.column("source"), sources), _codes(batch.column("lang"), languages), size])
 
 
 class _Learner:
@@ -163,9 +179,11 @@ class _Learner:
     def __init__(self, content: np.ndarray, meta: np.ndarray):
         self.numbers = (content, meta)
         size = _quantiles(meta[:, 2:])
-        codes = np.full((2, max(SOURCES, LANGUAGES) - 1), np.inf)
-        codes[0, : SOURCES - 1] = np.arange(1, SOURCES)
-        codes[1, : LANGUAGES - 1] = np.arange(1, LANGUAGES)
+        # one bin a code; at least those of null and unseen values, and as many as the size has
+        last = np.maximum(meta[:, :2].max(axis=0), UNSEEN).astype(int)
+        codes = np.full((2, max(*last, size.shape[1])), np.inf)
+        for column in (0, 1):
+            codes[column, : last[column]] = np.arange(1, last[column] + 1)
         wide = np.full((1, codes.shape[1]), np.inf)
         wide[0, : size.shape[1]] = size[0]
         self.edges = (_quantiles(content), np.concatenate([codes, wide]))
@@ -226,7 +244,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
     """Fit on at most `sample` labelled and `pool` unlabelled documents, dealt by a hash of doc_id.
 
-    Both bounds are documented parameters; the rows come back as numbers only.
+    Both bounds are documented parameters; the rows come back as numbers, source
+    and language.  What sources and languages they hold is sent with the model,
+    so that each has a code of its own.
     Several labels of a document count as good if one does.  None if there is
     no label of one of the two kinds, as then nothing can be told apart.
     """
@@ -238,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = PO
     drawn = F.broadcast(keep(picked.union(others), "quality"))  # at most sample + pool rows of 12 bytes
     rows = docs.select("doc_id", "text", *meta_columns()).join(drawn, "doc_id")
     found = rows.select("doc_id", "label", "text", *_META).mapInArrow(
-        _measured, "doc_id bigint, label int, source_code double, lang_code double, size double, content array<double>"
+        _measured, "doc_id bigint, label int, source string, lang string, size double, content array<double>"
     ).toArrow()
     if not found.num_rows:
         return None
@@ -250,7 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = PO
     seen = np.zeros(len(label), np.int64)
     marked = np.flatnonzero(label >= 0)
     seen[marked] = np.arange(len(marked))
-    return co_train(content, _meta_numbers(found), label, (label >= 0) & (seen % 4 == 3))[0]
+    sources, languages = _values(found.column("source")), _values(found.column("lang"))
+    model = co_train(content, _meta_numbers(found, sources, languages), label, (label >= 0) & (seen % 4 == 3))[0]
+    model.sources, model.languages = sources, languages
+    return model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[tuple[pa.RecordBatch, tuple]]:
@@ -260,14 +283,15 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[
             if model is None:
                 yield batch, (np.full(batch.num_rows, 0.5),) * 3  # nothing learned: every row stays
             else:
-                yield batch, model.score(measures(batch.column("text")), _meta_numbers(batch))
+                yield batch, model.score(measures(batch.column("text")), _meta_numbers(batch, model.sources, model.languages))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, quality_score, content_score, meta_score, kept) for every row of `docs`.
 
     Reads doc_id, text, source, lang and n_chars; null metadata has its own
-    code, a null text the measures of an empty one.  A row is kept from a score
+    code, as have values that no fitted row holds, a null text the measures of
+    an empty one.  A row is kept from a score
     of 0.5 on; without a model all scores are 0.5.  Rows are judged one by one.
     """
     names = ["quality_score", "content_score", "meta_score"]

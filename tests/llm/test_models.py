@@ -172,6 +172,28 @@ def test_views_teach_each_other():
     assert accuracy(combined) >= max(accuracy(first), accuracy(second)) - 0.01 and accuracy(combined) > 0.9
 
 
+def test_sources_and_languages_do_not_share_weights(spark):
+    deal = random.Random(5)
+    text = text_of(deal, "bb", 40)
+    # (source, language) pairs of one quality each; en and pt, and many hosts, share a crc32 remainder
+    good = {f"host{i}.example": i % 3 > 0 for i in range(1500)}
+    rows = [(i, text, "en", host, 1) for i, host in enumerate(good)]
+    labels = [(i, int(g)) for i, g in enumerate(good.values())]
+    rows += [(10_000 + i, text, "pt" if i % 2 else "en", "same", 1) for i in range(600)]
+    labels += [(10_000 + i, int(i % 2 == 0)) for i in range(600)]
+    asked = [(-1 - i, text, lang, source, 1) for i, (lang, source) in enumerate(
+        [("en", "same"), ("pt", "same"), ("never", "seen"), ("neither", "this"), (None, None)])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    model = quality.fit(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int"))
+    found = {r.doc_id: r.meta_score for r in quality.score(spark.createDataFrame(asked, schema), model).collect()}
+    assert found[-1] > 0.75 and found[-2] < 0.25
+    assert found[-3] == found[-4]
+    assert len(model.sources) == 1501 and model.languages.to_pylist() == ["en", "pt"]
+    batch = spark.createDataFrame([("en", "same"), ("pt", None), ("x", "zz")], "lang string, source string").toArrow()
+    codes = [quality._codes(batch.column(c), v).tolist() for c, v in (("lang", model.languages), ("source", model.sources))]
+    assert codes == [[2, 3, 1], [2 + 1500, 0, 1]]
+
+
 def test_quality_with_awkward_rows(spark):
     docs, labels = pages(spark, 8, 500)
     model = quality.fit(docs, labels)
