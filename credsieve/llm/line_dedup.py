@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credsieve.llm.words import may_lack_blanks, word_count
 from credsieve.session import keep
 
 LEAST_WORDS = 10
@@ -32,11 +33,12 @@ def _keys(docs: DataFrame) -> list[Column]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, print, line, h1, h2, words): two hashes of each line without outer blanks, and its words."""
-    every = docs.where("text is not null").select(*_keys(docs), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    # the whole text is searched once for what needs a closer count
+    texts = docs.where("text is not null").select(*_keys(docs), may_lack_blanks(F.col("text")).alias("odd"), "text")
+    every = texts.select("doc", "print", "odd", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     bare = F.btrim("raw", F.lit(" \t\r"))
-    words = F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) + 1)
     return every.select(
-        *_POSITION, F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit(1), bare).alias("h2"), words.alias("words")
+        *_POSITION, F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit(1), bare).alias("h2"), word_count(bare, F.col("odd")).alias("words")
     )
 
 
@@ -126,7 +128,8 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, marks: tupl
     last, and by a hash of the text where that is equal; rows equal in both are
     one document and are treated alike.  Lines end at line feeds and are
     compared without outer blanks, tabs and carriage returns; words are counted
-    by blanks.  A null text stays null with no lines, an empty one is one empty
+    by white space, and by characters where a script has none between words
+    (`words.word_count`).  A null text stays null with no lines, an empty one is one empty
     line; runs below `least_words` words stay.  An empty table gives no rows.
     """
     lines = keep(_lines(docs), "lines")

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credsieve.llm.words import word_count
 from credsieve.session import keep
 
 FAR_WORDS = 8
@@ -67,7 +68,7 @@ def _passages(messages: DataFrame) -> DataFrame:
     both = whole.union(lines.select(*_KEY, "level", "said"))
     return both.select(
         *_KEY, "level", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"),
-        F.length("said").alias("size"), (F.length("said") - F.length(F.replace("said", F.lit(" "))) + 1).alias("words"),
+        F.length("said").alias("size"), word_count(F.col("said")).alias("words"),
     ).distinct()
 
 
@@ -139,7 +140,7 @@ def conversations(table: DataFrame) -> DataFrame:
     one it replies to.
 
     Parents are always earlier: in the same conversation by turn, else by
-    conv_id and turn; far ones need a passage of FAR_WORDS words.  Messages that
+    conv_id and turn; far ones need a passage of FAR_WORDS words (`words.word_count`).  Messages that
     share conv_id and turn are told apart by a hash of role and text; rows equal
     in all are one message in several rows.  A row with a null conv_id or turn
     is a thread of its own and is not quoted.  A null text stays null and quotes

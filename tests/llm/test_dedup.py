@@ -238,3 +238,15 @@ def test_cleaned_documents(spark):
         [(1, rows[0][1], 9), (3, "x\ny", 3), (3, "x\ny", 3), (4, None, 0), (5, "", 0)], key=str
     )
     assert line_dedup.cleaned(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["漢字仮名交じり文" * 8, "ข้อความภาษาไทยที่ยาวพอสมควร" * 3, "\t".join("abcdefghijkl"), "\u00a0".join("abcdefghijkl"), "\u3000".join("abcdefghijkl")],
+)
+def test_repeated_lines_without_blanks(spark, line):
+    short = line[:9]
+    rows = [(1, f"one\n{line}"), (2, f"two\n{line}\nend"), (3, f"three\n{short}"), (4, f"four\n{short}")]
+    found = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: r.text for r in found}
+    assert got == {1: f"one\n{line}", 2: "two\nend", 3: f"three\n{short}", 4: f"four\n{short}"}

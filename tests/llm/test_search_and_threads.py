@@ -109,6 +109,14 @@ def test_quotes_make_threads(spark):
     assert got[None, 3][:2] == ("b", "none") and got[4, None] == ("c > d", "none", None, None, 4, None, 0)
 
 
+@pytest.mark.parametrize("passage", ["漢字仮名交じり文" * 6, "ข้อความภาษาไทยที่ยาวพอสมควร" * 3, "\u00a0".join("abcdefghij")])
+def test_far_quotes_without_blanks(spark, passage):
+    rows = [(1, 0, "a", passage, "x", "y"), (2, 0, "b", f"> {passage}\nYes.", "x", "y"), (3, 0, "c", passage[:5], "x", "y"),
+            (4, 0, "d", f"> {passage[:5]}\nNo.", "x", "y")]
+    found = {r.conv_id: (r.link, r.parent_conv) for r in quotes.conversations(messages(spark, rows)).collect()}
+    assert found == {1: ("none", None), 2: ("quote", 1), 3: ("none", None), 4: ("none", None)}
+
+
 def test_a_long_conversation_and_a_popular_first_turn(spark):
     rows = [(1, i, "u", f"message number {i}", None, None) for i in range(0, 1400, 2)]
     rows += [(i, 0, "u", "the same first turn that very many conversations share", None, None) for i in range(10, 300)]
