@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.llm import (
-    ann_forest, byte_bpe, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, quotes,
-    toxicity,
+    ann_forest, byte_bpe, collocations, decontamination, embedding_dedup, language_id, line_dedup, near_dedup, packing,
+    quality, quotes, toxicity, whitening,
 )
 
 
@@ -76,6 +76,26 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on up to 16 whitened components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that lie in passages of the benchmark, and the items these are from."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def quoting_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that quote the one before them, which quotes its own predecessor, linked again.
 
@@ -96,7 +116,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_byte_bpe, op3_embedding_dedup, op4_ann_forest, op5_toxicity, op6_quality,
         op7_near_duplicates, op8_packing, op9_line_dedup,
-        op10_quotation_links, quoting_replies,
+        op10_quotation_links, op11_whitening, op12_decontamination, op13_collocations, quoting_replies,
     )
 }
 
@@ -256,6 +276,71 @@ select d.doc_id, case when d.text is not null then coalesce(kept.text, '') end a
   coalesce(len(raw), 0)::integer as n_lines, coalesce(lost.n, 0)::integer as n_deleted
 from documents d left join bare on bare.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
   left join lost on lost.doc_id = d.doc_id
+""",
+    # Every window of an item against every window of a document, as text.
+    "op12_decontamination": """
+with folded as (
+  select 'd' as side, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+  union all
+  select 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark
+),
+worded as (select side, id, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from folded),
+wanted as (
+  select distinct id as item, least(len(w), 10) as size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+    lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as said
+  from worded where side = 'b' and len(w) > 0
+),
+sizes as (select distinct size from wanted),
+here as (
+  select id, size, i, array_to_string(w[i:i + size - 1], ' ') as said
+  from (select id, w, size, unnest(range(1, len(w) - size + 2)) as i from worded cross join sizes where side = 'd' and len(w) >= size)
+),
+met as (select id, i, here.size, item from here join wanted on here.size = wanted.size and here.said = wanted.said),
+word as (select distinct id, unnest(range(i, i + size)) as i from (select distinct id, i, size from met)),
+hit as (select id, count(*) as n from word group by id),
+listed as (
+  select id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct id, item::varchar as item from met) group by id
+)
+select d.id as doc_id, len(d.w)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, coalesce(listed.n, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from worded d left join hit on hit.id = d.id left join listed on listed.id = d.id where side = 'd'
+""",
+    # All phrases as text, counted, cut and compared.
+    "op13_collocations": """
+with worded as (
+  select coalesce(lang, 'und') as lang, doc_id, part, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (
+    select lang, doc_id, unnest(range(len(pieces))) as part, unnest(pieces) as piece from (
+      select lang, doc_id, regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') as pieces
+      from documents
+    )
+  )
+),
+whole as (select lang, sum(len(w))::bigint as n from worded group by lang having n > 0),
+counted as (
+  select lang, said, len(said) as size, count(*) as f from (
+    select lang, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) as said
+    from worded cross join (select unnest([1, 2, 3, 4]) as size) where len(w) >= size
+  ) group by all having f >= 30
+),
+candidate as (select * from counted where size > 1),
+cut as (
+  select c.lang, c.said, c.f as a, k, x.f as l, y.f as r, (2000000::hugeint * c.f // (x.f + y.f))::bigint as score
+  from (select *, unnest(range(1, size)) as k from candidate) c
+    join counted x on x.lang = c.lang and x.said = c.said[1:k] join counted y on y.lang = c.lang and y.said = c.said[k + 1:]
+),
+best as (select lang, said, a, arg_min({'l': l, 'r': r, 's': score}, {'s': score, 'k': k}) as best from cut group by lang, said, a),
+inside as (
+  select lang, said[i:i + m - 1] as said, max(f) as most
+  from (select lang, said, f, m, unnest(range(1, size - m + 2)) as i from (select *, unnest(range(2, size)) as m from candidate))
+  group by all
+),
+ranked as (
+  select best.lang, array_to_string(best.said, ' ') as phrase, a, best.l, best.r, best.s as score,
+    row_number() over (partition by best.lang order by best.s desc, a desc, array_to_string(best.said, ' ')) as rank
+  from best left join inside on inside.lang = best.lang and inside.said = best.said where most is null or 100 * most < 80 * a
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join whole using (lang) where rank <= 2000
 """,
     # Quote levels by a regular expression, passages by their text, threads from their roots on.
     "op10_quotation_links": _LINKED.format(source="conversations"),
