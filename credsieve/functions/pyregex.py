@@ -129,6 +129,46 @@ def search_pattern(pattern: str, ahead: str = "") -> str:
     return f"(?msd){ahead}(?:{body})" if ahead else "(?msd)" + body
 
 
+# So many turns of repeated groups, one inside the other, fit any stack.
+MOST_TURNS = 500
+_REPEATED = re.compile(r"(?:[*+]|\{(\d*)(?:(,)(\d*))?\})([+]?)")
+
+
+def repeats_groups(pattern: str) -> bool:
+    """Some group may take more than ``MOST_TURNS`` turns, so that the JVM's engine needs a deep stack for it.
+
+    Possessive repeats give nothing back and need none.
+    """
+    turns = [0]  # of the groups closed so far in each open group
+    pos, in_class = 0, False
+    while pos < len(pattern):
+        char = pattern[pos]
+        if char == "\\":
+            pos += 2
+            continue
+        if in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+            pos += 2 if pattern.startswith("^", pos + 1) else 1
+            pos += pattern.startswith("]", pos)  # a leading ']' is a literal
+            continue
+        elif char == "(":
+            turns.append(0)
+        elif char == ")" and len(turns) > 1:
+            inner = turns.pop()
+            found = _REPEATED.match(pattern, pos + 1)
+            if found and found.group(0) != "{}" and not found.group(4):
+                low, comma, high = found.group(1, 2, 3)
+                most = int(high) if high else int(low) if low and not comma else MOST_TURNS + 1
+                inner = most * (1 + inner)
+            if inner > MOST_TURNS:
+                return True
+            turns[-1] = max(turns[-1], inner)
+        pos += 1
+    return False
+
+
 _FEED = ord("\n")
 _REPEATS = (op.MAX_REPEAT, op.MIN_REPEAT)
 _CHARACTERS = (op.LITERAL, op.NOT_LITERAL, op.ANY, op.IN)

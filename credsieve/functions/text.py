@@ -51,9 +51,13 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def shannon_entropy(text: Column) -> Column:
-    """Bits per character; each distinct character is counted by removing it."""
-    length = F.char_length(text).cast("double")
+def shannon_entropy(text: Column, more_feeds: Column | None = None) -> Column:
+    """Bits per character; each distinct character is counted by removing it.
+
+    ``more_feeds`` line feeds count as part of the text without being in it.
+    """
+    more = F.lit(0).cast("bigint") if more_feeds is None else more_feeds
+    length = (F.char_length(text) + more).cast("double")
 
     def plogp(count: Column) -> Column:
         return (count / length) * F.log2(count / length)
@@ -64,7 +68,8 @@ def shannon_entropy(text: Column) -> Column:
     bits = F.aggregate(
         characters,
         F.lit(0.0),
-        lambda acc, c: acc - plogp(length - F.char_length(F.replace(text, c, F.lit("")))),
+        lambda acc, c: acc
+        - plogp(length - F.char_length(F.replace(text, c, F.lit(""))) - F.when(c == "\n", 0).otherwise(more)),
     )
     return F.when(text == "", F.lit(0.0)).otherwise(bits + F.lit(0.0))
 

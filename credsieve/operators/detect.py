@@ -9,6 +9,10 @@ Every step is row-local, so the texts are read once and never shuffled.
 3. *Emit.*  The array is exploded, scored, filtered, redacted.
 
 The unredacted value exists only in columns between 2 and 3.
+
+A text that a detector cannot deal with is a row with an ``error``, never the
+end of a job: a match or a padded text longer than any report, or a search that
+takes too long.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from credsieve import fixed_values as fixed
 from credsieve.functions import paths, text
 from credsieve.functions.pyregex import search_pattern
+from credsieve.operators import deepsearch
 from credsieve.operators.catalogue import (
     DEFAULT_CATALOGUE,
     LEAST_GAP,
@@ -66,6 +71,12 @@ _MARK = "\uffff"
 # them alone; line numbers and matched values are those of the whole text.
 LONGEST_GAP = LEAST_GAP
 
+# A match of more characters, or a text of more blank lines that a signature has
+# to see, is not reported but an error of its unit.
+LONGEST_MATCH = 1 << 26
+MATCH_ERROR = "match too long to be reported"
+GAP_ERROR = "text with too many blank lines for a signature that counts them"
+
 Detector = Callable[[DataFrame], DataFrame]
 _OWN_COLUMNS = FINDING_COLUMNS[2:7] + FINDING_COLUMNS[8:]
 
@@ -92,7 +103,8 @@ class EntropyOptions:
 class DetectOptions:
     """Which detectors run, and how: no catalogue or no entropy turns one off.
 
-    ``own`` holds further detectors: functions from units (their keys, content
+    ``search_seconds`` bounds how long one text may be searched for a signature
+    that repeats groups (see ``deepsearch``).  ``own`` holds further detectors: functions from units (their keys, content
     and ``line_nos``) to findings, that is, the same keys with line_number,
     matched_text (redacted), detection_method, pattern_name, confidence and
     entropy_score.  Their findings come after those of the built-in detectors.
@@ -101,6 +113,12 @@ class DetectOptions:
     catalogue: Sequence[Signature] = DEFAULT_CATALOGUE
     entropy: EntropyOptions | None = field(default_factory=EntropyOptions)
     own: Sequence[Detector] = ()
+    search_seconds: float = deepsearch.SECONDS
+
+    @property
+    def deep(self) -> tuple[int, ...]:
+        """Ordinals of the signatures that the JVM could only search with a stack that grows with the text."""
+        return tuple(i for i, s in enumerate(self.catalogue, start=1) if s.deep)
 
 
 def is_suppressed(line: Column) -> Column:
@@ -148,7 +166,7 @@ def entropy_threshold(token: Column, options: EntropyOptions) -> Column:
 
 
 def _entropy_candidates(lines: Column, line_nos: Column, min_length: int) -> Column:
-    """``line:candidate`` strings of all lines, in order."""
+    """``line::candidate`` strings of all lines, in order."""
 
     def of_line(line: Column, index: Column) -> Column:
         number = F.coalesce(F.get(line_nos, index), index + 1).cast("string")
@@ -156,7 +174,7 @@ def _entropy_candidates(lines: Column, line_nos: Column, min_length: int) -> Col
         def of_tokens(tokens: Column) -> Column:
             wanted = (F.size(tokens) > 0) & ~is_noise_line(line) & ~is_suppressed(line)
             found = F.transform(
-                tokens, lambda t: F.concat(number, F.lit(":"), secret_candidate(t, min_length))
+                tokens, lambda t: F.concat(number, F.lit("::"), secret_candidate(t, min_length))
             )
             return F.when(wanted, found).otherwise(F.array().cast("array<string>"))
 
@@ -206,6 +224,7 @@ def detect(
     options: DetectOptions = DetectOptions(),
     keys: Sequence[str] = UNIT_KEYS,
     path: str | None = "file_path",
+    errors: bool = False,
 ) -> DataFrame:
     """Findings of all detectors for every row of ``units``.
 
@@ -213,9 +232,16 @@ def detect(
     ``line_nos`` array gives the true number of each line of a sparse text (see
     ``history``).  ``path`` names the column that decides whether the entropy
     detector looks at a text; None applies it to all.
+
+    With ``errors``, there is a column ``error`` as well, and a row with nothing
+    else but the keys for each text and detector that could not be searched
+    completely.  A unit that comes with a ``problem`` of its own is not searched;
+    the problem is its error.
     """
     if "line_nos" not in units.columns:
         units = units.withColumn("line_nos", F.lit(None).cast("array<bigint>"))
+    if "problem" not in units.columns:
+        units = units.withColumn("problem", F.lit(None).cast("string"))
     parts = [
         _own_findings(detector(units.select(*keys, "content", "line_nos")), keys, ENTROPY + i)
         for i, detector in enumerate(options.own, start=1)
@@ -224,13 +250,14 @@ def detect(
         parts.insert(0, _built_in(units, options, keys, path))
     if not parts:
         raise ValueError("no detector is turned on")
-    return reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows if errors else rows.where(F.col("error").isNull()).drop("error")
 
 
 def _own_findings(found: DataFrame, keys: Sequence[str], ordinal: int) -> DataFrame:
     return found.select(
         *keys, *_OWN_COLUMNS, F.lit(ordinal).alias("detector_ord"), F.lit(0).alias("pattern_ord"),
-        F.lit(0).alias("match_ord"),
+        F.lit(0).alias("match_ord"), F.lit(None).cast("string").alias("error"),
     ).withColumn("line_number", F.col("line_number").cast("bigint"))
 
 
@@ -249,11 +276,13 @@ def _built_in(
         runs = F.array_join(F.regexp_extract_all(runs, F.lit(_RUNS), F.lit(0)), "\n")
     # explode_outer, not explode: the planner would otherwise repeat the gate in
     # a filter of its own and push it below a repartition of the texts.  A NULL
-    # text passes no gate, so it needs no filter either.
+    # text passes no gate, so it needs no filter either; a unit with a problem
+    # passes that on as its only row.
+    gates = F.when(F.col("problem").isNotNull(), F.array(F.lit(0))).otherwise(_gates(options, allowed))
     gated = (
         units.withColumn("runs", runs)
-        .withColumn("ords", _gates(options, allowed))
-        .select(*keys, "content", "line_nos", F.explode_outer("ords").alias("pattern_ord"))
+        .withColumn("ords", gates)
+        .select(*keys, "content", "line_nos", "problem", F.explode_outer("ords").alias("pattern_ord"))
         .where(F.col("pattern_ord").isNotNull())
     )
     ordinal = F.col("pattern_ord")
@@ -264,16 +293,22 @@ def _built_in(
     strict = [i for i, s in enumerate(options.catalogue, start=1) if not s.elastic]
     is_strict = ordinal.isin(strict)
     full = F.when(is_entropy | F.col("line_nos").isNull(), F.col("content"))
+    problem = F.col("problem")
     if strict:
-        full = full.when(is_strict, sparse_text(F.col("content"), F.col("line_nos"), None))
+        too_long = is_strict & (F.element_at("line_nos", -1) > LONGEST_MATCH)
+        problem = F.coalesce(problem, F.when(too_long, F.lit(GAP_ERROR)))
+        full = full.when(too_long, None).when(is_strict, sparse_text(F.col("content"), F.col("line_nos"), None))
     full = full.otherwise(sparse_text(F.col("content"), F.col("line_nos")))
-    texts = gated.select(*keys, "line_nos", "pattern_ord", full.alias("content"))
+    texts = gated.select(*keys, "line_nos", "pattern_ord", full.alias("content"), problem.alias("problem"))
+    if options.deep:
+        texts = deepsearch.searched(texts, options.catalogue, options.deep, options.search_seconds)
 
     content = F.col("content")
     found = texts.select(
         *keys,
         "line_nos",
         "pattern_ord",
+        "problem",
         F.when(is_entropy | may_be_suppressed(content), text.raw_lines(content)).alias("lines"),
         F.when(~is_entropy & ~is_strict, _true_numbers(F.col("line_nos"))).alias("true_nos"),
         *_signature_columns(options),
@@ -285,7 +320,9 @@ def _built_in(
         found.select(*keys, "pattern_ord", F.inline_outer(_scored(values, is_entropy, entropy)))
         .where(F.col("entropy_score").isNotNull())
         .where(
-            ~is_entropy | (F.col("entropy_score") > entropy_threshold(F.col("value"), entropy))
+            ~is_entropy
+            | F.col("error").isNotNull()
+            | (F.col("entropy_score") > entropy_threshold(F.col("value"), entropy))
         )
     )
     return hits.select(*keys, *_labels(options, ordinal, is_entropy))
@@ -296,29 +333,36 @@ def _signature_columns(options: DetectOptions) -> list[Column]:
     if not options.catalogue:
         nothing = F.lit(None).cast("array<string>")
         return [nothing.alias(c) for c in ("matches", "gaps", "narrowed")]
-    patterns = [sql_text(s.jvm_pattern) for s in options.catalogue]
-    matches = by_ordinal([f"regexp_extract_all(content, {p}, 0)" for p in patterns])
+    deep = set(options.deep)
+    patterns = {i: sql_text(s.jvm_pattern) for i, s in enumerate(options.catalogue, start=1) if i not in deep}
+
+    def chosen(sql: Callable[[int], str], of_deep: str) -> Column:
+        return by_ordinal([of_deep if i in deep else sql(i) for i in range(1, len(options.catalogue) + 1)])
+
+    matches = chosen(lambda i: f"regexp_extract_all(content, {patterns[i]}, 0)", "deep.matches")
     # Marking the matches reuses one compiled pattern for all texts, which
     # splitting by the pattern itself does not; that is left for texts that hold
     # the mark.
-    marked = by_ordinal([f"regexp_replace(content, {p}, '{_MARK}')" for p in patterns])
+    marked = chosen(lambda i: f"regexp_replace(content, {patterns[i]}, '{_MARK}')", "null")
     content = F.col("content")
-    gaps = F.when(
-        content.contains(_MARK), F.split(content, by_ordinal(patterns), -1)
+    split = F.when(
+        content.contains(_MARK), F.split(content, chosen(lambda i: patterns[i], "null"), -1)
     ).otherwise(F.split(marked, _MARK, -1))
-    narrowed = by_ordinal(
-        [
-            f"regexp_extract_all(content, {p}, {s.group})"
-            if s.group
-            else "cast(null as array<string>)"
-            for p, s in zip(patterns, options.catalogue)
-        ]
+    gaps = F.coalesce(F.col("deep.gaps"), split) if deep else split
+    secret = [s.group for s in options.catalogue]
+    narrowed = chosen(
+        lambda i: f"regexp_extract_all(content, {patterns[i]}, {secret[i - 1]})" if secret[i - 1] else "cast(null as array<string>)",
+        "deep.narrowed",
     )
     return [matches.alias("matches"), gaps.alias("gaps"), narrowed.alias("narrowed")]
 
 
 def _signature_values() -> Column:
-    """``line:value`` strings of the matches that are neither empty nor suppressed."""
+    """``line:feeds:value`` strings of the matches that are neither empty nor suppressed.
+
+    ``feeds`` is empty for a value that is as it stands in the text, else how
+    many line feeds stand for each one of it, because a gap was shortened.
+    """
     values = F.coalesce(F.col("narrowed"), F.col("matches"))
     numbers = _match_lines(F.col("gaps"), F.col("matches"))
 
@@ -328,23 +372,29 @@ def _signature_values() -> Column:
         dropped = (value == "") | F.coalesce(is_suppressed(line), F.lit(False))
         true = F.coalesce(F.get(F.col("true_nos"), number - 1), number)
         shortened = F.col("true_nos").isNotNull() & value.contains("\n")
-        whole = F.when(shortened, _with_all_feeds(value, number)).otherwise(value)
-        return F.when(~dropped, F.concat(true.cast("string"), F.lit(":"), whole))
+        feeds = F.when(shortened, _true_feeds(value, number)).otherwise(F.lit(""))
+        return F.when(~dropped, F.concat(true.cast("string"), F.lit(":"), feeds, F.lit(":"), value))
 
     return F.array_compact(F.zip_with(numbers, values, keyed))
 
 
-def _with_all_feeds(value: Column, number: Column) -> Column:
-    """A match that begins on a line of the searched text, with the line feeds that were left out inside it."""
+def _true_feeds(value: Column, number: Column) -> Column:
+    """Line feeds of the whole text for each one of a match that begins on a line of the searched text, joined."""
 
     def ahead(i: Column) -> Column:
-        return F.get(F.col("true_nos"), number - 1 + i) - F.get(F.col("true_nos"), number - 2 + i)
+        return F.get(F.col("true_nos"), number + i) - F.get(F.col("true_nos"), number - 1 + i)
+
+    inner = F.slice(F.split(value, "\n", -1), 2, F.char_length(value))
+    return F.array_join(F.transform(inner, lambda _, i: ahead(i).cast("string")), ",")
 
+
+def _with_all_feeds(value: Column, feeds: Column) -> Column:
+    """A match with the line feeds that were left out inside it."""
     return F.array_join(
         F.transform(
             F.split(value, "\n", -1),
             lambda line, i: F.when(i == 0, line).otherwise(
-                F.concat(F.repeat(F.lit("\n"), ahead(i).cast("int")), line)
+                F.concat(F.repeat(F.lit("\n"), F.get(feeds, i - 1).cast("int")), line)
             ),
         ),
         "",
@@ -352,43 +402,65 @@ def _with_all_feeds(value: Column, number: Column) -> Column:
 
 
 def _scored(values: Column, is_entropy: Column, options: EntropyOptions) -> Column:
-    """Distinct ``line:value`` strings to structs with their entropy.
+    """Distinct ``line:feeds:value`` strings to structs with their entropy, and the problem of the text.
 
+    Length and entropy follow from the value as searched and the number of line
+    feeds that it lacks; what is too long to be reported is never put together.
     Candidates of the entropy detector that are too short or plain import paths
     get no score.
     """
+    unknown = F.lit(None).cast("string")
 
-    def parsed(pair: Column) -> Column:
-        line = F.substring_index(pair, ":", 1)
-        value = F.substring(pair, F.char_length(line) + 2, F.char_length(pair))
-        return F.struct(line.cast("bigint").alias("line_number"), value.alias("value"))
+    def parsed(found: Column) -> Column:
+        line, feeds = F.substring_index(found, ":", 1), F.get(F.split(found, ":", 3), 1)
+        start = F.char_length(line) + F.char_length(feeds) + 3
+        numbers = F.when(feeds != "", F.transform(F.split(feeds, ","), lambda n: n.cast("bigint")))
+        return F.struct(
+            line.cast("bigint").alias("line_number"),
+            F.substring(found, start, F.char_length(found)).alias("value"),
+            numbers.alias("feeds"),
+            F.coalesce(F.aggregate(numbers, F.lit(0).cast("bigint"), lambda n, x: n + x - 1), F.lit(0)).cast("bigint").alias("left_out"),
+        )
 
     def scored(hit: Column, index: Column) -> Column:
-        value = hit["value"]
+        value, left_out = hit["value"], hit["left_out"]
         plausible = (F.char_length(value) >= options.min_length) & ~is_dotted_namespace(value)
+        fits = F.char_length(value) + left_out <= LONGEST_MATCH
+        whole = F.when(left_out > 0, _with_all_feeds(value, hit["feeds"])).otherwise(value)
         return F.struct(
             index.alias("match_ord"),
             hit["line_number"].alias("line_number"),
             value.alias("value"),
-            F.when(~is_entropy | plausible, text.shannon_entropy(value)).alias("entropy_score"),
+            F.when(fits, text.redact(whole)).alias("matched_text"),
+            F.when(~is_entropy | plausible, text.shannon_entropy(value, left_out)).alias("entropy_score"),
+            F.when(~fits, F.lit(MATCH_ERROR)).otherwise(unknown).alias("error"),
         )
 
-    return F.transform(F.transform(F.array_distinct(values), parsed), scored)
+    none = F.lit(None).cast("string")
+    problem = F.struct(
+        F.lit(0).alias("match_ord"), F.lit(None).cast("bigint").alias("line_number"), none.alias("value"),
+        none.alias("matched_text"), F.lit(0.0).alias("entropy_score"), F.col("problem").alias("error"),
+    )
+    hits = F.transform(F.transform(F.array_distinct(values), parsed), scored)
+    return F.when(F.col("problem").isNotNull(), F.array(problem)).otherwise(hits)
 
 
 def _labels(options: DetectOptions, ordinal: Column, is_entropy: Column) -> list[Column]:
     names = by_ordinal([sql_text(s.name) for s in options.catalogue])
     confidences = by_ordinal([sql_text(s.confidence) for s in options.catalogue])
+    # an error says nothing but its keys
+    sound = lambda c: F.when(F.col("error").isNull(), c)
     return [
-        F.col("line_number"),
-        text.redact(F.col("value")).alias("matched_text"),
-        F.when(is_entropy, "entropy").otherwise("regex").alias("detection_method"),
-        F.when(is_entropy, fixed.ENTROPY_PATTERN_NAME).otherwise(names).alias("pattern_name"),
-        F.when(is_entropy, fixed.ENTROPY_CONFIDENCE).otherwise(confidences).alias("confidence"),
-        F.col("entropy_score"),
+        sound(F.col("line_number")).alias("line_number"),
+        F.col("matched_text"),
+        sound(F.when(is_entropy, "entropy").otherwise("regex")).alias("detection_method"),
+        sound(F.when(is_entropy, fixed.ENTROPY_PATTERN_NAME).otherwise(names)).alias("pattern_name"),
+        sound(F.when(is_entropy, fixed.ENTROPY_CONFIDENCE).otherwise(confidences)).alias("confidence"),
+        sound(F.col("entropy_score")).alias("entropy_score"),
         F.when(is_entropy, ENTROPY).otherwise(REGEX).alias("detector_ord"),
         ordinal.alias("pattern_ord"),
         F.col("match_ord"),
+        F.col("error"),
     ]
 
 
@@ -401,7 +473,7 @@ def _line_feeds(line_nos: Column, n: Column, i: Column, longest: int | None) ->
 def sparse_text(content: Column, line_nos: Column, longest: int | None = LONGEST_GAP) -> Column:
     """Put blank lines between the lines of ``content``, as many as their numbers say up to ``longest``.
 
-    Without a bound, a gap that no string can hold is an error.
+    Without a bound, a gap that no string can hold is an error; ``detect`` asks before.
     """
     padded = F.zip_with(
         F.split(content, "\n", -1),

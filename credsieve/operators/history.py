@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from credsieve import fixed_values as fixed
 from credsieve.functions import paths, text
 
+HUNK_ERROR = "patch with an unreadable line number"
 _ADDED_LINE = "array<struct<line_number:bigint,pos:int,line:string>>"
 # More digits than a 64-bit number has, leading zeros aside.
 _UNREADABLE_HUNK = r"(?m)^@@ [^+\n]*\+0*[1-9][0-9]{18,}[, ]"
@@ -18,22 +19,32 @@ def newest_commits(
 ) -> DataFrame:
     """The newest commits of every branch; position 0 is the newest.
 
-    Spark keeps at most ``max_commits`` rows per branch and task before the
-    shuffle, so a branch with very many commits costs no more than others.
+    A listing is read page by page, and what is pushed meanwhile moves commits
+    to later pages: one that is on two pages counts once, at its least position,
+    and positions are numbered anew without it.  ``listed_at`` is the position
+    in the listing.  Spark keeps at most ``max_commits`` rows per branch and
+    task before the window, so a branch with very many commits costs no more
+    than others.
     """
     if max_commits < 1:
         raise ValueError("max_commits must be >= 1")
-    newest = Window.partitionBy("repo", "branch").orderBy("pos")
+    newest = Window.partitionBy("repo", "branch").orderBy("listed_at", "commit_sha")
+    once = commits.where("commit_sha is not null").groupBy("repo", "branch", "commit_sha").agg(F.min("pos").alias("listed_at"))
     return (
-        commits.where("commit_sha is not null")
-        .select("repo", "branch", "pos", "commit_sha")
-        .distinct()
-        .withColumn("rank", F.row_number().over(newest))
+        once.withColumn("rank", F.row_number().over(newest))
         .where(F.col("rank") <= max_commits)
-        .drop("rank")
+        .select("repo", "branch", (F.col("rank") - 1).alias("pos"), "commit_sha", "listed_at")
     )
 
 
+def gapped_listings(commits: DataFrame, newest: DataFrame) -> DataFrame:
+    """``repo, branch`` of the listings of which a page is missing ahead of some of the newest commits."""
+    last = newest.groupBy("repo", "branch").agg(F.max("listed_at").alias("last"))
+    seen = commits.join(last, ["repo", "branch"]).where(F.col("pos") <= F.col("last"))
+    counted = seen.groupBy("repo", "branch", "last").agg(F.count_distinct("pos").alias("n"))
+    return counted.where(F.col("n") <= F.col("last")).select("repo", "branch")
+
+
 def _hunk_lines(hunk: Column, hunk_index: Column) -> Column:
     """Added lines of one hunk.
 
@@ -64,9 +75,11 @@ def added_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
     """Replace ``patch`` by ``content`` and ``line_nos``, the lines it adds.
 
     ``content`` holds only the added lines, ``line_nos`` their numbers in the
-    new file.  The work stays inside the row.  Patches that add nothing vanish.
+    new file.  The work stays inside the row.  Patches that add nothing vanish,
+    unless they have a ``problem``: then they stay, without a text.
     """
     others = [c for c in patches.columns if c != patch]
+    problem = F.col("problem") if "problem" in others else F.lit(None)
     header = f"(?md)(?={fixed.HUNK_HEADER_FORMAT})"
     unified = F.when(
         F.col(patch).rlike(text.ODD_BREAKS),
@@ -94,14 +107,15 @@ def added_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
     lines = F.transform(
         "added", lambda row: F.substring(row["line"], 2, F.char_length(row["line"]))
     )
+    sound = problem.isNull()
     unit = F.struct(
-        F.array_join(lines, "\n").alias("content"),
-        F.col("added.line_number").alias("line_nos"),
+        F.when(sound, F.array_join(lines, "\n")).alias("content"),
+        F.when(sound, F.col("added.line_number")).otherwise(F.array().cast("array<bigint>")).alias("line_nos"),
     )
     # A filter on ``added`` would be pushed down and compute it a second time;
     # a filter on the output of a generator is not.
     return rows.select(
-        *others, F.inline_outer(F.when(F.size("added") > 0, F.array(unit)))
+        *others, F.inline_outer(F.when(~sound | (F.size("added") > 0), F.array(unit)))
     ).where(F.col("line_nos").isNotNull())
 
 
@@ -113,8 +127,12 @@ def unreadable(patch: Column) -> Column:
 def history_units(
     commit_files: DataFrame, excludes: tuple[str, ...] = fixed.DEFAULT_EXCLUDES
 ) -> DataFrame:
-    """Commit files to scan units: no null patches, no excluded paths."""
+    """Commit files to scan units: no null patches, no excluded paths.
+
+    One with a line number that cannot be read is a unit without a text, and
+    with a ``problem``.
+    """
     kept = commit_files.where(
         F.col("patch").isNotNull() & ~paths.matches_any_glob(F.col("file_path"), excludes)
     )
-    return added_lines(kept)
+    return added_lines(kept.withColumn("problem", F.when(unreadable(F.col("patch")), F.lit(HUNK_ERROR))))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
+from credsieve import session
 from credsieve.functions import paths
 
 BRANCH_ERROR = "branch head not found"
@@ -19,7 +20,7 @@ TREE_ERROR = "tree listing not found or not valid"
 BLOB_ERROR = "blob not found or not valid"
 COMMITS_ERROR = "commit listing not found"
 COMMITS_PAGE_ERROR = "commit listing not valid"
-HUNK_ERROR = "patch with an unreadable line number"
+COMMITS_GAP_ERROR = "commit listing with a gap"
 COMMIT_FILES_ERROR = "commit record not found or not valid"
 
 
@@ -29,7 +30,7 @@ def targets(repos: DataFrame, branch: str | None = None) -> DataFrame:
     ``repo`` is the cleaned ``owner/repo`` label for valid names and the name as
     listed for others; a record that could not be read has an empty one.
     ``repo_pos`` is the place in the listing, where that is known.  A repository
-    that was listed twice counts once.
+    that was listed twice counts once, as it was landed last if that is known.
     """
     name = F.coalesce("full_name", F.lit(""))
     valid = paths.valid_repo_name(name)
@@ -40,9 +41,20 @@ def targets(repos: DataFrame, branch: str | None = None) -> DataFrame:
         paths.target_branch(F.col("default_branch"), branch).alias("branch"),
         F.coalesce(given, F.when(~valid, fixed.BAD_REPO_NAME_ERROR)).alias("error"),
         place.cast("bigint").alias("repo_pos"),
+        _landed(repos).alias("landed_at"),
     )
-    once = rows.where("error is null").groupBy("repo", "branch", "error").agg(F.min("repo_pos").alias("repo_pos"))
-    return once.unionByName(rows.where("error is not null"))
+    sound = rows.where("error is null")
+    if "landed_at" in repos.columns:
+        last = F.max_by(F.struct("branch", "error"), F.struct("landed_at", "branch")).alias("last")
+        once = sound.groupBy("repo").agg(last, F.min("repo_pos").alias("repo_pos")).select("repo", "last.*", "repo_pos")
+    else:
+        once = sound.groupBy("repo", "branch", "error").agg(F.min("repo_pos").alias("repo_pos"))
+    return once.unionByName(rows.where("error is not null").drop("landed_at"))
+
+
+def _landed(table: DataFrame) -> Column:
+    """When a record was landed; tables from elsewhere may not know."""
+    return F.col("landed_at") if "landed_at" in table.columns else F.lit(None).cast("timestamp")
 
 
 def valid_rows(table: DataFrame) -> Column:
@@ -59,9 +71,12 @@ def one_repo(repos: DataFrame, full_name: str) -> DataFrame:
 
 
 def with_heads(chosen: DataFrame, branches: DataFrame) -> DataFrame:
-    """Resolve the head commit of every target branch."""
-    state = F.struct(valid_rows(branches).alias("ok"), "commit_sha")
-    # of a record that was landed twice, one that can be read
+    """Resolve the head commit of every target branch.
+
+    Of a branch that was landed more than once, the newest record that can be
+    read counts; without ``landed_at``, or within one landing, that with the greatest hash.
+    """
+    state = F.struct(valid_rows(branches).alias("ok"), _landed(branches).alias("landed_at"), "commit_sha")
     heads = branches.groupBy("repo", "branch").agg(F.max(state).alias("head"))
     problem = F.when(F.col("head").isNull(), BRANCH_ERROR).when(
         ~F.col("head.ok") | F.col("head.commit_sha").isNull(), BRANCH_RECORD_ERROR
@@ -157,20 +172,35 @@ def unscanned_blobs(blobs: DataFrame) -> DataFrame:
     )
 
 
-PRUNE_KEYS = 500_000
+#: Bits for each wanted key, and in all: what is sent to the tasks has a bound, whatever the number of keys.
+BITS_A_KEY = 16
+MOST_BITS = 1 << 26
 
 
 def only_wanted(texts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of a table of texts that some key asks for, without moving texts.
+    """The rows of a table of texts that some key may ask for, without moving texts.
 
-    Up to PRUNE_KEYS keys are sent to all tasks.  More of them ask for most of
-    the table anyway: then texts stay where they lie, and the join of the findings
-    with their paths drops what nothing asked for.
+    The hashes of the keys are gathered as a bit table, 64 bits a row, which is
+    broadcast; a row of ``texts`` stays if the bit of its key is set, and only
+    then are its costly columns computed.  All wanted rows stay.  Others stay by
+    chance, about one in BITS_A_KEY, and more the more keys share MOST_BITS: the
+    join of what is found with the keys decides.
     """
     keys = keys.select(*on).distinct()
-    if keys.limit(PRUNE_KEYS + 1).count() > PRUNE_KEYS:
-        return texts
-    return texts.join(F.broadcast(keys), on, "left_semi")
+    bits, n = 1 << 10, keys.count()
+    while bits < min(n * BITS_A_KEY, MOST_BITS):
+        bits *= 2
+    bit = F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in on)), F.lit(bits))
+    set_bits = session.keep(
+        keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")
+        ),
+        "bits",
+    )
+    own = F.pmod(F.xxhash64(*(texts[c].cast("string") for c in on)), F.lit(bits))
+    # the place of a bit varies by row, which the function for a constant shift does not take
+    is_set = F.call_function("shiftright", F.col("held"), own.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return texts.join(F.broadcast(set_bits), (F.shiftright(own, 6) == F.col("word")) & is_set, "left_semi")
 
 
 def failures_of(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ meet the paths and labels they belong to.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +23,12 @@ from credsieve.operators.detect import (
     FINDING_COLUMNS,
     ORDER_COLUMNS,
     PLACE_COLUMNS,
+    UNIT_KEYS,
     DetectOptions,
     detect,
 )
 from credsieve.sources import files as file_source
+from credsieve.sources import landed
 
 
 @dataclass(frozen=True)
@@ -81,10 +83,31 @@ def _once(hits: DataFrame, *unit: str) -> DataFrame:
 
 
 def scan_units(units: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Scan a table of texts: ``repo, file_path, commit_sha, content``."""
+    """Scan a table of texts: ``repo, file_path, commit_sha, content``; ``unsearched`` tells what could not be."""
     return detect(units, options.detect).select(*FINDING_COLUMNS, *ORDER_COLUMNS)
 
 
+def unsearched(units: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """``repo, file_path, commit_sha, error`` of the texts that could not be searched completely."""
+    rows = detect(units, options.detect, errors=True).where(F.col("error").isNotNull())
+    return rows.select(*UNIT_KEYS, "error").distinct()
+
+
+def _searched(units: DataFrame, options: ScanOptions, keys: tuple[str, ...], path: str | None = "file_path") -> tuple[DataFrame, DataFrame]:
+    """Findings, and the keys and ``error`` of units that could not be searched; both from one search, stored."""
+    rows = session.keep(detect(units, options.detect, keys, path, errors=True), "hits")
+    hits = rows.where(F.col("error").isNull()).drop("error")
+    return hits, rows.where(F.col("error").isNotNull()).select(*keys, "error").distinct()
+
+
+def _wanted(
+    texts: DataFrame, keys: DataFrame, on: list[str], parse: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The rows of ``texts`` that some key may ask for; landed payloads are parsed after that."""
+    rows = tree.only_wanted(texts, keys, on)
+    return landed.parsed_late(rows, parse, on) if "payload" in texts.columns else rows
+
+
 def scan_trees(
     repos: DataFrame,
     branches: DataFrame,
@@ -95,9 +118,16 @@ def scan_trees(
 ) -> ScanResult:
     """Scan the current tree of every repository of ``repos``.
 
+    ``blobs`` are parsed blobs, or payloads as they were landed: of these, only
+    what some path may want is parsed and decoded.
+
     Only blobs that some path wants are scanned, each once, whatever the number
     of its paths or of the times it was landed; its findings then join the
     paths.  Rules that depend on a path are applied after that.
+
+    The listing and the check for lost blobs run when this is called, and so
+    does the search if the catalogue has signatures whose search may fail; the
+    repository of a text that cannot be searched fails.
     """
     heads = tree.with_heads(tree.targets(repos, options.branch), branches)
     listed = tree.with_trees(heads, trees)
@@ -107,14 +137,21 @@ def scan_trees(
     files = session.keep(
         tree.tree_files(ruled, options.all_excludes(), options.max_file_size_bytes), "files"
     )
-    sound = blobs.where(tree.valid_rows(blobs))
+    known = _wanted(blobs, files, ["repo", "sha"], landed.parse_blobs)
+    sound = known.where(tree.valid_rows(known))
     lost = session.keep(tree.missing(files, sound, ["repo", "sha"], tree.BLOB_ERROR), "lost")
     wanted = files.join(lost.select("repo"), "repo", "left_anti")
-
-    scanned = tree.only_wanted(sound.select("repo", "sha", "content"), wanted, ["repo", "sha"])
-    hits = _once(detect(scanned, options.detect, ("repo", "sha"), None), "repo", "sha")
+    scanned = sound.select("repo", "sha", "content")
+    if options.detect.deep:
+        hits, unfit = _searched(scanned, options, ("repo", "sha"), None)
+        odd = session.keep(wanted.join(unfit, ["repo", "sha"]).select("repo", "branch", "error").distinct(), "unfit")
+        lost = lost.unionByName(odd)
+        wanted = wanted.join(odd.select("repo").distinct(), "repo", "left_anti")
+    else:
+        hits = detect(scanned, options.detect, ("repo", "sha"), None)
     findings = (
-        hits.join(wanted, ["repo", "sha"])
+        _once(hits, "repo", "sha")
+        .join(wanted, ["repo", "sha"])
         .where(~_entropy_excluded(options))
         .withColumn("commit_pos", F.lit(None).cast("int"))
         .select(*FINDING_COLUMNS, *PLACE_COLUMNS, *ORDER_COLUMNS)
@@ -130,35 +167,37 @@ def scan_histories(
 ) -> ScanResult:
     """Scan the lines added by the newest commits of every target branch.
 
+    ``commit_files`` are parsed records, or payloads as they were landed: of
+    these, only commits that some branch may want are parsed.
+
     A branch whose listing was landed and is empty has no findings; one without
-    a listing fails, and so does one of which a page or a commit cannot be read.
+    a listing fails, and so does one of which a page or a commit cannot be read
+    or is missing.  A commit with a patch that cannot be searched completely
+    (hunks too far apart for a match or a line number) fails its branch.
+
+    The commit files are read twice when this is called: their keys, to find
+    lost ones, and their patches, to be searched; findings are stored.
     """
     pages = commits.groupBy("repo", "branch").agg(F.bool_and(tree.valid_rows(commits)).alias("sound"))
     problem = F.when(F.col("sound").isNull(), tree.COMMITS_ERROR).when(~F.col("sound"), tree.COMMITS_PAGE_ERROR)
     listed = tree.targets(repos, options.branch).join(pages, ["repo", "branch"], "left").withColumn(
         "error", F.coalesce("error", problem)
     )
-    newest = history.newest_commits(commits, options.max_commits)
+    newest = session.keep(history.newest_commits(commits, options.max_commits), "newest")
+    gapped = history.gapped_listings(commits, newest).withColumn("gap", F.lit(tree.COMMITS_GAP_ERROR))
+    listed = session.keep(
+        listed.join(gapped, ["repo", "branch"], "left").withColumn("error", F.coalesce("error", "gap")).drop("gap"), "listed"
+    )
     wanted = session.keep(
         listed.where(F.col("error").isNull())
         .select("repo", "branch", "repo_pos")
-        .join(newest, ["repo", "branch"])
+        .join(newest.drop("listed_at"), ["repo", "branch"])
         .withColumnRenamed("pos", "commit_pos"),
         "commits",
     )
     # Nothing of a commit is parsed that no branch has among its newest.
-    records = tree.only_wanted(commit_files, wanted, ["repo", "commit_sha"])
-    sound = records.where(tree.valid_rows(commit_files))
-    broken = sound.where(F.exists("files", lambda f: history.unreadable(f["patch"]))).select("repo", "commit_sha")
-    lost = session.keep(
-        tree.missing(wanted, sound, ["repo", "commit_sha"], tree.COMMIT_FILES_ERROR).unionByName(
-            wanted.join(broken, ["repo", "commit_sha"], "left_semi")
-            .select("repo", "branch", F.lit(tree.HUNK_ERROR).alias("error"))
-            .distinct()
-        ),
-        "lost",
-    )
-
+    records = _wanted(commit_files, wanted, ["repo", "commit_sha"], landed.parse_commit_files)
+    sound = records.where(tree.valid_rows(records))
     changed = sound.select(
         "repo", "commit_sha", F.posexplode_outer("files").alias("file_ord", "file")
     ).select(
@@ -170,7 +209,16 @@ def scan_histories(
     )
     units = history.history_units(changed, options.all_excludes())
     keys = ("repo", "commit_sha", "file_path", "file_ord")
-    hits = _once(detect(units, options.detect, keys), *keys)
+    hits, unfit = _searched(units, options, keys)
+    lost = session.keep(
+        tree.missing(wanted, sound, ["repo", "commit_sha"], tree.COMMIT_FILES_ERROR).unionByName(
+            wanted.join(unfit.select("repo", "commit_sha", "error").distinct(), ["repo", "commit_sha"])
+            .select("repo", "branch", "error")
+            .distinct()
+        ),
+        "lost",
+    )
+    hits = _once(hits, *keys)
     complete = wanted.join(lost.select("repo"), "repo", "left_anti").drop("branch")
     findings = (
         hits.join(complete, ["repo", "commit_sha"])
@@ -205,9 +253,13 @@ def scan_tree_of_files(
     )
     texts, unread = file_source.read_files(kept)
     units = texts.select(F.lit(label).alias("repo"), "file_path", F.lit("").alias("commit_sha"), "content")
-    findings = detect(units, options.detect).select(*FINDING_COLUMNS, *ORDER_COLUMNS)
     failures = unread.select(F.lit(label).alias("repo"), F.col("file_path").alias("branch"), F.col("reason").alias("error"))
-    return ScanResult(findings, failures)
+    if options.detect.deep:
+        hits, unfit = _searched(units, options, UNIT_KEYS)
+        failures = failures.unionByName(unfit.select("repo", F.col("file_path").alias("branch"), "error"))
+    else:
+        hits = detect(units, options.detect)
+    return ScanResult(hits.select(*FINDING_COLUMNS, *ORDER_COLUMNS), failures)
 
 
 def finish(

@@ -14,6 +14,8 @@ contents in separate passes, and a columnar table gives each only what it needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,20 @@ _OPTIONS = "map('maxStringLen', '2147483647')"
 
 
 def read_payloads(spark: SparkSession, path: str, keys: str) -> DataFrame:
-    """JSON-lines landing folder with key columns and a ``payload`` text."""
-    return spark.read.schema(f"{keys}, payload string").json(path)
+    """JSON-lines landing folder with key columns and a ``payload`` text.
+
+    Without a key column of that name, ``landed_at`` is when the file was
+    written: of records that were landed again, later files have the newer state.
+    """
+    rows = spark.read.schema(f"{keys}, payload string").json(path)
+    if "landed_at" in rows.columns:
+        return rows
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
+
+
+def _when_landed(payloads: DataFrame) -> list[str]:
+    """The landing time, if the payloads have it."""
+    return ["landed_at"] if "landed_at" in payloads.columns else []
 
 
 def _text(item: str, field: str) -> str:
@@ -80,7 +94,8 @@ def parse_repos(pages: DataFrame, public_only: bool = True) -> DataFrame:
     first = F.col("page_start") if "page_start" in pages.columns else F.lit(None)
     kind, page = F.expr(_kind("parsed")), F.expr("try_variant_get(parsed, '$', 'array<variant>')")
     found = F.when(kind.startswith("ARRAY"), _objects(page)).otherwise(F.array("parsed"))
-    rows = _parsed(pages).select(first.cast("bigint").alias("first"), F.posexplode_outer(found).alias("at", "item"))
+    when = _when_landed(pages)
+    rows = _parsed(pages).select(first.cast("bigint").alias("first"), *when, F.posexplode_outer(found).alias("at", "item"))
     named = rows.where("at is not null").select(
         F.expr("try_variant_get(item, '$.id', 'bigint')").alias("id"),
         F.expr(_text("item", "name")).alias("name"),
@@ -89,13 +104,15 @@ def parse_repos(pages: DataFrame, public_only: bool = True) -> DataFrame:
         F.expr(f"coalesce({_text('item', 'html_url')}, '')").alias("html_url"),
         F.expr("coalesce(try_variant_get(item, '$.private', 'boolean'), false)").alias("private"),
         (F.col("first") + F.col("at")).alias("listed_at"),
+        *when,
     ).withColumn("error", F.when(F.col("full_name").isNull(), REPO_PAGE_ERROR))
     return named.where(~F.col("private")) if public_only else named
 
 
 def parse_branches(payloads: DataFrame) -> DataFrame:
     """Branch records; not ``valid`` without the head's ``commit_sha``."""
-    rows = _parsed(payloads).select("repo", "branch", F.expr(_text("parsed", "commit.sha")).alias("commit_sha"))
+    sha = F.expr(_text("parsed", "commit.sha")).alias("commit_sha")
+    rows = _parsed(payloads).select("repo", "branch", sha, *_when_landed(payloads))
     return rows.withColumn("valid", F.col("commit_sha").isNotNull())
 
 
@@ -142,17 +159,31 @@ def parse_blobs(payloads: DataFrame) -> DataFrame:
     )
 
 
+def parsed_late(payloads: DataFrame, parse: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """``parse(payloads)`` whose columns other than the keys stay behind every filter and join of ``payloads``.
+
+    The planner moves conditions on parsed columns ahead of joins, and with them
+    the parsing of rows that the join would have dropped; it does not move them
+    past a generator.
+    """
+    rows = parse(payloads)
+    others = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, F.inline(F.array(F.struct(*others))))
+
+
 def parse_commits(pages: DataFrame) -> DataFrame:
     """Commit listing pages, newest first, to one row per commit with its position.
 
     An empty page, and one that is no list, is one row without a commit; the
     latter is not ``valid``, nor is a commit without a hash.
     """
-    found = _objects(F.expr("try_variant_get(parsed, '$', 'array<variant>')"))
+    # what is no object is dropped, but has its place in the listing
+    placed = F.transform(F.expr("try_variant_get(parsed, '$', 'array<variant>')"), lambda v, i: F.struct(i.alias("at"), v.alias("item")))
+    found = F.filter(placed, lambda x: F.call_function("schema_of_variant", x["item"]).startswith("OBJECT"))
     first = F.coalesce(F.col("page_start"), F.lit(0))
     is_list = F.expr(f"{_kind('parsed')} like 'ARRAY%'")
     rows = _parsed(pages).select(
-        "repo", "branch", first.alias("first"), is_list.alias("is_list"), F.posexplode_outer(found).alias("at", "item")
+        "repo", "branch", first.alias("first"), is_list.alias("is_list"), F.inline_outer(found)
     )
     sha = F.expr(_text("item", "sha"))
     return rows.select(

@@ -1153,7 +1153,7 @@ def long_hunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.unionByName(lost)
 
 
-FAR_TOKENS = (("AWS access key", c.token_sql("0", "a"), "1"), ("PEM private key", c.token_sql("5", "a"), "1000000007 + doc_id"))
+FAR_TOKENS = (("AWS access key", c.token_sql("0", "a"), "1"), ("PEM private key", c.token_sql("5", "a"), "3000000007 + doc_id"))
 
 
 @query(
@@ -1164,10 +1164,10 @@ FAR_TOKENS = (("AWS access key", c.token_sql("0", "a"), "1"), ("PEM private key"
     ),
 )
 def distant_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hunks of one patch that are a billion lines apart."""
+    """Two hunks of one patch that are three billion lines apart."""
     (_, near, _), (_, far, _) = FAR_TOKENS
     patch = F.expr(
-        f"concat('@@ -1 +1 @@', chr(10), '+', {near}, chr(10), '@@ -9 +', cast(1000000007 + doc_id as string), ' @@', chr(10),"
+        f"concat('@@ -1 +1 @@', chr(10), '+', {near}, chr(10), '@@ -9 +', cast(3000000007 + doc_id as string), ' @@', chr(10),"
         f" array_join(transform(split({far}, chr(10)), l -> concat('+', l)), chr(10)))"
     )
     units = history.added_lines(c.table(spark, sf_dir, "documents").select("doc_id", patch.alias("patch")))
@@ -1176,6 +1176,116 @@ def distant_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("pattern_name").isin(names)).select("doc_id", "pattern_name", "line_number", "matched_text")
 
 
+SPLIT_KEY = c.token_sql("5", "a")
+SPLIT_GAP = "case doc_id % 3 when 0 then 3000000000 when 1 then 5000 else 2 end"
+SPLIT_TEXT = f"""concat(split_part({SPLIT_KEY}, chr(10), 1), CASE WHEN doc_id % 3 > 0 THEN repeat(chr(10), ({SPLIT_GAP})::INTEGER) END,
+      substr({SPLIT_KEY}, strpos({SPLIT_KEY}, chr(10)) + 1))"""
+
+
+@query(
+    "split_keys",
+    f"""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 1::BIGINT END AS line_number,
+      CASE WHEN doc_id % 3 > 0 THEN md5({k.redacted('value')}) END AS digest,
+      CASE WHEN doc_id % 3 > 0 THEN round({k.entropy('value')}, 6) END AS entropy_score,
+      CASE WHEN doc_id % 3 = 0 THEN 'match too long to be reported' END AS error
+    FROM (SELECT doc_id, {SPLIT_TEXT} AS value FROM documents)""",
+)
+def split_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose first line is in one hunk and whose rest is in another, up to three billion lines below."""
+    lines = f"split({SPLIT_KEY}, chr(10), -1)"
+    patch = F.expr(
+        f"concat('@@ -1 +1 @@', chr(10), '+', {lines}[0], chr(10), '@@ -9 +', cast(1 + {SPLIT_GAP} as string), ' @@', chr(10),"
+        f" array_join(transform(slice({lines}, 2, 1000), l -> concat('+', l)), chr(10)))"
+    )
+    units = history.added_lines(c.table(spark, sf_dir, "documents").select("doc_id", patch.alias("patch")))
+    found = detect(units, DetectOptions(entropy=None), ("doc_id",), None, errors=True)
+    ours = found.where((F.col("pattern_name") == "PEM private key") | F.col("error").isNotNull())
+    return ours.select(
+        "doc_id", "line_number", F.md5("matched_text").alias("digest"), F.round("entropy_score", 6).alias("entropy_score"), "error"
+    )
+
+
+HOSTILE = Signature("repeated group", r"x (?:a|b)+ END", "high", "x a END")
+HOSTILE_TEXT = """concat('repo ', cast(doc_id as string), chr(10), 'x ',
+      repeat('ab', case when doc_id % 500 = 0 then 500000 else cast(1 + doc_id % 50 as integer) end), ' END')"""
+
+
+@query(
+    "hostile_custom_pattern",
+    f"""SELECT repo, doc_id, line_number, md5({k.redacted('value')}) AS digest FROM (
+      SELECT source AS repo, doc_id, 2::BIGINT AS line_number, substr({HOSTILE_TEXT}, strpos({HOSTILE_TEXT}, chr(10)) + 1) AS value
+      FROM documents)""",
+)
+def hostile_custom_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signature that repeats a group, over lines of up to a million characters in texts of all repositories."""
+    units = c.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"), "doc_id", F.expr(HOSTILE_TEXT).alias("content")
+    )
+    found = detect(units, DetectOptions(catalogue=(HOSTILE,), entropy=None), ("repo", "doc_id"), None)
+    return found.select("repo", "doc_id", "line_number", F.md5("matched_text").alias("digest"))
+
+
+def _pushed_meanwhile(pages: DataFrame) -> DataFrame:
+    """Listings into which a commit was pushed after ten of their commits were read: the rest moves by one, and one is repeated."""
+    moved = pages.withColumn("page_start", F.col("page_start") + (F.col("page_start") >= 10).cast("int"))
+    return moved.unionByName(pages.where("page_start = 9").withColumn("page_start", F.lit(10)))
+
+
+LISTED = f"""{k.REPOS.replace(" WHERE r % 11 <> 5", "")}, listed AS (SELECT r.repo, r.branch, doc_id % 25 AS pos, d.commit_sha
+      FROM repos r JOIN (SELECT doc_id, {c.REPO} AS r, {c.COMMIT_SHA} AS commit_sha FROM documents) d ON d.r = r.r WHERE r.r % 8 <> 5)"""
+
+
+@query(
+    "shifted_pages",
+    with_sql(LISTED, "SELECT repo, branch, pos::INTEGER AS pos, commit_sha FROM listed WHERE pos < 15"),
+)
+def shifted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest commits of listings that moved while they were read."""
+    commits = landed.parse_commits(_pushed_meanwhile(c.commit_pages(spark, sf_dir)))
+    return history.newest_commits(commits, 15).select("repo", "branch", "pos", "commit_sha")
+
+
+@query(
+    "lost_pages",
+    with_sql(LISTED, """SELECT repo, branch FROM listed GROUP BY ALL
+      HAVING count(*) FILTER (pos = 3) = 1 AND count(*) FILTER (pos > 3) > 0 AND length(repo) % 2 = 0"""),
+)
+def lost_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of which a page was not landed, ahead of commits that were."""
+    pages = c.commit_pages(spark, sf_dir).where("not (page_start = 3 and length(repo) % 2 = 0)")
+    commits = landed.parse_commits(_pushed_meanwhile(pages))
+    return history.gapped_listings(commits, history.newest_commits(commits, 15))
+
+
+@query(
+    "moved_branch",
+    f"""SELECT {c.LABEL} AS repo, {c.BRANCH} AS branch, {c.HEAD} AS commit_sha
+      FROM (SELECT DISTINCT {c.REPO} AS r FROM documents) WHERE r % 9 <> 4""",
+)
+def moved_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of branches that were landed three times: the newest readable record counts, not the greatest hash."""
+    now = c.branch_payloads(spark, sf_dir)
+    at = lambda rows, second: rows.withColumn("landed_at", F.timestamp_seconds(F.lit(second)))
+    older = at(now.withColumn("payload", F.lit('{"commit":{"sha":"ffff"}}')), 1)
+    newer = at(now.withColumn("payload", F.lit("{")), 3)
+    branches = landed.parse_branches(older.unionByName(at(now, 2)).unionByName(newer))
+    chosen = branches.select("repo", "branch").distinct().withColumn("error", F.lit(None).cast("string"))
+    return tree.with_heads(chosen, branches).where("error is null").select("repo", "branch", "commit_sha")
+
+
+@query("payloads_as_landed", with_sql(TREE_SCAN, ALL))
+def payloads_as_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees scanned from blob payloads, of which only wanted ones are parsed."""
+    return shown(
+        jobs.scan_trees(
+            landed.parse_repos(c.repo_pages(spark, sf_dir)),
+            landed.parse_branches(c.branch_payloads(spark, sf_dir)),
+            landed.parse_trees(c.tree_payloads(spark, sf_dir)),
+            c.blob_payloads(spark, sf_dir),
+        ).findings
+    )
+
+
 ODD_UNITS = f"""units AS (SELECT source AS repo, {c.PATH} AS file_path, {c.COMMIT_SHA} AS commit_sha,
       regexp_replace({ODD_CONTENT}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS content
       FROM documents)"""
