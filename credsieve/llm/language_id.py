@@ -10,20 +10,22 @@ language's list lacks counts as far as the list is long.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsieve.llm.arrays import text_slices
 
 PROFILE = 400
-MAX_LANGUAGES = 200
 UNKNOWN = "und"
 _BITS, _KIND = 18, 54
 _DOCUMENT = 56
 _HELD_ENTRIES = 1 << 20
+_CELLS = 1 << 21
 _LETTER: list[np.ndarray] = []
 
 
@@ -144,17 +146,53 @@ def profiles(training: DataFrame, size: int = PROFILE) -> DataFrame:
     return counted.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", "place")
 
 
-def _model(table: DataFrame, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    rows = table.limit(MAX_LANGUAGES * size + 1).collect()
-    names = sorted({r["lang"] for r in rows})
-    if len(rows) > MAX_LANGUAGES * size or len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn; raise MAX_LANGUAGES if that is meant")
-    grams = np.unique(np.array([r["gram"] for r in rows], np.uint64))
-    places = np.full((len(grams), len(names)), size, np.int32)
-    column = {name: i for i, name in enumerate(names)}
-    for r in rows:
-        places[np.searchsorted(grams, np.uint64(r["gram"])), column[r["lang"]]] = r["place"] - 1
-    return names, grams, places
+@dataclass
+class Lists:
+    """The lists of all languages, by n-gram: those that have n-gram i are entries edges[i] to edges[i + 1]."""
+
+    names: list[str]
+    grams: np.ndarray
+    edges: np.ndarray
+    languages: np.ndarray
+    places: np.ndarray
+
+    def nearest(self, owner: np.ndarray, gram: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(language, nearness) for each text of entries sorted by `owner`, which counts from 0 without gaps.
+
+        Nearness is by how much the distance falls short of the largest one,
+        that to a list which shares no n-gram with the text.  So only shared
+        n-grams take part, whatever the number of languages.
+        """
+        many = len(self.names)
+        texts = int(owner[-1]) + 1
+        best, nearness = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        known = np.flatnonzero(self.grams[at] == gram)
+        owner, place, at = owner[known], place[known], at[known]
+        step = max(1, _CELLS // many)
+        for first in range(0, texts, step):
+            low, high = np.searchsorted(owner, [first, min(first + step, texts)])
+            begin, end = self.edges[at[low:high]], self.edges[at[low:high] + 1]
+            shared = end - begin
+            entry = np.arange(shared.sum()) + np.repeat(begin - (np.cumsum(shared) - shared), shared)
+            gain = size - np.abs(self.places[entry] - np.repeat(place[low:high], shared))
+            cell = np.repeat(owner[low:high] - first, shared) * many + self.languages[entry]
+            held = min(step, texts - first)
+            total = np.bincount(cell, weights=gain, minlength=held * many).astype(np.int64).reshape(held, many)
+            best[first : first + held] = total.argmax(axis=1)
+            nearness[first : first + held] = total.max(axis=1)
+        return best, nearness
+
+
+def _lists(table: DataFrame) -> Lists:
+    """All profiles: as many rows as there are languages, times the length of a list at most."""
+    rows = table.select("lang", "gram", "place").toArrow().combine_chunks()
+    names = sorted(rows.column("lang").unique().to_pylist())
+    number = pc.index_in(rows.column("lang"), pa.array(names, pa.string())).to_numpy()
+    gram = rows.column("gram").to_numpy().astype(np.uint64)
+    order = np.lexsort((number, gram))
+    grams, first = np.unique(gram[order], return_index=True)
+    return Lists(names, grams, np.append(first, len(order)), number[order].astype(np.int64), rows.column("place").to_numpy()[order].astype(np.int64) - 1)
 
 
 def identify(
@@ -167,7 +205,8 @@ def identify(
     first in code point order.  Columns of `docs` named lang_pred or score are
     replaced.  Repeated rows get equal answers.
     """
-    names, grams, places = _model(table, size)
+    lists = _lists(table)
+    names = lists.names
     kept = [c for c in returned or docs.columns if c.lower() not in ("lang_pred", "score")]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +224,10 @@ def identify(
                 used = place < size
                 owner, place = owner[used], place[used]
                 gram = keys[order][used] & np.uint64((1 << _DOCUMENT) - 1)
-                found = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-                known = grams[found] == gram
-                apart = np.full((len(owner), len(names)), size, np.int32)
-                apart[known] = np.where(
-                    places[found[known]] < size, np.abs(places[found[known]] - place[known, None]), size
-                )
                 first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                total = np.add.reduceat(apart, first, axis=0, dtype=np.int64)
-                rows = start + owner[first]
-                best[rows] = total.argmin(axis=1)
-                score[rows] = 1 - total.min(axis=1) / (size * np.diff(np.concatenate((first, [len(owner)]))))
+                rows, own = start + owner[first], np.diff(np.concatenate((first, [len(owner)])))
+                best[rows], near = lists.nearest(np.repeat(np.arange(len(first)), own), gram, place, size)
+                score[rows] = 1 - (size * own - near) / (size * own)
             named = pa.array([names[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), named, pa.array(score)], [*kept, "lang_pred", "score"]
