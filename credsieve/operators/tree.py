@@ -85,6 +85,44 @@ def with_heads(chosen: DataFrame, branches: DataFrame) -> DataFrame:
     return joined.withColumn("error", F.coalesce("error", problem)).drop("head")
 
 
+def with_tree_states(resolved: DataFrame, states: DataFrame) -> DataFrame:
+    """Whether the tree of each head commit can be scanned; ``states`` has ``valid`` and ``truncated``.
+
+    Of a listing that was landed more than once, the best copy counts.
+    """
+    best = states.groupBy("repo", "commit_sha").agg(F.min(F.struct(~F.col("valid"), "truncated").alias("state")).alias("state"))
+    flags = best.select("repo", "commit_sha", (~F.col("state.col1")).alias("valid"), F.col("state.truncated").alias("truncated"))
+    problem = F.when(~F.coalesce("valid", F.lit(False)), TREE_ERROR).when(F.col("truncated"), fixed.TRUNCATED_TREE_ERROR)
+    joined = resolved.join(flags, ["repo", "commit_sha"], "left")
+    return joined.withColumn("error", F.coalesce("error", problem)).drop("valid", "truncated")
+
+
+_SALTS = 16
+
+
+def files_of_items(
+    listed: DataFrame,
+    items: DataFrame,
+    excludes: tuple[str, ...] = fixed.DEFAULT_EXCLUDES,
+    max_bytes: int = fixed.MAX_FILE_SIZE_BYTES,
+) -> DataFrame:
+    """The files to scan of sound repositories, from tree items that are rows already.
+
+    Items are chosen where they lie.  A tree with very many of them is dealt to
+    several tasks by their number; what was landed twice counts once.
+    """
+    if "pattern" not in listed.columns:
+        listed = listed.withColumn("pattern", F.lit(None).cast("string"))
+    sound = listed.where(F.col("error").isNull()).select("repo", "repo_pos", "branch", "commit_sha", "pattern")
+    chosen = items.where(wanted_item(F.col("type"), F.col("size"), F.col("path"), excludes, max_bytes))
+    once = chosen.select("repo", "commit_sha", "unit_ord", F.col("path").alias("file_path"), "sha").distinct()
+    dealt = once.withColumn("salt", (F.col("unit_ord") % _SALTS).cast("int"))
+    copies = sound.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return dealt.join(copies, ["repo", "commit_sha", "salt"]).where(~_excluded_by(F.col("pattern"), F.col("file_path"))).select(
+        "repo", "repo_pos", "branch", "commit_sha", "file_path", "sha", "unit_ord"
+    )
+
+
 def with_trees(resolved: DataFrame, trees: DataFrame) -> DataFrame:
     """Attach the tree of the head commit; truncated listings are refused."""
     best = Window.partitionBy("repo", "commit_sha").orderBy(F.col("valid").desc(), "truncated")

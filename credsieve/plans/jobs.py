@@ -118,8 +118,9 @@ def scan_trees(
 ) -> ScanResult:
     """Scan the current tree of every repository of ``repos``.
 
-    ``blobs`` are parsed blobs, or payloads as they were landed: of these, only
-    what some path may want is parsed and decoded.
+    ``trees`` and ``blobs`` are parsed, or payloads as they were landed: of
+    these, only what some head or path may want is parsed and decoded, and the
+    items of a tree become rows without an array of them.
 
     Only blobs that some path wants are scanned, each once, whatever the number
     of its paths or of the times it was landed; its findings then join the
@@ -130,13 +131,19 @@ def scan_trees(
     repository of a text that cannot be searched fails.
     """
     heads = tree.with_heads(tree.targets(repos, options.branch), branches)
-    listed = tree.with_trees(heads, trees)
+    rules = (options.all_excludes(), options.max_file_size_bytes)
     # Policies join while each repository is one row, so that one with very many
     # files is no hot key.
-    ruled = tree.with_policy(listed, policies) if policies is not None else listed
-    files = session.keep(
-        tree.tree_files(ruled, options.all_excludes(), options.max_file_size_bytes), "files"
-    )
+    ruled = lambda rows: tree.with_policy(rows, policies) if policies is not None else rows
+    if "payload" in trees.columns:
+        heads = session.keep(heads, "heads")
+        asked = tree.only_wanted(trees, heads.where("commit_sha is not null"), ["repo", "commit_sha"])
+        listed = session.keep(tree.with_tree_states(heads, landed.tree_states(asked)), "listed")
+        chosen = tree.files_of_items(ruled(listed), landed.tree_items(asked), *rules)
+    else:
+        listed = tree.with_trees(heads, trees)
+        chosen = tree.tree_files(ruled(listed), *rules)
+    files = session.keep(chosen, "files")
     known = _wanted(blobs, files, ["repo", "sha"], landed.parse_blobs)
     sound = known.where(tree.valid_rows(known))
     lost = session.keep(tree.missing(files, sound, ["repo", "sha"], tree.BLOB_ERROR), "lost")
@@ -241,7 +248,8 @@ def scan_tree_of_files(
     """Scan a file or directory, whose normalised path is the repository label.
 
     A file that is gone or may not be read is a row of ``failures``, with its
-    path in ``branch``; any other error of the file system fails the job.
+    path in ``branch``; any other error of the file system fails the job.  Files
+    are listed and read when this is called, each once.
     """
     if options.max_file_size_bytes < 0:
         raise ValueError("a file size limit below 0 leaves nothing to scan")
@@ -251,14 +259,12 @@ def scan_tree_of_files(
         ~paths.matches_any_glob(F.col("file_path"), options.all_excludes())
         & (F.coalesce("size", F.lit(0)) <= options.max_file_size_bytes)
     )
-    texts, unread = file_source.read_files(kept)
-    units = texts.select(F.lit(label).alias("repo"), "file_path", F.lit("").alias("commit_sha"), "content")
-    failures = unread.select(F.lit(label).alias("repo"), F.col("file_path").alias("branch"), F.col("reason").alias("error"))
-    if options.detect.deep:
-        hits, unfit = _searched(units, options, UNIT_KEYS)
-        failures = failures.unionByName(unfit.select("repo", F.col("file_path").alias("branch"), "error"))
-    else:
-        hits = detect(units, options.detect)
+    # a file without a text has a reason, or is no text and has nothing to find
+    units = file_source.read_once(kept).select(
+        F.lit(label).alias("repo"), "file_path", F.lit("").alias("commit_sha"), "content", F.col("reason").alias("problem")
+    )
+    hits, unfit = _searched(units, options, UNIT_KEYS)
+    failures = unfit.select("repo", F.col("file_path").alias("branch"), "error")
     return ScanResult(hits.select(*FINDING_COLUMNS, *ORDER_COLUMNS), failures)
 
 

@@ -9,13 +9,13 @@ the object stores Arrow knows, all work.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import ceil
 from pathlib import PurePosixPath
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
@@ -157,58 +157,70 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_FILE_ARROW = pa.schema([("file_path", pa.string()), ("size", pa.int64()), ("data", pa.binary()), ("reason", pa.string())])
+FILE = "file_path string, size bigint, data binary, reason string"
+_BYTES_AT_ONCE = 8 * 1024 * 1024
+
+
+def opened(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """Read each file (path, file_path, size) once; one that is gone or forbidden has a reason instead of data.
+
+    Output batches stay small.
+    """
+    held, size = [], 0
+    for row in rows:
+        found = {"file_path": row["file_path"], "size": row["size"], "data": None, "reason": None}
+        try:
+            fs, place = open_path(row["path"])
+            with fs.open_input_file(place) as stream:
+                found["data"] = stream.read()
+        except OSError as problem:
+            found["reason"] = _reason(problem)
+        held.append(found)
+        size += len(found["data"] or b"")
+        if size > _BYTES_AT_ONCE or len(held) >= 4096:
+            yield pa.RecordBatch.from_pylist(held, schema=_FILE_ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_FILE_ARROW)
+
+
 def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read each file that is there and allowed.  Output batches stay small."""
-    schema = pa.schema([("file_path", pa.string()), ("size", pa.int64()), ("data", pa.binary())])
-    rows, held = [], 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            try:
-                fs, place = open_path(row["path"])
-                with fs.open_input_file(place) as stream:
-                    data = stream.read()
-            except OSError as problem:
-                _reason(problem)
-                continue
-            rows.append({"file_path": row["file_path"], "size": row["size"], "data": data})
-            held += len(data)
-            if held > 8 * 1024 * 1024 or len(rows) >= 4096:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    yield from opened(row for batch in batches for row in batch.to_pylist())
 
 
-def _open_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The files that cannot be opened, with the reason."""
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            try:
-                fs, place = open_path(row["path"])
-                with fs.open_input_file(place):
-                    pass
-            except OSError as problem:
-                rows.append({"file_path": row["file_path"], "reason": _reason(problem)})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file_path", pa.string()), ("reason", pa.string())]))
+def decoded(data: Column) -> Column:
+    """Text of a file, NULL when it is not valid UTF-8."""
+    value = data.cast("string")
+    return F.when(F.is_valid_utf8(value), text.universal_newlines(value))
 
 
-def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``file_path, size, content`` of the files that are valid UTF-8, and ``file_path, reason`` of those skipped.
+def read_once(files: DataFrame) -> DataFrame:
+    """``file_path, size, content, reason``: every listed file is opened once, and has a text or a reason or neither.
 
-    The names are dealt out at random, with enough tasks for the total size, so
-    neither a huge directory nor a run of large files lands in one task.  Files
-    are opened once more to find those that cannot be, but not read.
+    A file without both is not valid UTF-8.  The names are dealt out at random,
+    with enough tasks for the total size, so neither a huge directory nor a run
+    of large files lands in one task.
     """
     listed = files.where("reason is null")
     totals = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).head()
     tasks = 1 + max(totals.s // BYTES_PER_TASK, totals.n // FILES_PER_TASK)
     dealt = listed.select("path", "file_path", "size").repartition(int(tasks))
-    data = dealt.mapInArrow(_read_bytes, "file_path string, size bigint, data binary")
-    valid = data.withColumn("data", F.col("data").cast("string")).where(F.is_valid_utf8(F.col("data")))
-    texts = valid.select("file_path", "size", text.universal_newlines(F.col("data")).alias("content"))
-    unlisted = files.where("reason is not null").select("file_path", "reason")
-    return texts, dealt.mapInArrow(_open_only, "file_path string, reason string").union(unlisted)
+    read = dealt.mapInArrow(_read_bytes, FILE).select("file_path", "size", decoded(F.col("data")).alias("content"), "reason")
+    unlisted = files.where("reason is not null").select("file_path", "size", F.lit(None).cast("string").alias("content"), "reason")
+    return read.unionByName(unlisted)
+
+
+def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file_path, size, content`` of the files that are valid UTF-8, and ``file_path, reason`` of those skipped.
+
+    Each of the two tables reads the files; ``read_once`` has both in one.
+    """
+    rows = read_once(files)
+    return (
+        rows.where("content is not null").select("file_path", "size", "content"),
+        rows.where("reason is not null").select("file_path", "reason"),
+    )
 
 
 def read_texts(files: DataFrame) -> DataFrame:

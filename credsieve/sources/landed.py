@@ -144,6 +144,34 @@ def parse_trees(payloads: DataFrame) -> DataFrame:
     )
 
 
+def tree_states(payloads: DataFrame) -> DataFrame:
+    """``repo, commit_sha, valid, truncated`` of tree listings, without their items."""
+    return _parsed(payloads).select(
+        "repo",
+        "commit_sha",
+        _is_listed("tree").alias("valid"),
+        F.expr("coalesce(try_variant_get(parsed, '$.truncated', 'boolean'), false)").alias("truncated"),
+    )
+
+
+def tree_items(payloads: DataFrame) -> DataFrame:
+    """``repo, commit_sha, unit_ord, path, type, sha, size``: the items of whole tree listings, one row each.
+
+    The list stays in the parser's own form; its items leave it one by one, as
+    rows, and no array of them is built.  A listing that is truncated or not
+    valid has no items here.
+    """
+    whole = _is_listed("tree") & ~F.expr("coalesce(try_variant_get(parsed, '$.truncated', 'boolean'), false)")
+    lists = _parsed(payloads).select(
+        "repo", "commit_sha", F.when(whole, F.expr("variant_get(parsed, '$.tree', 'variant')")).alias("listed")
+    )
+    items = lists.lateralJoin(payloads.sparkSession.tvf.variant_explode(F.col("listed").outer()))
+    field = lambda name, kind="string": F.try_variant_get("value", f"$.{name}", kind).alias(name)
+    return items.where(F.call_function("schema_of_variant", F.col("value")).startswith("OBJECT")).select(
+        "repo", "commit_sha", F.col("pos").alias("unit_ord"), field("path"), field("type"), field("sha"), field("size", "bigint")
+    )
+
+
 def parse_blobs(payloads: DataFrame) -> DataFrame:
     """Blob records to text; ``content`` is NULL for what cannot be scanned.
 

@@ -35,7 +35,7 @@ from credsieve.plans import jobs
 from credsieve.sinks import files as file_sink
 from credsieve.sinks import reports
 from credsieve.sources import files as file_source
-from credsieve.sources import landed
+from credsieve.sources import filetree, landed
 from credsieve.sources.tables import as_scan_units, load_baseline
 from credsieve.streaming import scan as streaming
 from credsieve.workload import checks as k
@@ -860,6 +860,19 @@ def folder_scan_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relabelled(jobs.scan_folder(spark, folder, options), folder)
 
 
+@query("filetree_source", with_sql(k.scan_sql(_folder_units((), fixed.MAX_FILE_SIZE_BYTES)), IN_FOLDER))
+def filetree_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder read as a data source, which gets the condition on the size."""
+    folder = _written_folder(spark, sf_dir)
+    filetree.register(spark)
+    rows = spark.read.format("filetree").load(folder).where(F.col("size") <= fixed.MAX_FILE_SIZE_BYTES)
+    wanted = rows.where(~paths.matches_any_glob(F.col("file_path"), fixed.DEFAULT_EXCLUDES))
+    units = wanted.select(
+        F.lit(folder).alias("repo"), "file_path", F.lit("").alias("commit_sha"), file_source.decoded(F.col("data")).alias("content")
+    )
+    return _relabelled(jobs.scan_units(units), folder)
+
+
 @query(
     "unreadable_files",
     """SELECT concat('gone_', cast(doc_id as string)) AS file_path, 'not found' AS reason FROM documents
@@ -1273,17 +1286,32 @@ def moved_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.with_heads(chosen, branches).where("error is null").select("repo", "branch", "commit_sha")
 
 
+def _landed_scan(spark: SparkSession, sf_dir: str) -> jobs.ScanResult:
+    twice = lambda rows: rows.unionByName(rows)
+    return jobs.scan_trees(
+        landed.parse_repos(c.repo_pages(spark, sf_dir)),
+        landed.parse_branches(c.branch_payloads(spark, sf_dir)),
+        twice(c.tree_payloads(spark, sf_dir)),
+        c.blob_payloads(spark, sf_dir),
+    )
+
+
 @query("payloads_as_landed", with_sql(TREE_SCAN, ALL))
 def payloads_as_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees scanned from blob payloads, of which only wanted ones are parsed."""
-    return shown(
-        jobs.scan_trees(
-            landed.parse_repos(c.repo_pages(spark, sf_dir)),
-            landed.parse_branches(c.branch_payloads(spark, sf_dir)),
-            landed.parse_trees(c.tree_payloads(spark, sf_dir)),
-            c.blob_payloads(spark, sf_dir),
-        ).findings
-    )
+    """Trees scanned from payloads, of which only wanted ones are parsed; listings were landed twice."""
+    return shown(_landed_scan(spark, sf_dir).findings)
+
+
+@query("payloads_as_landed_failures", CHECKS["tree_scan_failures"])
+def payloads_as_landed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed_scan(spark, sf_dir).failures
+
+
+@query("streamed_tree_items", CHECKS["tree_items"].replace("    FROM d, unnest", "    FROM (SELECT * FROM d WHERE r % 12 <> 6) d, unnest"))
+def streamed_tree_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of tree payloads as rows, without arrays; truncated listings have none."""
+    items = landed.tree_items(c.tree_payloads(spark, sf_dir))
+    return items.select("repo", F.lit(False).alias("truncated"), "path", "type", "sha", "size")
 
 
 ODD_UNITS = f"""units AS (SELECT source AS repo, {c.PATH} AS file_path, {c.COMMIT_SHA} AS commit_sha,

@@ -203,3 +203,38 @@ def test_payloads_that_nothing_wants_are_not_decoded(spark, tmp_path):
     plan = known._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("from_json") < plan.index("Join LeftSemi") and "from_json" not in plan[plan.index("Join LeftSemi") :]
     assert {r.content for r in known.collect()} == {"abc"} and 20 <= known.count() < 300
+
+
+# --- large trees ---
+
+
+def test_a_tree_of_very_many_items_is_no_array(spark, tmp_path):
+    n = 300_000
+    item = """concat('{"path":"d/f', i, '","type":"', if(i % 3 = 0, 'tree', 'blob'), '","sha":"s', i % 10, '","size":5}')"""
+    listing = F.expr(f"""concat('{{"truncated":false,"tree":[7,', array_join(transform(sequence(1, {n}), i -> {item}), ','), ']}}')""")
+    spark.range(1).select(F.lit("o/r").alias("repo"), F.lit("h").alias("commit_sha"), listing.alias("payload")).write.parquet(str(tmp_path / "t"))
+    trees = spark.read.parquet(str(tmp_path / "t"))
+    items = landed.tree_items(trees)
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_explode" in plan and "transform(" not in plan and "array<" not in items.schema.simpleString()
+    counted = items.agg(F.count("*").alias("n"), F.min("unit_ord").alias("first"), F.max("unit_ord").alias("last")).first()
+    assert tuple(counted) == (n, 1, n)
+    repos = spark.createDataFrame([("o/r", "")], "full_name string, default_branch string")
+    heads = spark.createDataFrame([("o/r", "main", "h")], "repo string, branch string, commit_sha string")
+    blobs = spark.createDataFrame([("o/r", f"s{i}", AWS if i == 4 else "none") for i in range(10)], "repo string, sha string, content string")
+    result = jobs.scan_trees(repos, heads, trees.union(trees), blobs)
+    assert result.failures.count() == 0
+    assert result.findings.where("pattern_name = 'AWS access key'").count() == sum(i % 10 == 4 and i % 3 > 0 for i in range(1, n + 1))
+
+
+def test_tree_payloads_that_cannot_be_scanned(spark):
+    repos = spark.createDataFrame([(f"o/r{i}", "") for i in range(5)], "full_name string, default_branch string")
+    heads = spark.createDataFrame([(f"o/r{i}", "main", "h") for i in range(5)], "repo string, branch string, commit_sha string")
+    whole = '{"tree":[{"path":"f","type":"blob","sha":"s"}]}'
+    rows = [("o/r0", whole), ("o/r0", '{"truncated":true,"tree":[]}'), ("o/r1", '{"truncated":true,"tree":[]}'), ("o/r2", "{"), ("o/r3", "{}")]
+    trees = spark.createDataFrame([(r, "h", p) for r, p in rows], "repo string, commit_sha string, payload string")
+    blobs = spark.createDataFrame([("o/r0", "s", AWS)], "repo string, sha string, content string")
+    result = jobs.scan_trees(repos, heads, trees, blobs)
+    assert [(r.repo, r.file_path) for r in result.findings.collect()] == [("o/r0", "f")]
+    failed = {r.repo: r.error for r in result.failures.collect()}
+    assert set(failed) == {"o/r1", "o/r2", "o/r4"} and failed["o/r2"] == failed["o/r4"] == tree.TREE_ERROR
