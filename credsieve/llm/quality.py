@@ -3,16 +3,20 @@
 The content view sees measures of the text (shares of character classes, word
 lengths, repetition); the metadata view sees what is recorded about the page:
 source, language and size.  Each view is a logistic model over binned measures.
-In every round both views judge a pool of unlabelled documents, and each hands
-its confident judgements to the other as additional training labels.  At the
-end both are calibrated on labelled documents that neither was trained on, and
-one more logistic model combines the two calibrated scores.
+Both are fitted on a bounded sample of labelled documents.  In every round both
+then judge all other documents, in Spark, and each hands its confident
+judgements to the other as additional training labels: a step of the training
+is one pass over the binned measures that returns the summed slopes of both
+models, a few numbers for each bin.  At the end both are calibrated on labelled
+documents that neither was trained on, and one more logistic model combines the
+two calibrated scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,17 @@ from credsieve.llm.arrays import ragged, text_slices, utf8, word_hashes
 from credsieve.session import keep
 
 SAMPLE = 20_000
-POOL = 20_000
+#: Sources and languages with a code of their own: so many of the most frequent ones, and all of the sample.
+VALUES = 20_000
 ROUNDS = 3
+#: Passes over the judged documents in each round.
+STEPS = 6
 BINS = 16
 CONFIDENT = 0.95
 #: Codes of metadata: of null, of a value that the fitted rows do not hold, and of the first that they do.
 NULL, UNSEEN, KNOWN = 0, 1, 2
 _MEASURES = 14
+_UNIT = 1 << 24
 _META = ("source", "lang", "size")
 
 
@@ -118,13 +126,17 @@ class View:
     weights: np.ndarray
     calibration: np.ndarray
 
+    def of_bins(self, bins: np.ndarray) -> np.ndarray:
+        return self.weights[_places(bins, self.edges)].sum(axis=1) + self.weights[-1]
+
     def raw(self, numbers: np.ndarray) -> np.ndarray:
-        bins = _binned(numbers, self.edges)
-        levels = self.edges.shape[1] + 1
-        return self.weights[bins + np.arange(bins.shape[1]) * levels].sum(axis=1) + self.weights[-1]
+        return self.of_bins(_binned(numbers, self.edges))
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return np.clip(raw * self.calibration[0] + self.calibration[1], -20, 20)
 
     def logit(self, numbers: np.ndarray) -> np.ndarray:
-        return np.clip(self.raw(numbers) * self.calibration[0] + self.calibration[1], -20, 20)
+        return self.calibrated(self.raw(numbers))
 
 
 @dataclass
@@ -142,6 +154,11 @@ class Model:
         return logistic(np.column_stack([a, b, np.ones(len(a))]) @ self.combined), logistic(a), logistic(b)
 
 
+def _places(bins: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the weights of bins are."""
+    return bins + np.arange(bins.shape[1]) * (edges.shape[1] + 1)
+
+
 def _binned(numbers: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, numbers[:, j], side="right") for j, e in enumerate(edges)])
 
@@ -173,61 +190,141 @@ def _meta_numbers(batch: pa.RecordBatch | pa.Table, sources: pa.Array, languages
     return np.column_stack([_codes(batch.column("source"), sources), _codes(batch.column("lang"), languages), size])
 
 
-class _Learner:
-    """Trains views on numbers; metadata codes become shrunken log odds of their training labels first."""
+Views = tuple[np.ndarray, np.ndarray] | list[np.ndarray]
+Teach = Callable[[list[View], list[View]], "list[Slopes]"]
+
+
+@dataclass
+class Slopes:
+    """Sums over the rows that one view is taught: slopes and rows by weight, loss, and the number of rows.
+
+    Slopes and losses are whole numbers of 1 / _UNIT, so that sums do not depend on their order.
+    """
+
+    slope: np.ndarray
+    rows: np.ndarray
+    loss: int
+    n: int
+
+    def __add__(self, other: Slopes) -> Slopes:
+        return Slopes(self.slope + other.slope, self.rows + other.rows, self.loss + other.loss, self.n + other.n)
+
 
-    def __init__(self, content: np.ndarray, meta: np.ndarray):
-        self.numbers = (content, meta)
-        size = _quantiles(meta[:, 2:])
-        # one bin a code; at least those of null and unseen values, and as many as the size has
-        last = np.maximum(meta[:, :2].max(axis=0), UNSEEN).astype(int)
-        codes = np.full((2, max(*last, size.shape[1])), np.inf)
-        for column in (0, 1):
-            codes[column, : last[column]] = np.arange(1, last[column] + 1)
-        wide = np.full((1, codes.shape[1]), np.inf)
-        wide[0, : size.shape[1]] = size[0]
-        self.edges = (_quantiles(content), np.concatenate([codes, wide]))
-        self.bins = tuple(_binned(x, e) for x, e in zip(self.numbers, self.edges, strict=True))
+def slopes(bins: np.ndarray, y: np.ndarray, view: View) -> Slopes:
+    place, size = _places(bins, view.edges), len(view.weights)
+    raw = view.of_bins(bins)
+    miss = np.rint((logistic(raw) - y) * _UNIT)
+    loss = np.rint(np.logaddexp(0, np.where(y > 0.5, -raw, raw)) * _UNIT).sum()
+    slope = np.bincount(place.ravel(), weights=np.repeat(miss, bins.shape[1]), minlength=size)
+    slope[-1] = miss.sum()
+    rows = np.bincount(place.ravel(), minlength=size)
+    rows[-1] = len(bins)
+    return Slopes(slope.astype(np.int64), rows.astype(np.int64), int(loss), len(bins))
 
-    def train(self, which: int, rows: np.ndarray, y: np.ndarray) -> View:
-        edges = self.edges[which]
-        ridge = 3e-4 if which == 0 else 3e-3
-        weights = fit_logistic(self.bins[which][rows], edges.shape[1] + 1, y, ridge)
-        return View(edges, weights, np.array([1.0, 0.0]))
+
+def taught(bins: Views, givers: list[View], views: list[View]) -> list[Slopes]:
+    """Slopes of each view over the rows that the other one, as in `givers`, is confident about."""
+    out = []
+    for which, view in enumerate(views):
+        p = logistic(givers[1 - which].calibrated(givers[1 - which].of_bins(bins[1 - which])))
+        sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
+        out.append(slopes(bins[which][sure], (p[sure] > 0.5).astype(float), view))
+    return out
+
+
+class Descent:
+    """Minimises the mean loss of the labelled and that of the taught rows, in equal parts, from one pass to the next.
+
+    A step divides the slopes by a bound of the curvature, which never climbs,
+    and is then lengthened by what the steps before have shown (limited-memory
+    quasi-Newton); if that climbed, the plain step from the best point is taken.
+    """
+
+    def __init__(self, view: View, bins: np.ndarray, y: np.ndarray, ridge: float):
+        self.view, self.bins, self.y, self.ridge = view, bins, y, ridge
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.best: tuple[float, np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.last: tuple[np.ndarray, np.ndarray] | None = None
+
+    def step(self, other: Slopes) -> None:
+        if not other.n:
+            return
+        own = slopes(self.bins, self.y, self.view)
+        weights = self.view.weights
+        held = np.append(np.full(len(weights) - 1, self.ridge), 0.0)
+        slope = (own.slope / own.n + other.slope / other.n) / (2 * _UNIT) + held * weights
+        loss = (own.loss / own.n + other.loss / other.n) / (2 * _UNIT) + (held * weights**2).sum() / 2
+        bound = (own.rows / own.n + other.rows / other.n) / 8 * (self.bins.shape[1] + 1) + held + 1e-9
+        if self.best is not None and loss > self.best[0]:
+            self.pairs, self.last = [], None
+            _, weights, slope, bound = self.best
+        else:
+            if self.last is not None:
+                moved, turned = weights - self.last[0], slope - self.last[1]
+                if moved @ turned > 1e-12:
+                    self.pairs.append((moved, turned))
+            self.best, self.last = (loss, weights, slope, bound), (weights, slope)
+        way, shares = slope.copy(), []
+        for moved, turned in reversed(self.pairs):
+            shares.append((moved @ way) / (moved @ turned))
+            way -= shares[-1] * turned
+        way /= bound
+        for (moved, turned), share in zip(self.pairs, reversed(shares), strict=True):
+            way += moved * (share - (turned @ way) / (moved @ turned))
+        self.view = View(self.view.edges, weights - way, self.view.calibration)
+
+    def done(self) -> View:
+        """The best point that was looked at; a round ends with such a look."""
+        return self.view if self.best is None else View(self.view.edges, self.best[1], self.view.calibration)
+
+
+def _edges(content: np.ndarray, meta: np.ndarray, codes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the bins of both views; metadata codes below the given numbers have a bin each."""
+    size = _quantiles(meta[:, 2:])
+    # at least bins for null and unseen values, and as many as the size has
+    last = np.maximum(np.array(codes) - 1, UNSEEN)
+    wide = np.full((3, max(*last, size.shape[1])), np.inf)
+    for column in (0, 1):
+        wide[column, : last[column]] = np.arange(1, last[column] + 1)
+    wide[2, : size.shape[1]] = size[0]
+    return _quantiles(content), wide
 
 
 def co_train(
-    content: np.ndarray, meta: np.ndarray, labels: np.ndarray, held: np.ndarray, rounds: int = ROUNDS
+    bins: Views, edges: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, teach: Teach, rounds: int = ROUNDS
 ) -> tuple[Model, list[tuple[int, int]]]:
-    """Fit on rows whose label is 0 or 1 (-1: unlabelled); `held` rows only calibrate.
+    """Fit on labelled rows (`y` is 0 or 1); `held` ones only calibrate.
 
-    Also returns how many pseudo-labels the content and the metadata view gave
-    in each round.  A view judges the pool afresh every round, with itself
-    calibrated on the held rows, and only gives away what is confident then.
+    `teach(givers, views)` gives the slopes of both views over all other rows,
+    as `taught` does.  Also returns how many rows the content and the metadata
+    view taught the other in each round.  They are judged afresh every round, by
+    views calibrated on the held rows, and only confident judgements count.
     """
-    learner, data = _Learner(content, meta), (content, meta)
-    train, pool, keepers = np.flatnonzero((labels >= 0) & ~held), np.flatnonzero(labels < 0), np.flatnonzero((labels >= 0) & held)
+    train, keepers = np.flatnonzero(~held), np.flatnonzero(held)
     if not len(keepers):
         keepers = train
-    given = [(np.zeros(0, np.int64), np.zeros(0))] * 2
-    history, views = [], []
-    for turn in range(rounds + 1):
-        views = []
-        for which in (0, 1):
-            extra, pseudo = given[1 - which]
-            view = learner.train(which, np.concatenate([train, extra]), np.concatenate([labels[train], pseudo]).astype(float))
-            raw = view.raw(data[which][keepers])
-            view.calibration = fit_linear(raw[:, None], labels[keepers].astype(float))
-            views.append(view)
-        if turn < rounds:
-            given = []
-            for which, view in enumerate(views):
-                p = logistic(view.logit(data[which][pool])) if len(pool) else np.zeros(0)
-                sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
-                given.append((pool[sure], (p[sure] > 0.5).astype(float)))
-            history.append((len(given[0][0]), len(given[1][0])))
-    logits = np.column_stack([v.logit(x[keepers]) for v, x in zip(views, data, strict=True)])
-    return Model(*views, fit_linear(logits, labels[keepers].astype(float))), history
+    ridges = (3e-4, 3e-3)
+
+    def calibrated(which: int, view: View) -> View:
+        raw = view.of_bins(bins[which][keepers])
+        return View(view.edges, view.weights, fit_linear(raw[:, None], y[keepers].astype(float)))
+
+    def alone(which: int) -> View:
+        weights = fit_logistic(bins[which][train], edges[which].shape[1] + 1, y[train].astype(float), ridges[which])
+        return View(edges[which], weights, np.array([1.0, 0.0]))
+
+    views = [calibrated(which, alone(which)) for which in (0, 1)]
+    history = []
+    for _ in range(rounds):
+        climbers = [Descent(v, bins[w][train], y[train].astype(float), ridges[w]) for w, v in enumerate(views)]
+        for _ in range(STEPS):
+            found = teach(views, [c.view for c in climbers])
+            for climber, other in zip(climbers, found, strict=True):
+                climber.step(other)
+        history.append((found[1].n, found[0].n))
+        views = [calibrated(which, climber.done()) for which, climber in enumerate(climbers)]
+    logits = np.column_stack([v.calibrated(v.of_bins(b[keepers])) for v, b in zip(views, bins, strict=True)])
+    return Model(*views, fit_linear(logits, y[keepers].astype(float))), history
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,37 +338,92 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
-    """Fit on at most `sample` labelled and `pool` unlabelled documents, dealt by a hash of doc_id.
-
-    Both bounds are documented parameters; the rows come back as numbers, source
-    and language.  What sources and languages they hold is sent with the model,
-    so that each has a code of its own.
+def _bins_of(batches: Iterator[pa.RecordBatch], edges: tuple, sources: pa.Array, languages: pa.Array) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers = np.array(batch.column("content").flatten()).reshape(-1, _MEASURES)
+        both = [_binned(numbers, edges[0]), _binned(_meta_numbers(batch, sources, languages), edges[1])]
+        lists = [ragged(b.ravel().astype(np.int32), np.arange(len(b) + 1) * b.shape[1]) for b in both]
+        yield pa.RecordBatch.from_arrays(lists, ["content", "meta"])
+
+
+def _taught(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """(view, place, slope, n) of a part of the rows; place -1 has the loss and the number of rows."""
+    givers, views = sent.value
+    total: list[Slopes] | None = None
+    for batch in batches:
+        bins = [np.array(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("content", "meta")]
+        found = taught(bins, givers, views)
+        total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+    for which, part in enumerate(total or []):
+        place = np.flatnonzero(part.rows)
+        columns = [np.append(place, -1), np.append(part.slope[place], part.loss), np.append(part.rows[place], part.n)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place) + 1, which)), *map(pa.array, columns)], ["view", "place", "slope", "n"])
+
+
+def _teacher(binned: DataFrame) -> Teach:
+    """Slopes over all rows of a table of bins; what comes back are sums for each weight."""
+
+    def teach(givers: list[View], views: list[View]) -> list[Slopes]:
+        sent = binned.sparkSession.sparkContext.broadcast((givers, views))
+        rows = binned.mapInArrow(partial(_taught, sent=sent), "view bigint, place bigint, slope bigint, n bigint")
+        sums = rows.groupBy("view", "place").agg(F.sum("slope").alias("slope"), F.sum("n").alias("n")).toArrow()
+        which, place, slope, n = (sums.column(c).to_numpy() for c in ("view", "place", "slope", "n"))
+        out = []
+        for i, view in enumerate(views):
+            part = Slopes(np.zeros(len(view.weights), np.int64), np.zeros(len(view.weights), np.int64), 0, 0)
+            own, whole = (which == i) & (place >= 0), np.flatnonzero((which == i) & (place < 0))
+            part.slope[place[own]], part.rows[place[own]] = slope[own], n[own]
+            if len(whole):
+                part.loss, part.n = int(slope[whole[0]]), int(n[whole[0]])
+            out.append(part)
+        sent.unpersist()
+        return out
+
+    return teach
+
+
+def _frequent(rows: DataFrame, column: str, sampled: pa.ChunkedArray, most: int) -> pa.Array:
+    """The values that get a code: those of the sample and the most frequent ones of all rows, in order."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    best = counted.orderBy(F.desc("n"), column).limit(most).select(column).toArrow().column(column)
+    return _values(pa.chunked_array([*sampled.cast(pa.string()).chunks, *best.cast(pa.string()).chunks], pa.string()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, values: int = VALUES) -> Model | None:
+    """Fit on at most `sample` labelled documents, dealt by a hash of doc_id, and on all others without their labels.
+
+    `sample` is the documented bound of the labelled rows, which come back as
+    numbers, source and language and also set the borders of the bins.  All
+    other documents are measured and binned once and judged where they lie.
+    `values` bounds the model: so many of the most frequent sources and
+    languages have a code of their own, besides those of the sample; rarer ones
+    share a code, and what all of them teach.
     Several labels of a document count as good if one does.  None if there is
     no label of one of the two kinds, as then nothing can be told apart.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    dealt = F.xxhash64("doc_id")
-    picked = known.orderBy(dealt, "doc_id").limit(sample)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    others = ids.join(known, "doc_id", "left_anti").orderBy(dealt, "doc_id").limit(pool).select("doc_id", F.lit(-1).alias("label"))
-    drawn = F.broadcast(keep(picked.union(others), "quality"))  # at most sample + pool rows of 12 bytes
-    rows = docs.select("doc_id", "text", *meta_columns()).join(drawn, "doc_id")
-    found = rows.select("doc_id", "label", "text", *_META).mapInArrow(
-        _measured, "doc_id bigint, label int, source string, lang string, size double, content array<double>"
-    ).toArrow()
-    if not found.num_rows:
-        return None
-    found = found.sort_by("doc_id")
-    content = np.array(found.column("content").to_pylist(), float).reshape(-1, _MEASURES)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *meta_columns())
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    drawn = F.broadcast(keep(picked, "quality"))  # at most `sample` rows of 12 bytes
+    rows = own.join(drawn, "doc_id", "left").select("doc_id", "label", "text", *_META)
+    schema = "doc_id bigint, label int, source string, lang string, size double, content array<double>"
+    measured = keep(rows.mapInArrow(_measured, schema), "measures")
+    found = measured.where("label is not null").toArrow()
     label = found.column("label").to_numpy()
     if not (label == 0).any() or not (label == 1).any():
         return None
-    seen = np.zeros(len(label), np.int64)
-    marked = np.flatnonzero(label >= 0)
-    seen[marked] = np.arange(len(marked))
-    sources, languages = _values(found.column("source")), _values(found.column("lang"))
-    model = co_train(content, _meta_numbers(found, sources, languages), label, (label >= 0) & (seen % 4 == 3))[0]
+    found = found.sort_by([(c, "ascending") for c in ("doc_id", "label", *_META)])
+    label = found.column("label").to_numpy()
+    content = np.array(found.column("content").to_pylist(), float).reshape(-1, _MEASURES)
+    sources, languages = (_frequent(measured, c, found.column(c), values) for c in ("source", "lang"))
+    meta = _meta_numbers(found, sources, languages)
+    edges = _edges(content, meta, (KNOWN + len(sources), KNOWN + len(languages)))
+    bins = (_binned(content, edges[0]), _binned(meta, edges[1]))
+    others = measured.where("label is null")
+    binned = keep(
+        others.mapInArrow(partial(_bins_of, edges=edges, sources=sources, languages=languages), "content array<int>, meta array<int>"), "bins"
+    )
+    model = co_train(bins, edges, label, np.arange(len(label)) % 4 == 3, _teacher(binned))[0]
     model.sources, model.languages = sources, languages
     return model
 

@@ -164,14 +164,79 @@ def test_views_teach_each_other():
     truth = deal.random(4000) < 0.5
     content = truth[:, None] * 1.5 + deal.standard_normal((4000, 3))
     meta = np.column_stack([np.where(deal.random(4000) < 0.9, truth, ~truth) * 7 + 1, np.ones(4000), deal.random(4000)])
-    labels = np.where(np.arange(4000) < 120, truth, -1).astype(int)
-    model, history = quality.co_train(content, meta, labels, (labels >= 0) & (np.arange(4000) % 3 == 0))
+    known = 120
+    edges = quality._edges(content[:known], meta[:known], (9, 2))
+    bins = [quality._binned(x, e) for x, e in zip((content, meta), edges, strict=True)]
+    others, seen = [b[known:] for b in bins], []
+
+    def teach(givers, views):
+        found = quality.taught(others, givers, views)
+        seen.append([plain_slopes(others, givers, views, which) for which in (0, 1)])
+        for got, want in zip(found, seen[-1], strict=True):
+            assert np.allclose(got.slope / quality._UNIT, want[0], atol=1e-3) and got.n == want[2]
+            assert abs(got.loss / quality._UNIT - want[1]) < 1e-3
+        return found
+
+    held = np.arange(known) % 3 == 0
+    model, history = quality.co_train([b[:known] for b in bins], edges, truth[:known].astype(int), held, teach)
     assert all(sum(h) > 0 for h in history) and len(history) == quality.ROUNDS
     combined, first, second = model.score(content, meta)
     accuracy = lambda p: ((p > 0.5) == truth).mean()
     assert accuracy(combined) >= max(accuracy(first), accuracy(second)) - 0.01 and accuracy(combined) > 0.9
 
 
+def plain_slopes(bins, givers, views, which):
+    """Row by row: what one view is taught by the other."""
+    view, giver = views[which], givers[1 - which]
+    levels = [v.edges.shape[1] + 1 for v in (view, giver)]
+    slope, loss, n = np.zeros(len(view.weights)), 0.0, 0
+    for own, other in zip(bins[which], bins[1 - which], strict=True):
+        raw = giver.weights[-1] + sum(giver.weights[j * levels[1] + b] for j, b in enumerate(other))
+        p = 1 / (1 + np.exp(-np.clip(raw * giver.calibration[0] + giver.calibration[1], -20, 20)))
+        if 1 - quality.CONFIDENT < p < quality.CONFIDENT:
+            continue
+        y, at = float(p > 0.5), [j * levels[0] + b for j, b in enumerate(own)] + [-1]
+        raw = sum(view.weights[i] for i in at)
+        slope[at] += 1 / (1 + np.exp(-raw)) - y
+        loss -= np.log(1 / (1 + np.exp(-raw)) if y else 1 - 1 / (1 + np.exp(-raw)))
+        n += 1
+    return slope, loss, n
+
+
+def test_descent_reaches_the_minimum():
+    """Against very many small steps down the plain slope."""
+    deal = np.random.default_rng(4)
+    truth = (deal.random((600, 3)) * 4).astype(int)
+    y = (deal.random(600) < quality.logistic(truth.sum(axis=1) - 4.5)).astype(float)
+    edges, ridge = np.tile([0.5, 1.5, 2.5], (3, 1)), 1e-2
+    parts = [slice(0, 200), slice(200, 600)]
+    start = quality.View(edges, np.zeros(13), np.array([1.0, 0.0]))
+    descent = quality.Descent(start, truth[parts[0]], y[parts[0]], ridge)
+    for _ in range(40):
+        descent.step(quality.slopes(truth[parts[1]], y[parts[1]], descent.view))
+    hot = np.zeros((600, 13))
+    hot[np.arange(600)[:, None], truth + np.arange(3) * 4] = 1
+    hot[:, -1] = 1
+    weight = np.where(np.arange(600) < 200, 1 / 400, 1 / 800)
+    value, held = np.zeros(13), np.append(np.full(12, ridge), 0)
+    for _ in range(20_000):
+        value -= 0.5 * (hot.T @ (weight * (quality.logistic(hot @ value) - y)) + held * value)
+    assert np.allclose(descent.done().weights, value, atol=2e-3)
+
+
+def test_every_document_is_judged(spark):
+    """Slopes summed by Spark over the bins of all unlabelled rows are those of one pass in memory."""
+    deal = np.random.default_rng(9)
+    bins = [deal.integers(0, 4, (500, quality._MEASURES)), deal.integers(0, 4, (500, 3))]
+    edges = [np.tile([0.5, 1.5, 2.5], (b.shape[1], 1)) for b in bins]
+    views = [quality.View(e, deal.standard_normal(b.shape[1] * 4 + 1), np.array([1.0, 0.1])) for b, e in zip(bins, edges, strict=True)]
+    table = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(*bins, strict=True)], "content array<int>, meta array<int>")
+    found = quality._teacher(table.repartition(7))(views, views)
+    for got, want in zip(found, quality.taught(bins, views, views), strict=True):
+        assert (got.slope == want.slope).all() and (got.rows == want.rows).all() and (got.loss, got.n) == (want.loss, want.n)
+    assert [x.n for x in quality._teacher(table.limit(0))(views, views)] == [0, 0]
+
+
 def test_sources_and_languages_do_not_share_weights(spark):
     deal = random.Random(5)
     text = text_of(deal, "bb", 40)
