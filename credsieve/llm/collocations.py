@@ -37,7 +37,7 @@ HEAD = 1 << 19
 TILE = 1024
 #: A tile with so many occurrences in one go is counted as a dense array.
 DENSE = TILE * TILE // 16
-_TOGETHER = 1 << 21
+_TOGETHER = 1 << 20
 _SLICE = 1 << 21
 _ROWS = 1 << 17
 _SALTS = 16
@@ -67,10 +67,9 @@ def _vocabulary(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Rec
     for batch in batches:
         for words, codes, names, kinds in _coded(batch, seed):
             distinct, first, n = np.unique(codes, return_index=True, return_counts=True)
-            text = [words.text(i) for i in first.tolist()]
-            lang = [names[k] for k in kinds[first].tolist()]
+            lang = pa.array(names, pa.string()).take(pa.array(kinds[first]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(distinct.astype(np.int64)), pa.array(lang, pa.string()), pa.array(text, pa.string()), pa.array(n.astype(np.int64))],
+                [pa.array(distinct.astype(np.int64)), lang, words.texts(first), pa.array(n.astype(np.int64))],
                 ["code", "lang", "word", "n"],
             )
 

@@ -11,10 +11,11 @@ from collections.abc import Iterable
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.arrays import mix
+from credsieve.llm.arrays import _MULTIPLIER, _powers, mix
 
 CHUNK_BYTES = 1 << 20
 LONG_WORD = 255
@@ -46,7 +47,7 @@ class Words:
 
     def __init__(self, flat: np.ndarray, at: np.ndarray, gap: np.ndarray, breaks: np.ndarray | None = None, seed: int = 0):
         self.flat = flat
-        letters = mix(np.arange(1, 257, dtype=np.uint64) * _ODD + np.uint64(seed))
+        letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER) + np.uint64(seed))
         found, counts, passed, start = [], np.zeros(len(at) - 1, np.int64), 0, 0
         while start < len(flat):  # chunks end between words, so that a very long text needs no more memory a byte
             stop = min(start + CHUNK_BYTES, len(flat))
@@ -79,14 +80,11 @@ class Words:
         inside = ~outside[begin]
         begin, end = begin[inside], end[inside]
         sizes = end - begin
-        code = sizes.astype(np.uint64)
-        values = letters[_LOWER[piece]]
-        alive = np.arange(len(begin))
-        for k in range(min(int(sizes.max(initial=0)), LONG_WORD)):  # most words are short, so few are left soon
-            if k:
-                alive = alive[sizes[alive] > k]
-            code[alive] = (code[alive] ^ values[begin[alive] + k]) * _ODD
-            code[alive] ^= code[alive] >> np.uint64(29)
+        # a polynomial over the bytes of each word, read off a running sum
+        up, down = _powers(len(piece) + 1)
+        running = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(letters[_LOWER[piece]] * up[:-1], out=running[1:])
+        code = (running[end] - running[begin]) * down[begin] + sizes.astype(np.uint64)
         for i in np.flatnonzero(sizes > LONG_WORD).tolist():
             whole = _LOWER[piece[begin[i] : end[i]]].tobytes()
             code[i] = int.from_bytes(blake2b(whole, digest_size=8, key=str(seed).encode()).digest(), "little")
@@ -98,6 +96,14 @@ class Words:
     def text(self, i: int) -> str:
         return lowered(self.flat[self.begin[i] : self.end[i]])
 
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """Many words at once."""
+        sizes = self.end[at] - self.begin[at]
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        data = _LOWER[self.flat[np.arange(edges[-1]) + np.repeat(self.begin[at] - edges[:-1], sizes)]]
+        long = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data))
+        return long.cast(pa.string())
+
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.where) - 1), np.diff(self.where))
 
