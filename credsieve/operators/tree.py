@@ -98,6 +98,7 @@ def with_tree_states(resolved: DataFrame, states: DataFrame) -> DataFrame:
 
 
 _SALTS = 16
+_PLACES = ("repo", "repo_pos", "branch", "commit_sha")
 
 
 def files_of_items(
@@ -109,18 +110,16 @@ def files_of_items(
     """The files to scan of sound repositories, from tree items that are rows already.
 
     Items are chosen where they lie.  A tree with very many of them is dealt to
-    several tasks by their number; what was landed twice counts once.
+    several tasks by their number; what was landed twice counts once.  The
+    ``policy`` of a repository, if there is one, goes with its files.
     """
-    if "pattern" not in listed.columns:
-        listed = listed.withColumn("pattern", F.lit(None).cast("string"))
-    sound = listed.where(F.col("error").isNull()).select("repo", "repo_pos", "branch", "commit_sha", "pattern")
+    places = [*_PLACES, *(c for c in listed.columns if c == "policy")]
+    sound = listed.where(F.col("error").isNull()).select(*places)
     chosen = items.where(wanted_item(F.col("type"), F.col("size"), F.col("path"), excludes, max_bytes))
     once = chosen.select("repo", "commit_sha", "unit_ord", F.col("path").alias("file_path"), "sha").distinct()
     dealt = once.withColumn("salt", (F.col("unit_ord") % _SALTS).cast("int"))
     copies = sound.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return dealt.join(copies, ["repo", "commit_sha", "salt"]).where(~_excluded_by(F.col("pattern"), F.col("file_path"))).select(
-        "repo", "repo_pos", "branch", "commit_sha", "file_path", "sha", "unit_ord"
-    )
+    return dealt.join(copies, ["repo", "commit_sha", "salt"]).select(*places, "file_path", "sha", "unit_ord")
 
 
 def with_trees(resolved: DataFrame, trees: DataFrame) -> DataFrame:
@@ -160,48 +159,21 @@ def tree_files(
 ) -> DataFrame:
     """Explode the trees of sound repositories to the files to scan.
 
-    ``listed`` may hold the ``pattern`` of each repository's own policy.
+    The ``policy`` of a repository, if there is one, goes with its files.
     """
-    if "pattern" not in listed.columns:
-        listed = listed.withColumn("pattern", F.lit(None).cast("string"))
+    places = [*_PLACES, *(c for c in listed.columns if c == "policy")]
     items = listed.where(F.col("error").isNull()).select(
-        "repo", "repo_pos", "branch", "commit_sha", "pattern",
-        F.posexplode_outer("tree").alias("unit_ord", "item"),
-    )
+        *places, F.posexplode_outer("tree").alias("unit_ord", "item")
+    )
     chosen = wanted_item(F.col("item.type"), F.col("item.size"), F.col("item.path"), excludes, max_bytes)
-    return items.where(chosen & ~_excluded_by(F.col("pattern"), F.col("item.path"))).select(
-        "repo",
-        "repo_pos",
-        "branch",
-        "commit_sha",
+    return items.where(chosen).select(
+        *places,
         F.col("item.path").alias("file_path"),
         F.col("item.sha").alias("sha"),
         "unit_ord",
     )
 
 
-def _excluded_by(pattern: Column, path: Column) -> Column:
-    clean = paths.normalise(path)
-    hit = F.rlike(clean, pattern) | F.rlike(paths.basename(clean), pattern)
-    return F.coalesce(hit, F.lit(False))
-
-
-def with_policy(rows: DataFrame, policies: DataFrame) -> DataFrame:
-    """Attach the ``pattern`` of each repository's own policy.
-
-    ``policies`` has ``repo`` and ``excludes``, a comma-separated glob list,
-    which becomes one pattern.  Join it while a repository is one row.
-    """
-    pattern = paths.policy_pattern(paths.parse_globs(F.col("excludes")))
-    return rows.join(policies.select("repo", pattern.alias("pattern")), "repo", "left")
-
-
-def apply_policy(files: DataFrame, policies: DataFrame) -> DataFrame:
-    """Drop files excluded by their repository's own policy, for files that are a table already."""
-    known = with_policy(files, policies)
-    return known.where(~_excluded_by(F.col("pattern"), F.col("file_path"))).drop("pattern")
-
-
 def unscanned_blobs(blobs: DataFrame) -> DataFrame:
     """How many blobs of each repository have no text that could be scanned."""
     return blobs.groupBy("repo").agg(

@@ -18,7 +18,7 @@ from credsieve import session
 from credsieve.functions import paths
 from credsieve.operators import baseline as accepted
 from credsieve.operators import findings as found
-from credsieve.operators import history, tree
+from credsieve.operators import history, policy, tree
 from credsieve.operators.detect import (
     FINDING_COLUMNS,
     ORDER_COLUMNS,
@@ -128,13 +128,14 @@ def scan_trees(
 
     The listing and the check for lost blobs run when this is called, and so
     does the search if the catalogue has signatures whose search may fail; the
-    repository of a text that cannot be searched fails.
+    repository of a text that cannot be searched fails.  ``policies`` exclude
+    files of single repositories, see ``policy``.
     """
     heads = tree.with_heads(tree.targets(repos, options.branch), branches)
     rules = (options.all_excludes(), options.max_file_size_bytes)
     # Policies join while each repository is one row, so that one with very many
     # files is no hot key.
-    ruled = lambda rows: tree.with_policy(rows, policies) if policies is not None else rows
+    ruled = lambda rows: policy.with_policy(rows, policies) if policies is not None else rows
     if "payload" in trees.columns:
         heads = session.keep(heads, "heads")
         asked = tree.only_wanted(trees, heads.where("commit_sha is not null"), ["repo", "commit_sha"])
@@ -144,6 +145,8 @@ def scan_trees(
         listed = tree.with_trees(heads, trees)
         chosen = tree.tree_files(ruled(listed), *rules)
     files = session.keep(chosen, "files")
+    if policies is not None:
+        files = session.keep(policy.unexcluded(files, policies), "files")
     known = _wanted(blobs, files, ["repo", "sha"], landed.parse_blobs)
     sound = known.where(tree.valid_rows(known))
     lost = session.keep(tree.missing(files, sound, ["repo", "sha"], tree.BLOB_ERROR), "lost")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from credsieve import fixed_values as fixed
 from credsieve import session
 from credsieve.functions import paths, text
-from credsieve.operators import baseline, findings, history, tree
+from credsieve.operators import baseline, findings, history, policy, tree
 from credsieve.operators.catalogue import (
     DEFAULT_CATALOGUE,
     Signature,
@@ -453,7 +453,36 @@ def repository_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = c.repo_numbers(spark, sf_dir).select(
         F.expr(c.LABEL).alias("repo"), F.expr(POLICY).alias("excludes")
     )
-    return tree.apply_policy(files, policies)
+    return policy.apply_policy(files, policies)
+
+
+# 1,000 globs for each of most repositories, of all kinds; `m` numbers them, `d` is the document they are made of.
+GLOB = """case m % 8
+  when 0 then concat('app_', d, '.py')
+  when 1 then concat('tests/a_', d, case when r % 2 = 0 then '.py' else '' end)
+  when 2 then concat('*_', d, '.min.js')
+  when 3 then concat('pkg/vendor/v', d, '*')
+  when 4 then concat('m', d, '/go.[rst]um')
+  when 5 then concat('*', d, '.md')
+  when 6 then concat('win_', d, '.*')
+  else concat('*/n', d, '/?.js') end"""
+GLOB_DOCUMENT = f"cast(r * {c.FILES_PER_REPO} + cast(floor(m / 8) as bigint) as string)"
+
+
+@query(
+    "glob_tables",
+    f"""WITH d AS (SELECT {c.REPO} AS r, {c.PATH} AS path FROM documents),
+    n AS (SELECT r, m, {GLOB_DOCUMENT} AS d FROM (SELECT DISTINCT r FROM d WHERE r % 4 <> 3), range(1000) AS t(m)),
+    g AS (SELECT r, {GLOB} AS glob FROM n),
+    f AS (SELECT r, path, replace(path, chr(92), '/') AS clean FROM d)
+    SELECT {c.LABEL} AS repo, path AS file_path FROM f WHERE NOT EXISTS (SELECT 1 FROM g
+      WHERE g.r = f.r AND (f.clean GLOB g.glob OR {k.base('f.clean')} GLOB g.glob))""",
+)
+def glob_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = c.documents(spark, sf_dir).select(F.expr(c.LABEL).alias("repo"), "file_path")
+    numbered = c.repo_numbers(spark, sf_dir).where("r % 4 <> 3").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    globs = numbered.withColumn("d", F.expr(GLOB_DOCUMENT)).select(F.expr(c.LABEL).alias("repo"), F.expr(GLOB).alias("glob"))
+    return policy.apply_policy(files, globs)
 
 
 @query(

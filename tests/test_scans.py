@@ -405,7 +405,7 @@ def test_hunks_that_cannot_be_placed_fail_their_repository(spark):
     body = json.dumps({"files": [{"filename": "f", "patch": patch}]})
     changed = landed.parse_commit_files(spark.createDataFrame([("o/r", "c", body)], "repo string, commit_sha string, payload string"))
     result = jobs.scan_histories(repos, commits, changed)
-    assert failed(result) == [("o/r", "main", tree.HUNK_ERROR)] and result.findings.count() == 0
+    assert failed(result) == [("o/r", "main", history.HUNK_ERROR)] and result.findings.count() == 0
 
 
 def test_missing_folder(spark, tmp_path):
