@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from credsieve import fixed_values as fixed
 from credsieve.functions import paths, text
 from credsieve.functions.pyregex import search_pattern
-from credsieve.operators import deepsearch
+from credsieve.operators import deepsearch, literals
 from credsieve.operators.catalogue import (
     DEFAULT_CATALOGUE,
     LEAST_GAP,
@@ -108,12 +108,21 @@ class DetectOptions:
     and ``line_nos``) to findings, that is, the same keys with line_number,
     matched_text (redacted), detection_method, pattern_name, confidence and
     entropy_score.  Their findings come after those of the built-in detectors.
+
+    A catalogue of ``index_from`` signatures or more is a table that texts look
+    up by the literals they hold (see ``literals``); a smaller one is unrolled
+    into expressions.  Both find the same.
     """
 
     catalogue: Sequence[Signature] = DEFAULT_CATALOGUE
     entropy: EntropyOptions | None = field(default_factory=EntropyOptions)
     own: Sequence[Detector] = ()
     search_seconds: float = deepsearch.SECONDS
+    index_from: int = 100
+
+    @property
+    def indexed(self) -> bool:
+        return bool(self.catalogue) and len(self.catalogue) >= self.index_from
 
     @property
     def deep(self) -> tuple[int, ...]:
@@ -208,11 +217,16 @@ def _match_lines(gaps: Column, matches: Column) -> Column:
 def _gates(options: DetectOptions, entropy_allowed: Column) -> Column:
     """Ordinals of the detectors worth running: 0 for entropy, else the signature."""
     checks = []
-    if options.catalogue:
-        cases = [
-            f"case when {s.may_occur()} then {i} end"
-            for i, s in enumerate(options.catalogue, start=1)
-        ]
+    index = literals.by_literal(options.catalogue) if options.indexed else {}
+    if index:
+        checks.append(literals.occurring(F.col("content"), index))
+    known = {i for ordinals in index.values() for i in ordinals}
+    cases = [
+        f"case when {s.may_occur()} then {i} end"
+        for i, s in enumerate(options.catalogue, start=1)
+        if i not in known
+    ]
+    if cases:
         checks.append(F.expr(f"array({', '.join(cases)})"))
     if options.entropy:
         checks.append(F.array(F.when(entropy_allowed & F.col("runs").rlike(_HAS_TOKEN), 0)))
@@ -300,12 +314,16 @@ def _built_in(
         full = full.when(too_long, None).when(is_strict, sparse_text(F.col("content"), F.col("line_nos"), None))
     full = full.otherwise(sparse_text(F.col("content"), F.col("line_nos")))
     texts = gated.select(*keys, "line_nos", "pattern_ord", full.alias("content"), problem.alias("problem"))
+    named = ["signature"] if options.indexed else []
+    if options.indexed:
+        texts = literals.with_signatures(texts, options.catalogue)
     if options.deep:
         texts = deepsearch.searched(texts, options.catalogue, options.deep, options.search_seconds)
 
     content = F.col("content")
     found = texts.select(
         *keys,
+        *named,
         "line_nos",
         "pattern_ord",
         "problem",
@@ -317,7 +335,7 @@ def _built_in(
         is_entropy, _entropy_candidates(F.col("lines"), F.col("line_nos"), entropy.min_length)
     ).otherwise(_signature_values())
     hits = (
-        found.select(*keys, "pattern_ord", F.inline_outer(_scored(values, is_entropy, entropy)))
+        found.select(*keys, *named, "pattern_ord", F.inline_outer(_scored(values, is_entropy, entropy)))
         .where(F.col("entropy_score").isNotNull())
         .where(
             ~is_entropy
@@ -333,6 +351,8 @@ def _signature_columns(options: DetectOptions) -> list[Column]:
     if not options.catalogue:
         nothing = F.lit(None).cast("array<string>")
         return [nothing.alias(c) for c in ("matches", "gaps", "narrowed")]
+    if options.indexed:
+        return _looked_up_columns(options)
     deep = set(options.deep)
     patterns = {i: sql_text(s.jvm_pattern) for i, s in enumerate(options.catalogue, start=1) if i not in deep}
 
@@ -357,6 +377,22 @@ def _signature_columns(options: DetectOptions) -> list[Column]:
     return [matches.alias("matches"), gaps.alias("gaps"), narrowed.alias("narrowed")]
 
 
+def _looked_up_columns(options: DetectOptions) -> list[Column]:
+    """The same, with the pattern that stands next to each text."""
+    content, pattern, group = F.col("content"), F.col("signature.pattern"), F.col("signature.grp")
+    deep = F.col("pattern_ord").isin(list(options.deep)) if options.deep else F.lit(False)
+    searched = F.when(~deep, pattern)
+    matches = F.regexp_extract_all(content, searched, F.lit(0))
+    split = F.when(content.contains(_MARK), F.split(content, searched, -1)).otherwise(
+        F.split(F.regexp_replace(content, searched, F.lit(_MARK)), _MARK, -1)
+    )
+    narrowed = F.when(group > 0, F.regexp_extract_all(content, searched, F.greatest(group, F.lit(0))))
+    columns = {"matches": matches, "gaps": split, "narrowed": narrowed}
+    if options.deep:
+        columns = {name: F.when(deep, F.col(f"deep.{name}")).otherwise(column) for name, column in columns.items()}
+    return [column.alias(name) for name, column in columns.items()]
+
+
 def _signature_values() -> Column:
     """``line:feeds:value`` strings of the matches that are neither empty nor suppressed.
 
@@ -446,8 +482,11 @@ def _scored(values: Column, is_entropy: Column, options: EntropyOptions) -> Colu
 
 
 def _labels(options: DetectOptions, ordinal: Column, is_entropy: Column) -> list[Column]:
-    names = by_ordinal([sql_text(s.name) for s in options.catalogue])
-    confidences = by_ordinal([sql_text(s.confidence) for s in options.catalogue])
+    if options.indexed:
+        names, confidences = F.col("signature.name"), F.col("signature.confidence")
+    else:
+        names = by_ordinal([sql_text(s.name) for s in options.catalogue])
+        confidences = by_ordinal([sql_text(s.confidence) for s in options.catalogue])
     # an error says nothing but its keys
     sound = lambda c: F.when(F.col("error").isNull(), c)
     return [

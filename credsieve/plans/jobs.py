@@ -28,7 +28,7 @@ from credsieve.operators.detect import (
     detect,
 )
 from credsieve.sources import files as file_source
-from credsieve.sources import landed
+from credsieve.sources import landed, listing
 
 
 @dataclass(frozen=True)
@@ -246,10 +246,13 @@ def scan_folder(
 
 
 def scan_tree_of_files(
-    spark: SparkSession, root: str, options: ScanOptions = ScanOptions()
+    spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), lister: listing.Lister | None = None
 ) -> ScanResult:
     """Scan a file or directory, whose normalised path is the repository label.
 
+    With a ``lister``, ``root`` is the place of an object store whose keys it
+    lists in pages (see ``sources.listing``).
+
     A file that is gone or may not be read is a row of ``failures``, with its
     path in ``branch``; any other error of the file system fails the job.  Files
     are listed and read when this is called, each once.
@@ -257,7 +260,10 @@ def scan_tree_of_files(
     if options.max_file_size_bytes < 0:
         raise ValueError("a file size limit below 0 leaves nothing to scan")
     label = file_source.normalised(root)
-    files = file_source.list_files(spark, root)
+    if lister is None:
+        files = file_source.list_files(spark, root)
+    else:
+        files = listing.list_keys(spark, lister, base=root.rstrip("/") + "/")
     kept = files.where(
         ~paths.matches_any_glob(F.col("file_path"), options.all_excludes())
         & (F.coalesce("size", F.lit(0)) <= options.max_file_size_bytes)

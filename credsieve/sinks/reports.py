@@ -16,6 +16,7 @@ from credsieve.functions import text
 from credsieve.operators import baseline as accepted
 from credsieve.operators.detect import FINDING_COLUMNS
 from credsieve.operators.findings import confidence_level, finding_order, numbered, with_fingerprint
+from credsieve.sinks import onefile
 
 TOOL_NAME = "credsieve"
 REPORT_TITLE = "Credential exposure report"
@@ -112,6 +113,11 @@ def _framed(rows: DataFrame, opening: DataFrame, closing: str) -> DataFrame:
     return opening.select(F.lit(0).cast("bigint").alias("place"), "fragment").unionByName(rows).unionByName(last)
 
 
+def json_fragments(places: DataFrame) -> DataFrame:
+    """Numbered findings as JSON objects, rows ``place, fragment``."""
+    return places.select("place", F.to_json(F.struct(*sorted(FINDING_COLUMNS))).alias("fragment"))
+
+
 def sarif_fragments(places: DataFrame) -> DataFrame:
     """The SARIF document of numbered findings, as rows ``place, fragment``.
 
@@ -170,10 +176,24 @@ def write_report(findings: DataFrame, output_format: str, path: str) -> None:
     if output_format == "json":
         findings.select(*sorted(FINDING_COLUMNS)).write.json(path)
         return
-    fragments = {"sarif": sarif_fragments, "html": html_fragments}.get(output_format)
-    if fragments is None:
+    _fragments(findings, output_format).orderBy("place").select("fragment").write.text(path)
+
+
+def write_report_file(findings: DataFrame, output_format: str, path: str) -> None:
+    """Write findings as one ``json`` (lines), ``sarif`` or ``html`` file, in finding order.
+
+    The file appears when it is whole; a job that fails leaves nothing, and what
+    was there before as it was.  The path is a local or mounted one (see
+    ``onefile``).
+    """
+    onefile.write_one(_fragments(findings, output_format), path)
+
+
+def _fragments(findings: DataFrame, output_format: str) -> DataFrame:
+    shapes = {"json": json_fragments, "sarif": sarif_fragments, "html": html_fragments}
+    if output_format not in shapes:
         raise ValueError(f"there is no report format {output_format!r}; choose json, sarif or html")
-    fragments(numbered(findings)).orderBy("place").select("fragment").write.text(path)
+    return shapes[output_format](numbered(findings))
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyarrow import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from credsieve.plans import jobs
 from credsieve.sinks import files as file_sink
 from credsieve.sinks import reports
 from credsieve.sources import files as file_source
-from credsieve.sources import filetree, landed
+from credsieve.sources import filetree, landed, listing
 from credsieve.sources.tables import as_scan_units, load_baseline
 from credsieve.streaming import scan as streaming
 from credsieve.workload import checks as k
@@ -149,6 +150,39 @@ def custom_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(regex_findings(c.plain_units(spark, sf_dir), CUSTOM))
 
 
+# As many formats of one shape, so that one pattern of SQL can state what all of them find.
+MANY = tuple(
+    Signature(f"Key {i}", rf"zk{i:04d}-(?P<secret>[0-9a-f]{{8}})" if i % 2 else rf"\bzk{i:04d}-[0-9a-f]{{8}}", ("high", "medium", "low")[i % 3], "zk")
+    for i in range(2000)
+)
+KEY_LINE = """concat('k zk', lpad(cast(doc_id % 2000 as string), 4, '0'), '-', substr(md5(cast(doc_id as string)), 1, 8), ' zk',
+      lpad(cast(doc_id * 7 % 2500 as string), 4, '0'), '-', substr(md5(cast(doc_id + 1 as string)), 1, 8))"""
+WITH_KEYS = k.PLAIN.replace("text AS content", f"concat(coalesce(text, ''), chr(10), {KEY_LINE}) AS content")
+
+
+@query(
+    "large_catalogue",
+    with_sql(
+        f"""{WITH_KEYS}, {k.lines_cte()}, keys AS (
+      SELECT {k.UNIT}, line_number, unnest(regexp_extract_all(line, 'zk[0-9]{{4}}-[0-9a-f]{{8}}')) AS m FROM lines
+      WHERE NOT regexp_matches(line, {k.quoted(k.DIRECTIVE)})),
+    hits AS (SELECT DISTINCT {k.UNIT}, line_number, n, CASE WHEN n % 2 = 1 THEN substr(m, 8) ELSE m END AS value
+      FROM (SELECT *, substr(m, 3, 4)::INTEGER AS n FROM keys) WHERE n < 2000),
+    {k.findings_cte(f"""SELECT *, {k.entropy('value')} AS h, 'regex' AS detection_method, concat('Key ', n::VARCHAR) AS pattern_name,
+      CASE n % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM hits""")}""",
+        ALL,
+    ),
+)
+def large_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thousand signatures, looked up by their literals."""
+    content = F.expr(f"concat(coalesce(text, ''), chr(10), {KEY_LINE})")
+    units = as_scan_units(
+        c.table(spark, sf_dir, "documents"), content=content, repo="source",
+        file_path=F.expr("concat('doc_', cast(doc_id as string), '.txt')"),
+    )
+    return shown(regex_findings(units, MANY))
+
+
 CATALOGUE_VALUES = ", ".join(
     f"({i}, {k.quoted(s.name)}, {s.group}, {k.quoted(s.confidence)})"
     for i, s in enumerate(DEFAULT_CATALOGUE, start=1)
@@ -902,6 +936,33 @@ def filetree_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relabelled(jobs.scan_units(units), folder)
 
 
+def _from_inventory(folder: str) -> listing.Lister:
+    """Pages of a sorted table of keys, as stores export them."""
+
+    def lister(prefix: str, after: str, limit: int) -> list[tuple[str, int]]:
+        fs, place = file_source.open_path(folder)
+        keys = dataset.field("key")
+        later = (keys >= prefix) & (keys > after) & (keys < prefix + "\U0010ffff")
+        table = dataset.dataset(place, filesystem=fs, format="parquet").scanner(filter=later, columns=["key", "size"]).head(limit)
+        return list(zip(*table.to_pydict().values(), strict=True))
+
+    return lister
+
+
+@query(
+    "paged_listing",
+    """SELECT concat('docs/', source, '/', cast(doc_id as string)) AS file_path, length(coalesce(text, ''))::BIGINT AS size
+      FROM documents""",
+)
+def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store with a key for every document, listed by ranges of keys."""
+    folder = session.work_folder(spark, "inventory")
+    key = F.concat(F.lit("bucket/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    keys = c.table(spark, sf_dir, "documents").select(key.alias("key"), F.char_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
+    keys.orderBy("key").write.parquet(folder)
+    return listing.list_keys(spark, _from_inventory(folder), "bucket/").select("file_path", "size")
+
+
 @query(
     "unreadable_files",
     """SELECT concat('gone_', cast(doc_id as string)) AS file_path, 'not found' AS reason FROM documents
@@ -1076,6 +1137,16 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.where(F.col("fragment").startswith("<tr>")).select("place", F.md5("fragment").alias("digest"))
 
 
+@query("report_file", with_sql(k.scan_sql(k.PLANTED), "SELECT *, 1::BIGINT AS n_files FROM findings"))
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one file of JSON lines holds that all tasks wrote together."""
+    path = session.work_folder(spark, "report") + "/findings.json"
+    reports.write_report_file(_planted_findings(spark, sf_dir), "json", path)
+    types = {"line_number": "bigint", "entropy_score": "double"}
+    rows = spark.read.schema(", ".join(f"{n} {types.get(n, 'string')}" for n in FINDING_COLUMNS)).json(path)
+    return shown(rows).withColumn("n_files", F.lit(len(rows.inputFiles())).cast("bigint"))
+
+
 @query(
     "html_rounding",
     """SELECT doc_id, printf('%.2f', (doc_id % 1024) / 128.0::DOUBLE) AS exact,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credsieve import fixed_values as fixed
-from credsieve.operators import catalogue
+from credsieve.operators import catalogue, literals
 from credsieve.operators.catalogue import DEFAULT_CATALOGUE, CatalogueError, Signature
 from credsieve.operators.detect import (
     DetectOptions,
@@ -54,6 +54,42 @@ def test_random_texts_agree_with_the_model(spark):
     assert total > 2500
 
 
+@pytest.mark.parametrize(
+    "regex,literal",
+    [(r"\bsq0atp-[0-9A-Za-z_-]{22}\b", "sq0atp-"), (r"(?i)token", ""), (r"a(?i:token)bcd", "bcd"), (r"ab(?:cd)ef", "abcdef"),
+     (r"(?:ab){3}c", "abababc"), (r"a(?:bc)+d", "bc"), (r"ab?c*def", "def"), (r"abc|abd", "ab"), (r"abc\ndefg", "defg"),
+     (r"x{200}y", "x"), (r"ax{2}y", "axxy"), (r"(?=abc)d", "d"), (r"[a]b(?>cd)", "abcd"), (r"a.b", "a"), (r"(?P<secret>ke)y-\d", "key-")],
+)
+def test_required_literals(regex, literal):
+    assert literals.required_literal(regex) == literal
+
+
+def test_looked_up_signatures_find_the_same(spark, units):
+    """The table and the expressions agree, whatever the signatures need."""
+    rng = model.rng(23)
+    own = (
+        Signature("Deep", r"begin (?:a|b)+ END", "low", "x"), Signature("Folded", r"(?i)passWORD=\w+", "low", "x"),
+        Signature("Pair", r"key-(?P<secret>[a-z]+)?", "high", "x"), Signature("Lines", r"from\n+to", "medium", "x"),
+        Signature("Mark", "mark\uffff+", "low", "x"), Signature("Short", r"q\d", "low", "x"),
+    )
+    texts = [model.random_text(rng) for _ in range(300)]
+    texts += ["begin abab END PassWord=1 key-abc key- q1", "from\n\n\nto", "a mark\uffff\uffff b\nmark\uffff\ufffe", "", "key-"]
+    patches = spark.createDataFrame(
+        [("o/r", "s", "c", "k\nfrom\nto", [3, 70, 400], None), ("o/r", "t", "c", "from\nto key-abc", [10, 2_000_000_000], None),
+         ("o/r", "u", "c", None, None, "unfit")],
+        "repo string, file_path string, commit_sha string, content string, line_nos array<bigint>, problem string",
+    )
+    frame = units(*texts).withColumn("line_nos", F.lit(None).cast("array<bigint>")).withColumn("problem", F.lit(None).cast("string"))
+    frame = frame.unionByName(patches)
+    signatures = DEFAULT_CATALOGUE + own
+    order = ["file_path", "detector_ord", "pattern_ord", "match_ord", "line_number", "error"]
+    plain, looked_up = (
+        detect(frame, DetectOptions(catalogue=signatures, index_from=n), errors=True).orderBy(*order).collect() for n in (10_000, 1)
+    )
+    assert looked_up == plain and len(plain) > 500
+    assert {s.name for s in own} <= {r.pattern_name for r in plain}
+
+
 def test_order_of_findings_in_a_text(units):
     text = "\n".join(["k " + model.token(model.rng(5), k) + " z " + model.token(model.rng(6), k) for k in (14, 0, 3)])
     got = [r for _, r in rows(regex_findings(units(text)))]

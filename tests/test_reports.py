@@ -9,7 +9,7 @@ from credsieve import session
 from credsieve.functions import text
 from credsieve.operators import baseline, findings
 from credsieve.plans import jobs
-from credsieve.sinks import reports
+from credsieve.sinks import onefile, reports
 from credsieve.sources.tables import BaselineError, load_baseline
 from credsieve.streaming import scan as streaming
 from tests import model
@@ -235,6 +235,46 @@ def test_writers(table, spark, tmp_path):
     assert spark.read.json(str(tmp_path / "f")).first().message == "Warning: skipped o/x@main: e"
 
 
+@pytest.mark.parametrize("kind", ["json", "sarif", "html"])
+def test_one_file(table, spark, tmp_path, kind):
+    """One file holds what the parts hold, in finding order, with all its bytes."""
+    changes = [{"line_number": i, "match_ord": i, "file_path": f"ä{i % 7}/日.txt"} for i in range(300)]
+    frame = table(*changes, MEDIUM, LOW).repartition(5)
+    path = tmp_path / "new" / f"report.{kind}"
+    for _ in range(2):  # the second replaces the first
+        reports.write_report_file(frame, kind, str(path))
+    assert [p.name for p in path.parent.iterdir()] == [path.name]
+    whole = path.read_text()
+    if kind == "json":
+        rows = [json.loads(line) for line in whole.splitlines()]
+        order = [(r.file_path, r.line_number) for r in findings.ordered(frame).collect()]
+        assert [(r["file_path"], r["line_number"]) for r in rows] == order
+    else:
+        assert whole == written(spark, frame, kind, tmp_path / "parts")
+    reports.write_report_file(frame.where("false"), kind, str(path))
+    assert (path.read_text() == "") == (kind == "json")
+
+
+def test_failed_file(table, spark, tmp_path):
+    """A job that fails leaves nothing, and an older report as it was."""
+    path = tmp_path / "report"
+    rows = spark.range(200).select(F.col("id").alias("place"), F.col("id").cast("string").alias("fragment"))
+    onefile.write_one(rows, str(path))
+    before = path.read_text()
+    assert before == "".join(f"{i}\n" for i in range(200))
+    places, size = onefile.placed(rows)
+    spark.dataSource.register(onefile.OneFileSource)
+    options = {"staged": str(tmp_path / "staged"), "target": str(path), "size": str(size)}
+    broken = places.withColumn("data", F.when(F.col("at") > 500, F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("data")))
+    short = places.where("at <> 41")
+    for frame in (broken, short):
+        with pytest.raises(Exception, match="lost|bytes were written"):
+            frame.write.format("onefile").mode("append").options(**options).save()
+        assert path.read_text() == before and [p.name for p in tmp_path.iterdir()] == ["report"]
+    with pytest.raises(onefile.OneFileError, match="is a folder"):
+        onefile.write_one(rows, str(tmp_path))
+
+
 def test_stream(spark, units, tmp_path):
     rng = model.rng(31)
     frame = units(*[model.random_text(rng) for _ in range(60)])
