@@ -188,6 +188,33 @@ def counts_no_line_feeds(pattern: str, gap: int) -> bool:
     return least is not None and least < gap and _ends_firm(tree, 1) and _ends_firm(tree, -1)
 
 
+def within_lines(pattern: str) -> bool:
+    """What the pattern finds in a line depends on that line alone; False where that is not plain to see."""
+    return not _leaves_line(parser.parse(pattern, re.M | re.S))
+
+
+def _leaves_line(items: parser.SubPattern) -> bool:
+    """Some part, or what it looks at, may be a line feed or an end of the text."""
+    for kind, value in items:
+        if kind in _CHARACTERS:
+            found = _takes_feed(kind, value)
+        elif kind is op.AT:
+            found = value in (op.AT_BEGINNING_STRING, op.AT_END_STRING)
+        elif kind in _REPEATS:
+            found = _leaves_line(value[2])
+        elif kind is op.SUBPATTERN:
+            found = _leaves_line(value[-1])
+        elif kind in (op.ASSERT, op.ASSERT_NOT):
+            found = _leaves_line(value[1])
+        elif kind is op.BRANCH:
+            found = any(_leaves_line(branch) for branch in value[1])
+        else:
+            found = True
+        if found:
+            return True
+    return False
+
+
 def _takes_feed(kind: object, value: object) -> bool:
     """A character item matches a line feed."""
     if kind is op.LITERAL:

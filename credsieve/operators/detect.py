@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from credsieve import fixed_values as fixed
 from credsieve.functions import paths, text
 from credsieve.functions.pyregex import search_pattern
-from credsieve.operators import deepsearch, literals
+from credsieve.operators import deepsearch, literals, longtexts
 from credsieve.operators.catalogue import (
     DEFAULT_CATALOGUE,
     LEAST_GAP,
@@ -54,6 +54,8 @@ ORDER_COLUMNS = ("detector_ord", "pattern_ord", "match_ord")
 PLACE_COLUMNS = ("repo_pos", "commit_pos", "unit_ord")
 
 REGEX, ENTROPY = 1, 2
+# Stands for the entropy detector among the ordinals of the signatures.
+ENTROPY_ORD = 0
 # The directives begin with s or p; long s is what case folding adds to them.
 _DIRECTIVE = search_pattern(fixed.IGNORE_DIRECTIVE_FORMAT, r"(?=[sSpP\x{17f}])")
 # The class is spelled out character by character: the JVM then tests it with one
@@ -112,6 +114,10 @@ class DetectOptions:
     A catalogue of ``index_from`` signatures or more is a table that texts look
     up by the literals they hold (see ``literals``); a smaller one is unrolled
     into expressions.  Both find the same.
+
+    With ``cut_chars``, texts of more than twice as many bytes are cut into
+    pieces of about as many characters, which are dealt out (see ``longtexts``).
+    That finds the same, but reads the table of texts a second time.
     """
 
     catalogue: Sequence[Signature] = DEFAULT_CATALOGUE
@@ -119,6 +125,7 @@ class DetectOptions:
     own: Sequence[Detector] = ()
     search_seconds: float = deepsearch.SECONDS
     index_from: int = 100
+    cut_chars: int = 0
 
     @property
     def indexed(self) -> bool:
@@ -261,7 +268,7 @@ def detect(
         for i, detector in enumerate(options.own, start=1)
     ]
     if options.catalogue or options.entropy:
-        parts.insert(0, _built_in(units, options, keys, path))
+        parts.insert(0, (_in_pieces if options.cut_chars else _built_in)(units, options, keys, path))
     if not parts:
         raise ValueError("no detector is turned on")
     rows = reduce(DataFrame.unionByName, parts)
@@ -275,6 +282,22 @@ def _own_findings(found: DataFrame, keys: Sequence[str], ordinal: int) -> DataFr
     ).withColumn("line_number", F.col("line_number").cast("bigint"))
 
 
+def _in_pieces(
+    units: DataFrame, options: DetectOptions, keys: Sequence[str], path: str | None
+) -> DataFrame:
+    """``_built_in`` with long texts in pieces; the order of the matches of a text stays as it is."""
+    long = longtexts.is_long(options.cut_chars)
+    columns = list(dict.fromkeys([*keys, path] if path else keys))
+    whole = not all(s.local for s in options.catalogue)
+    pieces = longtexts.pieces(units.where(long), columns, options.cut_chars, whole)
+    found = _built_in(pieces, options, [*keys, *longtexts.PIECE_COLUMNS], path)
+    # a piece has fewer matches than characters
+    found = found.withColumn("match_ord", F.col("match_ord") + F.col("chars_before")).withColumn(
+        "line_number", F.col("line_number") + F.col("feeds_before")
+    )
+    return _built_in(units.where(~long), options, keys, path).unionByName(found.drop(*longtexts.PIECE_COLUMNS))
+
+
 def _built_in(
     units: DataFrame, options: DetectOptions, keys: Sequence[str], path: str | None
 ) -> DataFrame:
@@ -292,7 +315,11 @@ def _built_in(
     # a filter of its own and push it below a repartition of the texts.  A NULL
     # text passes no gate, so it needs no filter either; a unit with a problem
     # passes that on as its only row.
-    gates = F.when(F.col("problem").isNotNull(), F.array(F.lit(0))).otherwise(_gates(options, allowed))
+    gates = _gates(options, allowed)
+    if "local" in units.columns:
+        local = [ENTROPY_ORD, *(i for i, s in enumerate(options.catalogue, start=1) if s.local)]
+        gates = F.filter(gates, lambda ordinal: ordinal.isin(local) == F.col("local"))
+    gates = F.when(F.col("problem").isNotNull(), F.array(F.lit(0))).otherwise(gates)
     gated = (
         units.withColumn("runs", runs)
         .withColumn("ords", gates)

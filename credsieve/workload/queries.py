@@ -117,6 +117,12 @@ def signature_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(regex_findings(c.planted_units(spark, sf_dir)))
 
 
+@query("long_texts", with_sql(k.scan_sql(k.PLANTED), ALL))
+def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of more than 2,000 bytes in pieces."""
+    return shown(detect(c.planted_units(spark, sf_dir), DetectOptions(cut_chars=1000)))
+
+
 def _one_signature(name: str) -> tuple[Signature, ...]:
     return tuple(s for s in DEFAULT_CATALOGUE if s.name == name)
 
@@ -1039,6 +1045,26 @@ ORDERED = f"""SELECT f.*, row_number() OVER (ORDER BY f.repo, walk, f.commit_sha
         AND l.line_number = f.line_number"""
 
 
+@query(
+    "sarif_first_rules",
+    with_sql(
+        k.scan_sql(k.PLANTED),
+        f"""SELECT {k.SLUG} AS rule_id, arg_min(pattern_name, place) AS name, arg_min({k.LEVEL}, place) AS level FROM (
+          SELECT * REPLACE (CASE WHEN line_number % 2 = 1 THEN upper(pattern_name) ELSE pattern_name END AS pattern_name,
+            CASE WHEN line_number % 3 = 0 THEN 'low' ELSE confidence END AS confidence) FROM ({ORDERED}))
+        GROUP BY ALL""",
+    ),
+)
+def sarif_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and levels that differ from finding to finding of a rule; its first one decides."""
+    line = F.col("line_number")
+    changed = _planted_findings(spark, sf_dir).withColumns({
+        "pattern_name": F.when(line % 2 == 1, F.upper("pattern_name")).otherwise(F.col("pattern_name")),
+        "confidence": F.when(line % 3 == 0, "low").otherwise(F.col("confidence")),
+    })
+    return reports.sarif_rules(changed)
+
+
 @query(
     "sarif_documents",
     with_sql(
@@ -1147,6 +1173,23 @@ def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(rows).withColumn("n_files", F.lit(len(rows.inputFiles())).cast("bigint"))
 
 
+@query(
+    "html_frame",
+    with_sql(
+        k.scan_sql(k.PLANTED),
+        """SELECT 0::BIGINT AS place, concat('<!doctype html><html lang="en"><head><meta charset="utf-8">',
+          '<title>Credential exposure report</title></head><body><h1>Credential exposure report</h1><table><thead><tr>',
+          '<th>Confidence</th><th>Method</th><th>Pattern</th><th>Repository</th><th>File</th><th>Line</th><th>Entropy</th>',
+          '<th>Match</th><th>Commit</th></tr></thead><tbody>') AS fragment
+        UNION ALL SELECT count(*) + 1, '</tbody></table></body></html>' FROM findings""",
+    ),
+)
+def html_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands around the rows of the page, and where."""
+    fragments = reports.html_fragments(findings.numbered(_planted_findings(spark, sf_dir)))
+    return fragments.where(~F.col("fragment").startswith("<tr>"))
+
+
 @query(
     "html_rounding",
     """SELECT doc_id, printf('%.2f', (doc_id % 1024) / 128.0::DOUBLE) AS exact,
@@ -1493,14 +1536,25 @@ def catalogue_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("ord", "name", F.regexp_replace("reason", "(cannot be used).*", "$1").alias("reason"))
 
 
+ACCEPTED_PER_DOCUMENT = 5_000
+
+
 @query("baseline_document", CHECKS["baseline_round_trip"])
 def baseline_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A baseline that is one JSON document."""
+    """A baseline of JSON documents, each with a share of the findings."""
     scanned = session.keep(_planted_findings(spark, sf_dir), "findings")
     folder = session.work_folder(spark, "baseline")
     entry = F.struct("file_path", "fingerprint", "pattern_name", "repo")
-    rows = baseline.snapshot(scanned.where(F.col("line_number") == 1)).agg(F.collect_list(entry).alias("accepted"))
-    rows.select(F.to_json(F.struct("accepted")).alias("value")).coalesce(1).write.text(folder)
+    known = baseline.snapshot(scanned.where(F.col("line_number") == 1))
+    shares = 1 + known.count() // ACCEPTED_PER_DOCUMENT
+    share = F.pmod(F.xxhash64("fingerprint"), F.lit(shares))
+    documents = known.groupBy(share.alias("share")).agg(F.collect_list(entry).alias("accepted"))
+    file_sink.write_files(
+        documents.select(
+            F.format_string("%d.json", "share").alias("file_path"), F.to_json(F.struct("accepted")).cast("binary").alias("data")
+        ),
+        folder,
+    )
     return shown(baseline.unaccepted(scanned, load_baseline(spark, folder, "document")), "fingerprint")
 
 
