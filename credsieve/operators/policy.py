@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credsieve import session
 from credsieve.functions import paths
 from credsieve.operators import tree
 
@@ -26,7 +27,12 @@ _SALTS = 16
 
 
 def classified(policies: DataFrame) -> DataFrame:
-    """``repo, kind, literal`` of every glob, each once; of a REST, the literal is the glob."""
+    """``repo, kind, literal`` of every glob, each once; of a REST, the literal is the glob.
+
+    A table that has just these columns is classified already.
+    """
+    if policies.columns == _KEY:
+        return policies
     if "glob" in policies.columns:
         rows = policies.select("repo", "glob")
     else:
@@ -47,7 +53,8 @@ def with_policy(rows: DataFrame, policies: DataFrame) -> DataFrame:
     """Attach the ``policy`` of each repository: what its files have to look up, and the pattern of its other globs.
 
     Join it while a repository is one row.  The globs that are no keys are one
-    pattern, so they have to fit into a row.
+    pattern, so they have to fit into a row.  The planner takes such rows for
+    small ones and would broadcast all of them, so the join is hinted.
     """
     kind, length = F.col("kind"), F.char_length("literal")
     mine = classified(policies).groupBy("repo").agg(
@@ -57,7 +64,7 @@ def with_policy(rows: DataFrame, policies: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.when(kind == REST, F.col("literal")))).alias("rest"),
     )
     fields = F.struct("named", "tails", "heads", paths.policy_pattern(F.col("rest")).alias("pattern"))
-    return rows.join(mine.select("repo", fields.alias("policy")), "repo", "left")
+    return rows.join(mine.select("repo", fields.alias("policy")).hint("merge"), "repo", "left")
 
 
 def _fits(pattern: Column, path: Column) -> Column:
@@ -97,7 +104,9 @@ def unexcluded(files: DataFrame, policies: DataFrame) -> DataFrame:
 
     ``files`` are read twice, for their keys and for what stays, so store costly
     ones before.  Keys that no glob has are dropped by a bit table where they
-    are made; it is filled when this is called.  A file without a path stays.
+    are made; it is filled, and the other keys are stored, when this is called.
+    Only globs that some key asks for are copied for each salt.  A file without a
+    path stays.
     """
     path, policy = F.col("file_path"), F.col("policy")
     left = files.where(~_fits(policy["pattern"], path))
@@ -107,14 +116,15 @@ def unexcluded(files: DataFrame, policies: DataFrame) -> DataFrame:
         .where(F.col("key").isNotNull())
         .select("repo", "file_path", "key.kind", "key.literal")
     )
-    salted = tree.only_wanted(asked, globs, _KEY).withColumn(
-        "salt", F.pmod(F.xxhash64("file_path"), F.lit(_SALTS)).cast("int")
-    )
-    copies = globs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    likely = session.keep(tree.only_wanted(asked, globs, _KEY), "asked")
+    met = globs.join(likely.select(*_KEY).distinct(), _KEY, "left_semi")
+    salted = likely.withColumn("salt", F.pmod(F.xxhash64("file_path"), F.lit(_SALTS)).cast("int"))
+    copies = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).hint("merge")
     excluded = salted.join(copies, [*_KEY, "salt"], "left_semi").select("repo", "file_path").distinct()
     return left.drop("policy").join(excluded, ["repo", "file_path"], "left_anti")
 
 
 def apply_policy(files: DataFrame, policies: DataFrame) -> DataFrame:
     """Drop files excluded by their repository's own policy, for files that are a table already."""
-    return unexcluded(with_policy(files, policies), policies)
+    globs = session.keep(classified(policies), "globs")
+    return unexcluded(with_policy(files, globs), globs)

@@ -84,3 +84,13 @@ def test_many_globs_are_joined_not_searched(spark):
     assert numbers == {
         i for i in range(2000) if not (i % 2 and i % 3 == 0) and not (i % 2 == 0 and i % 7 == 0) and i % 11
     }
+
+
+def test_wide_policies_are_not_broadcast(spark):
+    """The patterns of all repositories together have no bound, however small the planner takes them for."""
+    globs = spark.createDataFrame([("o/a", "s*c"), ("o/b", "*.py")], "repo string, glob string")
+    files = spark.createDataFrame([("o/a", "src"), ("o/b", "x.py"), ("o/b", "x.js")], FILES)
+    joined = policy.with_policy(files, globs)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in policy.apply_policy(files, globs).collect()] == [("o/b", "x.js")]
