@@ -111,12 +111,14 @@ def ordered(findings: DataFrame, unit: Sequence[str | Column] | None = None) ->
 def numbered(findings: DataFrame, unit: Sequence[str | Column] | None = None) -> DataFrame:
     """Findings with ``place``, their number in finding order from 1 on.
 
-    The sorted ranges are written once, counted, and each is numbered from where
-    the ranges before it end, so no task sees more than its own range.
+    The findings are written first, since a sort reads what it sorts twice, for
+    the bounds of its ranges as well, and the scan behind them is far more than
+    they are.  The sorted ranges are written once, counted, and each is numbered
+    from where the ranges before it end, so no task sees more than its own range.
     """
     spark = findings.sparkSession
     ranges = session.keep(
-        ordered(findings, unit)
+        ordered(session.keep(findings, "findings"), unit)
         .withColumn("range", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id()),
         "ordered",
