@@ -103,9 +103,20 @@ def _searched(units: DataFrame, options: ScanOptions, keys: tuple[str, ...], pat
 def _wanted(
     texts: DataFrame, keys: DataFrame, on: list[str], parse: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """The rows of ``texts`` that some key may ask for; landed payloads are parsed after that."""
+    """The rows of ``texts`` that some key may ask for; landed payloads are parsed after that.
+
+    They are stored, because keys and contents are read in separate passes:
+    nothing is parsed or decoded twice, neither for two passes nor for a
+    condition that the planner moves ahead of what it is computed from.
+    """
     rows = tree.only_wanted(texts, keys, on)
-    return landed.parsed_late(rows, parse, on) if "payload" in texts.columns else rows
+    return session.keep(landed.parsed_late(rows, parse, on) if "payload" in texts.columns else rows, "wanted")
+
+
+def _each_text_once(texts: DataFrame, on: list[str]) -> DataFrame:
+    """Texts without repetitions; they are moved only if a key is there twice."""
+    repeated = texts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
+    return texts if repeated.isEmpty() else texts.dropDuplicates()
 
 
 def scan_trees(
@@ -126,7 +137,8 @@ def scan_trees(
     of its paths or of the times it was landed; its findings then join the
     paths.  Rules that depend on a path are applied after that.
 
-    The listing and the check for lost blobs run when this is called, and so
+    The texts of wanted blobs are stored, the listing and the checks for lost
+    and repeated blobs run when this is called, and so
     does the search if the catalogue has signatures whose search may fail; the
     repository of a text that cannot be searched fails.  ``policies`` exclude
     files of single repositories, see ``policy``.
@@ -151,7 +163,7 @@ def scan_trees(
     sound = known.where(tree.valid_rows(known))
     lost = session.keep(tree.missing(files, sound, ["repo", "sha"], tree.BLOB_ERROR), "lost")
     wanted = files.join(lost.select("repo"), "repo", "left_anti")
-    scanned = sound.select("repo", "sha", "content")
+    scanned = _each_text_once(sound.select("repo", "sha", "content"), ["repo", "sha"])
     if options.detect.deep:
         hits, unfit = _searched(scanned, options, ("repo", "sha"), None)
         odd = session.keep(wanted.join(unfit, ["repo", "sha"]).select("repo", "branch", "error").distinct(), "unfit")
@@ -185,8 +197,9 @@ def scan_histories(
     or is missing.  A commit with a patch that cannot be searched completely
     (hunks too far apart for a match or a line number) fails its branch.
 
-    The commit files are read twice when this is called: their keys, to find
-    lost ones, and their patches, to be searched; findings are stored.
+    The commit files that some branch may want are stored when this is called,
+    and read twice: their keys, to find lost ones, and their patches, to be
+    searched; findings are stored.
     """
     pages = commits.groupBy("repo", "branch").agg(F.bool_and(tree.valid_rows(commits)).alias("sound"))
     problem = F.when(F.col("sound").isNull(), tree.COMMITS_ERROR).when(~F.col("sound"), tree.COMMITS_PAGE_ERROR)
