@@ -8,7 +8,7 @@ payload that is not JSON, or not of the expected kind, becomes a row that is not
 ``valid`` (or, in a repository listing, has an ``error``), so that what it stands
 for fails instead of looking empty.
 
-Store the parsed tables before scanning large crawls: a scan reads keys and
+A scan stores the records that it wants once they are parsed: it reads keys and
 contents in separate passes, and a columnar table gives each only what it needs.
 """
 
