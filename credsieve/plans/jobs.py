@@ -105,12 +105,12 @@ def _wanted(
 ) -> DataFrame:
     """The rows of ``texts`` that some key may ask for; landed payloads are parsed after that.
 
-    They are stored, because keys and contents are read in separate passes:
+    Scans store them, because they read keys and contents in separate passes:
     nothing is parsed or decoded twice, neither for two passes nor for a
     condition that the planner moves ahead of what it is computed from.
     """
     rows = tree.only_wanted(texts, keys, on)
-    return session.keep(landed.parsed_late(rows, parse, on) if "payload" in texts.columns else rows, "wanted")
+    return landed.parsed_late(rows, parse, on) if "payload" in texts.columns else rows
 
 
 def _each_text_once(texts: DataFrame, on: list[str]) -> DataFrame:
@@ -159,7 +159,7 @@ def scan_trees(
     files = session.keep(chosen, "files")
     if policies is not None:
         files = session.keep(policy.unexcluded(files, policies), "files")
-    known = _wanted(blobs, files, ["repo", "sha"], landed.parse_blobs)
+    known = session.keep(_wanted(blobs, files, ["repo", "sha"], landed.parse_blobs), "wanted")
     sound = known.where(tree.valid_rows(known))
     lost = session.keep(tree.missing(files, sound, ["repo", "sha"], tree.BLOB_ERROR), "lost")
     wanted = files.join(lost.select("repo"), "repo", "left_anti")
@@ -219,7 +219,7 @@ def scan_histories(
         "commits",
     )
     # Nothing of a commit is parsed that no branch has among its newest.
-    records = _wanted(commit_files, wanted, ["repo", "commit_sha"], landed.parse_commit_files)
+    records = session.keep(_wanted(commit_files, wanted, ["repo", "commit_sha"], landed.parse_commit_files), "wanted")
     sound = records.where(tree.valid_rows(records))
     changed = sound.select(
         "repo", "commit_sha", F.posexplode_outer("files").alias("file_ord", "file")
