@@ -137,7 +137,8 @@ def scan_trees(
     of its paths or of the times it was landed; its findings then join the
     paths.  Rules that depend on a path are applied after that.
 
-    The texts of wanted blobs are stored, the listing and the checks for lost
+    The texts of wanted blobs are stored, unless they are parsed and read as
+    they lie from Parquet or ORC files.  The listing and the checks for lost
     and repeated blobs run when this is called, and so
     does the search if the catalogue has signatures whose search may fail; the
     repository of a text that cannot be searched fails.  ``policies`` exclude
@@ -159,7 +160,9 @@ def scan_trees(
     files = session.keep(chosen, "files")
     if policies is not None:
         files = session.keep(policy.unexcluded(files, policies), "files")
-    known = session.keep(_wanted(blobs, files, ["repo", "sha"], landed.parse_blobs), "wanted")
+    known = _wanted(blobs, files, ["repo", "sha"], landed.parse_blobs)
+    if "payload" in blobs.columns or not session.is_columnar(blobs):
+        known = session.keep(known, "wanted")
     sound = known.where(tree.valid_rows(known))
     lost = session.keep(tree.missing(files, sound, ["repo", "sha"], tree.BLOB_ERROR), "lost")
     wanted = files.join(lost.select("repo"), "repo", "left_anti")

@@ -62,6 +62,17 @@ def test_blobs_are_read_once_for_keys_and_contents(spark, tmp_path, parsed):
     assert seen() == 20
 
 
+@pytest.mark.parametrize("form", ["payloads", "parsed", "chosen"])
+def test_only_parsed_blobs_in_files_are_read_where_they_lie(spark, tmp_path, form):
+    (repos, branches, trees, blobs), _ = _landed_trees(spark, tmp_path / "blobs", 1)
+    (blobs if form == "payloads" else landed.parse_blobs(blobs)).write.parquet(f"{tmp_path}/stored")
+    stored = spark.read.parquet(f"{tmp_path}/stored")
+    result = jobs.scan_trees(repos, branches, trees, stored.where("sha <> ''") if form == "chosen" else stored)
+    assert result.findings.count() == 20 and result.failures.count() == 0
+    read = [name for name in result.findings.inputFiles() if f"{tmp_path}/stored" in name]
+    assert bool(read) == (form == "parsed")
+
+
 def test_blobs_landed_twice_are_searched_once(spark, tmp_path):
     (repos, branches, trees, blobs), _ = _landed_trees(spark, tmp_path / "blobs", 2)
     searched = []
